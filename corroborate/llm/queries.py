@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corroborate.llm import bpe, cuckoo, sharding
+from corroborate.llm import bpe, cuckoo, sharding, simhash
 
 QUERIES = {
     "op2_bpe": bpe.op2,
     "op4_exact_dedup": cuckoo.op4,
+    "op8_simhash": simhash.op8,
     "op9_sharding": sharding.op9,
 }
 
