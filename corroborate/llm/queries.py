@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corroborate.llm import bpe, cuckoo, sharding, simhash
+from corroborate.llm import bpe, chunks, cuckoo, sharding, simhash, suffixes
 
 QUERIES = {
     "op2_bpe": bpe.op2,
+    "op3_chunks": chunks.op3,
     "op4_exact_dedup": cuckoo.op4,
     "op8_simhash": simhash.op8,
     "op9_sharding": sharding.op9,
+    "op10_suffixes": suffixes.op10,
 }
 
 ORACLES = {
