@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corroborate.llm import bpe, chunks, cuckoo, sharding, simhash, suffixes
+from corroborate.llm import bpe, chunks, cuckoo, secrets, sharding, simhash, suffixes, templates
 
 QUERIES = {
     "op2_bpe": bpe.op2,
     "op3_chunks": chunks.op3,
     "op4_exact_dedup": cuckoo.op4,
+    "op6_decontamination": templates.op6,
+    "op7_secrets": secrets.op7,
     "op8_simhash": simhash.op8,
     "op9_sharding": sharding.op9,
     "op10_suffixes": suffixes.op10,
