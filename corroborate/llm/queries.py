@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corroborate.llm import bpe, chunks, cuckoo, secrets, sharding, simhash, suffixes, templates
+from corroborate.llm import bpe, chunks, cuckoo, ppm, secrets, sharding, simhash, suffixes, templates
 
 QUERIES = {
     "op2_bpe": bpe.op2,
     "op3_chunks": chunks.op3,
     "op4_exact_dedup": cuckoo.op4,
+    "op5_ppm": ppm.op5,
     "op6_decontamination": templates.op6,
     "op7_secrets": secrets.op7,
     "op8_simhash": simhash.op8,
