@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corroborate.llm import bpe, chunks, cuckoo, ppm, secrets, sharding, simhash, suffixes, templates
+from corroborate.llm import bpe, chunks, cuckoo, ppm, secrets, sharding, simhash, suffixes, templates, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_bpe": bpe.op2,
     "op3_chunks": chunks.op3,
     "op4_exact_dedup": cuckoo.op4,
