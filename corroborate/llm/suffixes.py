@@ -34,6 +34,10 @@ LENGTH, GRAM = 100, 28
 POSITION_BITS = 24
 PIECE = 4_000_000
 
+#: Runs that a task holds to find repeats among its own documents, and contexts of a bucket that it holds.
+HELD, CONTEXTS_HELD = 300_000, 20_000
+WHOLE, RIM, WIDE = 0, 1, 2
+
 _BYTE = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -94,101 +98,180 @@ def samples(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
             start += len(piece)
 
 
-def _sample_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n): how often each sample gram is sampled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            found = [g for _, g, _, _ in samples([t.encode("utf-8") for t in batch.column(0).to_pylist()])]
-            if found:
-                grams, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
+#: A place is start * 2^31 + (last - start) * 2^24 + th, so that places of a document sort by start.
+#: Less than zero (its complement): all windows of the place are known to start earlier, too.
+_ROWS = "gram long, context long, doc long, place long"
 
-    return texts.select("text").mapInArrow(run, "gram long, n long")
 
+def _start(place: int) -> int:
+    return place >> 31
 
-#: A place is start * 2^31 + (last - start) * 2^24 + th, so that places of a document sort by start.
-def _placed(texts: DataFrame) -> DataFrame:
-    """(gram, context, doc, place) of each run of windows that share a sample."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            docs, ths = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-            data = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
-            for n, grams, first, last in samples(data):
-                own = data[n]
-                context = [xxh3_64_intdigest(own[s:e]) for s, e in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
-                place = first << 31 | (last - first) << 24 | int(ths[n])
-                columns = [pa.array(grams), pa.array(np.array(context, dtype=np.uint64).view(np.int64)), pa.array(np.full(len(grams), docs[n])), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "doc", "place"])
-
-    rows = texts.select("doc", "th", "text").mapInArrow(_joined(run), "gram long, context long, doc long, place long")
-    return rows
-
-
-def _joined(run):
-    """``run`` with its small batches put together."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            rows += len(batch)
-            if rows >= 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Tuples of longs as batches."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
 
-    return whole
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(gram, context, doc, place) of each run of windows of (doc, th, text) that share a sample.
 
-def _place_parts(place: str) -> list:
+    Of runs with one context only the earliest that this task holds goes on as it is;
+    the others are known to repeat it. So a passage that a third of all documents have
+    sends a few rows per task into its bucket.
+    """
+    held: dict[tuple[int, int], tuple[int, int]] = {}
+    for batch in slices(batches, 2):
+        docs, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        data = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
+        for n, grams, first, last in samples(data):
+            own, doc = data[n], docs[n]
+            places = (first << 31 | (last - first) << 24 | ths[n]).tolist()
+            for gram, s, e, place in zip(grams.tolist(), first.tolist(), (last + LENGTH).tolist(), places, strict=True):
+                key = gram, xxh3_64_intdigest(own[s:e]) - (1 << 63)
+                was = held.get(key)
+                if was is None:
+                    held[key] = doc, place
+                    continue
+                old, new = (was[0], _start(was[1])), (doc, s)
+                if old < new:
+                    yield doc ^ gram, 0, doc, ~place
+                elif new < old:
+                    held[key] = doc, place
+                    yield was[0] ^ gram, 0, was[0], ~was[1]
+                else:  # another text of the same doc_id
+                    yield *key, doc, place
+        if len(held) > HELD:
+            yield from ((*k, *v) for k, v in held.items())
+            held = {}
+    yield from ((*k, *v) for k, v in held.items())
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(gram, doc, place, kind) from a part sorted by gram, doc and place, bucket by bucket.
+
+    WHOLE: all windows of the place start earlier, too. RIM: the first place of a context in
+    a bucket with several. WIDE: the same in a bucket with too many contexts to hold.
+    """
+    gram, firsts, rims, wide = None, {}, [], False
+
+    def closed() -> Iterator[tuple]:
+        if wide or len(firsts) > 1:
+            yield from ((gram, doc, place, WIDE if wide else RIM) for doc, place in rims)
+
+    for batch in batches:
+        for g, context, doc, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place < 0:
+                yield g, doc, ~place, WHOLE
+                continue
+            if g != gram:
+                yield from closed()
+                gram, firsts, rims, wide = g, {}, [], False
+            own = doc, _start(place)
+            first = firsts.get(context)
+            if first is not None and first < own:
+                yield g, doc, place, WHOLE
+                continue
+            if first is None and not wide:
+                firsts[context] = own
+            rims.append((doc, place))
+            if len(rims) > CONTEXTS_HELD:
+                wide = True
+                yield from closed()
+                rims = []
+    yield from closed()
+
+
+def _rim_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc, th, start, last) of windows that start earlier, too; from contexts sorted by gram, doc and place."""
+    gram, seen = None, {}
+    for batch in batches:
+        for g, doc, place, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if g != gram:
+                gram, seen = g, {}
+            start, th = _start(place), place & 0xFFFFFF
+            for at in range(len(context) - LENGTH + 1):
+                own = doc, start + at
+                if seen.setdefault(context[at : at + LENGTH], own) < own:
+                    yield doc, th, start + at, start + at
+
+
+def _on_tuples(run, names: str):
+    names = names.split()
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(run(batches), names)
+
+    return batched
+
+
+def _parts(place: str) -> list:
     p = F.col(place)
     start, spread = F.shiftright(p, 31), F.shiftright(p, 24).bitwiseAND(F.lit(127))
-    return [start.alias("start"), (start + spread).alias("last"), p.bitwiseAND(F.lit((1 << 24) - 1)).alias("th")]
+    return [p.bitwiseAND(F.lit((1 << 24) - 1)).alias("th"), start.alias("start"), (start + spread).alias("last")]
 
 
-def _windows(texts: DataFrame, rims: DataFrame) -> DataFrame:
-    """(name, doc, start, th) of every window of ``rims`` (doc, th, start, last)."""
+def _contexts(texts: DataFrame, rims: DataFrame) -> DataFrame:
+    """(gram, doc, place, context): the bytes that the windows of each rim cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1_000_000):
-            for doc, th, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in slices(batches, 1, 1_000_000):
+            grams, docs, places, contexts = [], [], [], []
+            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode("utf-8")
-                starts = sorted({s for p in runs for s in range(p >> 31, (p & 0x7FFFFFFF) + 1)})
-                names = np.frombuffer(b"".join([xxh3_128_digest(data[s : s + LENGTH]) for s in starts]), dtype=np.int64).reshape(-1, 2)
-                n = len(starts)
-                columns = [pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array([doc] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array([th] * n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["name", "name2", "doc", "start", "th"])
+                for r in found:
+                    place = r["place"]
+                    grams.append(r["gram"])
+                    docs.append(doc)
+                    places.append(place)
+                    contexts.append(data[_start(place) : _start(place) + (place >> 24 & 127) + LENGTH])
+            columns = [*(pa.array(c, pa.int64()) for c in (grams, docs, places)), pa.array(contexts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc", "place", "context"])
+
+    mine = rims.select("doc", _parts("place")[0], F.struct("gram", "place").alias("r")).groupBy("doc", "th").agg(F.collect_list("r").alias("rims"))
+    return texts.join(mine, ["doc", "th"]).select("doc", "text", "rims").mapInArrow(run, "gram long, doc long, place long, context binary")
+
+
+def _named_windows(contexts: DataFrame) -> DataFrame:
+    """(name, name2, doc, th, start): every window of ``contexts`` with a digest of its bytes in two longs."""
 
-    packed = F.shiftleft(F.col("start"), 31).bitwiseOR(F.col("last"))
-    runs = rims.select("doc", "th", packed.alias("p")).groupBy("doc", "th").agg(F.collect_list("p").alias("runs"))
-    met = texts.join(runs, ["doc", "th"]).select("doc", "th", "text", "runs")
-    return met.mapInArrow(_joined(run), "name long, name2 long, doc long, start long, th long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for doc, place, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(len(context) - LENGTH + 1):
+                    name = xxh3_128_digest(context[at : at + LENGTH])
+                    yield int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), doc, place & 0xFFFFFF, _start(place) + at
 
+    names = "name name2 doc th start"
+    return contexts.select("doc", "place", "context").mapInArrow(_on_tuples(run, names), ", ".join(f"{n} long" for n in names.split()))
 
-def repeats(texts: DataFrame, keyed_texts: DataFrame) -> DataFrame:
+
+def repeats(texts: DataFrame, by_key: DataFrame) -> DataFrame:
     """(doc, th, start, end) spans that cover each byte of a window that also starts earlier, and no others.
 
-    ``keyed_texts``: the same rows, partitioned by doc and th.
+    ``by_key``: the same texts, partitioned by doc and th.
     """
-    shared = _sample_counts(texts).groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
-    placed = checkpointed(_placed(texts).join(shared, "gram"))
-    contexts = placed.groupBy("gram", "context").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-    contexts = checkpointed(contexts.select("gram", "context", "n", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place")))
-    # Windows of a context that stands earlier: all of them start earlier, too.
-    start, first_start = F.shiftright("place", 31), F.shiftright("first_place", 31)
-    later = (F.col("doc") > F.col("first_doc")) | (F.col("doc") == F.col("first_doc")) & (start > first_start)
-    whole = placed.join(contexts.filter("n > 1"), ["gram", "context"]).filter(later).select("doc", *_place_parts("place"))
-    # First places of contexts that share a gram with other contexts.
-    rims = contexts.join(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "gram")
-    rims = rims.select(F.col("first_doc").alias("doc"), *_place_parts("first_place"))
-    windows = _windows(keyed_texts, rims)
+    parts = shuffle_parts(texts.sparkSession)
+    sampled = texts.select("doc", "th", "text").mapInArrow(_on_tuples(_sampled, "gram context doc place"), _ROWS)
+    buckets = sampled.repartition(parts, "gram").sortWithinPartitions("gram", "doc", "place")
+    found = checkpointed(buckets.mapInArrow(_on_tuples(_buckets, "gram doc place kind"), "gram long, doc long, place long, kind long"))
+    whole = found.filter(F.col("kind") == WHOLE).select("doc", *_parts("place"))
+
+    rims = _contexts(by_key, found.filter(F.col("kind") == RIM)).repartition(parts, "gram").sortWithinPartitions("gram", "doc", "place")
+    rest = rims.mapInArrow(_on_tuples(_rim_windows, "doc th start last"), "doc long, th long, start long, last long")
+
+    # Buckets with too many contexts for one task: their windows meet by name.
+    windows = _named_windows(_contexts(by_key, found.filter(F.col("kind") == WIDE)))
     named = windows.groupBy("name", "name2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = (F.col("doc") > F.col("first.doc")) | (F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start"))
-    rest = windows.join(named, ["name", "name2"]).filter(later).select("doc", "th", "start", F.col("start").alias("last"))
-    return whole.select("doc", "th", "start", "last").union(rest).select("doc", "th", "start", (F.col("last") + LENGTH).alias("end"))
+    wide = windows.join(named, ["name", "name2"]).filter(later).select("doc", "th", "start", F.col("start").alias("last"))
+    return whole.union(rest).union(wide).select("doc", "th", "start", (F.col("last") + LENGTH).alias("end"))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
