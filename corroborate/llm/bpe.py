@@ -206,6 +206,24 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip (the ids decode to the text) of every row; rules as in encode()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(vocabulary)
+        for batch in slices(batches, 1):
+            texts = batch.column(1).to_pylist()
+            ids, same = [], []
+            for text, words in zip(texts, bpe.encode_all(texts), strict=True):
+                ids.append(bpe.ids(words))
+                same.append(bpe.decode(words) == text)
+            columns = [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def encode_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """As encode(), with digests in the place of ids and decoded text, so neither leaves its task."""
 
