@@ -3,8 +3,9 @@
 The model is a trie of byte contexts with counts of the bytes that followed. It is
 held as tables, one for each length of context, that Spark builds from counts of
 the longest byte grams. A byte that its context never saw is coded by an escape
-(as many escapes as distinct bytes seen) to the next shorter context, where the
-bytes of the longer one are excluded; below the empty context all bytes are alike.
+to the next shorter context, where the bytes of the longer one are excluded; below
+the empty context all bytes are alike. Of each distinct byte that a context saw,
+half a count goes to its escape.
 
 Texts are scored in chunks of some megabytes. A chunk asks the model only for the
 grams and words that stand in it, so the model is never whole in one place.
@@ -26,17 +27,17 @@ from corroborate.llm.bpe import slices
 from corroborate.llm.common import body, checkpointed, shuffle_parts, table
 
 #: Bytes of context. Up to 6 fit a key.
-ORDER = 5
+ORDER = 4
 #: No UTF-8 text has these bytes: the end of a text, which is coded, too, and what precedes its first byte.
 END, PAD = 0xFE, 0xFF
 #: What can follow any context: the bytes of UTF-8 below END, and END.
 SYMBOLS = 255
 #: Text that meets in one task, and is looked at at once.
-CHUNK_BYTES, BLOCK_BYTES = 16_000_000, 4_000_000
+CHUNK_BYTES, BLOCK_BYTES = 16_000_000, 2_000_000
 #: Words a task holds before it hands on their counts.
-WORDS_HELD = 500_000
+WORDS_HELD = 300_000
 #: Entries of a table from gram codes to gram numbers; beyond it codes are sorted.
-TABLE = 32_000_000
+TABLE = 16_000_000
 #: Keys: grams are below 2^56, words have bit 62, the end of texts is a word of its own.
 END_WORD = 1 << 61
 
@@ -51,22 +52,23 @@ def grams(symbols: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarr
     Walks the trie of the block's grams level by level, for all positions at once.
     """
     present = np.flatnonzero(np.bincount(symbols, minlength=256))
-    dense = np.zeros(256, dtype=np.int64)
+    dense = np.zeros(256, dtype=np.int32)
     dense[present] = np.arange(len(present))
     last, width = dense[symbols], len(present)
     ids, keys = last, present.astype(np.int64)
     for level in range(1, order + 1):
-        code = ids[:-1] * width + last[level:]
         size = len(keys) * width
         if size <= TABLE:
+            code = ids[:-1] * np.int32(width) + last[level:]
             seen = np.zeros(size, dtype=bool)
             seen[code] = True
             distinct = np.flatnonzero(seen)
             number = np.empty(size, dtype=np.int32)
             number[distinct] = np.arange(len(distinct), dtype=np.int32)
-            ids = number[code].astype(np.int64)
+            ids = number[code]
         else:
-            distinct, ids = np.unique(code, return_inverse=True)
+            distinct, ids = np.unique(ids[:-1].astype(np.int64) * width + last[level:], return_inverse=True)
+            ids = ids.astype(np.int32)
         keys = keys[distinct // width] << 8 | present[distinct % width]
     return keys, ids
 
@@ -162,11 +164,12 @@ def _scored(order: int, total: int, distinct: int):
         words = list(set().union(*(t.split() for t in data)))
         counts = values[np.searchsorted(keys, np.array([*map(word_key, words), END_WORD], dtype=np.int64))]
         logs = np.log10((counts + 1) / (total + distinct + 1))
-        known, log = dict(zip(words, (counts[:-1] > 0).tolist(), strict=True)), dict(zip(words, logs[:-1].tolist(), strict=True))
+        log = dict(zip(words, logs[:-1].tolist(), strict=True))
+        never, end = float(np.log10(1 / (total + distinct + 1))), float(logs[-1])
         rows = []
         for text in data:
-            tokens = text.split()
-            rows.append((len(tokens) + 1, sum(map(known.__getitem__, tokens)) + int(counts[-1] > 0), math.fsum([*map(log.__getitem__, tokens), logs[-1]])))
+            own = [*map(log.__getitem__, text.split()), end]
+            rows.append((len(own), len(own) - own.count(never), math.fsum(own)))
         n_tokens, n_known, base = zip(*rows, strict=True)
         return pa.table(
             {
@@ -178,54 +181,92 @@ def _scored(order: int, total: int, distinct: int):
     return run
 
 
+def _grouped(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, number = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(number, weights=n, minlength=len(distinct)).astype(np.int64)
+
+
+def _found(keys: np.ndarray, table: np.ndarray, values: np.ndarray, missing: int) -> np.ndarray:
+    """``values`` of the sorted ``table`` at ``keys``."""
+    if not len(table):
+        return np.full(len(keys), missing, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, values[at], missing)
+
+
+def _log10(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(a, 1) / np.maximum(b, 1))
+
+
+def _logs(order: int, pairs: np.ndarray):
+    """From (key, n), all grams of some two last bytes of context together: (key, value).
+
+    ``pairs``: counts of the last context byte with what follows, 256 x 256; contexts of one
+    byte and of none are looked up in it.
+    """
+    singles = pairs.sum(axis=0)
+    n0, d0 = int(singles.sum()), int((singles > 0).sum())
+    n1, d1 = pairs.sum(axis=1), (pairs > 0).sum(axis=1)
+    left_n1, left_d1 = n0 - ((pairs > 0) * singles).sum(axis=1), d0 - d1  # of the empty context, less what one byte of context saw
+
+    def values(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        trained = n > 0
+        last, byte = keys >> 8 & 0xFF, keys & 0xFF
+        value = np.full(len(keys), -math.log10(max(1, SYMBOLS - d0)))  # below the empty context
+
+        def stepped(c, total, distinct, entered):
+            """One level: the byte is coded, or an escape and what is below; levels not entered change nothing."""
+            coded = _log10(2 * c - 1, 2 * total)
+            escaped = np.where(distinct > 0, _log10(distinct, 2 * total), 0.0) + value
+            return np.where(entered & (total > 0), np.where(c > 0, coded, escaped), value)
+
+        levels = [(singles[byte], np.full(len(keys), n0), np.full(len(keys), d0)), (pairs[last, byte], n1[last], d1[last])]
+        left = [(left_n1[last], left_d1[last])]
+        below_g, below_c, below_n, below_d = None, None, None, None
+        for k in range(2, order + 1):
+            g, c = _grouped(keys[trained] & ((1 << 8 * (k + 1)) - 1), n[trained])
+            y, total = _grouped(g >> 8, c)
+            distinct = np.bincount(np.searchsorted(y, g >> 8), minlength=len(y))
+            short = g & ((1 << 8 * k) - 1)
+            saw = pairs[short >> 8 & 0xFF, short & 0xFF] if k == 2 else _found(short, below_g, below_c, 0)
+            saw = np.bincount(np.searchsorted(y, g >> 8), weights=saw, minlength=len(y)).astype(np.int64)
+            z = y & ((1 << 8 * (k - 1)) - 1)
+            shorter_n, shorter_d = (n1[z], d1[z]) if k == 2 else (_found(z, below_y, below_n, 0), _found(z, below_y, below_d, 0))
+            own_y = keys >> 8 & ((1 << 8 * k) - 1)
+            levels.append((_found(keys & ((1 << 8 * (k + 1)) - 1), g, c, 0), _found(own_y, y, total, 0), _found(own_y, y, distinct, 0)))
+            left.append((_found(own_y, y, shorter_n - saw, 0), _found(own_y, y, shorter_d - distinct, 0)))
+            below_g, below_c, below_y, below_n, below_d = g, c, y, total, distinct
+        deepest = sum((total > 0).astype(int) for _, total, _ in levels) - 1  # contexts that were seen are a suffix chain
+        for k in range(order + 1):
+            c, total, distinct = levels[k]
+            fresh = deepest == k
+            if k < order:
+                total, distinct = np.where(fresh, total, left[k][0]), np.where(fresh, distinct, left[k][1])
+            value = stepped(c, total, distinct, deepest >= k)
+        return value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held)
+            keys = rows["key"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values(keys, rows["n"].to_numpy()))], names=["key", "value"])
+
+    return run
+
+
 def gram_logs(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, value): log10 of the probability of each gram's last byte after the bytes before it, for all grams of ``counts`` (key, n)."""
-    levels = [counts.filter("n > 0").select("key", "n")]  # by length of context, the longest first
-    for k in range(order - 1, -1, -1):
-        levels.append(levels[-1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
-    levels = levels[::-1]
-    whole = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.select("key", F.col("n").alias(f"c{order}"))
-    sums = {}
-    for k in range(1, order + 1):
-        context, shorter = F.shiftright("key", 8), F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        # Of the shorter context: counts of the bytes that this context saw.
-        both = levels[k].select(context.alias("y"), "n", shorter.alias("short")).join(levels[k - 1].select(F.col("key").alias("short"), F.col("n").alias("m")), "short")
-        sums[k] = both.groupBy("y").agg(F.sum("n").alias(f"n{k}"), F.count(F.lit(1)).alias(f"d{k}"), F.sum("m").alias(f"x{k}"))
-    for k in range(1, order + 1):
-        own = sums[k]
-        if k > 1:
-            below = sums[k - 1].select(F.col("y").alias("z"), F.col(f"n{k - 1}").alias("nb"), F.col(f"d{k - 1}").alias("db"))
-            own = own.withColumn("z", F.col("y").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "z")
-        else:
-            own = own.withColumn("nb", F.lit(whole[0])).withColumn("db", F.lit(whole[1]))
-        # What is left in the shorter context once this one's bytes are excluded.
-        own = own.select("y", f"n{k}", f"d{k}", (F.col("nb") - F.col(f"x{k}")).alias(f"left_n{k}"), (F.col("db") - F.col(f"d{k}")).alias(f"left_d{k}"))
-        rows = rows.withColumn("y", F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))).join(own, "y", "left").drop("y")
-        if k < order:
-            rows = rows.withColumn("g", F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)))
-            rows = rows.join(levels[k].select(F.col("key").alias("g"), F.col("n").alias(f"c{k}")), "g", "left").drop("g")
-    rows = rows.withColumn("g", F.col("key").bitwiseAND(F.lit(255))).join(levels[0].select(F.col("key").alias("g"), F.col("n").alias("c0")), "g", "left").drop("g")
-    rows = rows.withColumn("n0", F.lit(whole[0])).withColumn("d0", F.lit(whole[1]))
-
-    def log_ratio(a: Column, b: Column) -> Column:
-        return F.log10(F.try_divide(a.cast("double"), b))  # a branch not taken may divide by 0
-
-    rows = rows.withColumn("below", F.lit(-math.log10(max(1, SYMBOLS - whole[1]))))
-    fresh = []
-    for k in range(order + 1):
-        c, n, d = F.col(f"c{k}"), F.col(f"n{k}"), F.col(f"d{k}")
-        first = F.when(c > 0, log_ratio(c, n + d)).when(d > 0, log_ratio(d, n + d) + F.col("below")).otherwise(F.col("below"))
-        rows = rows.withColumn(f"fresh{k}", first)
-        fresh.insert(0, (k, F.col(f"fresh{k}")))
-        if k < order:
-            left_n, left_d = F.col(f"left_n{k + 1}"), F.col(f"left_d{k + 1}")
-            after = F.when(c > 0, log_ratio(c, left_n + left_d)).when(left_d > 0, log_ratio(left_d, left_n + left_d) + F.col("below")).otherwise(F.col("below"))
-            rows = rows.withColumn("below", after)
-    value = F.when(F.col(f"n{order}").isNotNull(), F.col(f"fresh{order}"))
-    for k, column in fresh[1:]:
-        value = value.when(F.col(f"n{k}").isNotNull(), column)
-    return rows.select("key", value.alias("value"))
+    """(key, value): log10 of the probability of each gram's last byte after the bytes before it, for all grams of ``counts`` (key, n).
+
+    Grams meet by their last two context bytes: contexts of two bytes or more are then
+    whole in one part. Counts of the 65,536 byte pairs, which shorter contexts need, go to every task.
+    """
+    pairs = np.zeros((256, 256), dtype=np.int64)
+    for row in counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("p")).agg(F.sum("n").alias("n")).collect():
+        pairs[row["p"] >> 8, row["p"] & 0xFF] = row["n"]
+    parts = shuffle_parts(counts.sparkSession)
+    met = counts.repartition(parts, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    return met.select("key", "n").mapInArrow(_logs(order, pairs), "key long, value double")
 
 
 def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
@@ -237,7 +278,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFr
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), body().alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + order + 1), F.lit(0))).first()[0]
-    parts = shuffle_parts(docs.sparkSession, size, CHUNK_BYTES)
+    parts = max(1, math.ceil(size / CHUNK_BYTES))
     counts = rows.select((~F.col("held_out")).alias("training"), "text").mapInArrow(_counts(order), "key long, n long")
     counts = checkpointed(counts.groupBy("key").agg(F.sum("n").alias("n")))
     is_word = F.col("key") >= END_WORD
