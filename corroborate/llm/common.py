@@ -7,28 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corroborate.storage import checkpointed  # noqa: F401
+
 #: ASCII white space as the contracts name it: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def share_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the cluster's shared folder.
-
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests,
-    a laptop) does the warehouse folder serve instead.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint: a lost executor loses nothing of it."""
-    share_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
 
 def shuffle_parts(spark: SparkSession, rows: int = 0, per_part: int = 1) -> int:
     """Partitions for a shuffle: the session's number, or more if a part would exceed ``per_part``."""
@@ -42,13 +25,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def body(text: str | Column = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-
-
-def lower_ascii(s: str) -> str:
-    """A-Z to a-z and nothing else."""
-    return s.lower() if s.isascii() else s.translate(_LOWER)
-
-
-def ascii_words(s: bytes) -> list[bytes]:
-    """Words between runs of [\\x20\\x09-\\x0D] of UTF-8 bytes: just what bytes.split() does."""
-    return s.split()
