@@ -123,3 +123,14 @@ def one_row(rows: DataFrame, condition: Column, what: str) -> DataFrame:
     """The one row that meets the condition; none or several raise an error when it is read."""
     counted = rows.filter(condition).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))
     return counted.filter(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.lit(f"not exactly one {what}")).cast("boolean"))).drop("__n")
+
+
+def finding_claims(findings: DataFrame, sources: DataFrame, claims: DataFrame, most: int = CARD_CLAIMS) -> DataFrame:
+    """(finding_id, claim_id, value): claims of a finding's records, of the fields that it names (all if none), the first ``most`` by id.
+
+    findings: finding_id, population_id, details; sources: population_id, lane_id, component_id;
+    claims: claim_id, lane_id, component_id, field, value.
+    """
+    met = findings.join(sources, "population_id").join(claims, ["lane_id", "component_id"]).filter((F.size("details") == 0) | F.array_contains(F.col("details"), F.col("field")))
+    first = Window.partitionBy("finding_id").orderBy("claim_id")
+    return met.select("finding_id", "claim_id", "value").distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).drop("place")

@@ -97,6 +97,27 @@ VIEWS = {
     "arm_results": "SELECT 'arm-quality' AS arm_id, quality = 1 AS valid FROM labels UNION ALL SELECT 'arm-any', quality >= 0 FROM labels",
     "run_findings": "SELECT 'run-' || CAST(o_custkey % 40 AS STRING) AS run_id, CASE WHEN o_custkey % 40 < 10 THEN 'MATCHED' WHEN o_orderstatus = 'F' THEN 'CONFLICT' ELSE 'MATCHED' END AS status FROM orders",
     "nested": """SELECT n_nationkey AS doc, '{"components": [{"bom-ref": "r' || CAST(n_nationkey AS STRING) || '", "name": "' || n_name || '", "components": [{"bom-ref": "k' || CAST(n_nationkey AS STRING) || '", "name": "kid"}]}, {"bom-ref": "s", "name": "last"}]}' AS raw FROM nation""",
+    "runtimes": """
+        SELECT CASE WHEN s_suppkey % 20 = 0 THEN 'same' WHEN s_suppkey % 20 = 1 THEN '-bad' ELSE 'rt' || CAST(s_suppkey AS STRING) END AS runtime_id, CASE s_suppkey % 4 WHEN 0 THEN 'scanner' WHEN 1 THEN 'schema' WHEN 2 THEN 'signing' ELSE 'other' END AS category,
+               CASE s_suppkey % 3 WHEN 0 THEN 'FROZEN' WHEN 1 THEN 'LOCALLY_OBSERVED' ELSE 'GONE' END AS status, CASE WHEN s_suppkey % 6 = 0 THEN 'ftp://x.example.org' ELSE 'https://x.example.org/r' END AS source_url,
+               CASE WHEN s_suppkey % 7 = 0 THEN 'abc' ELSE '0123456789012345678901234567890123456789' END AS resolved_commit,
+               CASE WHEN s_suppkey % 2 = 0 THEN repeat('a', 64) END AS artifact_sha256, CASE WHEN s_suppkey % 9 = 0 THEN repeat('B', 64) ELSE repeat('b', 64) END AS config_sha256, repeat('c', 64) AS dependency_manifest_sha256
+        FROM supplier""",
+    "issuers": """
+        SELECT 'is' || CAST(c_custkey AS STRING) AS issuer_id, CASE c_custkey % 5 WHEN 0 THEN 'NOT_ADMITTED' WHEN 1 THEN 'ODD' ELSE 'ADMITTED_FOR_VEX_INTAKE' END AS status,
+               CASE WHEN c_custkey % 3 = 0 THEN repeat('a', 64) WHEN c_custkey % 3 = 1 THEN 'short' END AS public_key_sha256, CASE WHEN c_custkey % 4 = 0 THEN '../k' WHEN c_custkey % 4 < 3 THEN 'keys/k' END AS public_key_path,
+               CASE WHEN c_custkey % 2 = 0 THEN 'r/x' END AS acquisition_receipt_ref
+        FROM customer""",
+    "image_graph": """
+        SELECT '{"type": "SpdxDocument", "spdxId": "doc", "rootElement": ["arch"]}' AS raw
+        UNION ALL SELECT '{"type": "software_Package", "spdxId": "arch", "name": "image", "software_primaryPurpose": "archive"}'
+        UNION ALL SELECT '{"type": "Organization", "spdxId": "org' || CAST(n_nationkey AS STRING) || '", "name": "' || n_name || '"}' FROM nation
+        UNION ALL SELECT '{"type": "software_Package", "spdxId": "p' || CAST(p_partkey AS STRING) || '", "name": "n' || CAST(p_partkey AS STRING) || '", "software_primaryPurpose": "' || CASE WHEN p_partkey % 10 = 0 THEN 'source' ELSE 'install' END || '", "software_packageUrl": "pkg:generic/p' || CAST(p_partkey AS STRING) || '"' ||
+               CASE WHEN p_partkey % 6 = 0 THEN '' ELSE ', "software_packageVersion": "' || CAST(p_size AS STRING) || '"' END || ', "suppliedBy": "org' || CAST(p_partkey % 40 AS STRING) || '", "externalIdentifier": [{"identifier": "a' || CAST(p_partkey AS STRING) || '"}]}' FROM part
+        UNION ALL SELECT '{"type": "software_File", "spdxId": "f' || CAST(p_partkey AS STRING) || '", "name": "./usr/f' || CAST(p_partkey AS STRING) || '", "verifiedUsing": [' || CASE WHEN p_partkey % 8 = 0 THEN '' ELSE '{"algorithm": "sha256", "hashValue": "h' || CAST(p_partkey AS STRING) || '"}' END || ']}' FROM part
+        UNION ALL SELECT '{"type": "Relationship", "spdxId": "r' || CAST(p_partkey AS STRING) || '", "from": "p' || CAST(p_partkey AS STRING) || '", "relationshipType": "contains", "to": ["f' || CAST(p_partkey AS STRING) || '"]}' FROM part WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT '{"type": "Relationship", "spdxId": "q' || CAST(p_partkey AS STRING) || '", "from": "arch", "relationshipType": "contains", "to": ["f' || CAST(p_partkey AS STRING) || '"]}' FROM part WHERE p_partkey % 5 <> 0
+        UNION ALL SELECT '{"type": "LifecycleScopedRelationship", "spdxId": "d' || CAST(p_partkey AS STRING) || '", "from": "p' || CAST(p_partkey AS STRING) || '", "relationshipType": "dependsOn", "scope": "' || CASE WHEN p_partkey % 4 = 0 THEN 'build' ELSE 'runtime' END || '", "to": ["p' || CAST(p_partkey + 1 AS STRING) || '", "none"]}' FROM part""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

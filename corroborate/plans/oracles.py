@@ -131,3 +131,25 @@ oracle("advice_violations", "card_claims", "SELECT DISTINCT conflict_id, 'claims
 oracle("arm_metrics", "arm_results", "SELECT arm_id, count(*) AS results, count(*) FILTER (valid) AS valid, count(*) FILTER (valid) / count(*) AS rate, (SELECT bool_and(valid) FROM arm_results) AS gate FROM arm_results GROUP BY arm_id")
 oracle("run_catalogue", "run_findings", "SELECT run_id, count(*) AS findings, count(*) FILTER (status <> 'MATCHED') AS open_findings, CASE WHEN count(*) FILTER (status <> 'MATCHED') > 0 THEN 'OPEN' ELSE 'CLOSED' END AS status FROM run_findings GROUP BY 1")
 oracle("nested_flatten", "nested", "SELECT n_nationkey AS doc, 'r' || n_nationkey AS ref, NULL AS parent, 0 AS depth, n_name AS name FROM nation UNION ALL SELECT n_nationkey, 's', NULL, 0, 'last' FROM nation UNION ALL SELECT n_nationkey, 'k' || n_nationkey, 'r' || n_nationkey, 1, 'kid' FROM nation")
+
+oracle("runtime_registry", "runtimes", """SELECT runtime_id, 'runtime_id' AS rule FROM runtimes WHERE starts_with(runtime_id, '-') UNION ALL SELECT runtime_id, 'category' FROM runtimes WHERE category = 'other' UNION ALL SELECT runtime_id, 'status' FROM runtimes WHERE status = 'GONE'
+UNION ALL SELECT runtime_id, 'source_url' FROM runtimes WHERE source_url LIKE 'ftp%' UNION ALL SELECT runtime_id, 'resolved_commit' FROM runtimes WHERE length(resolved_commit) < 40 UNION ALL SELECT runtime_id, 'hashes' FROM runtimes WHERE config_sha256 LIKE 'B%'
+UNION ALL SELECT runtime_id, 'frozen' FROM runtimes WHERE status = 'FROZEN' AND artifact_sha256 IS NULL UNION ALL SELECT runtime_id, 'repeated' FROM runtimes GROUP BY runtime_id HAVING count(*) > 1""")
+oracle("issuer_registry", "issuers", """SELECT issuer_id, 'status' AS rule FROM issuers WHERE status = 'ODD' UNION ALL SELECT issuer_id, 'key_hash' FROM issuers WHERE public_key_sha256 = 'short'
+UNION ALL SELECT issuer_id, 'admitted' FROM issuers WHERE status LIKE 'ADM%' AND (public_key_sha256 IS NULL OR coalesce(public_key_path, '../') LIKE '../%' OR acquisition_receipt_ref IS NULL)
+UNION ALL SELECT issuer_id, 'not_admitted' FROM issuers WHERE status NOT LIKE 'ADM%' AND (public_key_sha256 IS NOT NULL OR public_key_path IS NOT NULL OR acquisition_receipt_ref IS NOT NULL)""")
+oracle("image_packages", "image_graph", """SELECT 'p' || p_partkey AS source_id, 'n' || p_partkey AS name, CASE WHEN p_partkey % 6 = 0 THEN 'UNKNOWN' ELSE CAST(p_size AS VARCHAR) END AS version, coalesce(n_name, 'UNKNOWN') AS producer, 'a' || p_partkey || ',pkg:generic/p' || p_partkey AS identifiers
+FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 40 WHERE p_partkey % 10 <> 0""")
+oracle("image_files", "image_graph", "SELECT 'usr/f' || p_partkey AS path, CASE WHEN p_partkey % 8 = 0 THEN 'UNKNOWN' ELSE 'h' || p_partkey END AS sha256, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 10 <> 0 THEN 'p' || p_partkey ELSE '' END AS owners FROM part WHERE p_partkey % 5 <> 0")
+oracle("image_dependencies", "image_graph", "SELECT 'p' || a.p_partkey AS src, 'p' || b.p_partkey AS dst FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 4 <> 0 AND a.p_partkey % 10 <> 0 AND b.p_partkey % 10 <> 0")
+oracle("image_reference_errors", "image_graph", """SELECT 'd' || p_partkey AS id, 'unresolved none' AS problem FROM part UNION ALL SELECT 'd' || p_partkey, 'unresolved p' || (p_partkey + 1) FROM part WHERE p_partkey + 1 NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'p' || p_partkey, 'unresolved org' || (p_partkey % 40) FROM part WHERE p_partkey % 40 NOT IN (SELECT n_nationkey FROM nation)""")
+_CLAIMS = """, all_claims AS (SELECT lane_id, component_id, 'producer' AS field, producer AS value FROM records UNION ALL SELECT lane_id, component_id, 'name', name FROM records UNION ALL SELECT lane_id, component_id, 'version', version FROM records
+UNION ALL SELECT lane_id, component_id, 'identifier', unnest(CASE WHEN len(identifiers) = 0 THEN ['UNKNOWN'] ELSE identifiers END) FROM records)"""
+oracle("finding_claims", "candidate records", """SELECT DISTINCT f.population_id AS finding_id, 'claim-' || sha256('{"field":"' || field || '","lane_id":"' || c.lane_id || '","source_component_id":"' || c.component_id || '","value":"' || value || '"}') AS claim_id, value
+FROM findings f JOIN population p USING (population_id) JOIN all_claims c ON list_contains(string_split(p.members, ','), c.lane_id || '/' || c.component_id) WHERE f.status = 'CONFLICT' AND (details = '' OR list_contains(string_split(details, ','), field))""", _STATES + _CLAIMS)
+oracle("run_record", "candidate records", "SELECT CASE WHEN count(*) FILTER (status <> 'MATCHED') = 0 THEN 'CLOSED' ELSE 'OPEN' END AS reconciliation_state, CASE WHEN count(*) FILTER (status <> 'MATCHED') = 0 THEN 'INVALID' ELSE 'NOT_RUN_RECONCILIATION_OPEN' END AS serialization_status, false AS engineering_pass, count(*) FILTER (status <> 'MATCHED') AS open_findings FROM findings", _STATES)
+_SPDX = lambda c: f"'https://example.invalid/run-1/component/' || {c} || '-' || substr(sha256({c}), 1, 16)"
+oracle("spdx_lines", "rel_claims", f"""SELECT DISTINCT '{{"from":"' || {_SPDX('src')} || '","relationshipType":"' || CASE rel WHEN 'CONTAINS' THEN 'contains' WHEN 'DEPENDS_ON' THEN 'dependsOn' ELSE 'hasDynamicLink' END || '","to":["' || {_SPDX('dst')} || '"],"type":"Relationship"}}' AS line FROM rel_claims WHERE rel <> 'UNKNOWN'""")
+oracle("export_dependency_errors", "rel_claims", """SELECT DISTINCT src AS ref, 'row without component' AS problem FROM rel_claims WHERE src LIKE '%4' UNION ALL SELECT DISTINCT src, 'component without row' FROM rel_claims WHERE src LIKE '%5'
+UNION ALL SELECT DISTINCT dst, 'unknown target' FROM rel_claims WHERE src NOT LIKE '%5' AND rel IN ('DEPENDS_ON', 'DYNAMICALLY_LINKS') AND dst NOT IN (SELECT src FROM rel_claims WHERE src NOT LIKE '%4')""")

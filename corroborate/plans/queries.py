@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import cluster, evidence, gaps, nested, reconcile, relations, rules, vex
+from corroborate.operators import cluster, evidence, export, gaps, nested, reconcile, registry, relations, rules, vex
 from corroborate.plans.carriers import spark_view
+from corroborate.sources import image
 
 QUERIES = {}
 
@@ -292,4 +293,63 @@ def nested_flatten(nested):
     return _nested.flatten(nested)
 
 
+@query
+def runtime_registry(runtimes):
+    return registry.runtime_violations(runtimes)
+
+
+@query
+def issuer_registry(issuers):
+    return registry.issuer_violations(issuers)
+
+
+@query
+def image_packages(image_graph):
+    return joined(image.packages(image.elements(image_graph)), "identifiers")
+
+
+@query
+def image_files(image_graph):
+    return joined(image.expected_files(image.elements(image_graph), "image"), "owners")
+
+
+@query
+def image_dependencies(image_graph):
+    return image.runtime_dependencies(image.elements(image_graph))
+
+
+@query
+def image_reference_errors(image_graph):
+    return export.spdx_reference_errors(image_graph)
+
+
+@query
+def finding_claims(candidate, records):
+    population = cluster.population(records)
+    findings = reconcile.five_states(candidate, population).filter("status = 'CONFLICT' and population_id is not null").select(F.col("population_id").alias("finding_id"), "population_id", "details")
+    sources = population.select("population_id", F.explode("sources").alias("s")).select("population_id", "s.lane_id", "s.component_id")
+    return evidence.finding_claims(findings, sources, evidence.claims(records, ["producer", "name", "version"]))
+
+
+@query
+def run_record(candidate, records):
+    return export.run_record(reconcile.five_states(candidate, cluster.population(records)), valid=False)
+
+
+@query
+def cyclonedx_lines(records):
+    return export.cyclonedx_components(cluster.population(records), "run-1")
+
+
+@query
+def spdx_lines(rel_claims):
+    return export.spdx_relationships(rel_claims.select("src", "rel", "dst").filter("rel <> 'UNKNOWN'").distinct(), "https://example.invalid/run-1")
+
+
+@query
+def export_dependency_errors(rel_claims):
+    refs = rel_claims.select(F.col("src").alias("ref")).distinct()
+    return export.dependency_errors(refs.filter("ref not like '%4'"), relations.dependency_rows(refs.filter("ref not like '%5'"), rel_claims.filter("src not like '%5'")))
+
+
 _vex, _nested = vex, nested

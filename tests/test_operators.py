@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import cluster, components, evidence, nested, reconcile, relations, rules, vex
+from corroborate.operators import cluster, components, evidence, export, nested, reconcile, relations, rules, vex
 from corroborate.sources import documents, files
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
@@ -204,3 +204,37 @@ def test_statement_documents(spark):
     docs = spark.createDataFrame([("o", json.dumps(openvex)), ("c", json.dumps(cdx))], "doc string, raw string")
     got = {r.vulnerability_id: (r.vex_format, r.purls) for r in documents.statements(docs).collect()}
     assert got == {"V1": ("openvex", ["pkg:a?x=1"]), "V2": ("cyclonedx", ["pkg:a?arch=q"])}
+
+
+def test_export_lines(spark):
+    population = cluster.population(records(spark, *CASE))
+    rows = {json.loads(r.line)["bom-ref"]: json.loads(r.line) for r in export.cyclonedx_components(population, "run-1").collect()}
+    ids = [r.population_id for r in population.collect()]
+    assert set(rows) == {"urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "run-1:" + i)) for i in ids}
+    app = next(r for r in rows.values() if r["name"] == "app")
+    assert app["purl"] == "pkg:generic/app@1" and app["hashes"] == [{"alg": "SHA-256", "content": "a"}] and app["type"] == "library"
+    edges = spark.createDataFrame([(ids[0], "DEPENDS_ON", ids[1]), (ids[0], "CONTAINS", ids[2])], "src string, rel string, dst string")
+    lines = {r.ref: json.loads(r.line) for r in export.cyclonedx_dependencies(population, edges, "run-1").collect()}
+    assert len(lines) == len(ids) and len(lines[ids[0]]["dependsOn"]) == 1 and lines[ids[1]]["dependsOn"] == []
+
+
+def test_unnamed_relationship_is_an_error(spark):
+    with pytest.raises(Exception, match="no name for ODD"):
+        export.spdx_relationships(spark.createDataFrame([("a", "ODD", "b")], "src string, rel string, dst string"), "x:").collect()
+
+
+def test_package_is_sealed(spark, tmp_path):
+    lines = spark.createDataFrame([(f"line {n}",) for n in range(100)], "line string").repartition(3)
+    path = str(tmp_path / "run")
+    export.write_package(spark, path, {"components": lines, "dependencies": lines.limit(0)})
+    assert export.package_differences(spark, path).isEmpty()
+    with pytest.raises(Exception):  # noqa: B017
+        export.write_package(spark, path, {"components": lines})
+    lines.limit(99).write.mode("overwrite").text(f"{path}/components")
+    assert [r.name for r in export.package_differences(spark, path).collect()] == ["components"]
+
+
+def test_attestation(spark):
+    row = spark.createDataFrame([("ab", 1)], "h string, n int").select(export.attestation("x.json", F.col("h"), "https://example.invalid/p", F.struct("n")))
+    got = json.loads(row.first()[0])
+    assert got["subject"] == [{"digest": {"sha256": "ab"}, "name": "x.json"}] and got["predicate"] == {"n": 1}
