@@ -118,6 +118,18 @@ VIEWS = {
         UNION ALL SELECT '{"type": "Relationship", "spdxId": "r' || CAST(p_partkey AS STRING) || '", "from": "p' || CAST(p_partkey AS STRING) || '", "relationshipType": "contains", "to": ["f' || CAST(p_partkey AS STRING) || '"]}' FROM part WHERE p_partkey % 3 <> 0
         UNION ALL SELECT '{"type": "Relationship", "spdxId": "q' || CAST(p_partkey AS STRING) || '", "from": "arch", "relationshipType": "contains", "to": ["f' || CAST(p_partkey AS STRING) || '"]}' FROM part WHERE p_partkey % 5 <> 0
         UNION ALL SELECT '{"type": "LifecycleScopedRelationship", "spdxId": "d' || CAST(p_partkey AS STRING) || '", "from": "p' || CAST(p_partkey AS STRING) || '", "relationshipType": "dependsOn", "scope": "' || CASE WHEN p_partkey % 4 = 0 THEN 'build' ELSE 'runtime' END || '", "to": ["p' || CAST(p_partkey + 1 AS STRING) || '", "none"]}' FROM part""",
+    "typed": """
+        SELECT 'c' || CAST(p_partkey AS STRING) AS candidate_id, CASE WHEN p_partkey % 4 = 0 THEN 'UNKNOWN' ELSE 'pkg:generic/p' || CAST(p_partkey AS STRING) END AS purl, 'urn:p' || CAST(p_partkey AS STRING) AS urn, 'LIBRARY' AS role,
+               CASE p_partkey % 3 WHEN 0 THEN 'source:' || p_brand || ':x' WHEN 1 THEN 'source:' ELSE 'nothing' END AS provenance, CASE WHEN p_partkey % 2 = 0 THEN 'SHA-256' END AS algorithm, 'h' || CAST(p_partkey AS STRING) AS digest
+        FROM part""",
+    "releases": """
+        SELECT c_custkey AS release_id, CASE WHEN c_custkey % 7 = 0 THEN '2026-02-30T00:00:00Z' WHEN c_custkey % 7 = 1 THEN '2026-01-05 00:00:00Z' ELSE '2026-01-05T00:00:00Z' END AS release_timestamp,
+               CASE WHEN c_custkey % 5 = 0 THEN '2026-01-05T00:00:00.5Z' WHEN c_custkey % 5 = 1 THEN '2026-01-05T00:00:00Z' ELSE '2025-12-31T23:59:59Z' END AS evidence_cutoff, c_mktsegment AS product, c_name AS build_id
+        FROM customer""",
+    "release_evidence": "SELECT c_custkey AS release_id, CASE WHEN c_custkey % 3 = 0 THEN 'OTHER' ELSE c_mktsegment END AS product, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS build_id FROM customer WHERE c_custkey % 11 <> 0",
+    "layers": "SELECT 'image' || CAST(l_suppkey AS STRING) AS archive, CAST(l_orderkey AS STRING) AS path, CAST(l_quantity AS BIGINT) AS size FROM lineitem",
+    "arm_cards": "SELECT 'arm' || CAST(turn % 2 AS STRING) AS arm_id, CASE WHEN conv_id % 9 = 0 THEN conv_id + 1000000 ELSE conv_id END AS conflict_id FROM conversations WHERE turn < 3",
+    "served": "SELECT 'run-' || CAST(c_custkey AS STRING) AS run_id, CASE WHEN c_custkey % 5 = 0 THEN 'REAL' ELSE 'SYNTHETIC_X' END AS classification, CASE WHEN c_custkey % 3 = 0 THEN 'Approved by none' ELSE 'open' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'certified' END AS note FROM customer",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -153,3 +153,17 @@ _SPDX = lambda c: f"'https://example.invalid/run-1/component/' || {c} || '-' ||
 oracle("spdx_lines", "rel_claims", f"""SELECT DISTINCT '{{"from":"' || {_SPDX('src')} || '","relationshipType":"' || CASE rel WHEN 'CONTAINS' THEN 'contains' WHEN 'DEPENDS_ON' THEN 'dependsOn' ELSE 'hasDynamicLink' END || '","to":["' || {_SPDX('dst')} || '"],"type":"Relationship"}}' AS line FROM rel_claims WHERE rel <> 'UNKNOWN'""")
 oracle("export_dependency_errors", "rel_claims", """SELECT DISTINCT src AS ref, 'row without component' AS problem FROM rel_claims WHERE src LIKE '%4' UNION ALL SELECT DISTINCT src, 'component without row' FROM rel_claims WHERE src LIKE '%5'
 UNION ALL SELECT DISTINCT dst, 'unknown target' FROM rel_claims WHERE src NOT LIKE '%5' AND rel IN ('DEPENDS_ON', 'DYNAMICALLY_LINKS') AND dst NOT IN (SELECT src FROM rel_claims WHERE src NOT LIKE '%4')""")
+
+oracle("candidate_identifiers", "typed", "SELECT candidate_id, CASE WHEN purl = 'UNKNOWN' THEN urn ELSE purl || ',' || urn END AS identifiers, role AS roles, CASE WHEN provenance LIKE 'source:_%' THEN provenance ELSE '' END AS provenances, coalesce(algorithm || ':' || digest, '') AS hashes FROM typed")
+oracle("comparison_keys", "named", """SELECT id, coalesce(CASE WHEN starts_with(ref, 'pkg:') THEN 'purl:' || regexp_replace(split_part(split_part(ref, '#', 1), '?', 1), '@[^@/]*$', '') END,
+CASE WHEN starts_with(cpe, 'cpe:2.3:') AND len(string_split(cpe, ':')) = 13 THEN 'cpe:' || array_to_string(list_concat(list_slice(string_split(cpe, ':'), 1, 5), ['*'], list_slice(string_split(cpe, ':'), 7, 13)), ':') END) AS logical_key FROM named""")
+oracle("timestamp_violations", "releases", "SELECT release_id, CASE WHEN release_id % 7 < 2 THEN 'format' ELSE 'order' END AS rule FROM releases WHERE release_id % 7 < 2 OR release_id % 5 = 0")
+oracle("document_mismatches", "releases release_evidence", """SELECT release_id, 'release_id' AS field FROM releases WHERE release_id % 11 = 0 UNION ALL SELECT release_id, 'product' FROM releases WHERE release_id % 11 <> 0 AND release_id % 3 = 0
+UNION ALL SELECT release_id, 'build_id' FROM releases WHERE release_id % 11 <> 0 AND release_id % 4 = 0""")
+oracle("layer_budget", "layers", "SELECT archive, count(*) AS members, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest, count(*) <= 600 AND sum(size) <= 15000 AS within FROM layers GROUP BY archive")
+oracle("arm_coverage", "card_claims arm_cards", """SELECT coalesce(a.arm_id, g.arm_id) AS arm_id, coalesce(a.conflict_id, g.conflict_id) AS conflict_id, CASE WHEN a.conflict_id IS NULL THEN 'no card' WHEN g.n IS NULL THEN 'no result' ELSE 'several results' END AS problem
+FROM (SELECT DISTINCT arm_id, c.conflict_id FROM arm_cards, (SELECT DISTINCT conflict_id FROM card_claims) c) a FULL JOIN (SELECT arm_id, conflict_id, count(*) AS n FROM arm_cards GROUP BY ALL) g ON a.arm_id = g.arm_id AND a.conflict_id = g.conflict_id WHERE a.conflict_id IS NULL OR g.n IS NULL OR g.n > 1""")
+oracle("field_claims", "records", """SELECT population_id, field, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids FROM (SELECT p.population_id, field, 'claim-' || sha256('{"field":"' || field || '","lane_id":"' || c.lane_id || '","source_component_id":"' || c.component_id || '","value":"' || value || '"}') AS claim_id
+FROM population p JOIN all_claims c ON list_contains(string_split(p.members, ','), c.lane_id || '/' || c.component_id)) GROUP BY ALL""", _POPULATION + _CLAIMS)
+oracle("status_guard", "served", "SELECT run_id, 'classification' AS rule FROM served WHERE classification = 'REAL' UNION ALL SELECT run_id, 'APPROVED' FROM served WHERE status LIKE 'App%' UNION ALL SELECT run_id, 'CERTIFIED' FROM served WHERE note = 'certified'")
+oracle("namespace_rules", "profiles", "SELECT unnest(['profile_id', 'profile_kind']) AS problem")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import cluster, evidence, export, gaps, nested, reconcile, registry, relations, rules, vex
+from corroborate.operators import binding, cluster, evidence, export, gaps, nested, reconcile, registry, relations, rules, vex
 from corroborate.plans.carriers import spark_view
 from corroborate.sources import image
 
@@ -352,4 +352,60 @@ def export_dependency_errors(rel_claims):
     return export.dependency_errors(refs.filter("ref not like '%4'"), relations.dependency_rows(refs.filter("ref not like '%5'"), rel_claims.filter("src not like '%5'")))
 
 
+@query
+def candidate_identifiers(typed):
+    none = F.lit(None).cast("string")
+    listed = [("PURL", "purl", none), ("SYNTHETIC_URN", "urn", none), ("COMPONENT_ROLE", "role", none), ("PROVENANCE", "provenance", none), ("OBSERVED_HASH", "digest", F.col("algorithm"))]
+    rows = typed.select("candidate_id", F.array(*(F.struct(F.lit(t).alias("type"), F.col(c).alias("value"), a.alias("algorithm")) for t, c, a in listed)).alias("typed"))
+    return joined(binding.split_identifiers(rows), "identifiers", "roles", "provenances", "hashes")
+
+
+@query
+def comparison_keys(named):
+    return binding.comparison_keys(named.withColumnRenamed("ref", "purl")).select("id", "logical_key")
+
+
+@query
+def timestamp_violations(releases):
+    return binding.timestamp_violations(releases)
+
+
+@query
+def document_mismatches(releases, release_evidence):
+    return binding.mismatches(releases, release_evidence, "release_id", ["product", "build_id"])
+
+
+@query
+def layer_budget(layers):
+    return binding.layer_budget(layers, 600, 15_000)
+
+
+@query
+def arm_coverage(card_claims, arm_cards):
+    return binding.arm_coverage(card_claims, arm_cards)
+
+
+@query
+def field_claims(records):
+    sources = cluster.population(records).select("population_id", F.explode("sources").alias("s")).select("population_id", "s.lane_id", "s.component_id")
+    return joined(binding.field_claims(sources, evidence.claims(records, ["producer", "name", "version"])), "claim_ids")
+
+
+@query
+def decision_set_hash(hits, vex):
+    decisions = _vex.narrow(hits, vex)
+    return binding.ordered_hash(decisions.select("hit_id", "narrowed", "reason", F.col("hit_id").alias("position")), "position", ["narrowed", "reason"])
+
+
+@query
+def status_guard(served):
+    return binding.status_violations(served, ["status", "note"])
+
+
+@query
+def namespace_rules(profiles):
+    rows = profiles.filter("logical_key is not null").select(F.col("logical_key").alias("profile_id"), "profile_kind", F.lit("n").alias("namespace"))
+    return binding.namespaces(rows)
+
+
 _vex, _nested = vex, nested

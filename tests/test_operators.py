@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import cluster, components, evidence, export, nested, reconcile, relations, rules, vex
+from corroborate.operators import binding, cluster, components, evidence, export, nested, reconcile, relations, rules, vex
 from corroborate.sources import documents, files
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
@@ -238,3 +238,17 @@ def test_attestation(spark):
     row = spark.createDataFrame([("ab", 1)], "h string, n int").select(export.attestation("x.json", F.col("h"), "https://example.invalid/p", F.struct("n")))
     got = json.loads(row.first()[0])
     assert got["subject"] == [{"digest": {"sha256": "ab"}, "name": "x.json"}] and got["predicate"] == {"n": 1}
+
+
+def test_ordered_hash_is_bound_to_the_order(spark):
+    rows = spark.createDataFrame([(n, f"v{n % 3}") for n in range(40)], "p long, v string")
+    whole = binding.ordered_hash(rows, "p", ["v"]).first()[0]
+    assert binding.ordered_hash(rows.repartition(7), "p", ["v"]).first()[0] == whole
+    swapped = rows.withColumn("p", F.when(F.col("p") == 0, 1).when(F.col("p") == 1, 0).otherwise(F.col("p")))
+    assert binding.ordered_hash(swapped, "p", ["v"]).first()[0] != whole
+
+
+def test_root_and_limitations(spark):
+    rows = spark.createDataFrame([("p1", "acme", "prod", "1", ["ROOT_PRODUCT"], []), ("p2", "acme", "lib", "1", ["LIBRARY"], ["supplier_hash_algorithm"])], "population_id string, producer string, name string, version string, roles array<string>, nonblocking_unknown_fields array<string>")
+    assert [r.population_id for r in binding.root_of(rows, {"producer": "acme", "name": "prod", "version": "1"}).collect()] == ["p1"]
+    assert [r.population_id for r in binding.limitations(rows).collect()] == ["p2"]
