@@ -40,3 +40,49 @@ def issuer_violations(issuers: DataFrame) -> DataFrame:
         "admitted": ~admitted | (key.isNotNull() & is_relative_path(path) & is_relative_path(receipt)), "not_admitted": admitted | (key.isNull() & path.isNull() & receipt.isNull()),
     }
     return violations(issuers, "issuer_id", rules).union(repeated(issuers, "issuer_id"))
+
+
+#: Fixed values of sources.
+ADMITTED = {
+    "ADMITTED_FOR_INTERNAL_DEVELOPMENT": "internal_development_allowed", "ADMITTED_FOR_EVALUATION": "evaluation_allowed",
+    "ADMITTED_FOR_TRAINING": "training_allowed", "ADMITTED_FOR_PUBLIC_REGRESSION": "evaluation_allowed",
+}
+PURPOSES = ("internal_development_allowed", "evaluation_allowed", "training_allowed")
+USES = (*PURPOSES, "fixture_distribution_allowed", "raw_redistribution_allowed", "adapter_distribution_allowed", "weight_distribution_allowed", "shipping_examples_allowed")
+FLOATING = ("main", "master", "head", "latest", "stable")
+
+
+def source_violations(sources: DataFrame) -> DataFrame:
+    """(dataset_id, rule) of sources whose pin floats or whose admission, rights, use and split do not agree.
+
+    Columns: dataset_id, root_id, ref_type, ref_name, resolved_commit, tag_object, archive_sha256,
+    evidence_sha256 (array, null where a hash is missing), scopes (array of training_allowed,
+    raw_redistribution_allowed), admission_status, split, acquisition_status, rights_status, usage_status,
+    release_status, rights_decision_sha256, acquisition_allowed, the columns of USES, max_files, max_total_bytes.
+    """
+    admission, acquired, ref = F.col("admission_status"), F.col("acquisition_status"), F.lower("ref_name")
+    admitted, reviewed = admission.isin(*ADMITTED), F.col("rights_status") == "RIGHTS_REVIEWED"
+    used = F.lit(False)
+    for use in USES:
+        used = used | F.col(use)
+    whole = ~F.exists("evidence_sha256", lambda h: h.isNull())
+    own = F.lit(False)
+    for name, purpose in ADMITTED.items():
+        own = own | (admission == name) & F.col(purpose) & (F.col("usage_status") == name)
+    one = sum((F.col(p).cast("int") for p in PURPOSES), F.lit(0)) == 1
+    decided = F.col("rights_decision_sha256").isNotNull()
+    rules = {
+        "dataset_id": is_safe_id(F.col("dataset_id")), "resolved_commit": fully(F.col("resolved_commit"), "[0-9a-f]{40}"),
+        "root_id": F.col("root_id") == F.concat_ws("@", "dataset_id", "resolved_commit"), "floating": ~(ref.isin(*FLOATING) | ref.startswith("refs/heads/")),
+        "tag": (F.col("ref_type") == "annotated_tag") & F.col("tag_object").isNotNull() | (F.col("ref_type") == "commit") & F.col("tag_object").isNull(),
+        "pending": (admission != "REGISTERED_PENDING_REVIEW") | (acquired == "REGISTERED_PENDING_ACQUISITION"),
+        "quarantine": (admission != "QUARANTINE_ACQUIRED") | acquired.isin("ACQUIRED_UNSEALED", "FROZEN_VERIFIED_TECHNICAL"),
+        "frozen": (acquired != "FROZEN_VERIFIED_TECHNICAL") | (F.col("archive_sha256").isNotNull() & whole), "rejected": (admission != "REJECT") | ~(F.col("acquisition_allowed") | used),
+        "use_needs_rights": ~used | (whole & reviewed & decided), "rights_need_decision": ~reviewed | decided, "admission_needs_rights": ~(admitted | (admission == "RIGHTS_REVIEWED")) | reviewed,
+        "use_needs_admission": ~used | admitted, "usage_status": admitted | (F.col("usage_status") == "NOT_ADMITTED"), "purpose": ~admitted | own & one,
+        "regression_split": (admission != "ADMITTED_FOR_PUBLIC_REGRESSION") | (F.col("split") == "PUBLIC_REGRESSION"), "release": admitted | (F.col("release_status") == "NOT_APPROVED"),
+        "training": ~F.col("training_allowed") | (F.col("split") == "TRAIN") & ~F.exists("scopes", lambda s: ~s["training_allowed"]),
+        "redistribution": ~F.col("raw_redistribution_allowed") | ~F.exists("scopes", lambda s: ~s["raw_redistribution_allowed"]),
+        "limits": F.col("max_files").between(1, 1_000_000) & F.col("max_total_bytes").between(1, 20_000_000_000),
+    }
+    return violations(sources, "dataset_id", rules).union(repeated(sources, "dataset_id"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import binding, cluster, components, evidence, export, nested, reconcile, relations, rules, vex
+from corroborate.operators import binding, cluster, components, evidence, export, nested, reconcile, registry, relations, rules, vex
 from corroborate.sources import documents, files
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
@@ -252,3 +252,28 @@ def test_root_and_limitations(spark):
     rows = spark.createDataFrame([("p1", "acme", "prod", "1", ["ROOT_PRODUCT"], []), ("p2", "acme", "lib", "1", ["LIBRARY"], ["supplier_hash_algorithm"])], "population_id string, producer string, name string, version string, roles array<string>, nonblocking_unknown_fields array<string>")
     assert [r.population_id for r in binding.root_of(rows, {"producer": "acme", "name": "prod", "version": "1"}).collect()] == ["p1"]
     assert [r.population_id for r in binding.limitations(rows).collect()] == ["p2"]
+
+
+FINE = {
+    "dataset_id": "d", "root_id": "d@" + "a" * 40, "ref_type": "commit", "ref_name": "v1", "resolved_commit": "a" * 40, "tag_object": None, "archive_sha256": "b" * 64, "evidence_sha256": ["c" * 64],
+    "scopes": [(True, True)], "admission_status": "ADMITTED_FOR_TRAINING", "split": "TRAIN", "acquisition_status": "FROZEN_VERIFIED_TECHNICAL", "rights_status": "RIGHTS_REVIEWED",
+    "usage_status": "ADMITTED_FOR_TRAINING", "release_status": "NOT_APPROVED", "rights_decision_sha256": "e" * 64, "acquisition_allowed": True, "internal_development_allowed": False,
+    "evaluation_allowed": False, "training_allowed": True, "fixture_distribution_allowed": False, "raw_redistribution_allowed": False, "adapter_distribution_allowed": False,
+    "weight_distribution_allowed": False, "shipping_examples_allowed": False, "max_files": 10, "max_total_bytes": 10,
+}
+BROKEN = [
+    ({"ref_name": "Main"}, {"floating"}), ({"root_id": "x"}, {"root_id"}), ({"tag_object": "f" * 40}, {"tag"}), ({"archive_sha256": None}, {"frozen"}), ({"evidence_sha256": [None]}, {"frozen", "use_needs_rights"}),
+    ({"split": "DEV"}, {"training"}), ({"scopes": [(False, True)]}, {"training"}), ({"evaluation_allowed": True}, {"purpose"}), ({"max_files": 0}, {"limits"}), ({"rights_decision_sha256": None}, {"use_needs_rights", "rights_need_decision"}),
+    ({"admission_status": "REJECT"}, {"rejected", "use_needs_admission", "usage_status"}), ({"raw_redistribution_allowed": True, "scopes": [(True, False)]}, {"redistribution"}), ({}, set()),
+]
+
+
+def test_source_registry_mutations(spark):
+    booleans = [k for k, v in FINE.items() if isinstance(v, bool)]
+    kinds = {k: "boolean" for k in booleans} | {"evidence_sha256": "array<string>", "scopes": "array<struct<training_allowed: boolean, raw_redistribution_allowed: boolean>>", "max_files": "int", "max_total_bytes": "long"}
+    schema = ", ".join(f"{k} {kinds.get(k, 'string')}" for k in FINE)
+    rows = [FINE | {"dataset_id": f"d{n}", "root_id": f"d{n}@" + "a" * 40} | change for n, (change, _) in enumerate(BROKEN)]
+    got = {}
+    for r in registry.source_violations(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect():
+        got.setdefault(r.dataset_id, set()).add(r.rule)
+    assert got == {f"d{n}": rules for n, (_, rules) in enumerate(BROKEN) if rules}
