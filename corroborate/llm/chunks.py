@@ -7,15 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from corroborate.llm.bpe import slices
-from corroborate.llm.common import table
-from corroborate.llm.spans import cut, keyed
+from corroborate.llm.common import shuffle_parts, table
+from corroborate.llm.spans import cut, keyed, on_tuples
 
 #: Bytes that decide on a cut (the gear hash has as many bits), the least and the greatest chunk, and one cut in so many bytes.
-WINDOW, LEAST, MOST, ONE_IN = 32, 32, 1024, 32
+WINDOW, LEAST, MOST, ONE_IN = 32, 32, 1024, 16
 #: Shorter runs of repeated chunks stay: a stock phrase is no repeated passage.
 LEAST_RUN = 64
 
@@ -57,41 +56,67 @@ def chunks_of(data: bytes) -> list[int]:
     if not data:
         return []
     h = gear(np.frombuffer(data, dtype=np.uint8))
-    cuts = np.flatnonzero(h[WINDOW - 1 :] >> np.uint32(27) == 0) + WINDOW  # the top five bits: one in 32
+    cuts = np.flatnonzero(h[WINDOW - 1 :] < (1 << WINDOW) // ONE_IN) + WINDOW  # the highest bits have seen the whole window
     return chunk_ends(cuts, len(data))
 
 
-def chunked(texts: DataFrame) -> DataFrame:
-    """(doc, th, digest, start, end) of every chunk of ``texts`` (as keyed); empty texts have none."""
+#: A span is start * 2^31 + end. Less than zero (its complement): the chunk is known to stand earlier, too.
+_ROWS = "hi lo doc th span"
+#: Chunks that a task holds to find repeats among its own documents.
+HELD = 300_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            at, digests, starts, ends = [], [], [], []
-            for n, text in enumerate(batch.column(2).to_pylist()):
-                data = text.encode("utf-8")
-                own = chunks_of(data)
-                begin = [0, *own[:-1]] if own else []
-                digests += [xxh3_128_digest(data[s:e]) for s, e in zip(begin, own, strict=True)]
-                at += [n] * len(own)
-                starts += begin
-                ends += own
-            rows = pa.array(at, pa.int64())
-            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(digests, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "th", "digest", "start", "end"])
 
-    return texts.select("doc", "th", "text").mapInArrow(run, "doc long, th long, digest binary, start long, end long")
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(hi, lo, doc, th, span) of every chunk of (doc, th, text), hi and lo being its digest.
 
+    Of one digest only the earliest that this task holds goes on as it is, so a passage that
+    a third of all documents have sends a few rows per task to where its copies meet.
+    """
+    held: dict[bytes, tuple[int, int, int]] = {}
+
+    def row(digest: bytes, doc: int, th: int, span: int) -> tuple:
+        return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), doc, th, span
+
+    for batch in slices(batches, 2):
+        for doc, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data, start = text.encode("utf-8"), 0
+            for end in chunks_of(data):
+                digest, span = xxh3_128_digest(data[start:end]), start << 31 | end
+                was = held.get(digest)
+                if was is None:
+                    held[digest] = doc, th, span
+                elif (was[0], was[2] >> 31) < (doc, start):
+                    yield doc, start, doc, th, ~span
+                elif (doc, start) < (was[0], was[2] >> 31):
+                    held[digest] = doc, th, span
+                    yield was[0], was[2], was[0], was[1], ~was[2]
+                else:  # another text of the same doc_id
+                    yield row(digest, doc, th, span)
+                start = end
+        if len(held) > HELD:
+            yield from (row(k, *v) for k, v in held.items())
+            held = {}
+    yield from (row(k, *v) for k, v in held.items())
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc, th, start, end) of chunks that stand earlier, too, from a part sorted by digest, doc and span."""
+    digest, first = None, (0, 0)
+    for batch in batches:
+        for hi, lo, doc, th, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if span < 0:
+                yield doc, th, ~span >> 31, ~span & 0x7FFFFFFF
+            elif (hi, lo) != digest:
+                digest, first = (hi, lo), (doc, span >> 31)
+            elif first < (doc, span >> 31):
+                yield doc, th, span >> 31, span & 0x7FFFFFFF
 
-def repeats(texts: DataFrame) -> DataFrame:
-    """(doc, th, start, end) of every chunk that also stands earlier (lesser doc_id, or same doc_id and lesser start).
 
-    Copies are counted in the map tasks first; the join that finds them again is split by
-    Spark where one digest has a large share of all chunks.
-    """
-    found = chunked(texts)
-    first = found.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = (F.col("doc") > F.col("first.doc")) | (F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start"))
-    return found.join(first, "digest").filter(later).select("doc", "th", "start", "end")
+def repeats(texts: DataFrame) -> DataFrame:
+    """(doc, th, start, end) of every chunk of ``texts`` (as keyed) that also stands earlier (lesser doc_id, or same doc_id and lesser start)."""
+    found = texts.select("doc", "th", "text").mapInArrow(on_tuples(_chunked, _ROWS), ", ".join(f"{n} long" for n in _ROWS.split()))
+    met = found.repartition(shuffle_parts(texts.sparkSession), "hi", "lo").sortWithinPartitions("hi", "lo", "doc", "span")
+    return met.mapInArrow(on_tuples(_later, "doc th start end"), "doc long, th long, start long, end long")
 
 
 def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:

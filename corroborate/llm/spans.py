@@ -68,3 +68,25 @@ def cut(texts: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
 
     both = texts.join(gathered(spans), ["doc", "th"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string")
+
+
+def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Tuples of longs as batches."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
+
+
+def on_tuples(run, names: str):
+    """``run``, which yields tuples of longs, as a function from batches to batches."""
+    names = names.split()
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(run(batches), names)
+
+    return batched

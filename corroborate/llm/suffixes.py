@@ -26,7 +26,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from corroborate.llm.bpe import slices
 from corroborate.llm.common import checkpointed, shuffle_parts, table
-from corroborate.llm.spans import cut, keyed
+from corroborate.llm.spans import cut, keyed, on_tuples
 
 #: Length of a repeat, and of the k-gram whose least hash makes a window's sample.
 LENGTH, GRAM = 100, 28
@@ -107,18 +107,6 @@ def _start(place: int) -> int:
     return place >> 31
 
 
-def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Tuples of longs as batches."""
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
-
-
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(gram, context, doc, place) of each run of windows of (doc, th, text) that share a sample.
 
@@ -153,7 +141,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     yield from ((*k, *v) for k, v in held.items())
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _buckets(batches: Iterator[pa.RecordBatch], held: int = CONTEXTS_HELD) -> Iterator[tuple]:
     """(gram, doc, place, kind) from a part sorted by gram, doc and place, bucket by bucket.
 
     WHOLE: all windows of the place start earlier, too. RIM: the first place of a context in
@@ -181,7 +169,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             if first is None and not wide:
                 firsts[context] = own
             rims.append((doc, place))
-            if len(rims) > CONTEXTS_HELD:
+            if len(rims) > held:
                 wide = True
                 yield from closed()
                 rims = []
@@ -202,15 +190,6 @@ def _rim_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                     yield doc, th, start + at, start + at
 
 
-def _on_tuples(run, names: str):
-    names = names.split()
-
-    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batched(run(batches), names)
-
-    return batched
-
-
 def _parts(place: str) -> list:
     p = F.col(place)
     start, spread = F.shiftright(p, 31), F.shiftright(p, 24).bitwiseAND(F.lit(127))
@@ -249,7 +228,7 @@ def _named_windows(contexts: DataFrame) -> DataFrame:
                     yield int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), doc, place & 0xFFFFFF, _start(place) + at
 
     names = "name name2 doc th start"
-    return contexts.select("doc", "place", "context").mapInArrow(_on_tuples(run, names), ", ".join(f"{n} long" for n in names.split()))
+    return contexts.select("doc", "place", "context").mapInArrow(on_tuples(run, names), ", ".join(f"{n} long" for n in names.split()))
 
 
 def repeats(texts: DataFrame, by_key: DataFrame) -> DataFrame:
@@ -258,13 +237,13 @@ def repeats(texts: DataFrame, by_key: DataFrame) -> DataFrame:
     ``by_key``: the same texts, partitioned by doc and th.
     """
     parts = shuffle_parts(texts.sparkSession)
-    sampled = texts.select("doc", "th", "text").mapInArrow(_on_tuples(_sampled, "gram context doc place"), _ROWS)
+    sampled = texts.select("doc", "th", "text").mapInArrow(on_tuples(_sampled, "gram context doc place"), _ROWS)
     buckets = sampled.repartition(parts, "gram").sortWithinPartitions("gram", "doc", "place")
-    found = checkpointed(buckets.mapInArrow(_on_tuples(_buckets, "gram doc place kind"), "gram long, doc long, place long, kind long"))
+    found = checkpointed(buckets.mapInArrow(on_tuples(_buckets, "gram doc place kind"), "gram long, doc long, place long, kind long"))
     whole = found.filter(F.col("kind") == WHOLE).select("doc", *_parts("place"))
 
     rims = _contexts(by_key, found.filter(F.col("kind") == RIM)).repartition(parts, "gram").sortWithinPartitions("gram", "doc", "place")
-    rest = rims.mapInArrow(_on_tuples(_rim_windows, "doc th start last"), "doc long, th long, start long, last long")
+    rest = rims.mapInArrow(on_tuples(_rim_windows, "doc th start last"), "doc long, th long, start long, last long")
 
     # Buckets with too many contexts for one task: their windows meet by name.
     windows = _named_windows(_contexts(by_key, found.filter(F.col("kind") == WIDE)))
