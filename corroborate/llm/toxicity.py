@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.ml.classification import LogisticRegression
@@ -226,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
             posterior = spark.createDataFrame([(p, model.posterior(p)) for p, _ in patterns], "votes string, p double")
             both = seen.join(F.broadcast(posterior), "votes").select(_vector("numbers").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y"))
             data = both.select("features", "y.label", "y.weight").filter("weight > 0.001").persist()
-            fitted = LogisticRegression(weightCol="weight", regParam=2e-3, maxIter=40, standardization=False).fit(data)
+            fitted = LogisticRegression(weightCol="weight", regParam=2e-4, maxIter=80, standardization=False).fit(data)
             data.unpersist()
         finally:
             seen.unpersist()
@@ -259,14 +260,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns (a pipeline stage)."""
     classifier = fit(docs, labels)
-    columns = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, columns.index("text")):
-            texts = batch.column(columns.index("text")).to_pylist()
-            yield batch.filter(pa.array([classifier.score(t or "") < 0.5 for t in texts], pa.bool_()))
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(classifier.score)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score(body()) < 0.5)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
