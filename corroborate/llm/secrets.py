@@ -51,6 +51,10 @@ def _spans(text: Column, pattern: str, group: int, kind: int) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
+def _long_enough(spans: Column, least: int) -> Column:
+    return F.filter(spans, lambda s: F.length(s["value"]) >= least)  # a second parameter of the lambda would be the index
+
+
 def _digested(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value")))
 
@@ -60,7 +64,7 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
     text = F.col("__text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), body().alias("__text"))
     for kind, (name, (pattern, group, least)) in enumerate(BASE.items()):
-        rows = rows.withColumn(name, F.filter(_spans(text, pattern, group, kind), lambda s, n=least: F.length(s["value"]) >= n))
+        rows = rows.withColumn(name, _long_enough(_spans(text, pattern, group, kind), least))
     extra = F.filter(_spans(text, EXTRA[1], 0, len(BASE)), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     rows = rows.withColumn("extra", F.when(text.rlike("[0-9]"), extra).otherwise(F.array().cast(_SPAN)))
     rows = rows.withColumn("base", F.array_sort(F.concat(*BASE)))
