@@ -167,3 +167,11 @@ oracle("field_claims", "records", """SELECT population_id, field, string_agg(cla
 FROM population p JOIN all_claims c ON list_contains(string_split(p.members, ','), c.lane_id || '/' || c.component_id)) GROUP BY ALL""", _POPULATION + _CLAIMS)
 oracle("status_guard", "served", "SELECT run_id, 'classification' AS rule FROM served WHERE classification = 'REAL' UNION ALL SELECT run_id, 'APPROVED' FROM served WHERE status LIKE 'App%' UNION ALL SELECT run_id, 'CERTIFIED' FROM served WHERE note = 'certified'")
 oracle("namespace_rules", "profiles", "SELECT unnest(['profile_id', 'profile_kind']) AS problem")
+_UUID = lambda d: f"substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-5' || substr({d}, 14, 3) || '-' || substr('89ab', CAST('0x' || substr({d}, 17, 1) AS INT) % 4 + 1, 1) || substr({d}, 18, 3) || '-' || substr({d}, 21, 12)"
+_NAMESPACE = r"'\x6B\xA7\xB8\x11\x9D\xAD\x11\xD1\x80\xB4\x00\xC0\x4F\xD4\x30\xC8'::BLOB"
+oracle("uuid_names", "named", f"SELECT id, {_UUID('d')} AS uuid FROM (SELECT id, sha1({_NAMESPACE} || encode(ref)) AS d FROM named)")
+oracle("cyclonedx_lines", "records", f"""SELECT population_id, '{{"bom-ref":"urn:uuid:' || {_UUID('d')} || '","hashes":[' || array_to_string(list_transform(hashes, lambda h: '{{"alg":"' || split_part(h, ':', 1) || '","content":"' || split_part(h, ':', 2) || '"}}'), ',') || '],"name":"' || name
+|| CASE WHEN len(identifiers) = 0 THEN '' ELSE '","purl":"' || list_min(list_filter(identifiers, lambda i: starts_with(i, 'pkg:'))) END || '","type":"library","version":"' || version || '"}}' AS line FROM (SELECT *, sha1({_NAMESPACE} || encode('run-1:' || population_id)) AS d FROM population)""", _POPULATION)
+_SUM = lambda at: f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS HUGEINT)) AS VARCHAR)"
+oracle("decision_set_hash", "hits vex", f"""SELECT sha256(count(*) || ':' || {_SUM(1)} || ':' || {_SUM(16)} || ':' || {_SUM(31)} || ':' || {_SUM(46)}) AS ordered_sha256 FROM (
+SELECT sha256('{{"at":"' || hit_id || '","narrowed":' || CASE WHEN narrowed THEN 'true' ELSE 'false' END || ',"reason":' || coalesce('"' || reason || '"', 'null') || '}}') AS h FROM decided)""", _NARROW)
