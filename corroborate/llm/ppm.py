@@ -1,8 +1,9 @@
 """LM scoring (operator 5) by prediction by partial matching.
 
-The model is a trie of byte contexts with counts of the bytes that followed. It is
-held as tables, one for each length of context, that Spark builds from counts of
-the longest byte grams. A byte that its context never saw is coded by an escape
+The model is a trie of byte contexts with counts of the bytes that followed. Spark
+counts the longest byte grams; grams that share their last two bytes of context meet
+in one part, which holds the branch of the trie above them and gives each gram the
+probability of its last byte. A byte that its context never saw is coded by an escape
 to the next shorter context, where the bytes of the longer one are excluded; below
 the empty context all bytes are alike. Of each distinct byte that a context saw,
 half a count goes to its escape.

@@ -241,6 +241,11 @@ def test_templates_both_joins_agree(spark, monkeypatch):
     assert contaminated(spark, texts) == small == {(0, 1), (1, 2)}
 
 
+def test_templates_of_long_rows(spark):
+    long = "1,2.5," * 30_000 + ITEMS[1][1] + " word" * 20_000 + " " + "9" * 50_000 + " " + "A b, " * 20_000
+    assert contaminated(spark, [long]) == {(0, 2)}
+
+
 def test_clean_stage(spark, docs, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert templates.clean(docs, items).count() == docs.count() and templates.clean(docs, items.limit(0)).count() == docs.count()
