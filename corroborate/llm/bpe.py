@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from corroborate.llm.common import body, table
 
-#: A word's ids, the same joined by commas, and the bytes that they decode to.
-Word = tuple[tuple[int, ...], str, bytes]
+#: A word's ids, the same joined by commas, and the text that they decode to.
+Word = tuple[tuple[int, ...], str, str]
 #: Beyond every id: a pair is left * WIDE + right. END follows each word and is in no rule; GONE marks what a merge took.
 WIDE, END, GONE = 1 << 20, (1 << 20) - 1, -1
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-WORDS_KEPT = 200_000
+#: Words whose ids a worker remembers (some 400 bytes each); beyond it only those met lately stay. A job of
+#: several stages, whose workers hold other things, too, remembers fewer.
+WORDS_KEPT, WORDS_KEPT_IN_STAGES = 600_000, 200_000
 #: Longer runs (no space for thousands of characters) are encoded but not remembered.
 LONGEST_KEPT = 256
 
@@ -57,9 +58,15 @@ class ByteBpe:
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         #: By rank: left symbol, right symbol, the symbol that takes their place.
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
-        self.rank_of = {a * WIDE + b: rank for rank, (a, b, _) in enumerate(self.rules)}
-        self.pairs = np.array(sorted(self.rank_of), dtype=np.int64)
-        self.pair_ranks = np.array([self.rank_of[p] for p in self.pairs.tolist()], dtype=np.int64)
+        #: Ranks by right symbol for each left one, and by left symbol for each right one.
+        self.followed: dict[int, dict[int, int]] = {}
+        self.preceded: dict[int, dict[int, int]] = {}
+        for rank, (a, b, _) in enumerate(self.rules):
+            self.followed.setdefault(a, {})[b] = rank
+            self.preceded.setdefault(b, {})[a] = rank
+        codes = np.array([a * WIDE + b for a, b, _ in self.rules], dtype=np.int64)
+        self.pair_ranks = np.argsort(codes)
+        self.pairs = codes[self.pair_ranks]
         self.symbol_of_byte = np.array([*self.id_of_byte[:255], END], dtype=np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(public_tokenizers.PATTERN)
@@ -85,34 +92,31 @@ class ByteBpe:
         symbols = first.tolist()
         after = list(range(1, len(symbols) + 1))
         before = list(range(-1, len(symbols) - 1))
-        rank_of, rules, push, pop = self.rank_of, self.rules, heapq.heappush, heapq.heappop
+        rules, push, pop = self.rules, heapq.heappush, heapq.heappop
         while active:
             rank = pop(active)
             left_symbol, right_symbol, merged = rules[rank]
+            with_right, with_left = self.followed.get(merged), self.preceded.get(merged)  # most symbols are in no further rule
             spots = places.pop(rank)
-            for spot in sorted(spots) if len(spots) > 1 else spots:
+            for spot in sorted(spots) if left_symbol == right_symbol else spots:  # only aaa depends on the order
                 right = after[spot]
                 if symbols[spot] != left_symbol or symbols[right] != right_symbol:
                     continue  # another merge took one of the two
                 symbols[spot], symbols[right] = merged, GONE
                 after[spot] = far = after[right]
                 before[far] = spot
-                made = rank_of.get(merged * WIDE + symbols[far])
-                if made is not None:
+                if with_right is not None and (made := with_right.get(symbols[far])) is not None:
                     if made in places:
                         places[made].append(spot)
                     else:
                         places[made] = [spot]
                         push(active, made)
-                left = before[spot]
-                if left >= 0:
-                    made = rank_of.get(symbols[left] * WIDE + merged)
-                    if made is not None:
-                        if made in places:
-                            places[made].append(left)
-                        else:
-                            places[made] = [left]
-                            push(active, made)
+                if with_left is not None and (left := before[spot]) >= 0 and (made := with_left.get(symbols[left])) is not None:
+                    if made in places:
+                        places[made].append(left)
+                    else:
+                        places[made] = [left]
+                        push(active, made)
         out, n = [], 0
         flat = [x for x in symbols if x != GONE]
         for _ in words:
@@ -130,24 +134,25 @@ class ByteBpe:
             out += [self.special[part]] if part in self.special else self.words.findall(part)
         return out
 
-    def _word(self, ids: list[int]) -> Word:
-        return tuple(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+    def _word(self, word: str, ids: list[int]) -> Word:
+        decoded = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
+        return tuple(ids), ",".join(map(str, ids)), word if decoded == word else decoded  # one string less to hold
 
-    def encode_all(self, texts: list[str]) -> Iterator[list[Word]]:
+    def encode_all(self, texts: list[str], kept: int = WORDS_KEPT) -> Iterator[list[Word]]:
         """The encoded words of each text."""
         pieces = [self.pieces(t) for t in texts]
         known, older = self.known, self.older
-        if len(known) > WORDS_KEPT // 2:  # what has been met lately stays
+        if len(known) > kept // 2:  # what has been met lately stays
             known, older = self.known, self.older = {}, known
         new = []
         for p in set().union(*pieces).difference(known):
             if isinstance(p, int):
-                known[p] = self._word([p])
+                known[p] = self._word("", [p])
             elif p in older:
                 known[p] = older[p]
             else:
                 new.append(p)
-        known.update(zip(new, map(self._word, self.encode_words(new)), strict=True))
+        known.update(zip(new, map(self._word, new, self.encode_words(new)), strict=True))
         for ps in pieces:
             yield [known[p] for p in ps]
         for p in new:
@@ -160,8 +165,8 @@ class ByteBpe:
 
     @staticmethod
     def decode(words: list[Word]) -> str:
-        """The ids' bytes, kept with each word, as text."""
-        return b"".join([word[2] for word in words]).decode("utf-8", "replace")
+        """The text of the ids; words hold whole characters, so theirs can be joined."""
+        return "".join([word[2] for word in words])
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -214,7 +219,7 @@ def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Da
         for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             ids, same = [], []
-            for text, words in zip(texts, bpe.encode_all(texts), strict=True):
+            for text, words in zip(texts, bpe.encode_all(texts, WORDS_KEPT_IN_STAGES), strict=True):
                 ids.append(bpe.ids(words))
                 same.append(bpe.decode(words) == text)
             columns = [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)]
