@@ -348,6 +348,58 @@ def test_near_dedup_stage(docs, rows, none):
     assert simhash.keep_one(none).isEmpty()
 
 
+def jaccard_groups(texts, words=5, least=0.8):
+    """Brute force: the root (least number) of each text's group."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared and shared / (len(sets[a]) + len(sets[b]) - shared) >= least:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return [find(n) for n in range(len(texts))]
+
+
+def test_near_dedup_finds_every_pair_of_large_groups(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    base, shared, close = text(200), text(60), text(120)
+    texts = []
+    for _ in range(400):  # near 0.73 of one another
+        words = list(base)
+        for at in rng.integers(0, 200, 3):
+            words[at] = f"v{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(text(25) + shared + text(25)) for _ in range(60)]  # one passage, no pair
+    for n in range(60):  # one edit each, and rows of equal sets
+        words = list(close)
+        words[n] = "edited"
+        texts += [" ".join(words)] * (1 + n % 3)
+    for _ in range(60):  # 16 against 13 shingles: 0.8125
+        words = text(20)
+        texts += [" ".join(words), " ".join(words[:17])]
+    want = [n for n, r in enumerate(jaccard_groups(texts)) if n == r]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_near_dedup_keeps_what_is_not_similar(spark):
+    words = [f"w{n}" for n in range(104)]
+    texts = [" ".join(words), " ".join([*words[:92], *(f"x{n}" for n in range(12))])]  # 88 of 112 shingles: 0.786
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 2
+
+
 # 9 sharding
 
 
