@@ -28,7 +28,7 @@ from corroborate.llm.bpe import slices
 from corroborate.llm.common import body, checkpointed, shuffle_parts, table
 
 #: Bytes of context. Up to 6 fit a key.
-ORDER = 4
+ORDER = 5
 #: No UTF-8 text has these bytes: the end of a text, which is coded, too, and what precedes its first byte.
 END, PAD = 0xFE, 0xFF
 #: What can follow any context: the bytes of UTF-8 below END, and END.

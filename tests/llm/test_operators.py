@@ -202,6 +202,11 @@ def test_ppm_without_training(docs, none):
     assert ppm.score_texts(none, F.lit(False)).isEmpty()
 
 
+def test_ppm_scores_with_five_bytes(docs):
+    some, every = docs.filter("doc_id < 12"), F.lit(True)
+    assert pairs(ppm.score_texts(some, every), "doc_id", "score") == pairs(ppm.score_texts(some, every, 5), "doc_id", "score")
+
+
 # 6 decontamination
 
 ITEMS = [
