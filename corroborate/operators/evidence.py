@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import UNKNOWN, canonical_json, stable_id
+from corroborate.operators.hashing import sorted_sha256
 
 #: Claims on one conflict card at most: the first by id.
 CARD_CLAIMS = 64
@@ -39,11 +40,11 @@ def exact_set_hash(files: DataFrame, root_id: str, buckets: int = 256) -> DataFr
     """One row: a hash of the set of files, whatever their order.
 
     Files are hashed in ``buckets`` by the first byte of their path's digest, each sorted by
-    path, and the buckets' hashes once more, so no task or row holds the whole list.
+    path and read as a stream, and the buckets' hashes once more, so no row holds a list that grows.
     """
     entry = canonical_json(F.col("executable"), F.col("path").alias("relative_path"), F.col("sha256"), F.col("size"))
-    rows = files.select(F.pmod(F.conv(F.substring(F.sha2("path", 256), 1, 2), 16, 10).cast("int"), F.lit(buckets)).alias("bucket"), "path", F.sha2(entry, 256).alias("h"))
-    each = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda s: s["h"]), ","), 256).alias("h"))
+    rows = files.select(F.pmod(F.conv(F.substring(F.sha2("path", 256), 1, 2), 16, 10).cast("int"), F.lit(buckets)).alias("key"), "path", F.sha2(entry, 256).alias("line"))
+    each = sorted_sha256(rows, ["path"]).withColumnRenamed("key", "bucket")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda s: s["h"]), ",")
     return each.agg(F.sha2(F.concat(F.lit(root_id + "\n"), listed), 256).alias("exact_set_sha256"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import canonical_json, purl_canonical
+from corroborate.operators.hashing import sorted_sha256
 
 #: What a statement may say.
 STATUSES = ("not_affected", "affected", "fixed", "unknown")
@@ -64,6 +65,9 @@ def absent_purls(hits: DataFrame, components: DataFrame) -> DataFrame:
 
 def intake_receipt(statements: DataFrame) -> DataFrame:
     """One row: statements, those that may narrow, and a hash of the set in the order of vulnerability, packages and id."""
-    row = F.struct("vulnerability_id", F.array_join("purls", "|").alias("joined"), "statement_id", "status")
-    body = F.transform(F.array_sort(F.collect_list(row)), lambda s: F.struct(s["joined"].alias("purls"), s["status"].alias("status"), s["vulnerability_id"].alias("vulnerability_id")))
-    return statements.agg(F.count(F.lit(1)).alias("statements"), F.count_if(F.col("status") == "not_affected").alias("eligible"), F.sha2(canonical_json(body.alias("statements")), 256).alias("set_sha256"))
+    line = canonical_json(F.col("joined").alias("purls"), F.col("status"), F.col("vulnerability_id"))
+    rows = statements.select(F.lit(0).alias("key"), "vulnerability_id", F.array_join("purls", "|").alias("joined"), "statement_id", "status").withColumn("line", line)
+    hashed = sorted_sha256(rows, ["vulnerability_id", "joined", "statement_id", "status"], '{"statements":[', "]}")
+    counts = statements.agg(F.count(F.lit(1)).alias("statements"), F.count_if(F.col("status") == "not_affected").alias("eligible"))
+    none = F.sha2(F.lit('{"statements":[]}'), 256)
+    return counts.withColumn("key", F.lit(0).cast("long")).join(hashed, "key", "left").select("statements", "eligible", F.coalesce("h", none).alias("set_sha256"))

@@ -277,3 +277,16 @@ def test_source_registry_mutations(spark):
     for r in registry.source_violations(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect():
         got.setdefault(r.dataset_id, set()).add(r.rule)
     assert got == {f"d{n}": rules for n, (_, rules) in enumerate(BROKEN) if rules}
+
+
+def test_set_hashes_are_streams(spark):
+    """No row of a plan gathers the statements or files; the hash is that of the whole JSON, and an empty set has one."""
+    schema = "statement_id string, vulnerability_id string, status string, purls array<string>"
+    rows = [(f"s{n}", f"v{n % 7}", "not_affected" if n % 2 else "fixed", [f"pkg:a/{n % 5}", "pkg:b"]) for n in range(200)]
+    receipt = vex.intake_receipt(spark.createDataFrame(rows, schema).repartition(5))
+    assert "collect_list" not in receipt._jdf.queryExecution().toString()
+    listed = [{"purls": "|".join(p), "status": s, "vulnerability_id": v} for i, v, s, p in sorted(rows, key=lambda r: (r[1], "|".join(r[3]), r[0]))]
+    want = hashlib.sha256(json.dumps({"statements": listed}, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+    assert tuple(receipt.first()) == (200, 100, want)
+    empty = vex.intake_receipt(spark.createDataFrame([], schema)).first()
+    assert tuple(empty) == (0, 0, hashlib.sha256(b'{"statements":[]}').hexdigest())
