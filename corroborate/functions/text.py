@@ -42,6 +42,7 @@ def is_text(column: Column, longest: int = 4096, allow_unknown: bool = True) ->
 
 
 def is_safe_id(column: Column) -> Column:
+    # Fixed value: the pattern of ids.
     return is_text(column, 256, False) & fully(column, r"[A-Za-z0-9][A-Za-z0-9._:@+_-]{0,255}")
 
 
@@ -60,9 +61,12 @@ def is_unique_texts(column: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def is_https_url(column: Column) -> Column:
-    """https, a host with a dot, no user, no port, no fragment."""
-    return F.coalesce(fully(column, r"https://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?:/[^#\s]*)?"), F.lit(False))
+def is_https_url(column: Column, hosts: tuple[str, ...] = ()) -> Column:
+    """https in printable ASCII with a host and a path, no user, query or fragment, and no port but 443; one of ``hosts`` if any are given."""
+    fine = fully(column, r"(?i:https)://(?:[!-~&&[^/?#@:\[\]\\]]+|\[[0-9A-Fa-f:.]+\])(?::(?:0*443)?)?/[!-~&&[^?#\\]]+\??#?")
+    if hosts:
+        fine = fine & F.lower(F.regexp_extract(column, r"^[^/]*//([^/:]+)", 1)).isin(*hosts)
+    return F.coalesce(fine, F.lit(False))
 
 
 def purl_canonical(ref: Column) -> Column:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import UNKNOWN, canonical_json, cpe_key, fully, purl_key
+from corroborate.operators.hashing import tree_sha256
 
-#: Words that a served status may not hold.
-FORBIDDEN = ("CERTIFIED", "CONFORMANT", "APPROVED")
+#: Statuses that data of no customer may not have, classifications of references, and the status that these must have.
+FORBIDDEN = ("SBOM_RELEASE_AUTHORIZED_BY_MANUFACTURER", "SBOM_ARTIFACT_RELEASED", "CRA_COMPLIANT", "CONFORMITY_CONFIRMED", "CAB_APPROVED", "CERTIFIED")
+REFERENCES = ("PUBLIC_BUILD_REFERENCE_NOT_CUSTOMER_EVIDENCE", "SELF_TEST_NOT_CUSTOMER_EVIDENCE")
+NO_CONFORMITY = "NO_PRODUCT_CONFORMITY_STATUS"
 
 
 def _texts(found: Column) -> Column:
@@ -80,23 +83,29 @@ def field_claims(sources: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def ordered_hash(rows: DataFrame, position: str, fields: list[str]) -> DataFrame:
-    """One row: a hash of the rows in the order of ``position``, whatever order they are read in.
+    """One row: a hash of the rows in the order of ``position``, whatever order they are read in; sets may have any size."""
+    line = canonical_json(F.col(position).alias("at"), *(F.col(f) for f in sorted(fields)))
+    return tree_sha256(rows.withColumn("set", F.lit("")), "set", line).select(F.col("sha256").alias("ordered_sha256"))
 
-    Each row's digest is bound to its position and the digests are summed, so rows move freely
-    between tasks and none holds the list.
+
+def status_violations(rows: DataFrame) -> DataFrame:
+    """(run_id, rule) of served rows that are not a customer's and claim more than they may.
+
+    Rows whose classification is neither synthetic nor a reference are passed over. Of the
+    others, no column ``status`` or ``..._status`` may hold a word of FORBIDDEN, whatever its case;
+    references carry no manufacturer_role, and NO_CONFORMITY as product_conformity_status.
     """
-    line = F.sha2(canonical_json(F.col(position).alias("at"), *(F.col(f) for f in sorted(fields))), 256)
-    halves = [F.conv(F.substring(line, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16, 31, 46)]
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(h), F.lit(0)).cast("string").alias(f"s{i}") for i, h in enumerate(halves)))
-    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("ordered_sha256"))
-
-
-def status_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(run_id, rule) of served rows: a classification that does not say synthetic, or a status word that may not be said."""
-    said = F.upper(F.concat_ws(" ", *columns))
-    words = [F.when(said.contains(w), w) for w in FORBIDDEN]
-    broken = F.array_compact(F.array(F.when(~F.coalesce(F.col("classification").startswith("SYNTHETIC"), F.lit(False)), "classification"), *words))
-    return rows.select("run_id", F.explode(broken).alias("rule"))
+    reference = F.col("classification").isin(*REFERENCES)
+    guarded = F.coalesce(reference | F.col("classification").startswith("SYNTHETIC"), F.lit(False))
+    named = [c for c in rows.columns if c == "status" or c.endswith("_status")]
+    broken = F.array_compact(
+        F.array(
+            F.when(reference & F.col("manufacturer_role").isNotNull(), "manufacturer_role"),
+            F.when(reference & ~F.col("product_conformity_status").eqNullSafe(F.lit(NO_CONFORMITY)), "product_conformity"),
+            *(F.when(F.upper(F.col(c)).isin(*FORBIDDEN), c) for c in named),
+        )
+    )
+    return rows.filter(guarded).select("run_id", F.explode(broken).alias("rule"))
 
 
 def limitations(population: DataFrame) -> DataFrame:

@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import UNKNOWN, canonical_json, stable_id
-from corroborate.operators.hashing import sorted_sha256
+from corroborate.operators.hashing import list_sha256
+from corroborate.operators.rules import violations
 
 #: Claims on one conflict card at most: the first by id.
 CARD_CLAIMS = 64
+#: Bytes of a card's claims at most, and questions of an advice.
+CARD_BYTES, QUESTIONS = 32 * 1024, 16
+#: What an advice may do, and the bounds that it must state.
+ACTIONS = ("suggest_mapping", "suggest_merge", "ask_for_evidence", "explain_conflict", "abstain")
+BOUNDARIES = ("NO_FACT_WRITE_NO_STATE_CHANGE_NO_RELEASE_OR_CONFORMITY_AUTHORITY", "NO_FACT_WRITE_NO_STATE_CHANGE_HUMAN_REVIEW_REQUIRED")
 
 
 def claims(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -36,17 +42,12 @@ def manifest_totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"), F.count_if("executable").alias("executables"))
 
 
-def exact_set_hash(files: DataFrame, root_id: str, buckets: int = 256) -> DataFrame:
-    """One row: a hash of the set of files, whatever their order.
-
-    Files are hashed in ``buckets`` by the first byte of their path's digest, each sorted by
-    path and read as a stream, and the buckets' hashes once more, so no row holds a list that grows.
-    """
+def exact_set_hash(files: DataFrame) -> DataFrame:
+    """(root_id, exact_set_sha256): hash of each root's list of files (root_id, path, sha256, size, executable), sorted by path."""
     entry = canonical_json(F.col("executable"), F.col("path").alias("relative_path"), F.col("sha256"), F.col("size"))
-    rows = files.select(F.pmod(F.conv(F.substring(F.sha2("path", 256), 1, 2), 16, 10).cast("int"), F.lit(buckets)).alias("key"), "path", F.sha2(entry, 256).alias("line"))
-    each = sorted_sha256(rows, ["path"]).withColumnRenamed("key", "bucket")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda s: s["h"]), ",")
-    return each.agg(F.sha2(F.concat(F.lit(root_id + "\n"), listed), 256).alias("exact_set_sha256"))
+    tail = F.to_json(F.struct("root_id"))
+    hashed = list_sha256(files, "root_id", entry, ["path"], F.lit('{"files":['), F.concat(F.lit("],"), F.substring(tail, F.lit(2), F.length(tail))))
+    return hashed.withColumnRenamed("sha256", "exact_set_sha256")
 
 
 def manifest_difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -82,29 +83,46 @@ def coverage(components: DataFrame, columns: list[str]) -> DataFrame:
     return components.agg(F.count(F.lit(1)).alias("components"), *(F.count_if(F.col(c).isNotNull() & (F.col(c) != "")).alias(f"with_{c}") for c in columns))
 
 
-def conflict_cards(claims: DataFrame, most: int = CARD_CLAIMS) -> DataFrame:
-    """(conflict_id, n_claims, claim_ids, evidence): the first ``most`` claims (conflict_id, claim_id, value, evidence_id) of each conflict by id."""
-    first = Window.partitionBy("conflict_id").orderBy("claim_id")
-    kept = claims.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most)
-    return kept.groupBy("conflict_id").agg(F.count(F.lit(1)).alias("n_claims"), F.array_sort(F.collect_list("claim_id")).alias("claim_ids"), F.array_sort(F.collect_set("evidence_id")).alias("evidence"))
+def conflict_cards(claims: DataFrame, most: int = CARD_CLAIMS, longest: int = CARD_BYTES) -> DataFrame:
+    """(conflict_id, n_claims, claims, claim_ids, evidence, bytes, fits): one card per conflict of claims (conflict_id, claim_id, value, evidence_id).
+
+    A card shows the first ``most`` claims by id; n_claims counts all of the conflict, fits says
+    whether all are shown and the card's claims have at most ``longest`` bytes of JSON.
+    """
+    merged = claims.groupBy("conflict_id", "claim_id").agg(F.min("value").alias("value"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_refs"))
+    first, all_of = Window.partitionBy("conflict_id").orderBy("claim_id"), Window.partitionBy("conflict_id")
+    kept = merged.withColumn("place", F.row_number().over(first)).withColumn("n", F.count(F.lit(1)).over(all_of)).filter(F.col("place") <= most)
+    cards = kept.groupBy("conflict_id").agg(
+        F.max("n").alias("n_claims"), F.array_sort(F.collect_list(F.struct("claim_id", "evidence_refs", "value"))).alias("claims"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_refs")))).alias("evidence")
+    )
+    size = F.octet_length(F.to_json("claims", {"ignoreNullFields": "false"})).cast("long")
+    cards = cards.select("conflict_id", "n_claims", "claims", F.col("claims.claim_id").alias("claim_ids"), "evidence", size.alias("bytes"))
+    return cards.withColumn("fits", (F.col("n_claims") <= most) & (F.col("bytes") <= longest))
 
 
 def rule_advice(cards: DataFrame) -> DataFrame:
     """The advice that needs no model: cite all claims and all evidence and ask for more."""
-    return cards.select("conflict_id", F.lit("ask_for_evidence").alias("action"), F.col("claim_ids").alias("claim_refs"), F.col("evidence").alias("evidence_refs"))
+    return cards.select(
+        "conflict_id", F.lit(BOUNDARIES[0]).alias("authority_boundary"), F.lit("ask_for_evidence").alias("action"), F.col("claim_ids").alias("claim_refs"), F.col("evidence").alias("evidence_refs"),
+        F.lit("claims differ").alias("explanation"), F.array(F.lit("which source holds")).alias("questions"),
+    )
 
 
 def advice_violations(advice: DataFrame, cards: DataFrame) -> DataFrame:
-    """(conflict_id, rule) of advice (conflict_id, action, claim_refs, evidence_refs) that cites what its card lacks, or cites nothing."""
+    """(conflict_id, rule) of advice that cites what its card lacks or the same twice, does what none may, or lacks evidence, explanation or questions.
+
+    advice: conflict_id, authority_boundary, action, claim_refs, evidence_refs, explanation, questions; a null breaks its rule.
+    """
     rows = advice.join(cards.select("conflict_id", "claim_ids", "evidence"), "conflict_id", "left")
+    unique = lambda c: F.size(c) == F.size(F.array_distinct(c))
+    plain = lambda c: (c != "") & ~c.rlike(r"[\x00-\x1f]")
     rules = {
-        "no_card": F.col("claim_ids").isNotNull(),
-        "claims": F.size(F.array_except("claim_refs", "claim_ids")) == 0,
-        "evidence": F.size(F.array_except("evidence_refs", "evidence")) == 0,
-        "cites": (F.col("action") == "abstain") | (F.size("claim_refs") + F.size("evidence_refs") > 0),
-    }
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(True)), name) for name, ok in rules.items())))
-    return rows.select("conflict_id", F.explode(broken).alias("rule"))
+        "card": F.col("claim_ids").isNotNull(), "boundary": F.col("authority_boundary").isin(*BOUNDARIES), "action": F.col("action").isin(*ACTIONS),
+        "claims": unique("claim_refs") & (F.size(F.array_except("claim_refs", "claim_ids")) == 0), "evidence": unique("evidence_refs") & (F.size(F.array_except("evidence_refs", "evidence")) == 0),
+        "cites": (F.col("action") == "abstain") | (F.size("evidence_refs") > 0), "explanation": plain(F.col("explanation")),
+        "questions": unique("questions") & (F.size("questions") <= QUESTIONS) & F.forall("questions", lambda q: F.coalesce(plain(q), F.lit(False))),
+    }
+    return violations(rows, "conflict_id", rules)
 
 
 def arm_metrics(results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import canonical_json, component_type, fragment, uuid5_url
+from corroborate.operators.hashing import tree_sha256
 from corroborate.operators.relations import dependency_rows
 
 #: Relationship names in the second format.
@@ -87,14 +88,12 @@ def write_package(spark: SparkSession, path: str, parts: dict[str, DataFrame]) -
 
 
 def package_manifest(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """(name, rows, sha256) of a package's parts as they are on disk; the hash is a sum of digests, so no task holds a part's lines."""
-    found = None
+    """(name, rows, sha256) of a package's parts as they are on disk; the hash is a tree over their lines, so no task holds a part. An empty part has none."""
+    found = spark.createDataFrame([], "name string, value string")
     for name in names:
-        halves = [F.conv(F.substring(F.sha2("value", 256), at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16, 31, 46)]
-        sums = spark.read.text(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(h), F.lit(0)).cast("string").alias(f"s{n}") for n, h in enumerate(halves)))
-        one = sums.select(F.lit(name).alias("name"), "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("sha256"))
-        found = one if found is None else found.union(one)
-    return found
+        found = found.union(spark.read.text(f"{path}/{name}").select(F.lit(name).alias("name"), "value"))
+    hashed = tree_sha256(found, "name", F.col("value"))
+    return spark.createDataFrame([(n,) for n in names], "name string").join(hashed, "name", "left").select("name", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"))
 
 
 def package_differences(spark: SparkSession, path: str) -> DataFrame:

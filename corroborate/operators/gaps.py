@@ -7,50 +7,76 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names after import and from at the start of a line; the first of a list.
-IMPORT = r"(?m)^[ \t]*(?:from|import)[ \t]+([a-zA-Z_][a-zA-Z0-9_.]*)"
-DECLARATIONS = ("requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile")
+#: Imports (at the start of a line, the first of a list), names in manifests, folders that hold no source of a
+#: project, endings of C and C++ sources, and files at the top that declare what a project needs.
+IMPORT = r"^[ \t]*(?:from|import)[ \t]+([a-zA-Z_][\w.]*)"
+REQUIREMENT = r"^\s*([A-Za-z0-9_.-]+)"
+EXCLUDED = ("__pycache__", "venv", ".venv", "env", ".env", "node_modules", "build", "dist", ".tox", ".eggs", "site-packages")
+C_ENDINGS = (".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".ino")
+DECLARATIONS = ("requirements.txt", "requirements.in", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile", "Pipfile.lock", "poetry.lock")
+C_DECLARATIONS = ("platformio.ini", "library.json", "library.properties", "conanfile.txt", "CONANFILE.txt", "vcpkg.json")
 
 
-def _python(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("path").endswith(".py") & ~F.col("path").rlike(r"(^|/)\.[^/]*/"))
+def _parents() -> Column:
+    parts = F.split("path", "/")
+    return F.slice(parts, F.lit(1), F.size(parts) - 1)
 
 
-def _stem(path: Column) -> Column:
-    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.py$", "")
+def is_source() -> Column:
+    """Whether no folder above the file is excluded or begins with a dot."""
+    return ~F.exists(_parents(), lambda p: p.isin(*EXCLUDED) | p.startswith("."))
+
+
+def _ends(endings: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for ending in endings:
+        found = found | F.col("path").endswith(ending)
+    return found
+
+
+def _name() -> Column:
+    return F.substring_index("path", "/", -1)
 
 
 def import_gaps(files: DataFrame, components: DataFrame, stdlib: frozenset[str] = sys.stdlib_module_names) -> DataFrame:
     """(project, module, missing): imported modules that are neither of the library nor local; missing if no component (project, name) has the name."""
-    sources = _python(files)
-    found = sources.select("project", F.explode(F.regexp_extract_all("text", F.lit(IMPORT), F.lit(1))).alias("m"))
+    sources = files.filter(_ends((".py",)) & is_source())
+    # Java: only \n ends a line, and \w is any alphabet's.
+    found = sources.select("project", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?mdU)" + IMPORT), F.lit(1)))).alias("m"))
     found = found.select("project", F.substring_index("m", ".", 1).alias("module")).filter(~F.col("module").isin(*sorted(stdlib))).distinct()
-    folders = F.filter(F.split("path", "/"), lambda p, i: i < F.size(F.split("path", "/")) - 1)
-    local = sources.select("project", F.explode(F.concat(F.array(_stem(F.col("path"))), folders)).alias("module")).distinct()
+    local = sources.select("project", F.explode(F.concat(F.array(F.regexp_replace(_name(), r"\.py$", "")), _parents())).alias("module")).distinct()
     named = components.select("project", F.lower("name").alias("low"), F.lit(False).alias("lacks")).distinct()
     third = found.join(local, ["project", "module"], "left_anti").withColumn("low", F.lower("module"))
     return third.join(named, ["project", "low"], "left").select("project", "module", F.coalesce("lacks", F.lit(True)).alias("missing"))
 
 
 def requirement_references(files: DataFrame) -> DataFrame:
-    """(project, referenced): files that requirements files include with -r or --requirement."""
-    lists = files.filter(F.col("path").rlike(r"(^|/)requirements[^/]*\.txt$|(^|/)requirements/[^/]*\.txt$"))
-    lines = lists.select("project", F.explode(F.split("text", r"\r?\n")).alias("line")).select("project", F.split(F.trim("line"), r"\s+").alias("t"))
-    return lines.filter((F.size("t") >= 2) & F.col("t")[0].isin("-r", "--requirement")).select("project", F.col("t")[1].alias("referenced")).distinct()
+    """(project, referenced): files that requirements files (by name, or in a folder ``requirements``) include with -r or --requirement."""
+    lists = files.filter(_ends((".txt",)) & is_source() & (_name().startswith("requirements") | (F.try_element_at(_parents(), F.lit(-1)) == "requirements")))
+    lines = lists.select("project", F.explode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("line"))
+    words = lines.select("project", F.split(F.regexp_replace("line", r"(?U)^\s+|\s+$", ""), r"(?U)\s+").alias("t"))
+    return words.filter((F.size("t") >= 2) & F.col("t")[0].isin("-r", "--requirement")).select("project", F.col("t")[1].alias("referenced")).distinct()
 
 
 def requirement_gaps(files: DataFrame, components: DataFrame) -> DataFrame:
     """(project, name): names that the first manifest.json with a domain requires and no component has, whatever the case."""
-    manifests = files.filter(F.col("path").rlike(r"(^|/)manifest\.json$")).select("project", "path", F.from_json("text", "domain string, requirements array<string>").alias("m")).filter("m.domain is not null")
-    first = manifests.groupBy("project").agg(F.min_by("m.requirements", "path").alias("r"))
-    names = first.select("project", F.explode("r").alias("r")).select("project", F.regexp_extract("r", r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1).alias("name")).filter("name <> ''").distinct()
+    manifests = files.filter((_name() == "manifest.json") & is_source() & F.coalesce(F.array_contains(F.json_object_keys("text"), "domain"), F.lit(False)))
+    first = manifests.groupBy("project").agg(F.min_by(F.get_json_object("text", "$.requirements"), "path").alias("r"))
+    listed = F.from_json("r", "array<variant>")
+    texts = F.transform(F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    names = first.select("project", F.explode(texts).alias("r")).select("project", F.regexp_extract("r", REQUIREMENT, 1).alias("name")).filter("name <> ''").distinct()
     named = components.select("project", F.lower("name").alias("low")).distinct()
     return names.withColumn("low", F.lower("name")).join(named, ["project", "low"], "left_anti").select("project", "name")
 
 
 def zero_components(files: DataFrame, components: DataFrame) -> DataFrame:
-    """(project, has_sources, has_declaration, zero): projects with sources, no declaration at the top, and no component."""
-    seen = files.groupBy("project").agg(F.bool_or(F.col("path").endswith(".py")).alias("has_sources"), F.bool_or(F.col("path").isin(*DECLARATIONS)).alias("has_declaration"))
-    counted = components.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
-    zero = F.coalesce("n", F.lit(0)) == 0
-    return seen.join(counted, "project", "left").select("project", "has_sources", "has_declaration", (zero & F.col("has_sources") & ~F.col("has_declaration")).alias("zero"))
+    """(project, component_count, and for Python and C whether there are sources, a declaration at the top, and neither declaration nor component for the sources)."""
+    kinds = {"python": ((".py",), DECLARATIONS), "c": (C_ENDINGS, C_DECLARATIONS)}
+    seen = files.groupBy("project").agg(
+        *(F.bool_or(_ends(endings) & is_source()).alias(f"{k}_sources") for k, (endings, _) in kinds.items()), *(F.bool_or(F.col("path").isin(*declared)).alias(f"{k}_declared") for k, (_, declared) in kinds.items())
+    )
+    counted = components.groupBy("project").agg(F.count(F.lit(1)).alias("component_count"))
+    rows = seen.join(counted, "project", "left").withColumn("component_count", F.coalesce("component_count", F.lit(0)))
+    for k in kinds:
+        rows = rows.withColumn(f"zero_{k}", (F.col("component_count") == 0) & F.col(f"{k}_sources") & ~F.col(f"{k}_declared"))
+    return rows

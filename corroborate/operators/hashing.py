@@ -6,32 +6,54 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
-def sorted_sha256(lines: DataFrame, order: list[str], before: str = "", after: str = "") -> DataFrame:
-    """(key, h): hash of ``before``, the lines joined by commas, and ``after``, of each key of ``lines`` (key, line, the columns of ``order``).
+def sorted_sha256(lines: DataFrame, order: list[str]) -> DataFrame:
+    """(key, h): hash of ``before``, the lines joined by commas, and ``after``, of each key.
 
-    A key's lines are sorted by Spark, which spills, and hashed as they come, so no row holds
-    them all. SHA-256 is a chain, so a key is still read by one task.
+    ``lines``: key (string), line, before and after (the same in all rows of a key), and the
+    columns of ``order``. A key's lines are sorted by Spark, which spills, and hashed as they
+    come, so no row holds them all. SHA-256 is a chain, so one task reads a key: a key is a
+    document of bounded size, or a bucket of tree_sha256().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = lambda k, h: pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([h.hexdigest()])], names=["key", "h"])
-        key, state = None, None
+        done = lambda k, h, end: pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(h.update(end.encode()), h.hexdigest())[1]])], names=["key", "h"])
+        key, state, end = None, None, ""
         for batch in batches:
-            for k, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, line, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is not None and k == key:
                     state.update(b",")
                 else:
                     if state is not None:
-                        state.update(after.encode())
-                        yield done(key, state)
-                    key, state = k, hashlib.sha256(before.encode())
+                        yield done(key, state, end)
+                    key, state, end = k, hashlib.sha256(before.encode()), after
                 state.update(line.encode())
         if state is not None:
-            state.update(after.encode())
-            yield done(key, state)
+            yield done(key, state, end)
 
-    dealt = lines.withColumn("key", lines["key"].cast("long")).repartition("key").sortWithinPartitions("key", *order, "line")
-    return dealt.select("key", "line").mapInArrow(run, "key long, h string")
+    dealt = lines.repartition("key").sortWithinPartitions("key", *order, "line")
+    return dealt.select("key", "line", "before", "after").mapInArrow(run, "key string, h string")
+
+
+def list_sha256(rows: DataFrame, key: str, line: Column, order: list[str], before: Column | None = None, after: Column | None = None) -> DataFrame:
+    """(key, sha256): hash of the JSON list of each document's lines, in ``order``, between ``before`` and ``after``."""
+    kept = rows.select(F.col(key).alias("key"), line.alias("line"), (F.lit("[") if before is None else before).alias("before"), (F.lit("]") if after is None else after).alias("after"), *order)
+    return sorted_sha256(kept, order).select(F.col("key").alias(key), F.col("h").alias("sha256"))
+
+
+def tree_sha256(rows: DataFrame, key: str, line: Column, digits: int = 3) -> DataFrame:
+    """(key, rows, sha256) for sets of any size: a hash tree over the lines, whatever their order.
+
+    Lines are dealt to 16^``digits`` buckets by their digest; each bucket is hashed sorted, and
+    the buckets' hashes once more, so a large set is read by many tasks.
+    """
+    dealt = rows.select(F.col(key).alias("k"), line.alias("line"))
+    dealt = dealt.select("k", F.sha2("line", 256).alias("line")).withColumn("b", F.substring("line", 1, digits))
+    named = dealt.select(F.concat_ws("\n", "k", "b").alias("key"), "line", F.lit("").alias("before"), F.lit("").alias("after"))
+    counts = dealt.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    leaves = sorted_sha256(named, []).select(F.substring_index("key", "\n", 1).alias("k"), F.struct(F.substring_index("key", "\n", -1).alias("b"), F.col("h").alias("h")).alias("leaf"))
+    roots = leaves.groupBy("k").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("leaf")), lambda x: x["h"]), ","), 256).alias("sha256"))
+    return counts.join(roots, "k").select(F.col("k").alias(key), "rows", "sha256")

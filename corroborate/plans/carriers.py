@@ -50,41 +50,55 @@ VIEWS = {
     "release_a": "SELECT o_orderkey AS item, CAST(o_custkey AS STRING) AS version, o_orderpriority AS producer, o_orderstatus AS name FROM orders WHERE o_orderkey % 10 <> 0",
     "release_b": "SELECT o_orderkey AS item, CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS STRING) AS version, CASE WHEN o_orderkey % 12 = 0 THEN 'none' ELSE o_orderpriority END AS producer, o_orderstatus AS name FROM orders WHERE o_orderkey % 10 <> 1",
     "hits": """
-        SELECT CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING) AS hit_id, 'V-' || CAST(l_suppkey % 50 AS STRING) AS vulnerability_id,
-               'pkg:generic/p' || CAST(l_partkey AS STRING) || '?arch=' || CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END || '&package-id=' || CAST(l_linenumber AS STRING) AS purl
+        SELECT 'h' || CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 40 END AS STRING) AS handoff_id, lpad(CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 40 END AS STRING), 64, 'a') AS cyclonedx_sha256,
+               l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS position,
+               CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING) AS hit_id, 'V-' || CAST(l_suppkey % 50 AS STRING) AS vulnerability_id,
+               'pkg:generic/p' || CAST(l_partkey AS STRING) || '?arch=' || CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END || '&package-id=' || CAST(l_linenumber AS STRING) AS purl, 'affected' AS original_status,
+               lpad(CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 WHEN l_suppkey % 40 = 7 THEN 999999 ELSE l_suppkey % 40 END AS STRING), 64, '0') AS vex_document_sha256
         FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""",
     "vex": """
-        SELECT 'st' || CAST(s_suppkey AS STRING) || '-' || CAST(p_partkey AS STRING) AS statement_id, 'V-' || CAST(s_suppkey % 50 AS STRING) AS vulnerability_id,
-               CASE WHEN p_partkey % 2 = 0 THEN 'openvex' ELSE 'cyclonedx' END AS vex_format,
+        SELECT lpad(CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 2 ELSE s_suppkey END AS STRING), 64, '0') AS vex_document_sha256, s_suppkey * 1000000000 + p_partkey AS position, 'issuer' AS issuer_id,
+               'st' || CAST(s_suppkey AS STRING) || '-' || CAST(p_partkey AS STRING) AS statement_id, 'V-' || CAST(s_suppkey % 50 AS STRING) AS vulnerability_id,
+               CASE WHEN s_suppkey % 2 = 0 THEN 'openvex' ELSE 'cyclonedx-bom' END AS vex_format,
                CASE (s_suppkey + p_partkey) % 7 WHEN 0 THEN 'affected' WHEN 1 THEN 'fixed' WHEN 2 THEN 'odd' ELSE 'not_affected' END AS status,
-               CASE p_partkey % 3 WHEN 0 THEN 'code_not_present' WHEN 1 THEN 'vulnerable_code_not_present' ELSE 'inline_mitigations_already_exist' END AS justification,
-               CASE WHEN p_partkey % 31 = 0 THEN NONE WHEN p_partkey % 13 = 0 THEN ARR('urn:p' || CAST(p_partkey AS STRING))
+               CASE p_partkey % 4 WHEN 0 THEN 'code_not_present' WHEN 1 THEN 'vulnerable_code_not_present' WHEN 2 THEN 'inline_mitigations_already_exist' END AS justification,
+               CASE WHEN p_partkey % 5 = 0 THEN 'detail ' || CAST(p_partkey AS STRING) END AS detail, CAST(NULL AS STRING) AS first_issued_utc, CASE WHEN p_partkey % 6 = 0 THEN '2026-01-01T00:00:00Z' END AS last_updated_utc,
+               CASE WHEN p_partkey % 31 = 0 THEN NONE WHEN p_partkey % 13 = 0 THEN ARR('urn:p' || CAST(p_partkey AS STRING)) WHEN p_partkey % 17 = 0 THEN ARR('pkg:nothing')
                     ELSE ARR('pkg:generic/p' || CAST(p_partkey AS STRING) || '?arch=a&package-id=0', 'pkg:generic/p' || CAST(p_partkey AS STRING) || '?package-id=9&arch=b', 'pkg:generic/p' || CAST(p_partkey AS STRING) || '?arch=a') END AS purls
-        FROM (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS s_suppkey FROM lineitem WHERE l_orderkey % 3 = 0)""",
+        FROM (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS s_suppkey FROM lineitem)""",
+    "vex_signatures": """
+        SELECT DISTINCT vex_document_sha256, lpad('5', 64, '5') AS signature_sha256, CASE WHEN vex_document_sha256 LIKE '%7' THEN 'short' ELSE lpad('6', 64, '6') END AS binary_sha256 FROM vex""",
     "profiles": """
         SELECT 'SOURCE' AS profile_kind, CASE WHEN p_partkey % 21 = 0 THEN NULL ELSE 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) END AS logical_key, CAST(p_size AS STRING) AS version FROM part
         UNION ALL SELECT 'OCI', 'purl:pkg:generic/p' || CAST(p_partkey AS STRING), CAST(CASE WHEN p_partkey % 8 = 0 THEN p_size + 1 ELSE p_size END AS STRING) FROM part WHERE p_partkey % 2 = 0
         UNION ALL SELECT 'PORTABLE_RUNTIME', CASE WHEN p_partkey % 33 = 0 THEN NULL ELSE 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) END, CASE WHEN p_partkey % 15 = 0 THEN NULL WHEN p_partkey % 6 = 0 THEN CAST(p_size + 2 AS STRING) ELSE CAST(p_size AS STRING) END FROM part WHERE p_partkey % 3 = 0""",
     "files_expected": "SELECT 'd/' || CAST(o_orderkey AS STRING) AS path, CASE WHEN o_orderkey % 14 = 0 THEN 'UNKNOWN' ELSE 'k' || CAST(o_custkey AS STRING) END AS sha256 FROM orders WHERE o_orderkey % 5 <> 0",
     "files_observed": "SELECT 'd/' || CAST(o_orderkey AS STRING) AS path, 'k' || CAST(CASE WHEN o_orderkey % 9 = 0 THEN o_custkey + 1 ELSE o_custkey END AS STRING) AS sha256 FROM orders WHERE o_orderkey % 6 <> 0",
-    "manifest": "SELECT 'f/' || CAST(o_orderkey AS STRING) AS path, 'k' || CAST(o_custkey AS STRING) AS sha256, o_orderkey % 1000 AS size, o_orderkey % 4 = 0 AS executable FROM orders",
+    "manifest": "SELECT 'r' || CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 30 END AS STRING) AS root_id, 'f/' || CAST(o_orderkey AS STRING) AS path, 'k' || CAST(o_custkey AS STRING) AS sha256, o_orderkey % 1000 AS size, o_orderkey % 4 = 0 AS executable FROM orders",
     "tree": "SELECT 'f/' || CAST(o_orderkey AS STRING) AS path, 'k' AS sha256, CASE WHEN o_orderkey % 16 = 0 THEN 1 ELSE o_orderkey % 1000 END AS size, o_orderkey % 4 = 0 AS executable FROM orders WHERE o_orderkey % 25 <> 0",
     "installed": "SELECT 'p' || CAST(p_partkey AS STRING) AS name, CAST(p_size AS STRING) AS version FROM part WHERE p_partkey % 5 <> 0",
     "described": "SELECT 'p' || CAST(p_partkey AS STRING) AS name, CAST(CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size END AS STRING) AS version FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT 'p' || CAST(p_partkey AS STRING), 'second' FROM part WHERE p_partkey % 18 = 1",
     "source_files": """
-        SELECT CAST(n_nationkey AS STRING) AS project, 'pkg' || CAST(n_nationkey % 3 AS STRING) || '/mod' || CAST(n_regionkey AS STRING) || '.py' AS path,
-               'import os' || chr(10) || '  import numpy' || CAST(n_nationkey % 4 AS STRING) || '.linalg as n' || chr(10) || 'from mod' || CAST(n_regionkey AS STRING) || ' import x' || chr(10) || 'from pkg0.deep import y' || chr(10) || '# import never' || chr(10) || 'import Lib' || CAST(n_regionkey AS STRING) AS text FROM nation WHERE n_nationkey % 6 <> 5
-        UNION ALL SELECT CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 2 = 0 THEN 'requirements.txt' ELSE 'requirements/prod.txt' END,
-               'numpy' || chr(10) || '-r base' || CAST(n_regionkey AS STRING) || '.txt' || chr(10) || '# -r no.txt' || chr(10) || '  --requirement dev.txt  ' || chr(10) || '-rnot.txt' FROM nation WHERE n_nationkey % 3 = 0
-        UNION ALL SELECT CAST(n_nationkey AS STRING), 'custom/manifest.json', '{"domain": "d", "requirements": ["client-' || CAST(n_regionkey AS STRING) || '==1.0", "Lib1>=2"]}' FROM nation WHERE n_nationkey % 4 = 0""",
-    "source_components": "SELECT CAST(n_nationkey AS STRING) AS project, CASE WHEN n_nationkey % 3 = 0 THEN 'numpy1' WHEN n_nationkey % 3 = 1 THEN 'LIB1' ELSE 'client-2' END AS name FROM nation WHERE n_nationkey % 7 <> 0",
+        SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hot' ELSE 'j' || CAST(p_partkey % 60 AS STRING) END AS project,
+               CASE p_partkey % 9 WHEN 0 THEN 'venv/lib/a.py' WHEN 1 THEN 'src/.hidden/b.py' WHEN 2 THEN 'build/gen.py' WHEN 3 THEN 'x/site-packages/c/d.py' WHEN 4 THEN 'src/a.c' ELSE 'pkg' || CAST(p_partkey % 3 AS STRING) || '/mod' || CAST(p_partkey % 7 AS STRING) || '.py' END AS path,
+               'import os' || chr(10) || '  import numpy' || CAST(p_partkey % 4 AS STRING) || '.linalg as n' || chr(10) || 'from mod' || CAST(p_partkey % 5 AS STRING) || ' import x' || chr(10) || 'from pkg0.deep import y' || chr(10) || '# import never' || chr(10) || 'import Lib' || CAST(p_partkey % 9 AS STRING) AS text FROM part
+        UNION ALL SELECT 'j' || CAST(o_orderkey % 60 AS STRING), CASE o_orderkey % 8 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'requirements/prod.txt' WHEN 2 THEN 'venv/requirements.txt' WHEN 3 THEN 'docs/requirements/deep/no.txt' WHEN 4 THEN 'sub/requirements-dev.txt' ELSE 'notes.txt' END,
+               'numpy' || chr(10) || '-r base' || CAST(o_orderkey % 11 AS STRING) || '.txt' || chr(10) || '# -r no.txt' || chr(10) || '  --requirement dev' || CAST(o_orderkey % 8 AS STRING) || '.txt  ' || chr(10) || '-rnot.txt' FROM orders WHERE o_orderkey % 60 < 50
+        UNION ALL SELECT 'j' || CAST(s_suppkey % 60 AS STRING), CASE WHEN s_suppkey % 5 = 0 THEN 'node_modules/manifest.json' ELSE 'custom/' || lpad(CAST(s_suppkey AS STRING), 9, '0') || '/manifest.json' END,
+               CASE WHEN s_suppkey % 7 = 0 THEN '{"requirements": ["hidden"]}' ELSE '{"domain": "d", "requirements": ["client-' || CAST(s_suppkey % 5 AS STRING) || '==1.0", 7, "_lib>=2", "Lib1>=2"]}' END FROM supplier
+        UNION ALL SELECT 'z' || CAST(c_custkey % 12 AS STRING), CASE c_custkey % 6 WHEN 0 THEN 'requirements.in' WHEN 1 THEN 'poetry.lock' WHEN 2 THEN 'vcpkg.json' WHEN 3 THEN 'README' ELSE 'sub/setup.py.txt' END, '' FROM customer
+        UNION ALL SELECT 'z' || CAST(s_suppkey % 12 AS STRING), CASE WHEN s_suppkey % 4 = 0 THEN 'venv/only.py' WHEN s_suppkey % 4 = 1 THEN 'main.py' ELSE 'src/main.hpp' END, '' FROM supplier""",
+    "source_components": """
+        SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hot' ELSE 'j' || CAST(p_partkey % 60 AS STRING) END AS project, CASE p_partkey % 5 WHEN 0 THEN 'numpy1' WHEN 1 THEN 'LIB1' WHEN 2 THEN 'client-2' ELSE 'other' || CAST(p_partkey AS STRING) END AS name FROM part
+        UNION ALL SELECT 'z' || CAST(s_suppkey % 12 AS STRING), 'some' FROM supplier WHERE s_suppkey % 12 > 8""",
     "json_docs": """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '{"k": 1, "extra": 2}' WHEN event_id % 10 = 1 THEN '{"j": 1}' WHEN event_id % 10 = 2 THEN '[1]' ELSE props END AS raw FROM events""",
     "texts": """
         SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN 'UNKNOWN' WHEN o_orderkey % 9 = 2 THEN 'a' || chr(10) ELSE o_orderpriority END AS value,
                CASE WHEN o_orderkey % 8 = 0 THEN '-x' WHEN o_orderkey % 8 = 1 THEN 'a b' WHEN o_orderkey % 8 = 2 THEN 'id' || chr(10) ELSE 'id:' || CAST(o_orderkey AS STRING) END AS safe_id,
                CASE o_orderkey % 7 WHEN 0 THEN '/abs' WHEN 1 THEN 'a/../b' WHEN 2 THEN 'a//b' WHEN 3 THEN './a' WHEN 4 THEN 'a/b/' ELSE 'a/.b/c..d' END AS path,
                CASE o_orderkey % 3 WHEN 0 THEN ARR('a', 'b') WHEN 1 THEN ARR('a', 'a') ELSE NONE END AS items,
-               CASE o_orderkey % 5 WHEN 0 THEN 'http://a.example.org/x' WHEN 1 THEN 'https://user@a.example.org/' WHEN 2 THEN 'https://a.example.org:8/' WHEN 3 THEN 'https://localhost/' ELSE 'https://a.example.org/x?y' END AS url
+               CASE o_orderkey % 11 WHEN 0 THEN 'http://a.example.org/x' WHEN 1 THEN 'https://user@a.example.org/x' WHEN 2 THEN 'https://a.example.org:8/x' WHEN 3 THEN 'https://localhost/' WHEN 4 THEN 'https://a.example.org/x?y' WHEN 5 THEN 'https://a.example.org'
+                    WHEN 6 THEN 'https://a.example.org:443/x' WHEN 7 THEN 'https://a.example.org/x#f' WHEN 8 THEN 'https://localhost/x/y.tar.gz' WHEN 9 THEN 'https://a.example.org/a b' ELSE 'HTTPS://A.example.org/x' END AS url
         FROM orders""",
     "named": """
         SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN p_name ELSE 'pkg:generic/' || replace(p_name, ' ', '/') || '@' || CAST(p_size AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN '?distro=d&x=1&arch=a' WHEN p_partkey % 4 = 1 THEN '?x=1' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '#sub/p' ELSE '' END END AS ref,
@@ -96,7 +110,7 @@ VIEWS = {
     "card_claims": "SELECT conv_id AS conflict_id, 'cl' || CAST(100 + turn AS STRING) AS claim_id, role AS value, 'ev' || CAST(turn % 3 AS STRING) AS evidence_id FROM conversations",
     "arm_results": "SELECT 'arm-quality' AS arm_id, quality = 1 AS valid FROM labels UNION ALL SELECT 'arm-any', quality >= 0 FROM labels",
     "run_findings": "SELECT 'run-' || CAST(o_custkey % 40 AS STRING) AS run_id, CASE WHEN o_custkey % 40 < 10 THEN 'MATCHED' WHEN o_orderstatus = 'F' THEN 'CONFLICT' ELSE 'MATCHED' END AS status FROM orders",
-    "nested": """SELECT n_nationkey AS doc, '{"components": [{"bom-ref": "r' || CAST(n_nationkey AS STRING) || '", "name": "' || n_name || '", "components": [{"bom-ref": "k' || CAST(n_nationkey AS STRING) || '", "name": "kid"}]}, {"bom-ref": "s", "name": "last"}]}' AS raw FROM nation""",
+    "nested": """SELECT CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END AS doc, '{"components": [{"bom-ref": "r' || CAST(p_partkey AS STRING) || '", "name": "' || p_name || '", "version": "' || CAST(p_size AS STRING) || '", "purl": "pkg:generic/p' || CAST(p_partkey AS STRING) || '@1", "hashes": [{"alg": "SHA-256", "content": "h' || CAST(p_partkey AS STRING) || '"}], "components": [{"bom-ref": "k' || CAST(p_partkey AS STRING) || '", "name": "kid", "cpe": "cpe:2.3:a", "components": [{"bom-ref": "d' || CAST(p_partkey AS STRING) || '", "name": "deep"}]}]}, {"bom-ref": "s' || CAST(p_partkey AS STRING) || '", "name": "last"}]}' AS raw FROM part""",
     "runtimes": """
         SELECT CASE WHEN s_suppkey % 20 = 0 THEN 'same' WHEN s_suppkey % 20 = 1 THEN '-bad' ELSE 'rt' || CAST(s_suppkey AS STRING) END AS runtime_id, CASE s_suppkey % 4 WHEN 0 THEN 'scanner' WHEN 1 THEN 'schema' WHEN 2 THEN 'signing' ELSE 'other' END AS category,
                CASE s_suppkey % 3 WHEN 0 THEN 'FROZEN' WHEN 1 THEN 'LOCALLY_OBSERVED' ELSE 'GONE' END AS status, CASE WHEN s_suppkey % 6 = 0 THEN 'ftp://x.example.org' ELSE 'https://x.example.org/r' END AS source_url,
@@ -129,7 +143,11 @@ VIEWS = {
     "release_evidence": "SELECT c_custkey AS release_id, CASE WHEN c_custkey % 3 = 0 THEN 'OTHER' ELSE c_mktsegment END AS product, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS build_id FROM customer WHERE c_custkey % 11 <> 0",
     "layers": "SELECT 'image' || CAST(l_suppkey AS STRING) AS archive, CAST(l_orderkey AS STRING) AS path, CAST(l_quantity AS BIGINT) AS size FROM lineitem",
     "arm_cards": "SELECT 'arm' || CAST(turn % 2 AS STRING) AS arm_id, CASE WHEN conv_id % 9 = 0 THEN conv_id + 1000000 ELSE conv_id END AS conflict_id FROM conversations WHERE turn < 3",
-    "served": "SELECT 'run-' || CAST(c_custkey AS STRING) AS run_id, CASE WHEN c_custkey % 5 = 0 THEN 'REAL' ELSE 'SYNTHETIC_X' END AS classification, CASE WHEN c_custkey % 3 = 0 THEN 'Approved by none' ELSE 'open' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'certified' END AS note FROM customer",
+    "served": """
+        SELECT 'run-' || CAST(c_custkey AS STRING) AS run_id, CASE c_custkey % 5 WHEN 0 THEN 'REAL' WHEN 1 THEN 'PUBLIC_BUILD_REFERENCE_NOT_CUSTOMER_EVIDENCE' WHEN 2 THEN 'SELF_TEST_NOT_CUSTOMER_EVIDENCE' ELSE 'SYNTHETIC_X' END AS classification,
+               CASE c_custkey % 3 WHEN 0 THEN 'NOT_APPROVED' WHEN 1 THEN 'certified' ELSE 'open' END AS status, CASE c_custkey % 4 WHEN 0 THEN 'CAB_APPROVED' WHEN 1 THEN 'NO_PRODUCT_CONFORMITY_STATUS' END AS product_conformity_status,
+               CASE WHEN c_custkey % 7 = 0 THEN 'manufacturer' END AS manufacturer_role, 'CERTIFIED' AS note
+        FROM customer""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -15,21 +15,46 @@ _CANON = """CASE WHEN starts_with({r}, 'pkg:') THEN split_part({r}, '?', 1) || C
     THEN '?' || array_to_string(list_filter(string_split(substr({r}, strpos({r}, '?') + 1), '&'), lambda q: starts_with(q, 'arch=') OR starts_with(q, 'distro=')), '&') ELSE '' END END"""
 _CANON_P, _CANON_H, _CANON_REF = (_CANON.format(r=r) for r in ("x.p", "h.purl", "ref"))
 
-_NARROW = f""", said AS (SELECT DISTINCT statement_id, vulnerability_id, status, {_CANON_P} AS purl FROM (SELECT *, unnest(purls) AS p FROM vex) x),
-asked AS (SELECT hit_id, vulnerability_id, {_CANON_H} AS purl FROM hits h),
-decided AS (SELECT hit_id, a.vulnerability_id, a.purl, count(statement_id) > 0 AND count(*) FILTER (status <> 'not_affected') = 0 AS narrowed,
+_TEXT = lambda v: f"coalesce('\"' || {v} || '\"', 'null')"
+_POINTER = f"""'{{"justification":' || {_TEXT('justification')} || ',"status":"' || status || '","vulnerability_id":"' || s.vulnerability_id || '"}}'"""
+_SAID = f""", said AS (SELECT DISTINCT statement_id, vulnerability_id, status, justification, vex_document_sha256, position, {_CANON_P} AS purl FROM (SELECT *, unnest(purls) AS p FROM vex) x),
+asked AS (SELECT * EXCLUDE (purl), {_CANON_H} AS purl FROM hits h)"""
+_DECIDED = lambda on: f"""decided AS (SELECT a.handoff_id, a.position, hit_id, a.vulnerability_id, a.purl, original_status, count(statement_id) > 0 AND count(statement_id) FILTER (status <> 'not_affected') = 0 AS narrowed,
     CASE WHEN count(statement_id) = 0 THEN 'RETAINED_OPEN_NO_VEX_MATCH' WHEN count(*) FILTER (status <> 'not_affected') > 0 THEN 'RETAINED_OPEN_CONTRADICTORY_VEX' END AS reason,
-    count(statement_id) AS n_statements, coalesce(string_agg(statement_id, ',' ORDER BY statement_id), '') AS pointers
-    FROM asked a LEFT JOIN said s ON a.vulnerability_id = s.vulnerability_id AND a.purl = s.purl GROUP BY ALL)"""
-oracle("narrow_hits", "hits vex", "SELECT * FROM decided", _NARROW)
+    count(statement_id) AS n_statements, coalesce(string_agg(statement_id, ',' ORDER BY statement_id), '') AS pointers, '[' || coalesce(string_agg(CASE WHEN statement_id IS NOT NULL THEN {_POINTER} END, ',' ORDER BY s.vex_document_sha256, s.position), '') || ']' AS vex_pointers
+    FROM asked a LEFT JOIN said s ON a.vulnerability_id = s.vulnerability_id AND a.purl = s.purl{on} GROUP BY ALL)"""
+_NARROW = _SAID + ", " + _DECIDED("")
+oracle("narrow_hits", "hits vex", "SELECT * EXCLUDE (position) FROM decided", _NARROW)
 oracle("narrow_counts", "hits vex", "SELECT count(*) AS hits, count(*) FILTER (narrowed) AS narrowed, count(*) FILTER (NOT narrowed) AS retained, count(*) FILTER (reason = 'RETAINED_OPEN_NO_VEX_MATCH') AS no_match, count(*) FILTER (reason = 'RETAINED_OPEN_CONTRADICTORY_VEX') AS contradictory FROM decided", _NARROW)
 oracle("purl_presence_gate", "hits lane_build", f"SELECT DISTINCT {_CANON_H} AS purl FROM hits h WHERE {_CANON_H} NOT IN (SELECT split_part(unnest(identifiers), '@', 1) || '?arch=a' FROM lane_build)")
 _STATUS_OK = "status IN ('not_affected', 'affected', 'fixed', 'unknown')"
 oracle("vex_violations", "vex", f"""SELECT statement_id, 'status' AS rule FROM vex WHERE NOT {_STATUS_OK}
-UNION ALL SELECT statement_id, 'justification' FROM vex WHERE (vex_format = 'openvex') <> (justification IN ('vulnerable_code_not_present', 'inline_mitigations_already_exist'))
-UNION ALL SELECT statement_id, 'purls' FROM vex WHERE len(purls) = 0 OR len(list_filter(purls, lambda p: NOT starts_with(p, 'pkg:'))) > 0""")
-oracle("vex_receipt", "vex", "SELECT count(*) AS statements, count(*) FILTER (status = 'not_affected') AS eligible FROM vex")
-oracle("vex_set_hash", "vex", """SELECT sha256('{"statements":[' || string_agg('{"purls":"' || array_to_string(purls, '|') || '","status":"' || status || '","vulnerability_id":"' || vulnerability_id || '"}', ',' ORDER BY vulnerability_id, array_to_string(purls, '|'), statement_id) || ']}') AS set_sha256 FROM vex""")
+UNION ALL SELECT statement_id, 'justification' FROM vex WHERE justification IS NULL OR (vex_format = 'openvex') <> (justification IN ('vulnerable_code_not_present', 'inline_mitigations_already_exist'))
+UNION ALL SELECT statement_id, 'purls' FROM vex WHERE len(purls) = 0 OR len(list_filter(purls, lambda p: NOT regexp_full_match(p, 'pkg:[A-Za-z0-9.+-]+/.+'))) > 0""")
+_STATEMENT = f"""'{{"detail":' || {_TEXT('detail')} || ',"first_issued_utc":null,"issuer_id":"' || issuer_id || '","justification":' || {_TEXT('justification')} || ',"last_updated_utc":' || {_TEXT('last_updated_utc')} || ',"narrowing_eligible":' || CASE WHEN status = 'not_affected' THEN 'true' ELSE 'false' END
+    || ',"product_purls":[' || array_to_string(list_transform(purls, lambda p: '"' || p || '"'), ',') || '],"status":"' || status || '","vex_document_sha256":"' || vex_document_sha256 || '","vex_format":"' || vex_format || '","vulnerability_id":"' || vulnerability_id || '"}}'"""
+_RECEIPTS = lambda t: f"""SELECT 'sbom-workbench.vex-intake-receipt/v1' AS schema_version, min(vex_format) AS vex_format, vex_document_sha256, any_value(signature_sha256) AS signature_sha256, min(issuer_id) AS issuer_id, any_value(binary_sha256) AS binary_sha256,
+    sha256('[' || string_agg({_STATEMENT}, ',' ORDER BY vulnerability_id, array_to_string(purls, '|'), position) || ']') AS statements_canonical_sha256, count(*) AS statement_count, count(*) FILTER (status = 'not_affected') AS narrowing_eligible_count
+    FROM {t} LEFT JOIN vex_signatures USING (vex_document_sha256) GROUP BY vex_document_sha256"""
+oracle("vex_receipt", "vex vex_signatures", f"SELECT * EXCLUDE (statements_canonical_sha256) FROM ({_RECEIPTS('vex')})")
+oracle("vex_set_hash", "vex vex_signatures", f"SELECT vex_document_sha256, statements_canonical_sha256 AS sha256 FROM ({_RECEIPTS('vex')})")
+oracle("vex_receipt_violations", "vex vex_signatures", f"SELECT vex_document_sha256, 'narrowing_eligible_count' AS rule FROM ({_RECEIPTS('vex')}) WHERE vex_document_sha256 LIKE '%4' UNION ALL SELECT vex_document_sha256, 'binary_sha256' FROM ({_RECEIPTS('vex')}) WHERE vex_document_sha256 LIKE '%7'")
+_BINDING = f""", was AS (SELECT * REPLACE (CASE WHEN vex_document_sha256 LIKE '%8' THEN 'other' ELSE detail END AS detail, CASE WHEN vex_document_sha256 LIKE '%1' THEN 'else' ELSE issuer_id END AS issuer_id) FROM vex WHERE NOT (vex_document_sha256 LIKE '%2' AND position % 9 = 0)),
+said_was AS ({_RECEIPTS('was')}), said_now AS ({_RECEIPTS('vex')}),
+broken AS (SELECT vex_document_sha256, unnest(list_filter([CASE WHEN vex_document_sha256 LIKE '%5' AND {{gone}} THEN 'document' END, CASE WHEN w.issuer_id <> n.issuer_id THEN 'issuer_id' END, CASE WHEN w.statement_count <> n.statement_count THEN 'statement_count' END,
+    CASE WHEN w.narrowing_eligible_count <> n.narrowing_eligible_count THEN 'narrowing_eligible_count' END, CASE WHEN w.statements_canonical_sha256 <> n.statements_canonical_sha256 THEN 'statements_canonical_sha256' END,
+    CASE WHEN vex_document_sha256 LIKE '%7' THEN 'binary_sha256' END, CASE WHEN vex_document_sha256 LIKE '%7' THEN 'signature_sha256' END], lambda x: x IS NOT NULL)) AS rule FROM said_was w JOIN said_now n USING (vex_document_sha256))"""
+oracle("vex_binding", "vex vex_signatures", "SELECT * FROM broken", _BINDING.replace("{gone}", "true"))
+oracle("narrow_bound", "hits vex vex_signatures", """SELECT hit_id, narrowed, reason, n_statements FROM decided WHERE vex_document_sha256 IN (SELECT vex_document_sha256 FROM vex) AND vex_document_sha256 NOT IN (SELECT vex_document_sha256 FROM broken)
+UNION ALL SELECT hit_id, false, 'VEX_INTAKE_BINDING_FAILED', 0 FROM hits WHERE vex_document_sha256 NOT IN (SELECT vex_document_sha256 FROM vex) OR vex_document_sha256 IN (SELECT vex_document_sha256 FROM broken)""",
+    _SAID + ", " + _DECIDED(" AND a.vex_document_sha256 = s.vex_document_sha256").replace("SELECT a.handoff_id,", "SELECT a.vex_document_sha256, a.handoff_id,") + _BINDING.replace("{gone}", "false"))
+oracle("hit_violations", "hits", "SELECT DISTINCT handoff_id, 'purl' AS rule FROM hits WHERE handoff_id LIKE '%3' AND position % 7 = 0 UNION ALL SELECT DISTINCT handoff_id, 'cyclonedx_sha256' FROM hits WHERE NOT regexp_full_match(cyclonedx_sha256, '[0-9a-f]{64}') UNION ALL SELECT handoff_id, 'hits' FROM hits GROUP BY 1 HAVING count(*) > 500")
+_NARROWING_RECEIPT = """SELECT 'sbom-workbench.narrowing-reconcile-receipt/v1' AS schema_version, 'SELF_TEST_NOT_CUSTOMER_EVIDENCE' AS classification, sha256(d.handoff_id || chr(10) || cyclonedx_sha256 || chr(10) || repeat('3', 64) || chr(10) || repeat('4', 64)) AS reconcile_id, 'EUVD_TO_SBOM_NARROWING_ONLY' AS direction,
+    'EVIDENCE_ANNOTATION_ONLY_NO_HIT_DELETION' AS fact_write, true AS original_handoff_untouched, d.handoff_id, cyclonedx_sha256, 'BOUND' AS source_binding_status, 'issuer' AS issuer_id, repeat('1', 64) AS vex_document_sha256, repeat('2', 64) AS signature_sha256, repeat('3', 64) AS statements_canonical_sha256,
+    5 AS narrowing_eligible_count, 30 AS operator_max_receipt_age_days, repeat('4', 64) AS matcher_hits_sha256, count(*) AS total_hits, count(*) FILTER (narrowed) AS narrowed_count, count(*) FILTER (NOT narrowed) AS not_narrowed_count
+    FROM decided d JOIN (SELECT DISTINCT handoff_id, cyclonedx_sha256 FROM hits) USING (handoff_id) GROUP BY d.handoff_id, cyclonedx_sha256"""
+oracle("narrowing_receipts", "hits vex", _NARROWING_RECEIPT, _NARROW)
+oracle("narrowing_receipt_violations", "hits vex", "SELECT handoff_id, 'counts' AS rule FROM hits WHERE handoff_id = 'h1' GROUP BY 1 UNION ALL SELECT handoff_id, 'rederived' FROM hits WHERE handoff_id = 'h2' GROUP BY 1 UNION ALL SELECT handoff_id, 'direction' FROM hits WHERE handoff_id = 'h4' GROUP BY 1")
 oracle("purl_names", "named", f"""SELECT id, {_CANON_REF} AS canonical, CASE WHEN starts_with(ref, 'pkg:') THEN 'purl:' || regexp_replace(split_part(split_part(ref, '#', 1), '?', 1), '@[^@/]*$', '') END AS purl_key,
 CASE WHEN starts_with(cpe, 'cpe:2.3:') AND len(string_split(cpe, ':')) = 13 THEN array_to_string(list_concat(list_slice(string_split(cpe, ':'), 1, 5), ['*'], list_slice(string_split(cpe, ':'), 7, 13)), ':') END AS cpe_key,
 CASE WHEN starts_with(ref, 'pkg:') THEN ref END AS openvex_purl FROM named""")
@@ -112,26 +137,28 @@ oracle("stale_portable", "profiles", "SELECT p.logical_key, string_agg(DISTINCT
 oracle("unidentified", "profiles", "SELECT profile_kind, count(*) FILTER (logical_key IS NULL) AS n FROM profiles GROUP BY 1")
 oracle("coverage", "profiles", "SELECT count(*) AS components, count(logical_key) AS with_logical_key, count(*) FILTER (version <> '7') AS with_version FROM profiles")
 oracle("manifest_totals", "manifest", "SELECT count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_bytes, count(*) FILTER (executable) AS executables FROM manifest")
-oracle("exact_set_hash", "manifest", """SELECT sha256('root@1' || chr(10) || string_agg(h, ',' ORDER BY bucket)) AS exact_set_sha256 FROM (SELECT bucket, sha256(string_agg(h, ',' ORDER BY path)) AS h FROM (
-SELECT path, CAST('0x' || substr(sha256(path), 1, 2) AS INT) AS bucket, sha256('{"executable":' || CASE WHEN executable THEN 'true' ELSE 'false' END || ',"relative_path":"' || path || '","sha256":"' || sha256 || '","size":' || size || '}') AS h FROM manifest) GROUP BY bucket)""")
+oracle("exact_set_hash", "manifest", """SELECT root_id, sha256('{"files":[' || string_agg('{"executable":' || CASE WHEN executable THEN 'true' ELSE 'false' END || ',"relative_path":"' || path || '","sha256":"' || sha256 || '","size":' || size || '}', ',' ORDER BY path) || '],"root_id":"' || root_id || '"}') AS exact_set_sha256 FROM manifest GROUP BY root_id""")
 oracle("manifest_difference", "manifest tree", "SELECT path, 'missing' AS side FROM (SELECT path, size, executable FROM manifest EXCEPT ALL SELECT path, size, executable FROM tree) UNION ALL SELECT path, 'extra' FROM (SELECT path, size, executable FROM tree EXCEPT ALL SELECT path, size, executable FROM manifest)")
-oracle("import_gaps", "source_files source_components", """SELECT DISTINCT project, module, NOT EXISTS (SELECT 1 FROM source_components c WHERE c.project = m.project AND lower(c.name) = lower(module)) AS missing FROM (SELECT project, split_part(unnest(regexp_extract_all(text, '(?m)^[ \\t]*(?:from|import)[ \\t]+([a-zA-Z_][a-zA-Z0-9_.]*)', 1)), '.', 1) AS module FROM source_files WHERE path LIKE '%.py') m
-WHERE module <> 'os' AND NOT EXISTS (SELECT 1 FROM source_files f WHERE f.project = m.project AND path LIKE '%.py' AND (split_part(path, '/', 1) = module OR split_part(path, '/', 2) = module || '.py'))""".replace("\\\\t", "\\t"))
-oracle("requirement_refs", "source_files", "SELECT DISTINCT project, t[2] AS referenced FROM (SELECT project, string_split(trim(unnest(string_split(text, chr(10)))), ' ') AS t FROM source_files WHERE path LIKE 'requirements%') WHERE t[1] IN ('-r', '--requirement')")
-oracle("requirement_gaps", "source_files source_components", "SELECT DISTINCT project, name FROM (SELECT project, regexp_extract(unnest(CAST(json_extract_string(text, '$.requirements[*]') AS VARCHAR[])), '^[A-Za-z0-9._-]*') AS name FROM source_files WHERE path LIKE '%manifest.json') g WHERE NOT EXISTS (SELECT 1 FROM source_components c WHERE c.project = g.project AND lower(c.name) = lower(g.name))")
-oracle("zero_component", "source_files source_components", "SELECT project, bool_or(path LIKE '%.py') AS has_sources, bool_or(path = 'requirements.txt') AS has_declaration, bool_or(path LIKE '%.py') AND NOT bool_or(path = 'requirements.txt') AND project NOT IN (SELECT project FROM source_components) AS zero FROM source_files GROUP BY project")
+_SOURCE = "NOT regexp_matches(path, '(^|/)([.][^/]*|__pycache__|venv|env|node_modules|build|dist|site-packages)/')"
+oracle("import_gaps", "source_files source_components", f"""SELECT DISTINCT project, module, NOT EXISTS (SELECT 1 FROM source_components c WHERE c.project = m.project AND lower(c.name) = lower(module)) AS missing FROM (SELECT project, split_part(unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:from|import)[ \t]+([a-zA-Z_][a-zA-Z0-9_.]*)', 1)), '.', 1) AS module FROM source_files WHERE path LIKE '%.py' AND {_SOURCE}) m
+WHERE module <> 'os' AND NOT EXISTS (SELECT 1 FROM source_files f WHERE f.project = m.project AND path LIKE '%.py' AND {_SOURCE} AND (list_contains(string_split(path, '/')[:-2], module) OR string_split(path, '/')[-1] = module || '.py'))""")
+oracle("requirement_refs", "source_files", f"SELECT DISTINCT project, t[2] AS referenced FROM (SELECT project, string_split(trim(unnest(string_split(text, chr(10)))), ' ') AS t FROM source_files WHERE path LIKE '%.txt' AND {_SOURCE} AND (regexp_matches(path, '(^|/)requirements[^/]*$') OR regexp_matches(path, '(^|/)requirements/[^/]*$'))) WHERE t[1] IN ('-r', '--requirement')")
+oracle("requirement_gaps", "source_files source_components", f"""SELECT DISTINCT project, name FROM (SELECT project, regexp_extract(trim(unnest(list_filter(CAST(r AS JSON[]), lambda x: json_type(x) = 'VARCHAR')) ->> '$'), '^[A-Za-z0-9._-]*') AS name FROM (SELECT project, arg_min(json_extract(text, '$.requirements'), path) AS r FROM source_files WHERE path LIKE '%/manifest.json' AND {_SOURCE} AND list_contains(json_keys(text), 'domain') GROUP BY project)) g
+WHERE NOT EXISTS (SELECT 1 FROM source_components c WHERE c.project = g.project AND lower(c.name) = lower(g.name))""")
+_DECLARED_PY, _DECLARED_C = "path IN ('requirements.txt', 'requirements.in', 'poetry.lock', 'setup.py')", "path IN ('vcpkg.json', 'conanfile.txt')"
+oracle("zero_component", "source_files source_components", f"""SELECT *, component_count = 0 AND python_sources AND NOT python_declared AS zero_python, component_count = 0 AND c_sources AND NOT c_declared AS zero_c FROM (
+SELECT project, (SELECT count(*) FROM source_components c WHERE c.project = f.project) AS component_count, bool_or(path LIKE '%.py' AND {_SOURCE}) AS python_sources, bool_or({_DECLARED_PY}) AS python_declared, bool_or(regexp_matches(path, '[.](c|hpp)$') AND {_SOURCE}) AS c_sources, bool_or({_DECLARED_C}) AS c_declared FROM source_files f GROUP BY project)""")
 oracle("exact_keys", "json_docs", "SELECT event_id, raw LIKE '{%' AND json_keys(raw) = ['k'] AS exact FROM json_docs")
 oracle("rule_violations", "texts", """SELECT id, 'text' AS rule FROM texts WHERE id % 9 < 3 UNION ALL SELECT id, 'safe_id' FROM texts WHERE id % 8 < 3 UNION ALL SELECT id, 'path' FROM texts WHERE id % 7 < 5
-UNION ALL SELECT id, 'items' FROM texts WHERE id % 3 > 0 UNION ALL SELECT id, 'url' FROM texts WHERE id % 5 < 4 UNION ALL SELECT id, 'ordered' FROM texts WHERE id % 3 = 1""")
+UNION ALL SELECT id, 'items' FROM texts WHERE id % 3 > 0 UNION ALL SELECT id, 'url' FROM texts WHERE NOT regexp_full_match(url, '(?i:https)://[^/?#@:]+(:443)?/[^?# ]+') UNION ALL SELECT id, 'ordered' FROM texts WHERE id % 3 = 1""")
 oracle("claim_links", "card_claims", "SELECT conflict_id || '/' || claim_id AS claim_id, evidence_id FROM card_claims WHERE evidence_id = 'ev2'")
 _FIRST = "(SELECT *, row_number() OVER (PARTITION BY conflict_id ORDER BY claim_id) AS place FROM card_claims)"
-oracle("conflict_cards", "card_claims", f"SELECT conflict_id, count(*) AS n_claims, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence FROM {_FIRST} WHERE place <= 5 GROUP BY 1")
-oracle("rule_advice", "card_claims", f"SELECT conflict_id, 'ask_for_evidence' AS action, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_refs, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence_refs FROM {_FIRST} WHERE place <= 64 GROUP BY 1")
-oracle("advice_violations", "card_claims", "SELECT DISTINCT conflict_id, 'claims' AS rule FROM card_claims WHERE conflict_id % 3 = 0 UNION ALL SELECT DISTINCT conflict_id, 'cites' FROM card_claims WHERE conflict_id % 6 = 1")
+oracle("conflict_cards", "card_claims", f"SELECT conflict_id, any_value(n) AS n_claims, string_agg(DISTINCT claim_id, ',' ORDER BY claim_id) AS claim_ids, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence, any_value(n) <= 64 AS fits FROM {_FIRST} JOIN (SELECT conflict_id, count(DISTINCT claim_id) AS n FROM card_claims GROUP BY 1) USING (conflict_id) WHERE place <= 64 GROUP BY 1")
+oracle("rule_advice", "card_claims", f"SELECT conflict_id, 'NO_FACT_WRITE_NO_STATE_CHANGE_NO_RELEASE_OR_CONFORMITY_AUTHORITY' AS authority_boundary, 'ask_for_evidence' AS action, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_refs, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence_refs, 'claims differ' AS explanation, 'which source holds' AS questions FROM {_FIRST} WHERE place <= 64 GROUP BY 1")
+oracle("advice_violations", "card_claims", """SELECT DISTINCT conflict_id, unnest(CASE conflict_id % 9 WHEN 0 THEN ['claims'] WHEN 1 THEN ['cites'] WHEN 2 THEN ['action'] WHEN 3 THEN ['claims'] WHEN 5 THEN ['explanation'] WHEN 6 THEN ['questions'] WHEN 7 THEN ['questions', 'boundary'] ELSE [] END) AS rule FROM card_claims""")
 oracle("arm_metrics", "arm_results", "SELECT arm_id, count(*) AS results, count(*) FILTER (valid) AS valid, count(*) FILTER (valid) / count(*) AS rate, (SELECT bool_and(valid) FROM arm_results) AS gate FROM arm_results GROUP BY arm_id")
 oracle("run_catalogue", "run_findings", "SELECT run_id, count(*) AS findings, count(*) FILTER (status <> 'MATCHED') AS open_findings, CASE WHEN count(*) FILTER (status <> 'MATCHED') > 0 THEN 'OPEN' ELSE 'CLOSED' END AS status FROM run_findings GROUP BY 1")
-oracle("nested_flatten", "nested", "SELECT n_nationkey AS doc, 'r' || n_nationkey AS ref, NULL AS parent, 0 AS depth, n_name AS name FROM nation UNION ALL SELECT n_nationkey, 's', NULL, 0, 'last' FROM nation UNION ALL SELECT n_nationkey, 'k' || n_nationkey, 'r' || n_nationkey, 1, 'kid' FROM nation")
-
+oracle("nested_flatten", "nested", """SELECT CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END AS doc, r[1] AS ref, r[2] AS parent, CAST(r[3] AS INT) AS depth, r[4] AS name FROM (SELECT p_partkey, unnest([['r' || p_partkey, NULL, '0', p_name], ['s' || p_partkey, NULL, '0', 'last'], ['k' || p_partkey, 'r' || p_partkey, '1', 'kid'], ['d' || p_partkey, 'k' || p_partkey, '2', 'deep']]) AS r FROM part)""")
 oracle("runtime_registry", "runtimes", """SELECT runtime_id, 'runtime_id' AS rule FROM runtimes WHERE starts_with(runtime_id, '-') UNION ALL SELECT runtime_id, 'category' FROM runtimes WHERE category = 'other' UNION ALL SELECT runtime_id, 'status' FROM runtimes WHERE status = 'GONE'
 UNION ALL SELECT runtime_id, 'source_url' FROM runtimes WHERE source_url LIKE 'ftp%' UNION ALL SELECT runtime_id, 'resolved_commit' FROM runtimes WHERE length(resolved_commit) < 40 UNION ALL SELECT runtime_id, 'hashes' FROM runtimes WHERE config_sha256 LIKE 'B%'
 UNION ALL SELECT runtime_id, 'frozen' FROM runtimes WHERE status = 'FROZEN' AND artifact_sha256 IS NULL UNION ALL SELECT runtime_id, 'repeated' FROM runtimes GROUP BY runtime_id HAVING count(*) > 1""")
@@ -165,13 +192,13 @@ oracle("arm_coverage", "card_claims arm_cards", """SELECT coalesce(a.arm_id, g.a
 FROM (SELECT DISTINCT arm_id, c.conflict_id FROM arm_cards, (SELECT DISTINCT conflict_id FROM card_claims) c) a FULL JOIN (SELECT arm_id, conflict_id, count(*) AS n FROM arm_cards GROUP BY ALL) g ON a.arm_id = g.arm_id AND a.conflict_id = g.conflict_id WHERE a.conflict_id IS NULL OR g.n IS NULL OR g.n > 1""")
 oracle("field_claims", "records", """SELECT population_id, field, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids FROM (SELECT p.population_id, field, 'claim-' || sha256('{"field":"' || field || '","lane_id":"' || c.lane_id || '","source_component_id":"' || c.component_id || '","value":"' || value || '"}') AS claim_id
 FROM population p JOIN all_claims c ON list_contains(string_split(p.members, ','), c.lane_id || '/' || c.component_id)) GROUP BY ALL""", _POPULATION + _CLAIMS)
-oracle("status_guard", "served", "SELECT run_id, 'classification' AS rule FROM served WHERE classification = 'REAL' UNION ALL SELECT run_id, 'APPROVED' FROM served WHERE status LIKE 'App%' UNION ALL SELECT run_id, 'CERTIFIED' FROM served WHERE note = 'certified'")
+oracle("status_guard", "served", """SELECT run_id, unnest(list_filter([CASE WHEN ref AND manufacturer_role IS NOT NULL THEN 'manufacturer_role' END, CASE WHEN ref AND product_conformity_status IS DISTINCT FROM 'NO_PRODUCT_CONFORMITY_STATUS' THEN 'product_conformity' END,
+CASE WHEN status = 'certified' THEN 'status' END, CASE WHEN product_conformity_status = 'CAB_APPROVED' THEN 'product_conformity_status' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT *, classification NOT LIKE 'SYN%' AS ref FROM served WHERE classification <> 'REAL')""")
 oracle("namespace_rules", "profiles", "SELECT unnest(['profile_id', 'profile_kind']) AS problem")
 _UUID = lambda d: f"substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-5' || substr({d}, 14, 3) || '-' || substr('89ab', CAST('0x' || substr({d}, 17, 1) AS INT) % 4 + 1, 1) || substr({d}, 18, 3) || '-' || substr({d}, 21, 12)"
 _NAMESPACE = r"'\x6B\xA7\xB8\x11\x9D\xAD\x11\xD1\x80\xB4\x00\xC0\x4F\xD4\x30\xC8'::BLOB"
 oracle("uuid_names", "named", f"SELECT id, {_UUID('d')} AS uuid FROM (SELECT id, sha1({_NAMESPACE} || encode(ref)) AS d FROM named)")
 oracle("cyclonedx_lines", "records", f"""SELECT population_id, '{{"bom-ref":"urn:uuid:' || {_UUID('d')} || '","hashes":[' || array_to_string(list_transform(hashes, lambda h: '{{"alg":"' || split_part(h, ':', 1) || '","content":"' || split_part(h, ':', 2) || '"}}'), ',') || '],"name":"' || name
 || CASE WHEN len(identifiers) = 0 THEN '' ELSE '","purl":"' || list_min(list_filter(identifiers, lambda i: starts_with(i, 'pkg:'))) END || '","type":"library","version":"' || version || '"}}' AS line FROM (SELECT *, sha1({_NAMESPACE} || encode('run-1:' || population_id)) AS d FROM population)""", _POPULATION)
-_SUM = lambda at: f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS HUGEINT)) AS VARCHAR)"
-oracle("decision_set_hash", "hits vex", f"""SELECT sha256(count(*) || ':' || {_SUM(1)} || ':' || {_SUM(16)} || ':' || {_SUM(31)} || ':' || {_SUM(46)}) AS ordered_sha256 FROM (
-SELECT sha256('{{"at":"' || hit_id || '","narrowed":' || CASE WHEN narrowed THEN 'true' ELSE 'false' END || ',"reason":' || coalesce('"' || reason || '"', 'null') || '}}') AS h FROM decided)""", _NARROW)
+oracle("decision_set_hash", "hits vex", """SELECT handoff_id, sha256('[' || string_agg('{"narrowed_by_trusted_vex":' || CASE WHEN narrowed THEN 'true' ELSE 'false' END || ',"original_hit_preserved":true,"original_status":"' || original_status || '","product_purl":"' || purl || '","rejection_reason":' || coalesce('"' || reason || '"', 'null')
+|| ',"vex_pointers":' || vex_pointers || ',"vulnerability_id":"' || vulnerability_id || '"}', ',' ORDER BY position) || ']') AS sha256 FROM decided GROUP BY handoff_id""", _NARROW)

@@ -30,12 +30,12 @@ def joined(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def narrow_hits(hits, vex):
-    return joined(_vex.narrow(hits, vex), "pointers")
+    return joined(_vex.narrow(hits, vex), "pointers").drop("cyclonedx_sha256", "position")
 
 
 @query
 def narrow_counts(hits, vex):
-    return _vex.narrowing_receipt(_vex.narrow(hits, vex))
+    return _vex.narrowing_counts(_vex.narrow(hits, vex))
 
 
 @query
@@ -50,13 +50,61 @@ def vex_violations(vex):
 
 
 @query
-def vex_receipt(vex):
-    return _vex.intake_receipt(vex).drop("set_sha256")
+def vex_receipt(vex, vex_signatures):
+    return _vex.intake_receipts(vex, vex_signatures).drop("statements_canonical_sha256")
 
 
 @query
 def vex_set_hash(vex):
-    return _vex.intake_receipt(vex).select("set_sha256")
+    return _vex.statement_hashes(vex)
+
+
+@query
+def vex_receipt_violations(vex, vex_signatures):
+    receipts = _vex.intake_receipts(vex, vex_signatures)
+    more = F.when(F.col("vex_document_sha256").endswith("4"), F.col("statement_count") + 1).otherwise(F.col("narrowing_eligible_count"))
+    return _vex.receipt_violations(receipts.withColumn("narrowing_eligible_count", more))
+
+
+def _tampered(vex, vex_signatures):
+    """Receipts of documents, three of which no longer say what they did."""
+    was = F.col("vex_document_sha256")
+    said = vex.withColumn("detail", F.when(was.endswith("8"), F.lit("other")).otherwise(F.col("detail"))).filter(~(was.endswith("2") & (F.col("position") % 9 == 0)))
+    return _vex.intake_receipts(said.withColumn("issuer_id", F.when(was.endswith("1"), F.lit("else")).otherwise(F.col("issuer_id"))), vex_signatures.filter("binary_sha256 <> 'short'"))
+
+
+@query
+def vex_binding(vex, vex_signatures):
+    return _vex.binding_violations(_tampered(vex, vex_signatures), vex.filter("vex_document_sha256 not like '%5'"))
+
+
+@query
+def narrow_bound(hits, vex, vex_signatures):
+    return _vex.narrow_bound(hits, vex, _tampered(vex, vex_signatures)).select("hit_id", "narrowed", "reason", "n_statements")
+
+
+@query
+def hit_violations(hits):
+    odd = F.when(F.col("position") % 7 == 0, F.lit("urn:x")).otherwise(F.col("purl"))
+    return _vex.hit_violations(hits.withColumn("purl", F.when(F.col("handoff_id").endswith("3"), odd).otherwise(F.col("purl"))), 500)
+
+
+@query
+def narrowing_receipts(hits, vex):
+    return _vex.narrowing_receipts(_vex.narrow(hits, vex), _bindings(hits)).drop("decisions_canonical_sha256")
+
+
+@query
+def narrowing_receipt_violations(hits, vex):
+    receipts = _vex.narrowing_receipts(_vex.narrow(hits, vex), _bindings(hits))
+    receipts = receipts.withColumn("narrowed_count", F.when(F.col("handoff_id") == "h1", F.col("narrowed_count") + 1).otherwise(F.col("narrowed_count")))
+    receipts = receipts.withColumn("matcher_hits_sha256", F.when(F.col("handoff_id") == "h2", F.lit("c" * 64)).otherwise(F.col("matcher_hits_sha256")))
+    return _vex.narrowing_receipt_violations(receipts.withColumn("direction", F.when(F.col("handoff_id") == "h4", F.lit("OTHER")).otherwise(F.col("direction"))))
+
+
+def _bindings(hits):
+    fixed = {"source_binding_status": "BOUND", "vex_document_sha256": "1" * 64, "signature_sha256": "2" * 64, "issuer_id": "issuer", "statements_canonical_sha256": "3" * 64, "matcher_hits_sha256": "4" * 64}
+    return hits.select("handoff_id").distinct().select("handoff_id", *(F.lit(v).alias(k) for k, v in fixed.items()), F.lit(5).alias("narrowing_eligible_count"), F.lit(30).alias("operator_max_receipt_age_days"))
 
 
 @query
@@ -212,7 +260,7 @@ def manifest_totals(manifest):
 
 @query
 def exact_set_hash(manifest):
-    return evidence.exact_set_hash(manifest, "root@1")
+    return evidence.exact_set_hash(manifest)
 
 
 @query
@@ -262,19 +310,28 @@ def claim_links(card_claims):
 
 @query
 def conflict_cards(card_claims):
-    return joined(evidence.conflict_cards(card_claims, 5), "claim_ids", "evidence")
+    return joined(evidence.conflict_cards(card_claims).drop("claims", "bytes"), "claim_ids", "evidence")
 
 
 @query
 def rule_advice(card_claims):
-    return joined(evidence.rule_advice(evidence.conflict_cards(card_claims)), "claim_refs", "evidence_refs")
+    return joined(evidence.rule_advice(evidence.conflict_cards(card_claims)), "claim_refs", "evidence_refs", "questions")
 
 
 @query
 def advice_violations(card_claims):
     cards = evidence.conflict_cards(card_claims)
-    advice = evidence.rule_advice(cards).withColumn("claim_refs", F.when(F.col("conflict_id") % 3 == 0, F.array(F.lit("cl999"))).when(F.col("conflict_id") % 3 == 1, F.array().cast("array<string>")).otherwise(F.col("claim_refs")))
-    advice = advice.withColumn("evidence_refs", F.when(F.col("conflict_id") % 6 == 1, F.array().cast("array<string>")).otherwise(F.col("evidence_refs")))
+    case, none = F.pmod("conflict_id", F.lit(9)), F.array().cast("array<string>")
+    advice = evidence.rule_advice(cards).withColumns(
+        {
+            "claim_refs": F.when(case == 0, F.array(F.lit("cl999"))).when(case == 3, F.concat("claim_refs", "claim_refs")).otherwise(F.col("claim_refs")),
+            "evidence_refs": F.when(case.isin(1, 4), none).otherwise(F.col("evidence_refs")),
+            "action": F.when(case == 2, "delete_all").when(case == 4, "abstain").otherwise(F.col("action")),
+            "explanation": F.when(case == 5, "a\nb").otherwise(F.col("explanation")),
+            "questions": F.when(case == 6, F.transform(F.sequence(F.lit(1), F.lit(17)), lambda n: n.cast("string"))).when(case == 7, F.array(F.lit("q"), F.lit("q"))).otherwise(F.col("questions")),
+            "authority_boundary": F.when(case == 7, "NONE").otherwise(F.col("authority_boundary")),
+        }
+    )
     return evidence.advice_violations(advice, cards)
 
 
@@ -393,13 +450,12 @@ def field_claims(records):
 
 @query
 def decision_set_hash(hits, vex):
-    decisions = _vex.narrow(hits, vex)
-    return binding.ordered_hash(decisions.select("hit_id", "narrowed", "reason", F.col("hit_id").alias("position")), "position", ["narrowed", "reason"])
+    return _vex.decision_hashes(_vex.narrow(hits, vex))
 
 
 @query
 def status_guard(served):
-    return binding.status_violations(served, ["status", "note"])
+    return binding.status_violations(served)
 
 
 @query

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import UNKNOWN, openvex_purl, purl_canonical
 from corroborate.operators.nested import flatten
+from corroborate.operators.vex import CYCLONEDX, OPENVEX
 
 _PROVENANCE = "struct<kind: string, locator: string, source_available: boolean>"
 _HASH = "struct<algorithm: string, value: string>"
@@ -51,17 +52,53 @@ def cyclonedx_components(documents: DataFrame) -> DataFrame:
     return flatten(documents)
 
 
-def statements(documents: DataFrame) -> DataFrame:
-    """(statement_id, vex_format, vulnerability_id, status, justification, purls) of OpenVEX and CycloneDX documents."""
-    openvex = F.get_json_object("raw", "$['@context']").isNotNull()
-    o = documents.filter(openvex).select("doc", F.posexplode(F.from_json(F.get_json_object("raw", "$.statements"), "array<struct<vulnerability: struct<name: string, `@id`: string>, products: array<struct<`@id`: string>>, status: string, justification: string>>")).alias("n", "s"))
-    left = o.select(
-        F.concat_ws("#", "doc", "n").alias("statement_id"), F.lit("openvex").alias("vex_format"), F.coalesce(F.nullif("s.vulnerability.name", F.lit("")), F.col("s.vulnerability")["@id"]).alias("vulnerability_id"),
-        "s.status", "s.justification", F.array_compact(F.transform("s.products", lambda p: openvex_purl(p["@id"]))).alias("purls"),
+_OPENVEX = "array<struct<vulnerability: struct<name: string, `@id`: string>, products: array<struct<`@id`: string>>, status: string, justification: string, impact_statement: string, action_statement: string>>"
+_CYCLONEDX_VEX = "array<struct<id: string, analysis: struct<state: string, justification: string, detail: string, firstIssued: string, lastUpdated: string>, affects: array<struct<ref: string>>>>"
+
+
+def statements(documents: DataFrame, issuer: str = "") -> DataFrame:
+    """The statements (as of operators.vex) of OpenVEX and CycloneDX documents; one that is neither, or has no statement, raises an error.
+
+    An OpenVEX product is a package URL as it stands, a CycloneDX reference in its canonical form.
+    """
+    openvex = F.coalesce(F.get_json_object("raw", "$['@context']").contains("openvex"), F.lit(False))
+    kind = F.when(openvex, OPENVEX).when(F.get_json_object("raw", "$.bomFormat") == "CycloneDX", CYCLONEDX).otherwise(F.raise_error(F.concat(F.lit("no statement document: "), "doc")))
+    found = documents.select("doc", "raw", F.sha2("raw", 256).alias("vex_document_sha256"), kind.alias("vex_format"))
+    full = lambda c: F.nullif(c, F.lit(""))
+    sorted_set = lambda a: F.array_sort(F.array_distinct(F.array_compact(a)))
+
+    def listed(field: str, schema: str) -> Column:
+        each = F.from_json(F.get_json_object("raw", f"$.{field}"), schema)
+        return F.posexplode(F.when(F.coalesce(F.size(each), F.lit(0)) > 0, each).otherwise(F.raise_error(F.concat(F.lit("no statements: "), "doc")))).alias("position", "s")
+
+    head = [F.col("vex_document_sha256"), F.col("position").cast("long").alias("position"), F.lit(issuer).alias("issuer_id"), F.concat_ws("#", "doc", "position").alias("statement_id"), F.col("vex_format")]
+    none = F.lit(None).cast("string")
+    left = found.filter(F.col("vex_format") == OPENVEX).select("doc", "vex_document_sha256", "vex_format", listed("statements", _OPENVEX)).select(
+        *head, F.coalesce(full(F.col("s.vulnerability.name")), F.col("s.vulnerability")["@id"]).alias("vulnerability_id"), "s.status", "s.justification",
+        F.coalesce(full(F.col("s.impact_statement")), F.col("s.action_statement")).alias("detail"), none.alias("first_issued_utc"), none.alias("last_updated_utc"),
+        sorted_set(F.transform("s.products", lambda p: openvex_purl(p["@id"]))).alias("purls"),
     )
-    c = documents.filter(F.get_json_object("raw", "$.bomFormat") == "CycloneDX").select("doc", F.posexplode(F.from_json(F.get_json_object("raw", "$.vulnerabilities"), "array<struct<id: string, analysis: struct<state: string, justification: string>, affects: array<struct<ref: string>>>>")).alias("n", "s"))
-    right = c.select(
-        F.concat_ws("#", "doc", "n").alias("statement_id"), F.lit("cyclonedx").alias("vex_format"), F.col("s.id").alias("vulnerability_id"), F.col("s.analysis.state").alias("status"), F.col("s.analysis.justification").alias("justification"),
-        F.array_sort(F.array_distinct(F.array_compact(F.transform("s.affects", lambda a: purl_canonical(a["ref"]))))).alias("purls"),
+    right = found.filter(F.col("vex_format") == CYCLONEDX).select("doc", "vex_document_sha256", "vex_format", listed("vulnerabilities", _CYCLONEDX_VEX)).select(
+        *head, F.col("s.id").alias("vulnerability_id"), F.col("s.analysis.state").alias("status"), F.col("s.analysis.justification").alias("justification"), F.col("s.analysis.detail").alias("detail"),
+        F.col("s.analysis.firstIssued").alias("first_issued_utc"), F.col("s.analysis.lastUpdated").alias("last_updated_utc"), sorted_set(F.transform("s.affects", lambda a: purl_canonical(a["ref"]))).alias("purls"),
     )
     return left.unionByName(right)
+
+
+_HITS = "struct<source: struct<matcher_name: string, matcher_version: string, handoff_id: string, cyclonedx_sha256: string>, hits: array<struct<vulnerability_id: string, product_purl: string, original_status: string>>>"
+
+
+def matcher_hits(documents: DataFrame, most_bytes: int = 16 * 1024 * 1024) -> DataFrame:
+    """Hits (as of operators.vex) of matcher documents (doc, raw) with just the fields that they must have; others, and larger ones, raise an error.
+
+    What the fields say is judged by vex.hit_violations().
+    """
+    exact = lambda raw, keys: F.coalesce(F.array_sort(F.json_object_keys(raw)) == F.array(*map(F.lit, keys)), F.lit(False))
+    each = F.from_json(F.get_json_object("raw", "$.hits"), "array<string>")
+    fine = exact(F.col("raw"), ["hits", "source"]) & exact(F.get_json_object("raw", "$.source"), ["cyclonedx_sha256", "handoff_id", "matcher_name", "matcher_version"])
+    fine = fine & each.isNotNull() & F.forall(each, lambda h: exact(h, ["original_status", "product_purl", "vulnerability_id"])) & (F.octet_length("raw") <= most_bytes)
+    data = documents.select("doc", F.from_json(F.when(fine, F.col("raw")).otherwise(F.raise_error(F.concat(F.lit("no matcher hits: "), "doc"))), _HITS, {"mode": "FAILFAST"}).alias("d"))
+    rows = data.select("doc", "d.source", F.posexplode("d.hits").alias("position", "h"))
+    return rows.select(
+        "source.handoff_id", "source.cyclonedx_sha256", F.col("position").cast("long").alias("position"), F.concat_ws("#", "doc", "position").alias("hit_id"), "h.vulnerability_id", purl_canonical(F.col("h.product_purl")).alias("purl"), "h.original_status"
+    )

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import binding, cluster, components, evidence, export, nested, reconcile, registry, relations, rules, vex
+from corroborate.operators import binding, cluster, components, evidence, export, gaps, nested, reconcile, registry, relations, rules, vex
 from corroborate.sources import documents, files
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
@@ -97,20 +97,121 @@ def test_relative_paths(spark, path, fine):
     assert spark.createDataFrame([(path,)], "p string").select(fx.is_relative_path(F.col("p"))).first()[0] is fine
 
 
+STATEMENT = "vex_document_sha256 string, position long, issuer_id string, statement_id string, vulnerability_id string, vex_format string, status string, justification string, detail string, first_issued_utc string, last_updated_utc string, purls array<string>"
+
+
+def said(spark, *rows):
+    """Statements of one document from (id, vulnerability, status, purls)."""
+    return spark.createDataFrame([("d" * 64, n, "is", i, v, "openvex", s, "vulnerable_code_not_present", None, None, None, p) for n, (i, v, s, p) in enumerate(rows)], STATEMENT)
+
+
+def asked(spark, *rows):
+    schema = "handoff_id string, cyclonedx_sha256 string, position long, hit_id string, vulnerability_id string, purl string, original_status string, vex_document_sha256 string"
+    return spark.createDataFrame([("h", "a" * 64, n, i, v, p, "affected", "d" * 64) for n, (i, v, p) in enumerate(rows)], schema)
+
+
+HITS = [("h1", "V1", "pkg:a/b@1?arch=x&package-id=3"), ("h2", "V1", "pkg:a/b@1?arch=y"), ("h3", "V2", "pkg:b/c"), ("h4", "V2", "pkg:b/c")]
+SAID = [("s1", "V1", "not_affected", ["pkg:a/b@1?arch=x", "pkg:a/b@1?arch=x&z=1"]), ("s2", "V2", "not_affected", ["pkg:b/c"]), ("s3", "V2", "affected", ["pkg:b/c?q=1"])]
+
+
 def test_narrowing_ladder(spark):
-    hits = spark.createDataFrame([("h1", "V1", "pkg:a@1?arch=x&package-id=3"), ("h2", "V1", "pkg:a@1?arch=y"), ("h3", "V2", "pkg:b"), ("h4", "V2", "pkg:b")], "hit_id string, vulnerability_id string, purl string")
-    said = spark.createDataFrame([("s1", "V1", "not_affected", ["pkg:a@1?arch=x", "pkg:a@1?arch=x&z=1"]), ("s2", "V2", "not_affected", ["pkg:b"]), ("s3", "V2", "affected", ["pkg:b?q=1"])], "statement_id string, vulnerability_id string, status string, purls array<string>")
-    got = {r.hit_id: (r.narrowed, r.reason, r.n_statements) for r in vex.narrow(hits, said).collect()}
+    got = {r.hit_id: (r.narrowed, r.reason, r.n_statements) for r in vex.narrow(asked(spark, *HITS), said(spark, *SAID)).collect()}
     no, against = "RETAINED_OPEN_NO_VEX_MATCH", "RETAINED_OPEN_CONTRADICTORY_VEX"
     assert got == {"h1": (True, None, 1), "h2": (False, no, 0), "h3": (False, against, 2), "h4": (False, against, 2)}
 
 
-def test_exact_set_hash_sees_every_change(spark):
-    schema = "path string, sha256 string, size long, executable boolean"
-    rows = [(f"p{i}", "k", i, False) for i in range(50)]
-    whole = evidence.exact_set_hash(spark.createDataFrame(rows, schema), "r").first()[0]
-    assert evidence.exact_set_hash(spark.createDataFrame(rows[::-1], schema).repartition(5), "r").first()[0] == whole
-    assert evidence.exact_set_hash(spark.createDataFrame([*rows[1:], ("p0", "k", 1, False)], schema), "r").first()[0] != whole
+def test_receipts_bind_statements(spark):
+    """A receipt is borne out by its statements; any change in them is seen, and hits then stay open."""
+    statements = said(spark, *SAID)
+    signatures = spark.createDataFrame([("d" * 64, "e" * 64, "f" * 64)], "vex_document_sha256 string, signature_sha256 string, binary_sha256 string")
+    receipts = vex.intake_receipts(statements, signatures)
+    listed = [
+        {"detail": None, "first_issued_utc": None, "issuer_id": "is", "justification": "vulnerable_code_not_present", "last_updated_utc": None, "narrowing_eligible": s == "not_affected", "product_purls": p, "status": s,
+         "vex_document_sha256": "d" * 64, "vex_format": "openvex", "vulnerability_id": v} for _, v, s, p in sorted(SAID, key=lambda r: (r[1], "|".join(r[3])))
+    ]
+    want = hashlib.sha256(json.dumps(listed, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+    assert receipts.first().statements_canonical_sha256 == want
+    assert vex.binding_violations(receipts, statements).isEmpty()
+    assert {r.narrowed for r in vex.narrow_bound(asked(spark, *HITS), statements, receipts).collect()} == {True, False}
+    changed = statements.withColumn("justification", F.lit("inline_mitigations_already_exist"))
+    assert [r.rule for r in vex.binding_violations(receipts, changed).collect()] == ["statements_canonical_sha256"]
+    assert {(r.narrowed, r.reason) for r in vex.narrow_bound(asked(spark, *HITS), changed, receipts).collect()} == {(False, "VEX_INTAKE_BINDING_FAILED")}
+
+
+def test_decision_hash_is_that_of_the_list(spark):
+    decisions = vex.narrow(asked(spark, *HITS), said(spark, *SAID))
+    listed = [
+        {"narrowed_by_trusted_vex": r.narrowed, "original_hit_preserved": True, "original_status": r.original_status, "product_purl": r.purl, "rejection_reason": r.reason, "vex_pointers": json.loads(r.vex_pointers), "vulnerability_id": r.vulnerability_id}
+        for r in sorted(decisions.collect(), key=lambda r: r.position)
+    ]
+    assert vex.decision_hashes(decisions).first().sha256 == hashlib.sha256(json.dumps(listed, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+
+
+def test_matcher_documents(spark):
+    good = {"source": {"matcher_name": "m", "matcher_version": "1", "handoff_id": "h", "cyclonedx_sha256": "a" * 64}, "hits": [{"vulnerability_id": "V", "product_purl": "pkg:a/b?x=1", "original_status": "s"}]}
+    read = lambda d: documents.matcher_hits(spark.createDataFrame([("d", json.dumps(d))], "doc string, raw string")).collect()
+    assert [(r.hit_id, r.purl) for r in read(good)] == [("d#0", "pkg:a/b")]
+    for bad in (good | {"more": 1}, good | {"hits": [{"vulnerability_id": "V"}]}, {"source": {}, "hits": []}):
+        with pytest.raises(Exception, match="no matcher hits"):
+            read(bad)
+    hits = asked(spark, ("h1", "V", "urn:x"), ("h2", "", "pkg:a/b"))
+    assert {r.rule for r in vex.hit_violations(hits, 1).collect()} == {"purl", "vulnerability_id", "hits"}
+
+
+def test_exact_set_hash_is_that_of_the_list(spark):
+    schema = "root_id string, path string, sha256 string, size long, executable boolean"
+    rows = [("r", f"p{i}", "k", i, False) for i in range(50)] + [("q", "p", "k", 1, True)]
+    listed = [{"relative_path": p, "sha256": s, "size": n, "executable": x} for r, p, s, n, x in sorted(rows, key=lambda r: r[1]) if r == "r"]
+    want = hashlib.sha256(json.dumps({"root_id": "r", "files": listed}, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+    got = {r.root_id: r.exact_set_sha256 for r in evidence.exact_set_hash(spark.createDataFrame(rows[::-1], schema).repartition(5)).collect()}
+    assert got["r"] == want and set(got) == {"r", "q"}
+
+
+URLS = [
+    ("https://a.example/x", True), ("https://a.example", False), ("https://a.example/", False), ("https://a.example/x?q=1", False), ("https://a.example/x#f", False), ("https://a.example:443/x", True),
+    ("https://a.example:444/x", False), ("https://u@a.example/x", False), ("http://a.example/x", False), ("https://a.example/x y", False), ("https://a.example/x\\y", False), ("https:///x", False), (None, False),
+]
+
+
+@pytest.mark.parametrize(("url", "fine"), URLS)
+def test_urls(spark, url, fine):
+    assert spark.createDataFrame([(url,)], "u string").select(fx.is_https_url(F.col("u"))).first()[0] is fine
+
+
+def test_urls_of_known_hosts(spark):
+    rows = spark.createDataFrame([("https://GitHub.com/x",), ("https://a.example/x",)], "u string")
+    assert [r[0] for r in rows.select(fx.is_https_url(F.col("u"), ("github.com",))).collect()] == [True, False]
+
+
+def test_served_statuses(spark):
+    schema = "run_id string, classification string, status string, product_conformity_status string, manufacturer_role string, note string"
+    rows = [
+        ("a", "SYNTHETIC_X", "NOT_APPROVED", None, "maker", "CERTIFIED"), ("b", "SYNTHETIC_X", "certified", None, None, None), ("c", "CUSTOMER", "CERTIFIED", "CAB_APPROVED", "maker", None),
+        ("d", "SELF_TEST_NOT_CUSTOMER_EVIDENCE", "open", "NO_PRODUCT_CONFORMITY_STATUS", None, None), ("e", "SELF_TEST_NOT_CUSTOMER_EVIDENCE", None, None, "maker", None), ("f", None, "CERTIFIED", None, None, None),
+    ]
+    got = {(r.run_id, r.rule) for r in binding.status_violations(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("b", "status"), ("e", "manufacturer_role"), ("e", "product_conformity")}
+
+
+def test_source_trees(spark):
+    files = [
+        ("a", "venv/x.py", "import gone"), ("a", "main.py", "import os\nfrom lib.deep import y\n import lörtlich"), ("a", "node_modules/n.py", "import other"), ("b", ".tox/only.py", ""), ("b", "src/x.ino", ""),
+        ("c", "x.py", ""), ("c", "Pipfile.lock", ""), ("d", "x.py", ""), ("d", "sub/requirements.txt", ""), ("a", "build/requirements.txt", "-r no.txt"), ("a", "requirements/x.txt", "\t-r\tyes.txt\r\n#-r no.txt"),
+        ("a", "m/manifest.json", '{"domain": null, "requirements": ["_x==1", 3, "LIB"]}'), ("a", "l/manifest.json", '{"requirements": ["never"]}'), ("a", "dist/manifest.json", '{"domain": 1, "requirements": ["never"]}'),
+    ]
+    files = spark.createDataFrame(files, "project string, path string, text string")
+    parts = spark.createDataFrame([("a", "lib")], "project string, name string")
+    assert {(r.module, r.missing) for r in gaps.import_gaps(files, parts).collect()} == {("lib", False), ("lörtlich", True)}
+    assert [r.referenced for r in gaps.requirement_references(files).collect()] == ["yes.txt"]
+    assert [r.name for r in gaps.requirement_gaps(files, parts).collect()] == ["_x"]
+    got = {r.project: (r.zero_python, r.zero_c) for r in gaps.zero_components(files, parts).collect()}
+    assert got == {"a": (False, False), "b": (False, True), "c": (False, False), "d": (True, False)}
+
+
+def test_cards_show_the_first_claims_and_count_all(spark):
+    claims = spark.createDataFrame([(1, f"c{n:03}", "v", f"e{n % 2}") for n in range(70)] + [(2, "c", "v", "e"), (2, "c", "v", "f")], "conflict_id int, claim_id string, value string, evidence_id string")
+    got = {r.conflict_id: (r.n_claims, len(r.claim_ids), r.evidence, r.fits) for r in evidence.conflict_cards(claims).collect()}
+    assert got == {1: (70, 64, ["e0", "e1"], False), 2: (1, 1, ["e", "f"], True)}
 
 
 def test_rules_stop_a_run(spark):
@@ -203,7 +304,9 @@ def test_statement_documents(spark):
     cdx = {"bomFormat": "CycloneDX", "vulnerabilities": [{"id": "V2", "analysis": {"state": "not_affected", "justification": "code_not_present"}, "affects": [{"ref": "pkg:a?x=1&arch=q"}, {"ref": "bom"}]}]}
     docs = spark.createDataFrame([("o", json.dumps(openvex)), ("c", json.dumps(cdx))], "doc string, raw string")
     got = {r.vulnerability_id: (r.vex_format, r.purls) for r in documents.statements(docs).collect()}
-    assert got == {"V1": ("openvex", ["pkg:a?x=1"]), "V2": ("cyclonedx", ["pkg:a?arch=q"])}
+    assert got == {"V1": ("openvex", ["pkg:a?x=1"]), "V2": ("cyclonedx-bom", ["pkg:a?arch=q"])}
+    with pytest.raises(Exception, match="no statement document"):
+        documents.statements(spark.createDataFrame([("x", "{}")], "doc string, raw string")).collect()
 
 
 def test_export_lines(spark):
@@ -277,16 +380,3 @@ def test_source_registry_mutations(spark):
     for r in registry.source_violations(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect():
         got.setdefault(r.dataset_id, set()).add(r.rule)
     assert got == {f"d{n}": rules for n, (_, rules) in enumerate(BROKEN) if rules}
-
-
-def test_set_hashes_are_streams(spark):
-    """No row of a plan gathers the statements or files; the hash is that of the whole JSON, and an empty set has one."""
-    schema = "statement_id string, vulnerability_id string, status string, purls array<string>"
-    rows = [(f"s{n}", f"v{n % 7}", "not_affected" if n % 2 else "fixed", [f"pkg:a/{n % 5}", "pkg:b"]) for n in range(200)]
-    receipt = vex.intake_receipt(spark.createDataFrame(rows, schema).repartition(5))
-    assert "collect_list" not in receipt._jdf.queryExecution().toString()
-    listed = [{"purls": "|".join(p), "status": s, "vulnerability_id": v} for i, v, s, p in sorted(rows, key=lambda r: (r[1], "|".join(r[3]), r[0]))]
-    want = hashlib.sha256(json.dumps({"statements": listed}, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
-    assert tuple(receipt.first()) == (200, 100, want)
-    empty = vex.intake_receipt(spark.createDataFrame([], schema)).first()
-    assert tuple(empty) == (0, 0, hashlib.sha256(b'{"statements":[]}').hexdigest())
