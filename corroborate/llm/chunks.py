@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_128_digest
 
-from corroborate.llm.bpe import slices
-from corroborate.llm.common import shuffle_parts, table
+from corroborate.llm.common import shuffle_parts, slices, table
 from corroborate.llm.spans import cut, keyed, on_tuples
 
 #: Bytes that decide on a cut (the gear hash has as many bits), the least and the greatest chunk, and one cut in so many bytes.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import WS, body, checkpointed, shuffle_parts, table
+from corroborate.llm.common import WS, body, checkpointed, fresh, hinted, shuffle_parts, table
 
 SLOTS = 4
 KICKS = 200
@@ -181,10 +181,11 @@ def groups(rows: DataFrame, n_rows: int) -> DataFrame:
     return part.repartition(shuffle_parts(rows.sparkSession, n_rows, DIGESTS_PER_PART), "digest").mapInArrow(partial(_fold, most=None), _PART_DDL)
 
 
-def digested(docs: DataFrame) -> DataFrame:
-    """id, code points, digest and a number for each row; checkpointed, so the texts are read once."""
+def digested(docs: DataFrame, *node: Column) -> DataFrame:
+    """id, code points, digest and a number for each row (and ``node``, if given); checkpointed, so the texts are read once."""
     return checkpointed(
         docs.select(
+            *(n.alias("node") for n in node),
             F.col("doc_id").cast("long").alias("id"),
             F.length(body()).cast("long").alias("points"),
             text_digest().alias("digest"),
@@ -210,13 +211,23 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (a pipeline stage); rules as in exact_dedup."""
-    rows = digested(docs)
-    best = groups(rows, rows.count()).select(F.col("digest").alias("__digest"), F.col("points").alias("__points"), F.col("id").alias("__id"))
-    keyed = docs.select("*", text_digest().alias("__digest"), F.length(body()).cast("long").alias("__points"))
-    found = (F.col("d.__digest") == F.col("b.__digest")) & (F.col("d.__points") == F.col("b.__points")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.__id"))
-    kept = keyed.alias("d").join(best.alias("b"), found, "left_semi")
-    return kept.dropDuplicates(["__digest", "__points", "doc_id"]).drop("__digest", "__points")
+    """The rows of ``docs`` that stay, with all their columns (a pipeline stage); rules as in exact_dedup.
+
+    Only ids and hashes are shuffled: rows whose (doc_id, text) does not stay are taken out by
+    an anti-join. Rows that repeat a doc_id and a text fully are set apart, and one of each stays.
+    """
+    rows = digested(docs, F.xxhash64(F.col("doc_id").cast("long"), body()))
+    best = checkpointed(groups(rows, rows.count()).filter("n > 1").select("digest", F.col("row").alias("keep_row")))
+    met = checkpointed(rows.join(best, "digest").select("node", "row", (F.col("row") == F.col("keep_row")).alias("stays")))
+    named = met.groupBy("node").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    node = fresh(docs, "node")
+    gone = checkpointed(named.filter("n > 1 or not stays").select(F.col("node").alias(node), "stays"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), body())
+    kept = docs.join(hinted(gone.select(node)), key == F.col(node), "left_anti")
+    repeated = gone.filter("stays").select(node)
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.withColumn(node, key).join(hinted(repeated), node, "left_semi").dropDuplicates([node]).drop(node))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from corroborate.llm.bpe import slices
-from corroborate.llm.common import body, checkpointed, shuffle_parts, table
+from corroborate.llm.common import body, checkpointed, shuffle_parts, slices, table
 
 #: Bytes of context. Up to 6 fit a key.
 ORDER = 5

@@ -10,17 +10,15 @@ a key fetches is verified on all 64 bits.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from corroborate.llm.bpe import slices
-from corroborate.llm.common import body, checkpointed, table
+from corroborate.llm.common import body, checkpointed, slices, table
 from corroborate.operators.components import components
 
 SEED = 42
@@ -119,169 +117,3 @@ def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
-
-
-#: Longs of a set's bitmap. Two bitmaps differ in no more bits than the sets differ in members.
-LONGS = 16
-#: Buckets of up to this size are compared whole at once, larger ones after a first round of links, in blocks of rows.
-SMALL, BLOCK = 9, 2000
-#: One in so many documents tells which shingles are common, from so many of them, and how many are named at most.
-SAMPLE, COMMON, NAMED = 16, 4, 65_536
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct shingles' digests, sorted."""
-    return np.unique(np.frombuffer(shingle_digests(text, words), dtype=">u8").astype(np.int64))
-
-
-def bitmap(shingles: np.ndarray) -> list[int]:
-    """LONGS longs: whether an odd number of shingles falls on each bit."""
-    bits = np.bincount(shingles & (64 * LONGS - 1), minlength=64 * LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in one order for all texts, of which two sets of ``similarity`` or more share one at least.
-
-    Common shingles (sorted, with their place in ``order``) come last; which ones they are
-    changes the size of buckets and no result.
-    """
-    at = np.minimum(np.searchsorted(common, shingles), max(len(common) - 1, 0))
-    rank = np.where(common[at] == shingles, order[at], 0) if len(common) else np.zeros(len(shingles), dtype=np.int64)
-    n = len(shingles)
-    return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
-
-
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray]]]:
-    """Batches of node, doc and text, with the rows that have shingles, and these."""
-    for batch in slices(batches, 2):
-        sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
-        kept = [n for n, s in enumerate(sets) if len(s)]
-        yield batch, kept, [sets[n] for n in kept]
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many of the sampled texts, sorted, and their places in ascending frequency from 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sets in _sets(batches, words):
-            for s in sets:
-                yield pa.RecordBatch.from_arrays([pa.array(s)], names=["token"])
-
-    counts = texts.filter(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    named = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(NAMED).collect()
-    tokens = np.array([r.token for r in named], dtype=np.int64)
-    places = np.arange(len(tokens), 0, -1, dtype=np.int64)
-    by = np.argsort(tokens)
-    return tokens[by], places[by]
-
-
-def _n(k: str) -> Column:
-    return F.shiftright(k, 32)
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose shingle sets have ``similarity`` or more.
-
-    Bitmaps first drop pairs that cannot have it; what is left is decided on the sets themselves.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, kept, sets in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    side = rows.select("node", _n("k").alias("n"), "bits").dropDuplicates(["node"])
-    both = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-    both = both.join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-    distance = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, d: total + d)
-    shared = F.floor((F.col("na") + F.col("nb") - distance) / 2)  # at most
-    left = checkpointed(both.filter(shared / (F.col("na") + F.col("nb") - shared) >= similarity).select("a", "b"))
-    asked = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    sets = checkpointed(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", "doc", "text").mapInArrow(run, "node long, shingles array<long>"))
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return checkpointed(both.filter(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b"))
-
-
-def _large(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different roots that meet in a bucket and that their bitmaps let pass, of members (token, node, k, root, bits)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        column = lambda name: group.column(name).to_numpy()
-        node, root, n, block = column("node"), column("root"), column("k") >> 32, column("block")
-        bits = np.stack(column("bits")).view(np.uint64)
-        crossed = group.column("lo")[0] != group.column("hi")[0]
-        found = []
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            ok = (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) / np.maximum(n[rest], n[i]) >= similarity)
-            if crossed:
-                ok &= block[rest] != block[i]
-            others = np.flatnonzero(ok) + i + 1
-            distance = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            shared = (n[others] + n[i] - distance) // 2
-            others = others[shared / (n[others] + n[i] - shared) >= similarity]
-            found.append(np.stack([np.minimum(node[others], node[i]), np.maximum(node[others], node[i])]))
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    sizes = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
-    dealt = members.join(sizes.filter("least < most").select("token", "blocks"), "token").withColumn("block", F.pmod("node", "blocks"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "node", "k", "root", "bits", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-    return dealt.groupBy("token", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, keep): documents in groups linked by ``similarity`` or more, with the one that stays (least doc_id, null first).
-
-    node is xxhash64(doc_id, text). The similarity is that of the sets of shingles of ``words``
-    words, and every pair that has it is linked: two such sets share a shingle of their
-    prefixes, which are the index. In a bucket a document first meets the one before all and
-    those before it, which is all of a small bucket; in larger ones, all pairs that these
-    links have not joined follow. Texts without words link to nothing.
-    """
-
-    doc_id = F.col("doc_id").cast("long")
-    texts = docs.select(F.xxhash64(doc_id, body()).alias("node"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc"), body().alias("text"))
-    common, order = _common(texts, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, kept, sets in _sets(batches, words):
-            at = pa.array(kept, pa.int64())
-            keys = [len(s) << 32 | int.from_bytes(xxh64_digest(s.tobytes(), SEED)[:4], "big") for s in sets]
-            prefixes = [prefix(s, common, order, similarity) for s in sets]
-            columns = [pa.array(keys, pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["node", "doc", "k", "bits", "prefix"])
-
-    # k: the number of shingles, and a hash of all of them, so that equal sets are neighbours.
-    rows = checkpointed(texts.mapInArrow(run, "node long, doc long, k long, bits array<long>, prefix array<long>"))
-    met = rows.select("node", "k", F.explode("prefix").alias("token"))
-    bucket = Window.partitionBy("token").orderBy("k", "node")
-    row = F.struct("k", "node")
-    partners = met.select("token", "k", "node", F.row_number().over(bucket).alias("place"), F.array(F.first(row).over(bucket), *(F.lag(row, n).over(bucket) for n in range(1, SMALL - 1))).alias("others"))
-    close = F.filter("others", lambda o: o.isNotNull() & (o["node"] != F.col("node")) & (F.shiftright(o["k"], 32) / _n("k") >= similarity))
-    pairs = F.transform(close, lambda o: F.struct(F.least("node", o["node"]).alias("a"), F.greatest("node", o["node"]).alias("b")))
-    large = F.when(F.col("place") == SMALL + 1, F.array(F.struct(F.col("token").alias("a"), F.lit(None).cast("long").alias("b"))))
-    found = checkpointed(partners.select(F.explode(F.concat(pairs, F.coalesce(large, F.array().cast("array<struct<a: bigint, b: bigint>>")))).alias("p")).select("p.a", "p.b").distinct())
-
-    links = _verified(found.filter("b is not null"), rows, texts, words, similarity)
-    roots = components(links)
-    tokens = found.filter("b is null").select(F.col("a").alias("token"))
-    if not tokens.isEmpty():
-        members = met.join(tokens, "token").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        members = members.join(rows.select("node", "bits").dropDuplicates(["node"]), "node")
-        more = _verified(_large(checkpointed(members), similarity), rows, texts, words, similarity)
-        if not more.isEmpty():
-            roots = components(links.union(more))
-    grouped = roots.join(rows.select("node", "doc").distinct(), "node")
-    return grouped.join(grouped.groupBy("root").agg(F.min(F.struct("doc", "node"))["node"].alias("keep")), "root").select("node", "keep")
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` less all but one document of each near-duplicate group, with all their columns (a pipeline stage).
-
-    Fully repeated rows are one document and stay together.
-    """
-    gone = similar_groups(docs, words, similarity).filter("node <> keep").select(F.col("node").alias("__node")).distinct()
-    return docs.join(gone, F.xxhash64(F.col("doc_id").cast("long"), body()) == F.col("__node"), "left_anti")

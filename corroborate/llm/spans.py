@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.bpe import slices
-from corroborate.llm.common import body
+from corroborate.llm.common import body, slices
 
 NO_ID = -(1 << 63)
 

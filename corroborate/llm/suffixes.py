@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from corroborate.llm.bpe import slices
-from corroborate.llm.common import checkpointed, shuffle_parts, table
+from corroborate.llm.common import checkpointed, shuffle_parts, slices, table
 from corroborate.llm.spans import cut, keyed, on_tuples
 
 #: Length of a repeat, and of the k-gram whose least hash makes a window's sample.
