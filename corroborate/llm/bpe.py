@@ -6,6 +6,8 @@ are taken in ascending order; a rank's pair is merged at all its positions from
 left to right, and the lists of the pairs that this breaks or makes are updated.
 A merge makes only pairs of higher rank than its own, so one ascending pass over
 the active ranks does what a search for the lowest rank in each word would do.
+The index covers the words of one slice of a partition that were not met before, so
+its size is bounded, whatever the partition's. Decoding takes ids alone.
 """
 
 from __future__ import annotations
@@ -18,20 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import body, table
+from corroborate.llm.common import body, slices, table
 
-#: A word's ids, the same joined by commas, and the text that they decode to.
-Word = tuple[tuple[int, ...], str, str]
+#: A word's ids, and the same joined by commas.
+Word = tuple[tuple[int, ...], str]
 #: Beyond every id: a pair is left * WIDE + right. END follows each word and is in no rule; GONE marks what a merge took.
 WIDE, END, GONE = 1 << 20, (1 << 20) - 1, -1
-#: Words whose ids a worker remembers (some 400 bytes each); beyond it only those met lately stay. A job of
-#: several stages, whose workers hold other things, too, remembers fewer.
-WORDS_KEPT, WORDS_KEPT_IN_STAGES = 600_000, 200_000
+#: Words whose ids a worker remembers (some 250 bytes each); beyond it only those met lately stay.
+WORDS_KEPT = 300_000
 #: Longer runs (no space for thousands of characters) are encoded but not remembered.
 LONGEST_KEPT = 256
 
@@ -134,9 +134,9 @@ class ByteBpe:
             out += [self.special[part]] if part in self.special else self.words.findall(part)
         return out
 
-    def _word(self, word: str, ids: list[int]) -> Word:
-        decoded = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
-        return tuple(ids), ",".join(map(str, ids)), word if decoded == word else decoded  # one string less to hold
+    @staticmethod
+    def _word(ids: list[int]) -> Word:
+        return tuple(ids), ",".join(map(str, ids))
 
     def encode_all(self, texts: list[str], kept: int = WORDS_KEPT) -> Iterator[list[Word]]:
         """The encoded words of each text."""
@@ -147,12 +147,12 @@ class ByteBpe:
         new = []
         for p in set().union(*pieces).difference(known):
             if isinstance(p, int):
-                known[p] = self._word("", [p])
+                known[p] = self._word([p])
             elif p in older:
                 known[p] = older[p]
             else:
                 new.append(p)
-        known.update(zip(new, map(self._word, new, self.encode_words(new)), strict=True))
+        known.update(zip(new, map(self._word, self.encode_words(new)), strict=True))
         for ps in pieces:
             yield [known[p] for p in ps]
         for p in new:
@@ -163,10 +163,9 @@ class ByteBpe:
     def ids(words: list[Word]) -> list[int]:
         return [i for word in words for i in word[0]]
 
-    @staticmethod
-    def decode(words: list[Word]) -> str:
-        """The text of the ids; words hold whole characters, so theirs can be joined."""
-        return "".join([word[2] for word in words])
+    def decode(self, ids: list[int]) -> str:
+        """The text of some ids, special tokens as they are written; bytes that are no UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -179,16 +178,20 @@ def tokenizer(name: str) -> ByteBpe:
     return _LOADED[name]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most about ``most`` bytes of text (or one row), so long texts do not pile up in a worker."""
-    for batch in batches:
-        start = size = 0
-        for n, length in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-            if n > start and size + (length or 0) > most:
-                yield batch.slice(start, n - start)
-                start, size = n, 0
-            size += length or 0
-        yield batch.slice(start)
+def _encoded(docs: DataFrame, vocabulary: str, columns: dict[str, str], of) -> DataFrame:
+    """doc_id and ``columns`` (name: type) of every row; ``of`` makes a column's values from (bpe, texts, words of each)."""
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(vocabulary)
+        for batch in slices(batches, 1):
+            texts = batch.column(1).to_pylist()
+            rows = [of(bpe, text, words) for text, words in zip(texts, bpe.encode_all(texts), strict=True)]
+            made = [pa.array(c, pa.list_(pa.int32()) if columns[n] == "array<int>" else None) for n, c in zip(names, zip(*rows, strict=True), strict=True)] if rows else [pa.array([], pa.null())] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *names])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {t}" for n, t in columns.items())]))
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -198,55 +201,40 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     empty and gives no ids; rows may repeat, null ids stay null; other columns are not
     read. Any other text decodes to itself.
     """
+    return _encoded(docs, vocabulary, {"ids": "array<int>", "decoded": "string"}, lambda bpe, _, words: ((ids := bpe.ids(words)), bpe.decode(ids)))
+
+
+def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """doc_id and text of every row of ``encoded`` (doc_id, ids: array of int); null ids are none and decode to an empty text, an unknown id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
-        for batch in slices(batches, 1):
-            ids, decoded = [], []
-            for words in bpe.encode_all(batch.column(1).to_pylist()):
-                ids.append(bpe.ids(words))
-                decoded.append(bpe.decode(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        for batch in batches:
+            texts = [bpe.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the ids decode to the text) of every row; rules as in encode()."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(vocabulary)
-        for batch in slices(batches, 1):
-            texts = batch.column(1).to_pylist()
-            ids, same = [], []
-            for text, words in zip(texts, bpe.encode_all(texts, WORDS_KEPT_IN_STAGES), strict=True):
-                ids.append(bpe.ids(words))
-                same.append(bpe.decode(words) == text)
-            columns = [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "round_trip"])
+    def of(bpe: ByteBpe, text: str, words: list[Word]) -> tuple[int, list[int], bool]:
+        ids = bpe.ids(words)
+        return len(ids), ids, bpe.decode(ids) == text
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return _encoded(docs, vocabulary, {"n_tokens": "long", "ids": "array<int>", "round_trip": "boolean"}, of)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """As encode(), with digests in the place of ids and decoded text, so neither leaves its task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(vocabulary)
-        for batch in slices(batches, 1):
-            n, ids_sha, text_sha = [], [], []
-            for words in bpe.encode_all(batch.column(1).to_pylist()):
-                n.append(sum([len(word[0]) for word in words]))
-                ids_sha.append(hashlib.sha256(",".join([word[1] for word in words]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(words).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+    def of(bpe: ByteBpe, _: str, words: list[Word]) -> tuple[int, str, str]:
+        ids = bpe.ids(words)
+        listed = ",".join([word[1] for word in words])
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, vocabulary, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, of)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
