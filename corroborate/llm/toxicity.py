@@ -1,14 +1,18 @@
 """Toxicity (operator 1) by weak supervision.
 
-Many voters, lexicons and patterns, say toxic, clean or nothing about a text. A
-generative label model estimates how accurate each is and how far voters repeat
-each other, from how often they agree, and gives each text a posterior. A linear
-classifier on the presence of words and word beginnings is trained on the posteriors.
+Some dozens of voters, lexicons and patterns, fire on a text or do not. A generative label
+model says how often each fires on toxic and on clean texts and how far voters repeat each
+other, and it is estimated from how often voters fire together on all training-side
+documents, labelled or not. Its posteriors are what a linear classifier on the presence of
+words and word beginnings is trained on. Labels choose the words of lexicons, say which way
+toxic is and how common it is; they are no votes.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,31 +21,37 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.bpe import slices
-from corroborate.llm.common import body, table
+from corroborate.llm.common import body, slices, table
 
-#: Labelled rows that the lexicons, the label model and the classifier are fitted on, at most: those with the least hash.
+#: Labelled rows that lexicons and the classifier are fitted on, at most: those with the least hash.
 FIT_ROWS = 20_000
 #: Words and word beginnings that the classifier may use, and lengths of the beginnings (0: the whole word).
 FEATURES, LENGTHS = 4096, (0, 4, 5, 6, 7)
+#: Lexicons, words in all of them, and what the log odds of these are above for sure (by so many standard errors).
+LEXICONS, LEXICON_WORDS, LEAST_ODDS, ERRORS = 24, 200, 1.0, 1.5
+#: Words of a text for each that a lexicon must hit.
+WORDS_A_HIT = 500
 #: Insults that count as toxic in any corpus.
 INSULTS = "asshole bastard bitch crap cretin damn disgusting dumb dumbass filth filthy freak garbage hate idiot idiotic imbecile jerk loser moron moronic pathetic pig retard scum scumbag shit shut slut stupid sucker trash ugly vermin whore worthless"
-#: Patterns that lean to toxic: second person with an insult's opening, masked profanity, shouting, strings of marks.
+#: Patterns that lean to toxic: second person with an insult's opening, masked profanity, shouting, strings of marks, threats, curses.
 PATTERNS = (
     r"\b(?:you|u|your?)(?:'?re| are)? (?:such )?an? \p{L}+[!.]",
     r"\b[a-z]{1,3}[*#@$%]{2,}[a-z]*\b",
     r"(?:\b\p{Lu}{4,}\b\W+){4,}",
     r"[!?]{3,}",
+    r"(?i)\b(?:kill|hurt|destroy|hate) (?:you|them|him|her)\b",
+    r"(?i)\bgo to hell\b|\bshut up\b|\bscrew you\b",
 )
-#: Word lists induced from labels, by the least log odds of their words.
-BANDS = (4.0, 3.0, 2.0)
-ROUNDS = 50
+#: The within-class correlation from which two voters are said to repeat each other.
+EDGE = 0.1
+#: Words whose features a worker remembers.
+WORDS_KEPT = 200_000
 
-_WORD = regex.compile(r"\p{L}+")
+_WORD = re.compile(r"[^\W\d_]+")
 _INSULTS = frozenset(INSULTS.split())
 _PATTERNS = tuple(map(regex.compile, PATTERNS))
 
@@ -71,7 +81,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
         for batch in slices(batches, 1):
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update(features_of(text))
-            if len(seen[0]) > 400_000:
+            if len(seen[0]) + len(seen[1]) > 400_000:
                 yield out()
                 seen[0].clear()
                 seen[1].clear()
@@ -82,108 +92,171 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The features in use with their log odds, and the voters made of them."""
+    """The features in use, and the voters made of them.
 
-    def __init__(self, odds: list[tuple[str, float]]):
-        self.number = {f: i for i, (f, _) in enumerate(odds)}
-        self.log_odds = [o for _, o in odds]
+    ``features``: each with the least that its log odds are likely to be. Those that most surely
+    lean to toxic are dealt to lexicons by their hash, so each lexicon holds words of all kinds.
+    """
 
-    def numbers(self, text: str) -> list[int]:
-        number = self.number
-        words = set(_WORD.findall(text.lower()))
-        return sorted({number[f] for w in words for f in self._of(w) if f in number})
+    def __init__(self, features: list[tuple[str, float]]):
+        ranked = sorted((-least, f) for f, least in features if least >= LEAST_ODDS)
+        chosen = {f for _, f in ranked[:LEXICON_WORDS]}
+        self.number = {f: i for i, (f, _) in enumerate(features)}
+        self.lexicon = [zlib.crc32(f.rstrip("-").encode()) % LEXICONS if f in chosen else LEXICONS for f, _ in features]
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def words(self, text: str) -> set[str]:
+        return set(_WORD.findall(text.lower()))
+
+    def numbers(self, words: set[str]) -> list[int]:
+        known = self.known
+        for w in words.difference(known):
+            known[w] = tuple(self.number[f] for f in (w, *(f"{w[:n]}-" for n in LENGTHS[1:] if len(w) > n)) if f in self.number)
+        found = sorted(set().union(*[known[w] for w in words]))
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        return found
+
+    def votes(self, text: str, words: set[str], numbers: list[int]) -> list[int]:
+        """1 for each voter that fires."""
+        hits = [0] * (LEXICONS + 1)
+        for i in numbers:
+            hits[self.lexicon[i]] += 1
+        needed = 1 + len(words) // WORDS_A_HIT
+        insults = len(words & _INSULTS)
+        return [*(int(h >= needed) for h in hits[:-1]), *(int(insults >= n) for n in (1, 2, 4)), *(int(p.search(text) is not None) for p in _PATTERNS)]
 
-    @staticmethod
-    def _of(word: str) -> list[str]:
-        return [word, *(f"{word[:n]}-" for n in LENGTHS[1:] if len(word) > n)]
 
-    def votes(self, text: str, numbers: list[int]) -> str:
-        """One sign for each voter: + toxic, - clean, 0 nothing."""
-        insults = sum(w in _INSULTS for w in _WORD.findall(text.lower()))
-        odds = [self.log_odds[i] for i in numbers]
-        signs = ["+" if insults >= n else "0" if n > 1 else "-" for n in (1, 2, 4)]
-        signs += ["+" if p.search(text) else "0" for p in _PATTERNS]
-        for band in BANDS:
-            hits = sum(o >= band for o in odds)
-            signs += ["+" if hits >= 1 else "-", "+" if hits >= 3 else "0"]
-        return "".join(signs)
+VOTERS = LEXICONS + 3 + len(PATTERNS)
 
 
-VOTERS = 3 + len(PATTERNS) + 2 * len(BANDS)
+def agreements(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """How many rows of ``texts`` (text) each two voters fire on together; in the last row and column: each alone, and all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((VOTERS + 1, VOTERS + 1))
+        for batch in slices(batches, 0):
+            rows = []
+            for text in batch.column(0).to_pylist():
+                own = words.words(text)
+                rows.append([*words.votes(text, own, words.numbers(own)), 1])
+            if rows:
+                fired = np.array(rows, dtype=np.float64)
+                total += fired.T @ fired
+        cells = np.arange(total.size)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total.ravel().astype(np.int64))], names=["cell", "n"])
+
+    cells = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros((VOTERS + 1) ** 2)
+    for r in cells.collect():  # one row for each two voters
+        out[r["cell"]] = r["n"]
+    return out.reshape(VOTERS + 1, VOTERS + 1)
 
 
 class LabelModel:
-    """Voters that err at their own rates, given whether a text is toxic; fitted to counts of vote patterns by EM.
+    """Voters that fire at their own rates on toxic and clean texts, and repeat each other within the classes.
 
-    The last voter is the annotator where a row has a label. The others are weighted by how
-    far they repeat each other: a voter that agrees with k others beyond what the classes
-    explain counts as one in 1 + k. Rates start from the belief that voters mean what they say.
+    Whatever the classes explain of how two voters fire together is a product of what each knows
+    of the class, so one factor is fitted to all pairs of voters. The pair that it leaves the
+    most correlation, EDGE or more, is taken out, as voters that repeat each other, and it is
+    fitted again, until none is left. A voter's log odds count less the more others repeat it: weights w solve
+    R w = 1 for the within-class correlations R, so two copies count a half each.
     """
 
-    SIGNS = "+0-"
-
-    def __init__(self, patterns: list[tuple[str, int]]):
-        signs = np.array([[self.SIGNS.index(s) for s in p] for p, _ in patterns])
-        n = np.array([c for _, c in patterns], dtype=float)
-        voters = signs.shape[1]
-        hot = np.eye(3)[signs]  # pattern, voter, sign
-        self.prior = 0.1
-        self.rates = np.tile(np.array([[0.6, 0.3, 0.1], [0.05, 0.35, 0.6]])[:, None, :], (1, voters, 1))  # class (toxic, clean), voter, sign
-        self.rates[:, -1] = [[0.96, 0.02, 0.02], [0.01, 0.02, 0.97]]
-        self.weight = np.ones(voters)
-        for turn in range(ROUNDS):
-            toxic = self._posterior(hot)
-            mass = np.stack([n * toxic, n * (1 - toxic)])
-            self.prior = min(0.5, max(1e-3, mass[0].sum() / max(1.0, n.sum())))
-            rates = (np.einsum("cp,pvs->cvs", mass, hot) + 0.5) / (mass.sum(axis=1)[:, None, None] + 1.5)
-            rates[:, -1] = self.rates[:, -1]  # how far the annotator is trusted is a setting
-            self.rates = rates
-            if turn == ROUNDS // 2:
-                self.weight = self._weights(signs, mass)
-        self.correlations = self._correlations(signs, np.stack([n * (p := self._posterior(hot)), n * (1 - p)]))
-
-    def _posterior(self, hot: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.rates[0] / self.rates[1])
-        z = np.einsum("pvs,vs->p", hot, ratio * self.weight[:, None]) + math.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    def __init__(self, counts: np.ndarray, prior: float, polarity: np.ndarray | None = None):
+        """``counts`` as of agreements(), ``prior``: share of toxic texts, ``polarity``: -1 for voters that lean to clean, else 1."""
+        polarity = np.ones(len(counts) - 1) if polarity is None else polarity
+        n = max(counts[-1, -1], 1.0)
+        mean = counts[-1, :-1] / n
+        cov = counts[:-1, :-1] / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        live = sd > 0
+        corr = np.divide(cov, np.outer(sd, sd), out=np.zeros_like(cov), where=np.outer(live, live))
+        np.fill_diagonal(corr, 0)
+        self.prior = prior = min(0.5, max(1e-3, prior))
+        free = np.outer(live, live) & ~np.eye(len(mean), dtype=bool)
+        factor = self._factor(corr, free, polarity)
+        # One pair at a time, while each voter keeps the half of the others.
+        least = max(2, (int(live.sum()) - 1) // 2)
+        while True:
+            kept = free.sum(axis=1) > least
+            left = np.abs(self._within(corr, factor)) * (free & np.outer(kept, kept))
+            a, b = np.unravel_index(int(left.argmax()), left.shape)
+            if left[a, b] < EDGE:
+                break
+            free[a, b] = free[b, a] = False
+            factor = self._factor(corr, free, polarity)
+        apart = factor * sd / math.sqrt(prior * (1 - prior))  # rate on toxic less rate on clean texts
+        tiny = 0.5 / n
+        #: Rates of firing on toxic and on clean texts.
+        self.rates = np.clip(np.stack([mean + (1 - prior) * apart, mean - prior * apart]), tiny, 1 - tiny)
+        #: Correlations within the classes.
+        self.correlations = np.where(free | ~np.outer(live, live), 0, self._within(corr, factor))
+        np.fill_diagonal(self.correlations, 1)
+        repeats = np.where(np.eye(len(mean), dtype=bool), 1.0, np.maximum(self.correlations, 0))
+        self.scale, self.shift = 1.0, 0.0
+        self.weight = np.clip(np.linalg.lstsq(repeats, np.ones(len(mean)), rcond=None)[0], 0.02, 1) * live
 
     @staticmethod
-    def _correlations(signs: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        """Correlation of each two voters within the classes."""
-        votes = 1.0 - signs
-        cov = np.zeros((signs.shape[1],) * 2)
-        for m in mass:
-            centred = votes - (m @ votes) / max(m.sum(), 1e-9)
-            cov += (centred * m[:, None]).T @ centred
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        return np.clip(cov / np.outer(sd, sd), -1, 1) * (np.outer(sd, sd) > 1e-9)
+    def _factor(corr: np.ndarray, free: np.ndarray, polarity: np.ndarray) -> np.ndarray:
+        """g with g_i g_j nearest to the correlations of the free pairs."""
+        g = np.abs(np.where(free, corr, 0)).mean(axis=1) ** 0.5 * polarity
+        for _ in range(500):
+            squares = free @ (g * g)
+            new = np.divide(np.where(free, corr, 0) @ g, squares, out=np.zeros_like(g), where=squares > 1e-12)
+            new = np.clip(0.5 * g + 0.5 * new, -0.995, 0.995)
+            if np.abs(new - g).max() < 1e-9:
+                break
+            g = new
+        return g if g @ polarity >= 0 else -g
+
+    @staticmethod
+    def _within(corr: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        rest = np.sqrt(np.maximum(1 - factor * factor, 1e-3))
+        left = (corr - np.outer(factor, factor)) / np.outer(rest, rest)
+        np.fill_diagonal(left, 0)
+        return np.clip(left, -1, 1)
+
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of toxic for each row of 0s and 1s."""
+        fires, rests = np.log(self.rates[0] / self.rates[1]), np.log((1 - self.rates[0]) / (1 - self.rates[1]))
+        return votes @ ((fires - rests) * self.weight) + (rests * self.weight).sum() + math.log(self.prior / (1 - self.prior))
 
-    def _weights(self, signs: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        among = np.maximum(self._correlations(signs, mass)[:-1, :-1], 0)
-        np.fill_diagonal(among, 0)
-        return np.append(1 / (1 + among.sum(axis=1)), 1.0)
+    def calibrate(self, log_odds: np.ndarray, toxic: np.ndarray) -> None:
+        """Scale and shift the log odds to what labels say of them: two numbers, by Newton's steps on smoothed targets."""
+        hits = toxic.sum()
+        target = np.where(toxic, (hits + 1) / (hits + 2), 1 / (len(toxic) - hits + 2))
+        rows, at = np.stack([log_odds, np.ones_like(log_odds)]), np.array([1.0, 0.0])
+        for _ in range(50):
+            p = _logistic(at @ rows)
+            slope = rows @ (p - target) + 1e-3 * (at - [1, 0])
+            step = np.linalg.solve((rows * (p * (1 - p))) @ rows.T + 1e-3 * np.eye(2), slope)
+            at = at - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if at[0] > 0:
+            self.scale, self.shift = float(at[0]), float(at[1])
 
-    def posterior(self, pattern: str) -> float:
-        return float(self._posterior(np.eye(3)[[[self.SIGNS.index(s) for s in pattern]]])[0])
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return _logistic(self.scale * self.log_odds(votes) + self.shift)
 
 
-def _observed(sample: DataFrame, words: Vocabulary) -> DataFrame:
-    """(numbers, votes) of each row of ``sample`` (toxic, text); the label is the last vote."""
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _observed(sample: DataFrame, words: Vocabulary, model: LabelModel) -> DataFrame:
+    """(toxic, numbers, z): the label of each row of ``sample`` (toxic, text), its features, and the log odds of its votes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             numbers, votes = [], []
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                numbers.append(words.numbers(text))
-                votes.append(words.votes(text, numbers[-1]) + ("+" if toxic else "-"))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.list_(pa.int32())), pa.array(votes)], names=["numbers", "votes"])
-
-    return sample.select("toxic", "text").mapInArrow(run, "numbers array<int>, votes string")
-
+            for text in batch.column(1).to_pylist():
+                own = words.words(text)
+                numbers.append(words.numbers(own))
+                votes.append(words.votes(text, own, numbers[-1]))
+            z = model.log_odds(np.array(votes, dtype=float).reshape(-1, VOTERS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.list_(pa.int32())), pa.array(z)], names=["toxic", "numbers", "z"])
 
-@F.udf(VectorUDT())
-def _vector(numbers):
-    return SparseVector(FEATURES, numbers, [1.0] * len(numbers))
+    return sample.select("toxic", "text").mapInArrow(run, "toxic int, numbers array<int>, z double")
 
 
 class Classifier:
@@ -193,20 +266,23 @@ class Classifier:
         self.words, self.weights, self.bias, self.label_model = words, weights, bias, label_model
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights[i] for i in self.words.numbers(text))
+        z = self.bias + sum([self.weights[i] for i in self.words.numbers(self.words.words(text))])
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
-    """Train on at most ``rows`` labelled rows (labels: doc_id, toxic 0/1) that are not held out, those with the least hash of doc_id.
+    """Train on ``docs`` (doc_id, text; a null text is empty) that are not held out.
 
-    Without labelled rows, or with one class alone, only the fixed lexicon decides.
+    The label model sees all of them. Lexicons and the classifier are fitted on at most ``rows``
+    of those that ``labels`` (doc_id, toxic 0/1) names, with the least hash of doc_id; the
+    classifier on the model's posteriors. Without labelled rows, or with one class alone, only
+    the fixed lexicon decides. Rows may repeat; other columns are not read.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # A few hundred kilobytes: ``rows`` bounds it.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).filter(~held_out(F.col("doc_id")))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").persist()
     try:
         n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -216,20 +292,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
         # Features by how much they tell: log odds with half a row added, weighted by the root of their rows.
         odds = F.log((F.col("toxic") + 0.5) / (F.lit(float(toxic)) + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (F.lit(float(n - toxic)) + 1))
         ranked = feature_counts(sample).filter("n >= 3").withColumn("odds", odds)
-        best = ranked.orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "feature").limit(FEATURES).select("feature", "odds").collect()
-        words = Vocabulary([(r["feature"], r["odds"]) for r in best])
-        seen = _observed(sample, words).persist()
+        surely = F.col("odds") - ERRORS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("n") - F.col("toxic") + 0.5))
+        best = ranked.orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "feature").limit(FEATURES).select("feature", surely.alias("least")).collect()
+        words = Vocabulary([(r["feature"], r["least"]) for r in best])
+        model = LabelModel(agreements(texts, words), toxic / n)
+        seen = _observed(sample, words, model).persist()
+        said = np.array(seen.select("z", "toxic").collect())  # ``rows`` bounds it
+        model.calibrate(said[:, 0], said[:, 1] == 1)
+        p = 1 / (1 + F.exp(-(F.col("z") * model.scale + model.shift)))
+        each = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), p.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - p).alias("weight"))))
+        pairs = seen.select(F.col("numbers").cast("array<string>").alias("numbers"), each.alias("y")).select("numbers", "y.label", "y.weight").filter("weight > 0.001")
+        vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(max(1, len(best)))], inputCol="numbers", outputCol="features")
+        data = vectors.transform(pairs).select("features", "label", "weight").persist()
         try:
-            # As many patterns as voters' signs allow at most, in fact a few hundred.
-            patterns = [(r["votes"], r["n"]) for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()]
-            model = LabelModel(patterns)
-            spark = docs.sparkSession
-            posterior = spark.createDataFrame([(p, model.posterior(p)) for p, _ in patterns], "votes string, p double")
-            both = seen.join(F.broadcast(posterior), "votes").select(_vector("numbers").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y"))
-            data = both.select("features", "y.label", "y.weight").filter("weight > 0.001").persist()
             fitted = LogisticRegression(weightCol="weight", regParam=2e-4, maxIter=80, standardization=False).fit(data)
-            data.unpersist()
         finally:
+            data.unpersist()
             seen.unpersist()
         return Classifier(words, fitted.coefficients.toArray().tolist(), float(fitted.intercept), model)
     finally:
@@ -258,7 +336,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns (a pipeline stage)."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns (a pipeline stage).
+
+    A null text scores as an empty one, repeated rows score alike, an empty table stays empty.
+    """
     classifier = fit(docs, labels)
 
     @F.pandas_udf("double")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corroborate.llm import bpe, chunks, cuckoo, ppm, secrets, sharding, simhash, suffixes, templates, toxicity
+from corroborate.llm import bpe, chunks, cuckoo, ppm, secrets, sharding, similar, simhash, suffixes, templates, toxicity
 
 WS = "[\\x20\\x09-\\x0D]"
 
@@ -345,12 +345,12 @@ def test_links_lose_none(spark):
 
 
 def test_near_dedup_stage(docs, rows, none):
-    kept = simhash.keep_one(docs)
+    kept = similar.keep_one(docs)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns
     assert len(ids & {7, *range(120, 126)}) == 1  # near copies
     assert {n for n in range(30) if n not in (3, 4, 5, 7, 8, 9)} - {0, 2, 6} <= ids  # texts of their own stay
-    assert simhash.keep_one(none).isEmpty()
+    assert similar.keep_one(none).isEmpty()
 
 
 def jaccard_groups(texts, words=5, least=0.8):
@@ -395,14 +395,14 @@ def test_near_dedup_finds_every_pair_of_large_groups(spark):
         texts += [" ".join(words), " ".join(words[:17])]
     want = [n for n, r in enumerate(jaccard_groups(texts)) if n == r]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == want
 
 
 def test_near_dedup_keeps_what_is_not_similar(spark):
     words = [f"w{n}" for n in range(104)]
     texts = [" ".join(words), " ".join([*words[:92], *(f"x{n}" for n in range(12))])]  # 88 of 112 shingles: 0.786
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert simhash.keep_one(docs).count() == 2
+    assert similar.keep_one(docs).count() == 2
 
 
 # 9 sharding
@@ -519,15 +519,30 @@ def test_toxicity_without_labels(talk, none):
     assert toxicity.toxicity(none, labels).isEmpty()
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_correlations():
+    """Planted rates of firing and within-class correlations come back within 0.05, from agreements alone."""
     rng = np.random.default_rng(6)
-    rates, patterns = [0.95, 0.9, 0.6], Counter()
-    for _ in range(6000):
-        y = rng.random() < 0.2
-        votes = [("+" if y else "-") if rng.random() < r else ("-" if y else "+") for r in rates]
-        patterns["".join([*votes, votes[0], "0"])] += 1
-    model = toxicity.LabelModel(sorted(patterns.items()))
-    correct = (model.rates[0, :3, 0] + model.rates[1, :3, 2]) / 2
-    assert correct[0] > correct[2] and correct[1] > correct[2]
-    assert model.correlations[0, 3] > 0.9 and model.weight[0] < model.weight[1]
-    assert model.posterior("+++++") > 0.9 > 0.1 > model.posterior("-----")
+    n, prior = 60_000, 0.2
+    polarity = np.array([1] * 9 + [-1] * 3)
+    rates = np.where(polarity > 0, 1, 0)[None, :] * np.stack([rng.uniform(0.5, 0.9, 12), rng.uniform(0.02, 0.2, 12)]) + np.where(polarity < 0, 1, 0)[None, :] * np.stack([rng.uniform(0.1, 0.3, 12), rng.uniform(0.6, 0.9, 12)])
+    rates[:, 1] = rates[:, 0]
+    toxic = rng.random(n) < prior
+    fires = rng.random((n, 12)) < np.where(toxic[:, None], rates[0], rates[1])
+    copied = rng.random(n) < 0.7  # voter 1 repeats voter 0
+    fires[copied, 1] = fires[copied, 0]
+    whole = np.c_[fires, np.ones(n)].astype(float)
+    model = toxicity.LabelModel(whole.T @ whole, prior, polarity)
+    assert np.abs(model.rates - rates).max() < 0.05
+    assert abs(model.correlations[0, 1] - 0.7) < 0.05 and np.abs(model.correlations - np.eye(12))[2:, 2:].max() < 0.05
+    assert model.weight[0] < 0.8 < model.weight[5]
+    posterior = model.posterior(fires.astype(float))
+    assert np.mean((posterior > 0.5) == toxic) > 0.97
+
+
+def test_label_model_sees_unlabelled_documents(spark, talk):
+    docs, labels = talk
+    words = toxicity.Vocabulary([("idiot", 3.0), ("w1", -2.0)])
+    counts = toxicity.agreements(docs.select(F.coalesce("text", F.lit("")).alias("text")), words)
+    assert counts[-1, -1] == docs.count() and (counts == counts.T).all()
+    fired = sum("idiot" in (r.text or "").split() for r in docs.collect())
+    assert counts[-1, :].max() >= fired == counts[-1, zlib.crc32(b"idiot") % toxicity.LEXICONS]
