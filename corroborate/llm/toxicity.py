@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,14 +36,15 @@ LEXICONS, LEXICON_WORDS, LEAST_ODDS, ERRORS = 24, 200, 1.0, 1.5
 WORDS_A_HIT = 500
 #: Insults that count as toxic in any corpus.
 INSULTS = "asshole bastard bitch crap cretin damn disgusting dumb dumbass filth filthy freak garbage hate idiot idiotic imbecile jerk loser moron moronic pathetic pig retard scum scumbag shit shut slut stupid sucker trash ugly vermin whore worthless"
-#: Patterns that lean to toxic: second person with an insult's opening, masked profanity, shouting, strings of marks, threats, curses.
+#: Patterns that lean to toxic: second person with an insult's opening, masked profanity, shouting, strings of marks, threats, curses;
+#: and characters without which they cannot match (lower-cased text is searched for them first).
 PATTERNS = (
-    r"\b(?:you|u|your?)(?:'?re| are)? (?:such )?an? \p{L}+[!.]",
-    r"\b[a-z]{1,3}[*#@$%]{2,}[a-z]*\b",
-    r"(?:\b\p{Lu}{4,}\b\W+){4,}",
-    r"[!?]{3,}",
-    r"(?i)\b(?:kill|hurt|destroy|hate) (?:you|them|him|her)\b",
-    r"(?i)\bgo to hell\b|\bshut up\b|\bscrew you\b",
+    (r"\b(?:you|u|your?)(?:'?re| are)? (?:such )?an? [^\W\d_]+[!.]", ("you", "u")),
+    (r"\b[a-z]{1,3}[*#@$%]{2,}[a-z]*\b", ("**", "##", "@@", "$$", "%%", "*#", "#@", "@$", "$%")),
+    (r"(?:\b[A-Z\u00C0-\u00DE]{4,}\b\W+){4,}", ()),
+    (r"[!?]{3,}", ("!", "?")),
+    (r"(?i)\b(?:kill|hurt|destroy|hate) (?:you|them|him|her)\b", ("kill ", "hurt ", "destroy ", "hate ")),
+    (r"(?i)\bgo to hell\b|\bshut up\b|\bscrew you\b", ("go to hell", "shut up", "screw you")),
 )
 #: The within-class correlation from which two voters are said to repeat each other.
 EDGE = 0.1
@@ -53,7 +53,7 @@ WORDS_KEPT = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _INSULTS = frozenset(INSULTS.split())
-_PATTERNS = tuple(map(regex.compile, PATTERNS))
+_PATTERNS = tuple((re.compile(p), needs) for p, needs in PATTERNS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -123,8 +123,9 @@ class Vocabulary:
         for i in numbers:
             hits[self.lexicon[i]] += 1
         needed = 1 + len(words) // WORDS_A_HIT
-        insults = len(words & _INSULTS)
-        return [*(int(h >= needed) for h in hits[:-1]), *(int(insults >= n) for n in (1, 2, 4)), *(int(p.search(text) is not None) for p in _PATTERNS)]
+        insults, low = len(words & _INSULTS), text.lower()
+        found = [int((not needs or any(n in low for n in needs)) and p.search(text) is not None) for p, needs in _PATTERNS]
+        return [*(int(h >= needed) for h in hits[:-1]), *(int(insults >= n) for n in (1, 2, 4)), *found]
 
 
 VOTERS = LEXICONS + 3 + len(PATTERNS)
