@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import body, checkpointed, shuffle_parts, table
+from corroborate.llm.common import BROADCAST_ROWS, body, checkpointed, shuffle_parts, table
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -22,7 +22,7 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return F.array_max(F.array(*draws))["shard"]
 
 
-def numbered(rows: DataFrame, shard: str, order: list[str], buckets: int) -> DataFrame:
+def numbered(rows: DataFrame, shard: str, order: list[str], shards: int, buckets: int) -> DataFrame:
     """``rows`` with slot: gapless from 0 in each shard.
 
     Rows are numbered in buckets of a shard; a bucket's offset is the running count of
@@ -33,7 +33,9 @@ def numbered(rows: DataFrame, shard: str, order: list[str], buckets: int) -> Dat
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
     place = F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(*order))
-    return rows.join(F.broadcast(offsets), [shard, "__bucket"]).withColumn("slot", place.cast("long") - 1 + F.col("__offset")).drop("__bucket", "__offset")
+    if shards * buckets <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return rows.join(offsets, [shard, "__bucket"]).withColumn("slot", place.cast("long") - 1 + F.col("__offset")).drop("__bucket", "__offset")
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, weights: list[float] | None = None) -> DataFrame:
@@ -58,7 +60,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, weights: list[float] | None = N
     )
     # The row number goes into the bucket: a doc_id on a third of the rows is dealt out, too.
     rows = checkpointed(rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "__row"), F.lit(buckets)).cast("int")))
-    placed = numbered(rows, "shard", ["doc_id", "text_crc32", "size", "__row"], buckets)
+    placed = numbered(rows, "shard", ["doc_id", "text_crc32", "size", "__row"], len(weights), buckets)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
