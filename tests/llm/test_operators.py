@@ -54,6 +54,13 @@ def test_bpe_on_random_text():
     assert [own.ids(w) for w in own.encode_all(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_decodes_ids_alone(spark, docs, rows):
+    ids = bpe.encode(docs).select("doc_id", "ids")
+    assert Counter(r.text for r in bpe.decode(ids).collect()) == Counter(t or "" for _, t in rows)
+    odd = spark.createDataFrame([(1, None), (2, [bpe.tokenizer("byte_bpe_50k.json").id_of_byte[0xE9]])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode(odd).collect()} == {1: "", 2: "\ufffd"}
+
+
 # 3 chunks
 
 
@@ -86,6 +93,34 @@ def test_chunks_of_long_and_empty(none):
     assert chunks.substring_dedup(none).isEmpty()
 
 
+@pytest.mark.parametrize("least", [1, 64])
+def test_chunks_against_brute_force(docs, rows, least):
+    """Each chunk that stands earlier goes, where such runs have ``least`` bytes."""
+    where, first = [], {}
+    for i, t in rows:
+        data, start = (t or "").encode(), 0
+        own = []
+        for end in chunks.chunks_of(data):
+            place = (-1 if i is None else i, start)
+            own.append((start, end, place))
+            c = data[start:end]
+            first[c] = min(first.get(c, place), place)
+            start = end
+        where.append((i, data, own))
+    want = Counter()
+    for i, data, own in where:
+        runs = []
+        for start, end, place in own:
+            if first[data[start:end]] < place:
+                if runs and runs[-1][1] == start:
+                    runs[-1][1] = end
+                else:
+                    runs.append([start, end])
+        runs = [r for r in runs if r[1] - r[0] >= least]
+        want[i, len(data), sum(e - s for s, e in runs), len(runs)] += 1
+    assert pairs(chunks.substring_dedup(docs, least), "doc_id", "n_bytes", "n_removed", "n_spans") == want
+
+
 # 4 exact dedup
 
 
@@ -251,6 +286,62 @@ def test_templates_of_long_rows(spark):
     assert contaminated(spark, [long]) == {(0, 2)}
 
 
+LONG = "Maria Lopez buys 12 apples at the old market. Each apple costs 3 euros and Maria Lopez pays with a 50 euro note. How much money does she get back from the seller"
+VARIANTS = {
+    "line breaks": LONG.replace(" ", "\n"),
+    "small letters": LONG.lower(),
+    "capitals": LONG.upper(),
+    "longer names": LONG.replace("Maria Lopez", "Jean Luc Picard").replace("12", "1,200.5").replace("50 euro", "80 euro"),
+    "shorter names in small letters": LONG.replace("Maria Lopez", "anna").lower(),
+    "an inserted word": LONG.replace("Each apple costs", "Each apple really costs"),
+    "a dropped word": LONG.replace("at the old market", "at the market"),
+}
+
+
+@pytest.mark.parametrize("how", VARIANTS)
+def test_templates_do_not_depend_on_case_or_breaks_or_length(spark, how):
+    items = spark.createDataFrame([(1, LONG), (2, "the seller gets back how much money from each apple at the old market with a note and pays")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Other words come first here. {VARIANTS[how]}? And then follow some more."), (2, "At the old market each apple costs much money, and the seller pays.")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in templates.leaks(docs, items).collect()} == {(1, 1)}
+
+
+def test_templates_of_short_items(spark):
+    """Items of under eight words are found inside documents, those with hardly a fixed word by their very words, and the shortest as whole documents."""
+    items = spark.createDataFrame([(1, "what is the capital of Paris"), (2, "12 7 45 9 13"), (3, "blue sky")], "item_id long, text string")
+    texts = ["He asked: What is the capital of Lima? Nobody knew.", "rows 1 2 3 12 7 45 9 13 4 5", "rows 1 2 3 4 5 6 7 8 9", "the blue sky above", "Blue, sky!", "what is the name of Paris"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in templates.leaks(docs, items).collect()} == {(0, 1), (1, 2), (4, 3)}
+
+
+def test_rows_of_numbers_meet_nothing(spark):
+    """A row of numbers is one placeholder: neither tables nor items of numbers multiply."""
+    item = "sum up " + " ".join(map(str, range(16))) + " and tell the teacher the number that you get in the end"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(4000)))), (2, item.replace("15", "99"))], "doc_id long, text string")
+    assert [r.doc_id for r in templates.leaks(docs, items).collect()] == [2]
+
+
+def test_templates_against_brute_force(spark):
+    """Documents with items planted whole, with other numbers, cut short, or not at all."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abdeginorstu"), 5))
+    items = [" ".join(word() if n % 6 else str(rng.integers(10, 99)) for n in range(1, 26)) for _ in range(20)]
+    texts, want = [], set()
+    for n in range(200):
+        words = [word() for _ in range(60)]
+        k = int(rng.integers(20))
+        if n % 4 == 0:
+            words[30:30] = items[k].split()
+        elif n % 4 == 1:
+            words[30:30] = [str(rng.integers(10, 99)) if w.isdigit() else w for w in items[k].split()]
+        elif n % 4 == 2:
+            words[30:30] = items[k].split()[:7]
+        want |= {(n, k)} if n % 4 < 2 else set()
+        texts.append(" ".join(words))
+    found = templates.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_clean_stage(spark, docs, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert templates.clean(docs, items).count() == docs.count() and templates.clean(docs, items.limit(0)).count() == docs.count()
@@ -292,6 +383,28 @@ def test_ownership_tells_copies_from_live(spark):
     assert found == {0: "", 1: "", 2: "", 3: "", 9: "entropy:4:25"}
 
 
+def test_entropy(spark):
+    words = ["aaaa", "abab", "abcdabcd", "", "Zx9_kq27PLmn8823aaQQ1"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(secrets.entropy(F.col("w"))).collect()
+    for w, r in zip(words, got, strict=True):
+        n = Counter(w)
+        assert (r[0] or 0) == pytest.approx(-sum(c / len(w) * math.log2(c / len(w)) for c in n.values()))
+
+
+def test_repositories_decide(spark):
+    """A value of two owners is copied if many repositories hold it, and dull values are not live."""
+    value, dull = "Zx9_kq27PLmn8823aaQQ1", "password=aaaaaaaa"
+    rows = [(n, f"see {value} here", f"o{n % 2}") for n in range(12)] + [(50, dull, "o1"), (51, "token: Qm7xK2pL9vRt4", "o1")]
+    got = {r.doc_id: (r.n_live, r.n_copied, r.spans) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[n] == (0, 0, "") for n in range(12)) and got[50][:2] == (0, 0) and got[51][:2] == (1, 0)
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "x=1 password=abc123456 " * 8000
+    row = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert row.n_assign == 8000 and row.spans.startswith("assign:4:22,assign:27:45,")
+
+
 # 8 SimHash
 
 
@@ -546,3 +659,99 @@ def test_label_model_sees_unlabelled_documents(spark, talk):
     assert counts[-1, -1] == docs.count() and (counts == counts.T).all()
     fired = sum("idiot" in (r.text or "").split() for r in docs.collect())
     assert counts[-1, :].max() >= fired == counts[-1, zlib.crc32(b"idiot") % toxicity.LEXICONS]
+
+
+# The pipeline, and names that clash
+
+
+CLASHES = ("__digest", "__node", "__id", "__th", "__points", "digest", "node", "id", "row", "token", "a", "b", "key", "spans", "owner", "words", "window", "class")
+
+
+def test_columns_of_any_name_are_kept(spark, rows):
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame([(i, t, "s", *("x" for _ in CLASHES)) for i, t in rows[:40]], schema)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for kept in (cuckoo.keep_one(docs), similar.keep_one(docs), templates.clean(docs, items), toxicity.drop_toxic(docs, labels)):
+        assert kept.columns == docs.columns and 25 <= kept.count() <= 40
+    for made in (cuckoo.exact_dedup, simhash.near_dedup, chunks.substring_dedup, suffixes.substring_dedup, secrets.scan, sharding.shard_rows, bpe.encode_digests):
+        assert made(docs).count() == 40
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder of tables: prose with copies, near copies, toxic rows and benchmark passages."""
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    rows, toxic, item = [], {}, " ".join(f"item{n}" for n in range(30))
+    for n in range(400):
+        own = text(80)
+        if n % 4 == 0:
+            own = own.replace(" ", " idiot ", 3) + " moron trash"
+        toxic[n] = int(n % 4 == 0)
+        rows.append((n, own))
+    clean = [(i, t) for i, t in rows if i % 4]
+    rows += [(1000 + i, t + " ") for i, t in clean[:20]]  # copies
+    rows += [(2000 + i, t + " more") for i, t in clean[20:40]]  # near copies
+    rows += [(3000 + n, f"{text(20)} {item} {text(20)}") for n in range(10)]
+    rows += [(4000, None), (4001, ""), (None, text(30)), (clean[50][0], clean[50][1])]
+    path = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path, rows
+
+
+def test_pipeline_stages(spark, corpus):
+    import corpus_pipeline
+
+    path, rows = corpus
+    docs, kept = spark.read.parquet(f"{path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        kept[name] = Counter(r.doc_id for r in out.collect())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+            docs = out
+    toxic = {n for n in range(0, 400, 4)}
+    clean = {i for i, _ in rows} - toxic
+    assert len(toxic & set(kept["toxicity"])) <= 3 and len(clean - set(kept["toxicity"])) <= 3
+    left = Counter(i for i, _ in rows if i in kept["toxicity"])
+    groups = brute_groups([(i, t) for i, t in rows if i in kept["toxicity"]])
+    assert sum(kept["exact_dedup"].values()) == len(groups) and set(kept["exact_dedup"]) <= set(left)
+    texts = dict(rows)
+    ids = sorted((i for i in kept["exact_dedup"]), key=lambda i: (i is not None, i or 0))
+    roots = jaccard_groups([texts[i] or "" for i in ids])
+    assert set(kept["near_dedup"]) == {i for n, i in enumerate(ids) if roots[n] == n}
+    assert set(kept["near_dedup"]) - set(kept["decontamination"]) == {3000 + n for n in range(10)} & set(kept["near_dedup"])
+    assert kept["bpe"] == kept["decontamination"]
+
+
+def test_pipeline_runs_whole(spark, corpus):
+    import corpus_pipeline
+
+    path, _ = corpus
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and all(r.round_trip and r.n_tokens == len(r.ids) for r in out.collect())
+
+
+def test_near_dedup_recall_of_pairs_and_groups(spark):
+    """400 pairs and groups of 30 and 500 whose similarity straddles 0.8: no link is lost, against brute force over all pairs."""
+    rng = np.random.default_rng(21)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for size, edits in ((30, 3), (30, 2), (500, 3)):
+        base = text(150)
+        for _ in range(size):
+            words = list(base)
+            for at in rng.integers(0, 150, edits):
+                words[at] = f"v{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    for _ in range(400):
+        words = text(60)
+        texts.append(" ".join(words))
+        words[int(rng.integers(5, 55))] = "edited"
+        texts.append(" ".join(words))
+    want = [n for n, r in enumerate(jaccard_groups(texts)) if n == r]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == want
