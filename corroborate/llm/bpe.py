@@ -31,7 +31,7 @@ Word = tuple[tuple[int, ...], str]
 #: Beyond every id: a pair is left * WIDE + right. END follows each word and is in no rule; GONE marks what a merge took.
 WIDE, END, GONE = 1 << 20, (1 << 20) - 1, -1
 #: Words whose ids a worker remembers (some 250 bytes each); beyond it only those met lately stay.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 #: Longer runs (no space for thousands of characters) are encoded but not remembered.
 LONGEST_KEPT = 256
 

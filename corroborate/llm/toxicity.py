@@ -17,14 +17,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import body, slices, table
+from corroborate.llm.common import body, checkpointed, fresh, hinted, slices, table
 
 #: Labelled rows that lexicons and the classifier are fitted on, at most: those with the least hash.
 FIT_ROWS = 20_000
@@ -41,15 +38,15 @@ INSULTS = "asshole bastard bitch crap cretin damn disgusting dumb dumbass filth
 PATTERNS = (
     (r"\b(?:you|u|your?)(?:'?re| are)? (?:such )?an? [^\W\d_]+[!.]", ("you", "u")),
     (r"\b[a-z]{1,3}[*#@$%]{2,}[a-z]*\b", ("**", "##", "@@", "$$", "%%", "*#", "#@", "@$", "$%")),
-    (r"(?:\b[A-Z\u00C0-\u00DE]{4,}\b\W+){4,}", ()),
+    (r"[A-Z\u00C0-\u00DE][A-Z\u00C0-\u00DE]{3,}\b\W+(?:[A-Z\u00C0-\u00DE]{4,}\b\W+){3,}", ()),
     (r"[!?]{3,}", ("!", "?")),
     (r"(?i)\b(?:kill|hurt|destroy|hate) (?:you|them|him|her)\b", ("kill ", "hurt ", "destroy ", "hate ")),
     (r"(?i)\bgo to hell\b|\bshut up\b|\bscrew you\b", ("go to hell", "shut up", "screw you")),
 )
 #: The within-class correlation from which two voters are said to repeat each other.
 EDGE = 0.1
-#: Words whose features a worker remembers.
-WORDS_KEPT = 200_000
+#: Words whose features a worker remembers, and as many that have none.
+WORDS_KEPT = 50_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _INSULTS = frozenset(INSULTS.split())
@@ -104,18 +101,27 @@ class Vocabulary:
         self.number = {f: i for i, (f, _) in enumerate(features)}
         self.lexicon = [zlib.crc32(f.rstrip("-").encode()) % LEXICONS if f in chosen else LEXICONS for f, _ in features]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.plain: set[str] = set()
 
     def words(self, text: str) -> set[str]:
         return set(_WORD.findall(text.lower()))
 
     def numbers(self, words: set[str]) -> list[int]:
-        known = self.known
-        for w in words.difference(known):
-            known[w] = tuple(self.number[f] for f in (w, *(f"{w[:n]}-" for n in LENGTHS[1:] if len(w) > n)) if f in self.number)
-        found = sorted(set().union(*[known[w] for w in words]))
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        return found
+        """Numbers of the features that some words have; most words have none and are soon known for it."""
+        found: set[int] = set()
+        for w in words.difference(self.plain):
+            own = self.known.get(w)
+            if own is None:
+                own = tuple(self.number[f] for f in (w, *(f"{w[:n]}-" for n in LENGTHS[1:] if len(w) > n)) if f in self.number)
+                if not own:
+                    self.plain.add(w)
+                    continue
+                self.known[w] = own
+            found.update(own)
+        for kept in (self.plain, self.known):
+            if len(kept) > WORDS_KEPT:
+                kept.clear()
+        return sorted(found)
 
     def votes(self, text: str, words: set[str], numbers: list[int]) -> list[int]:
         """1 for each voter that fires."""
@@ -279,6 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     classifier on the model's posteriors. Without labelled rows, or with one class alone, only
     the fixed lexicon decides. Rows may repeat; other columns are not read.
     """
+    # Workers import this module, too, and need nothing of this.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -343,11 +353,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     classifier = fit(docs, labels)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(classifier.score)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            bad = [classifier.score(t) >= 0.5 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(bad, pa.bool_()))], names=["node"])
 
-    return docs.filter(score(body()) < 0.5)
+    node, key = fresh(docs, "node"), F.xxhash64(F.col("doc_id").cast("long"), body())
+    bad = checkpointed(docs.select(key.alias("node"), body().alias("text")).mapInArrow(run, "node long").select(F.col("node").alias(node)).distinct())
+    return docs.join(hinted(bad), key == F.col(node), "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
