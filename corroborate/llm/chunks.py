@@ -14,7 +14,7 @@ from corroborate.llm.spans import cut, keyed, on_tuples
 
 #: Bytes that decide on a cut (the gear hash has as many bits), the least and the greatest chunk, and one cut in so many bytes.
 WINDOW, LEAST, MOST, ONE_IN = 32, 32, 1024, 16
-#: Shorter runs of repeated chunks stay: a stock phrase is no repeated passage.
+#: What the query calls a repeated passage: shorter runs of repeated chunks are stock phrases and stay.
 LEAST_RUN = 64
 
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -118,11 +118,11 @@ def repeats(texts: DataFrame) -> DataFrame:
     return met.mapInArrow(on_tuples(_later, "doc th start end"), "doc long, th long, start long, end long")
 
 
-def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+def substring_dedup(docs: DataFrame, least_run: int = 1) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): its UTF-8 bytes less the runs of chunks that repeat earlier ones.
 
     A chunk's first place (least doc_id, null first; then least start) stays. Runs of
-    fewer than ``least_run`` bytes stay, too. A null text is empty; fully repeated rows
+    fewer than ``least_run`` bytes stay, too (none by default). A null text is empty; fully repeated rows
     are one document and all stay; other columns are not read.
     """
     texts = keyed(docs)
@@ -130,4 +130,4 @@ def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents"), LEAST_RUN)
