@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
+#: What names the fields and kinds of own documents; set it to read documents that another program named.
+NAMESPACE = "corroborate"
 #: Hash names as they are written, by the name they get, and hex digits of each.
 HASH_NAMES = {
     "md5": "MD5", "sha1": "SHA-1", "sha-1": "SHA-1", "sha224": "SHA-224", "sha256": "SHA-256", "sha-256": "SHA-256",

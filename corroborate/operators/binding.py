@@ -12,6 +12,8 @@ from corroborate.operators.hashing import tree_sha256
 FORBIDDEN = ("SBOM_RELEASE_AUTHORIZED_BY_MANUFACTURER", "SBOM_ARTIFACT_RELEASED", "CRA_COMPLIANT", "CONFORMITY_CONFIRMED", "CAB_APPROVED", "CERTIFIED")
 REFERENCES = ("PUBLIC_BUILD_REFERENCE_NOT_CUSTOMER_EVIDENCE", "SELF_TEST_NOT_CUSTOMER_EVIDENCE")
 NO_CONFORMITY = "NO_PRODUCT_CONFORMITY_STATUS"
+#: Arms of one evaluation at most.
+ARMS = 1000
 
 
 def _texts(found: Column) -> Column:
@@ -19,7 +21,7 @@ def _texts(found: Column) -> Column:
 
 
 def split_identifiers(candidates: DataFrame) -> DataFrame:
-    """Typed identifiers (array of type, value, algorithm) as the arrays of a candidate: identifiers, roles, provenances, hashes.
+    """Typed identifiers (array of type, value, algorithm) as the arrays of a candidate: identifiers, roles, provenances, hashes, supplier_hashes.
 
     A provenance is kind:locator and is kept only with both parts; a hash needs its algorithm.
     """
@@ -27,10 +29,10 @@ def split_identifiers(candidates: DataFrame) -> DataFrame:
     def of(*kinds: str) -> Column:
         return F.transform(F.filter("typed", lambda t: t["type"].isin(*kinds)), lambda t: t["value"])
 
-    hashes = F.transform(F.filter("typed", lambda t: (t["type"] == "OBSERVED_HASH") & t["algorithm"].isNotNull()), lambda t: F.concat_ws(":", t["algorithm"], t["value"]))
+    hashes, supplied = (F.transform(F.filter("typed", lambda t: (t["type"] == kind) & t["algorithm"].isNotNull()), lambda t: F.concat_ws(":", t["algorithm"], t["value"])) for kind in ("OBSERVED_HASH", "SUPPLIER_HASH"))
     sources = F.filter(of("PROVENANCE"), lambda p: (F.size(F.split(p, ":", 2)) == 2) & (F.split(p, ":", 2)[0] != "") & (F.split(p, ":", 2)[1] != ""))
     return candidates.select(
-        "candidate_id", _texts(of("PURL", "SYNTHETIC_URN")).alias("identifiers"), _texts(of("COMPONENT_ROLE")).alias("roles"), _texts(sources).alias("provenances"), _texts(hashes).alias("hashes")
+        "candidate_id", _texts(of("PURL", "SYNTHETIC_URN")).alias("identifiers"), _texts(of("COMPONENT_ROLE")).alias("roles"), _texts(sources).alias("provenances"), _texts(hashes).alias("hashes"), _texts(supplied).alias("supplier_hashes")
     )
 
 
@@ -68,7 +70,9 @@ def layer_budget(members: DataFrame, most_members: int, most_bytes: int) -> Data
 def arm_coverage(cards: DataFrame, results: DataFrame) -> DataFrame:
     """(arm_id, conflict_id, problem): cards that an arm has no result for or several, and results without a card."""
     arms = results.select("arm_id").distinct()
-    # Arms are few; every card is asked of every arm.
+    # Every card is asked of every arm.
+    if (n := arms.limit(ARMS + 1).count()) > ARMS:
+        raise ValueError(f"{n} arms or more")
     asked = cards.select("conflict_id").distinct().join(F.broadcast(arms))
     given = results.groupBy("arm_id", "conflict_id").agg(F.count(F.lit(1)).alias("n"))
     both = asked.withColumn("asked", F.lit(True)).join(given, ["arm_id", "conflict_id"], "full")
@@ -114,11 +118,12 @@ def limitations(population: DataFrame) -> DataFrame:
 
 
 def root_of(population: DataFrame, identity: dict[str, str]) -> DataFrame:
-    """(population_id) of rows that are the release itself: its producer, name and version, with the root role."""
+    """(population_id) of the one row that is the release itself: its producer, name and version, with the root role. None or several are an error."""
     same = F.array_contains("roles", "ROOT_PRODUCT")
     for field, value in identity.items():
         same = same & (F.col(field) == value)
-    return population.filter(same).select("population_id")
+    only = population.agg(F.count_if(same).alias("n"), F.min(F.when(same, F.col("population_id"))).alias("population_id"))
+    return only.select(F.when(F.col("n") == 1, F.col("population_id")).otherwise(F.raise_error(F.lit("not one root"))).alias("population_id"))
 
 
 def namespaces(observations: DataFrame) -> DataFrame:

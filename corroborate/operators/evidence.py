@@ -129,7 +129,7 @@ def arm_metrics(results: DataFrame) -> DataFrame:
     """(arm_id, results, valid, rate, gate): per arm of results (arm_id, valid); the gate is open if every arm's rate is 1."""
     arms = results.groupBy("arm_id").agg(F.count(F.lit(1)).alias("results"), F.count_if("valid").alias("valid"))
     arms = arms.withColumn("rate", F.col("valid") / F.col("results"))
-    return arms.withColumn("gate", F.min("rate").over(Window.partitionBy()) == 1.0)  # as many rows as arms
+    return arms.join(F.broadcast(arms.agg((F.min("rate") == 1.0).alias("gate"))))  # one row
 
 
 def run_catalogue(findings: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def run_catalogue(findings: DataFrame) -> DataFrame:
 
 def one_row(rows: DataFrame, condition: Column, what: str) -> DataFrame:
     """The one row that meets the condition; none or several raise an error when it is read."""
-    counted = rows.filter(condition).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))
-    return counted.filter(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.lit(f"not exactly one {what}")).cast("boolean"))).drop("__n")
+    found = rows.filter(condition).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("*")).alias("row"))
+    return found.select(F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.lit(f"not exactly one {what}"))).alias("row")).select("row.*")
 
 
 def finding_claims(findings: DataFrame, sources: DataFrame, claims: DataFrame, most: int = CARD_CLAIMS) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.functions.text import canonical_json, component_type, fragment, uuid5_url
+from corroborate.functions.text import NAMESPACE, UNKNOWN, canonical_json, component_type, fragment, hash_fits, hash_name, uuid5_url
 from corroborate.operators.hashing import tree_sha256
 from corroborate.operators.relations import dependency_rows
+from corroborate.operators.rules import assert_none
 
 #: Relationship names in the second format.
 SPDX_NAMES = {"CONTAINS": "contains", "DEPENDS_ON": "dependsOn", "DYNAMICALLY_LINKS": "hasDynamicLink", "GENERATED_FROM": "packagedBy"}
@@ -28,14 +29,68 @@ def primary_purl(identifiers: str) -> Column:
     return F.array_min(F.filter(identifiers, lambda i: i.startswith("pkg:")))
 
 
+def _known(population: DataFrame) -> DataFrame:
+    """``population`` with evidence_ids and supplier_hashes, empty where it has none."""
+    none = F.array().cast("array<string>")
+    for c in ("evidence_ids", "supplier_hashes"):
+        if c not in population.columns:
+            population = population.withColumn(c, none)
+    return population
+
+
+def _said_hashes(hashes: str) -> Column:
+    """Those of a list of algorithm:value that say a value, whatever they know of the algorithm."""
+    return F.filter(hashes, lambda h: F.substring_index(h, ":", -1) != UNKNOWN)
+
+
+def component_properties() -> Column:
+    """Name and value of what the format has no field for: identifiers, roles, evidence, lanes, supplier hashes."""
+    named = lambda name, values: F.transform(values, lambda v: F.struct(F.lit(f"{NAMESPACE}:{name}").alias("name"), v.alias("value")))
+    return F.concat(
+        named("identifier", F.array_sort("identifiers")), named("component-role", F.array_sort("roles")), named("evidence-id", F.array_sort("evidence_ids")), named("discovery-lane", F.array_sort("lanes")),
+        named("supplier-declared-hash", F.array_sort(_said_hashes("supplier_hashes"))),
+    )
+
+
+def normal_hashes(hashes: str) -> Column:
+    """algorithm:value as sorted structs alg, content with the formats' names; values that are no hex of their algorithm's length go. Null for none."""
+    each = F.transform(hashes, lambda h: F.struct(hash_name(F.substring_index(h, ":", 1)).alias("alg"), F.lower(F.substring_index(h, ":", -1)).alias("content"), hash_fits(F.substring_index(h, ":", 1), F.substring_index(h, ":", -1)).alias("fits")))
+    kept = F.array_sort(F.array_distinct(F.transform(F.filter(each, lambda h: h["fits"]), lambda h: F.struct(h["alg"].alias("alg"), h["content"].alias("content")))))
+    return F.when(F.size(kept) > 0, kept)
+
+
 def cyclonedx_components(population: DataFrame, run_id: str) -> DataFrame:
-    """(population_id, line): one component object each."""
-    hashes = F.transform("hashes", lambda h: F.struct(F.substring_index(h, ":", 1).alias("alg"), F.substring_index(h, ":", -1).alias("content")))
+    """(population_id, line): one component object each; fields without a value are left out."""
     body = F.struct(
-        bom_ref(run_id, F.col("population_id")).alias("bom-ref"), hashes.alias("hashes"), F.col("name"), primary_purl("identifiers").alias("purl"),
-        component_type(F.col("roles")).alias("type"), F.col("version"),
+        bom_ref(run_id, F.col("population_id")).alias("bom-ref"), normal_hashes("hashes").alias("hashes"), F.col("name"), component_properties().alias("properties"), F.col("producer").alias("publisher"),
+        primary_purl("identifiers").alias("purl"), component_type(F.col("roles")).alias("type"), F.col("version"),
     )
-    return population.select("population_id", F.to_json(body).alias("line"))
+    return _known(population).select("population_id", F.to_json(body).alias("line"))
+
+
+def cyclonedx_properties(relationships: DataFrame, run_id: str) -> DataFrame:
+    """(line): one property object for each relationship (src, rel, dst)."""
+    value = F.concat_ws("|", bom_ref(run_id, F.col("src")), "rel", bom_ref(run_id, F.col("dst")))
+    return relationships.select(canonical_json(F.lit(f"{NAMESPACE}:relationship").alias("name"), value.alias("value")).alias("line"))
+
+
+#: What both documents bind: name of the property, and field of the release.
+BINDING = {"classification": "classification", "run-id": "run_id", "canonical-sha256": "canonical_sha256", "build-id": "build_id", "release-artifact-sha256": "artifact_sha256"}
+
+
+def cyclonedx_head(release: DataFrame) -> DataFrame:
+    """(run_id, line): the document of each release less its components, dependencies and properties, which are lines of their own.
+
+    release: run_id, classification, canonical_sha256, build_id, artifact_sha256, release_timestamp, sbom_author.
+    """
+    named = [F.struct(F.lit(f"{NAMESPACE}:{n}").alias("name"), F.col(c).alias("value")) for n, c in BINDING.items()]
+    named.append(F.struct(F.lit(f"{NAMESPACE}:technical-state").alias("name"), F.lit("SYNTHETIC_RECONCILIATION_CLOSED").alias("value")))
+    metadata = F.struct(F.array(F.struct(F.col("sbom_author").alias("name"))).alias("authors"), F.array(*named).alias("properties"), F.col("release_timestamp").alias("timestamp"))
+    body = F.struct(
+        F.lit("https://cyclonedx.org/schema/bom-1.7.schema.json").alias("$schema"), F.lit("CycloneDX").alias("bomFormat"), metadata.alias("metadata"), F.concat(F.lit("urn:uuid:"), uuid5_url(F.col("run_id"))).alias("serialNumber"),
+        F.lit("1.7").alias("specVersion"), F.lit(1).alias("version"),
+    )
+    return release.select("run_id", F.to_json(body).alias("line"))
 
 
 def cyclonedx_dependencies(population: DataFrame, relationships: DataFrame, run_id: str) -> DataFrame:
@@ -45,6 +100,67 @@ def cyclonedx_dependencies(population: DataFrame, relationships: DataFrame, run_
     return rows.select("ref", canonical_json(targets.alias("dependsOn"), bom_ref(run_id, F.col("ref")).alias("ref")).alias("line"))
 
 
+def spdx_id(run_id: Column, kind: str, identity: Column) -> Column:
+    return F.concat(F.lit(f"https://example.invalid/{NAMESPACE}/"), fragment(run_id), F.lit(f"/{kind}/"), fragment(identity))
+
+
+def _creation(run_id: Column) -> Column:
+    return F.concat(F.lit("_:creation-"), F.substring(F.sha2(run_id, 256), 1, 20))
+
+
+def spdx_packages(population: DataFrame, run_id: str) -> DataFrame:
+    """(population_id, line): one package object each; fields without a value are left out."""
+    run = F.lit(run_id)
+    kind = lambda i: F.when(i.startswith("pkg:"), "packageUrl").otherwise("other")
+    outer = lambda k, i: F.struct(k.alias("externalIdentifierType"), i.alias("identifier"), F.lit("ExternalIdentifier").alias("type"))
+    identifiers = F.concat(F.transform(F.array_sort("identifiers"), lambda i: outer(kind(i), i)), F.transform(F.array_sort(_said_hashes("supplier_hashes")), lambda h: outer(F.lit("other"), F.concat(F.lit("supplier-declared-hash:"), h))))
+    verified = F.transform(normal_hashes("hashes"), lambda h: F.struct(F.lit("sha256").alias("algorithm"), h["content"].alias("hashValue"), F.lit("Hash").alias("type")))
+    body = F.struct(
+        F.concat(F.lit("classification=SYNTHETIC_NOT_EVIDENCE; evidence_ids="), F.array_join("evidence_ids", ",")).alias("comment"), _creation(run).alias("creationInfo"), identifiers.alias("externalIdentifier"), F.col("name"),
+        primary_purl("identifiers").alias("software_packageUrl"), F.col("version").alias("software_packageVersion"), component_type(F.col("roles")).alias("software_primaryPurpose"), spdx_id(run, "package", F.col("population_id")).alias("spdxId"),
+        spdx_id(run, "organization", F.col("producer")).alias("suppliedBy"), F.lit("software_Package").alias("type"), verified.alias("verifiedUsing"),
+    )
+    return _known(population).select("population_id", F.to_json(body).alias("line"))
+
+
+def spdx_agents(population: DataFrame, run_id: str, author: str) -> DataFrame:
+    """(line): one organization object for each producer, and for the author."""
+    run = F.lit(run_id)
+    names = population.select(F.col("producer").alias("name")).union(population.sparkSession.createDataFrame([(author,)], "name string")).distinct()
+    return names.select(canonical_json(_creation(run).alias("creationInfo"), F.col("name"), spdx_id(run, "organization", F.col("name")).alias("spdxId"), F.lit("Organization").alias("type")).alias("line"))
+
+
+def spdx_head(release: DataFrame) -> DataFrame:
+    """(run_id, line): creation, tool and document objects of each release; what the document lists are lines of their own.
+
+    release: as of cyclonedx_head(), with release_id, product, product_version.
+    """
+    run = F.col("run_id")
+    created, tool = _creation(run), spdx_id(run, "tool", F.lit(NAMESPACE))
+    bound = canonical_json("build_id", "canonical_sha256", "classification", F.col("artifact_sha256").alias("release_artifact_sha256"), "run_id")
+    comment = F.concat(F.lit(f"{NAMESPACE}:binding="), bound)
+    lines = F.array(
+        F.to_json(F.struct(created.alias("@id"), F.col("release_timestamp").alias("created"), F.array(spdx_id(run, "organization", F.col("sbom_author"))).alias("createdBy"), F.array(tool).alias("createdUsing"), F.lit("3.0.1").alias("specVersion"), F.lit("CreationInfo").alias("type"))),
+        F.to_json(F.struct(created.alias("creationInfo"), F.lit(NAMESPACE).alias("name"), tool.alias("spdxId"), F.lit("Tool").alias("type"))),
+        F.to_json(F.struct(comment.alias("comment"), created.alias("creationInfo"), F.concat_ws(" ", "product", "product_version", F.lit("SPDX document")).alias("name"), F.array(F.lit("core"), F.lit("software")).alias("profileConformance"),
+                           F.array(spdx_id(run, "sbom", F.col("release_id"))).alias("rootElement"), spdx_id(run, "document", F.col("release_id")).alias("spdxId"), F.lit("SpdxDocument").alias("type"))),
+    )
+    return release.select("run_id", F.explode(lines).alias("line"))
+
+
+def pair_violations(cyclonedx: DataFrame, spdx: DataFrame, release: DataFrame) -> DataFrame:
+    """(run_id, field) of what the heads of the two documents (run_id, line) bind otherwise than each other or than their release."""
+    listed = F.from_json(F.get_json_object("line", "$.metadata.properties"), "array<struct<name: string, value: string>>")
+    values = F.map_from_entries(listed)
+    left = cyclonedx.select("run_id", *(values[f"{NAMESPACE}:{n}"].alias(f"c_{c}") for n, c in BINDING.items()))
+    comment = F.get_json_object("line", "$.comment")
+    bound = F.substring_index(comment, f"{NAMESPACE}:binding=", -1)
+    right = spdx.filter(F.get_json_object("line", "$.type") == "SpdxDocument").select("run_id", *(F.get_json_object(bound, "$." + ("release_artifact_sha256" if c == "artifact_sha256" else c)).alias(f"s_{c}") for c in BINDING.values()))
+    both = release.join(left, "run_id", "left").join(right, "run_id", "left")
+    broken = F.array_compact(F.array(*(F.when(~(F.col(f"c_{c}").eqNullSafe(F.col(c) if c != "run_id" else F.col("run_id")) & F.col(f"s_{c}").eqNullSafe(F.col(c) if c != "run_id" else F.col("run_id"))), c) for c in BINDING.values())))
+    return both.select("run_id", F.explode(broken).alias("field"))
+
+
 def spdx_relationships(relationships: DataFrame, base: str) -> DataFrame:
     """(line) of each relationship; a kind without a name in the format is an error."""
     names = F.create_map(*(F.lit(x) for pair in SPDX_NAMES.items() for x in pair))
@@ -104,6 +220,68 @@ def package_differences(spark: SparkSession, path: str) -> DataFrame:
     return said.exceptAll(now).select("name")
 
 
+#: Parts of a closed run's package, and of an open one's, which holds no export.
+CLOSED_PARTS = ("cyclonedx", "spdx", "findings", "population", "relationships", "inputs", "tools", "validation", "dashboard", "run")
+OPEN_PARTS = ("findings", "population", "relationships", "inputs", "tools", "run")
+
+
+def write_run_package(spark: SparkSession, path: str, parts: dict[str, DataFrame], gate: DataFrame | None) -> str:
+    """Write a closed run's package if ``gate`` (violations) is empty, or an open one's if ``gate`` is None; returns the hash that names it.
+
+    A package has just the parts of its kind. Its COMPLETE mark holds the manifest's hash and is
+    written last, so a package without one was cut short.
+    """
+    wanted = OPEN_PARTS if gate is None else CLOSED_PARTS
+    if set(parts) != set(wanted):
+        raise ValueError(f"parts {sorted(parts)} of a package that needs {sorted(wanted)}")
+    if gate is not None:
+        assert_none(gate)
+    write_package(spark, path, parts)
+    sealed = _sealed(spark, path)
+    spark.createDataFrame([(sealed,)], "manifest_sha256 string").coalesce(1).write.mode("errorifexists").json(f"{path}/COMPLETE")
+    return sealed
+
+
+def _sealed(spark: SparkSession, path: str) -> str:
+    manifest = spark.read.schema("name string, rows long, sha256 string").json(f"{path}/MANIFEST")
+    listed = F.array_sort(F.collect_list(F.struct("name", "rows", "sha256")))  # a package has a handful of parts
+    return manifest.agg(F.sha2(F.to_json(listed), 256).alias("h")).first()["h"]
+
+
+def run_package_violations(spark: SparkSession, path: str, trusted_sha256: str) -> list[str]:
+    """What is wrong with a package: parts that changed, a manifest or a mark that is not the one that was trusted."""
+    mark = [r.manifest_sha256 for r in spark.read.schema("manifest_sha256 string").json(f"{path}/COMPLETE").collect()]
+    found = [f"part {r.name}" for r in package_differences(spark, path).collect()]
+    sealed = _sealed(spark, path)
+    return found + (["complete"] if mark != [sealed] else []) + (["trusted"] if sealed != trusted_sha256 else [])
+
+
+def register_run(spark: SparkSession, registry: str, run: DataFrame) -> None:
+    """Append ``run`` (run_id, classification, package, dashboard_sha256) to the registry's folder; a run that is there already is an error."""
+    known = spark.read.schema(run.schema).parquet(registry) if _exists(spark, registry) else run.limit(0)
+    assert_none(run.join(known.select("run_id"), "run_id", "left_semi").select("run_id", F.lit("registered").alias("rule")))
+    run.write.mode("append").parquet(registry)
+
+
+def registered_run(spark: SparkSession, registry: str, run_id: str, dashboard: bytes) -> DataFrame:
+    """The one row of a run in the registry, whose dashboard must have the hash that it was registered with."""
+    rows = spark.read.parquet(registry).filter(F.col("run_id") == run_id)
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("*")).alias("r"))
+    fine = (F.col("n") == 1) & (F.col("r.dashboard_sha256") == F.sha2(F.lit(dashboard), 256))
+    return counted.select(F.when(fine, F.col("r")).otherwise(F.raise_error(F.lit(f"run {run_id} is not registered with this dashboard"))).alias("r")).select("r.*")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+def dashboard(run_id: str, population: DataFrame, findings: DataFrame) -> DataFrame:
+    """(run_id, kind, subject, status, details): what a reader is shown of a run, its components and all findings but the matched ones."""
+    own = population.select(F.lit(run_id).alias("run_id"), F.lit("component").alias("kind"), F.col("population_id").alias("subject"), F.concat_ws(" ", "producer", "name", "version").alias("status"), F.lit("").alias("details"))
+    return own.union(findings.filter(F.col("status") != "MATCHED").select(F.lit(run_id), F.lit("finding"), "finding_id", "status", F.array_join("details", ",")))
+
+
 def run_record(findings: DataFrame, valid: bool) -> DataFrame:
     """One row: state of a run's findings (status) and what may be said of it."""
     state = F.when(F.count_if(F.col("status") != "MATCHED") == 0, "CLOSED").otherwise("OPEN")

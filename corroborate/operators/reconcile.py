@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import UNKNOWN, concrete
+from corroborate.operators.cluster import concrete_hashes
 
 STATES = ("MATCHED", "CONFLICT", "MISSING_FROM_SBOM", "NOT_IN_RELEASE", "UNKNOWN")
-_FIELDS = ("producer", "name", "version", "identifiers", "hashes", "provenances", "roles")
+_FIELDS = ("producer", "name", "version", "identifiers", "hashes", "provenances", "roles", "supplier_hashes")
 
 
 def _sides(candidates: DataFrame, population: DataFrame) -> tuple[DataFrame, DataFrame]:
+    none = F.array().cast("array<string>")
+    candidates, population = (s if "supplier_hashes" in s.columns else s.withColumn("supplier_hashes", none) for s in (candidates, population))
+    candidates, population = (s.withColumn("supplier_hashes", concrete_hashes("supplier_hashes")) for s in (candidates, population))
     return (
         candidates.select("candidate_id", *(F.col(c).alias(f"c_{c}") for c in _FIELDS)),
         population.select("population_id", "conflict_fields", "critical_unknown_fields", *(F.col(c).alias(f"p_{c}") for c in _FIELDS)),
@@ -53,7 +57,7 @@ def _compared() -> tuple[Column, Column]:
         missing = (F.col(f"p_{c}") == UNKNOWN) | (F.col(f"c_{c}") == UNKNOWN)
         unknown.append(F.when(missing, c))
         differ.append(F.when(~missing & (F.col(f"p_{c}") != F.col(f"c_{c}")), c))
-    for kind, name, needed in (("identifiers", "identifier", True), ("roles", "component_role", False), ("provenances", "provenance", False), ("hashes", "observed_hash", False)):
+    for kind, name, needed in (("identifiers", "identifier", True), ("roles", "component_role", False), ("provenances", "provenance", False), ("hashes", "observed_hash", False), ("supplier_hashes", "supplier_hash", False)):
         asked, known = F.size(f"c_{kind}") > 0, F.size(f"p_{kind}") > 0
         unknown.append(F.when(~(asked & known) if needed else asked & ~known, name))
         differ.append(F.when(asked & known & ~_overlap(kind), name))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.functions.text import canonical_json, fully, is_sha256, purl_canonical
+from corroborate.functions.text import NAMESPACE, canonical_json, fully, is_sha256, purl_canonical
 from corroborate.operators.hashing import list_sha256
 from corroborate.operators.rules import violations
 
@@ -27,7 +27,7 @@ JUSTIFICATIONS = {
     ),
 }
 #: Fixed values of receipts.
-INTAKE_SCHEMA, NARROWING_SCHEMA = "sbom-workbench.vex-intake-receipt/v1", "sbom-workbench.narrowing-reconcile-receipt/v1"
+INTAKE_SCHEMA, NARROWING_SCHEMA = f"{NAMESPACE}.vex-intake-receipt/v1", f"{NAMESPACE}.narrowing-reconcile-receipt/v1"
 DIRECTION, FACT_WRITE, CLASSIFICATION = "EUVD_TO_SBOM_NARROWING_ONLY", "EVIDENCE_ANNOTATION_ONLY_NO_HIT_DELETION", "SELF_TEST_NOT_CUSTOMER_EVIDENCE"
 NO_MATCH, CONTRADICTORY, BINDING_FAILED = "RETAINED_OPEN_NO_VEX_MATCH", "RETAINED_OPEN_CONTRADICTORY_VEX", "VEX_INTAKE_BINDING_FAILED"
 #: Hits of one matcher document at most.

@@ -17,7 +17,8 @@ VIEWS = {
                p_name AS name, CAST(p_size AS STRING) AS version,
                CASE WHEN p_partkey % 11 = 0 THEN NONE ELSE ARR({_PURL}) END AS identifiers,
                ARR('SHA-256:h' || CAST(p_partkey AS STRING)) AS hashes,
-               CASE WHEN p_partkey % 4 = 0 THEN NONE ELSE ARR('source:' || p_brand) END AS provenances, ARR('LIBRARY') AS roles
+               CASE WHEN p_partkey % 4 = 0 THEN NONE ELSE ARR('source:' || p_brand) END AS provenances, ARR('LIBRARY') AS roles,
+               CASE p_partkey % 8 WHEN 0 THEN ARR('SHA-256:v' || CAST(p_partkey AS STRING)) WHEN 1 THEN ARR('UNKNOWN:v') WHEN 2 THEN ARR('SHA-256:UNKNOWN') WHEN 3 THEN ARR('UNKNOWN:UNKNOWN') ELSE NONE END AS supplier_hashes
         FROM part""",
     "lane_artifact": f"""
         SELECT 'artifact' AS lane_id, 'a' || CAST(p_partkey AS STRING) AS component_id, p_brand AS producer, p_name AS name,
@@ -25,7 +26,8 @@ VIEWS = {
                CASE WHEN p_partkey % 11 = 0 THEN NONE WHEN p_partkey % 5 = 0 THEN ARR({_PURL}, 'pkg:generic/alias' || CAST(p_partkey AS STRING)) ELSE ARR({_PURL}) END AS identifiers,
                CASE WHEN p_partkey % 19 = 0 THEN NONE WHEN p_partkey % 17 = 0 THEN ARR('SHA-256:x' || CAST(p_partkey AS STRING)) ELSE ARR('SHA-256:h' || CAST(p_partkey AS STRING)) END AS hashes,
                CASE WHEN p_partkey % 6 = 0 THEN ARR('source:other') ELSE ARR('source:' || p_brand) END AS provenances,
-               CASE WHEN p_partkey % 41 = 0 THEN ARR('FIRMWARE') ELSE ARR('LIBRARY') END AS roles
+               CASE WHEN p_partkey % 41 = 0 THEN ARR('FIRMWARE') ELSE ARR('LIBRARY') END AS roles,
+               CASE WHEN p_partkey % 48 = 0 THEN ARR('SHA-256:other') WHEN p_partkey % 8 = 0 THEN ARR('SHA-256:v' || CAST(p_partkey AS STRING)) ELSE NONE END AS supplier_hashes
         FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""",
     "records": "SELECT * FROM lane_build UNION ALL SELECT * FROM lane_artifact",
     "candidate": f"""
@@ -33,9 +35,17 @@ VIEWS = {
                CAST(CASE WHEN p_partkey % 23 = 0 THEN p_size + 5 ELSE p_size END AS STRING) AS version,
                CASE WHEN p_partkey % 3 = 0 THEN NONE ELSE ARR({_PURL}) END AS identifiers,
                CASE WHEN p_partkey % 2 = 0 THEN ARR('SHA-256:h' || CAST(p_partkey AS STRING)) ELSE NONE END AS hashes, NONE AS provenances,
-               CASE WHEN p_partkey % 29 = 0 THEN ARR('FIRMWARE') ELSE NONE END AS roles
+               CASE WHEN p_partkey % 29 = 0 THEN ARR('FIRMWARE') ELSE NONE END AS roles,
+               CASE WHEN p_partkey % 40 = 8 THEN ARR('SHA-256:w') WHEN p_partkey % 8 = 0 OR p_partkey % 10 = 7 THEN ARR('SHA-256:v' || CAST(p_partkey AS STRING)) ELSE NONE END AS supplier_hashes
         FROM part WHERE p_partkey % 13 <> 0
-        UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 5 = 0 THEN 'UNKNOWN' ELSE 'Nation' END, n_name, '1', ARR('pkg:generic/nation' || CAST(n_nationkey AS STRING)), NONE, NONE, NONE FROM nation""",
+        UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 5 = 0 THEN 'UNKNOWN' ELSE 'Nation' END, n_name, '1', ARR('pkg:generic/nation' || CAST(n_nationkey AS STRING)), NONE, NONE, NONE, NONE FROM nation""",
+    "lanes": "SELECT 'build' AS lane_id, 'evidence-1' AS evidence_id UNION ALL SELECT 'artifact', 'evidence-2'",
+    "lane_edges": """
+        SELECT 'build' AS lane_id, 'b' || CAST(p_partkey AS STRING) AS src, CASE p_partkey % 7 WHEN 0 THEN 'CONTAINS' WHEN 1 THEN 'UNKNOWN' ELSE 'DEPENDS_ON' END AS rel, 'b' || CAST(p_partkey - 1 AS STRING) AS dst FROM part WHERE p_partkey > 0
+        UNION ALL SELECT 'artifact', 'a' || CAST(l_partkey AS STRING), CASE WHEN l_partkey % 5 = 0 THEN 'DYNAMICALLY_LINKS' ELSE 'DEPENDS_ON' END, 'a' || CAST(l_partkey - 1 AS STRING) FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey > 0)""",
+    "candidate_edges": """
+        SELECT 'c' || CAST(p_partkey AS STRING) AS src, CASE WHEN p_partkey % 11 = 0 THEN 'CONTAINS' ELSE 'DEPENDS_ON' END AS rel, 'c' || CAST(p_partkey - 1 AS STRING) AS dst FROM part WHERE p_partkey > 0 AND p_partkey % 4 <> 0
+        UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'DEPENDS_ON', 'c1' FROM nation""",
     "rel_claims": """
         SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'build' ELSE 'artifact' END AS lane_id, 'p' || CAST(l_partkey AS STRING) AS src,
                CASE WHEN l_orderkey % 50 = 4 THEN 'UNKNOWN' WHEN l_orderkey % 5 = 0 THEN 'CONTAINS' WHEN l_orderkey % 5 = 1 THEN 'DYNAMICALLY_LINKS' ELSE 'DEPENDS_ON' END AS rel,
@@ -72,6 +82,40 @@ VIEWS = {
         SELECT 'SOURCE' AS profile_kind, CASE WHEN p_partkey % 21 = 0 THEN NULL ELSE 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) END AS logical_key, CAST(p_size AS STRING) AS version FROM part
         UNION ALL SELECT 'OCI', 'purl:pkg:generic/p' || CAST(p_partkey AS STRING), CAST(CASE WHEN p_partkey % 8 = 0 THEN p_size + 1 ELSE p_size END AS STRING) FROM part WHERE p_partkey % 2 = 0
         UNION ALL SELECT 'PORTABLE_RUNTIME', CASE WHEN p_partkey % 33 = 0 THEN NULL ELSE 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) END, CASE WHEN p_partkey % 15 = 0 THEN NULL WHEN p_partkey % 6 = 0 THEN CAST(p_size + 2 AS STRING) ELSE CAST(p_size AS STRING) END FROM part WHERE p_partkey % 3 = 0""",
+    "observations": """
+        SELECT 'p-src' AS profile_id, 'SOURCE_DIRECTORY' AS profile_kind, 'run-1' AS run_id, 's' || CAST(p_partkey AS STRING) AS bom_ref, p_name AS name, CAST(p_size AS STRING) AS version, CAST(NULL AS STRING) AS cpe, NONE AS hashes,
+               CASE WHEN p_partkey % 21 <> 0 THEN 'pkg:generic/p' || CAST(p_partkey AS STRING) || '@1' END AS purl, CASE WHEN p_partkey % 21 <> 0 THEN 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) END AS logical_key FROM part
+        UNION ALL SELECT 'p-oci', 'OCI_ARCHIVE', 'run-2', 'o' || CAST(p_partkey AS STRING), p_name, CAST(CASE WHEN p_partkey % 8 = 0 THEN p_size + 1 ELSE p_size END AS STRING), NULL, NONE, 'pkg:generic/p' || CAST(p_partkey AS STRING), 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 2 = 0
+        UNION ALL SELECT 'p-oci', 'OCI_ARCHIVE', 'run-2', 'q' || CAST(p_partkey AS STRING), p_name, NULL, 'cpe:2.3:a', ARR('SHA-256:h'), NULL, 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 6 = 0
+        UNION ALL SELECT 'p-run', 'PORTABLE_RUNTIME', 'run-3', 'r' || CAST(p_partkey AS STRING), p_name, CASE WHEN p_partkey % 15 = 0 THEN NULL WHEN p_partkey % 6 = 0 THEN CAST(p_size + 2 AS STRING) ELSE CAST(p_size AS STRING) END, NULL, NONE, NULL, CASE WHEN p_partkey % 33 <> 0 THEN 'purl:pkg:generic/p' || CAST(p_partkey AS STRING) END FROM part WHERE p_partkey % 3 = 0""",
+    "packages_a": "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'arm' ELSE 'x86' END AS architecture, 'n' || CAST(p_partkey AS STRING) AS name, CAST(p_size AS STRING) AS version FROM part WHERE p_partkey % 9 <> 1",
+    "packages_b": "SELECT CASE WHEN p_partkey % 22 = 0 THEN 'all' WHEN p_partkey % 2 = 0 THEN 'arm' ELSE 'x86' END AS architecture, 'n' || CAST(p_partkey AS STRING) AS name, CAST(CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS STRING) AS version FROM part WHERE p_partkey % 9 <> 2",
+    "rootfs": """
+        SELECT 'image' || CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 20 END AS STRING) AS archive, 'd/' || CAST(o_orderkey AS STRING) AS path, CASE WHEN o_orderkey % 20 = 7 OR o_orderkey % 7 = 0 THEN 'symlink' WHEN o_orderkey % 11 = 0 THEN 'directory' ELSE 'file' END AS kind,
+               o_orderkey % 1000 AS size, 'k' || CAST(o_custkey AS STRING) AS sha256, 'to/' || CAST(o_custkey AS STRING) AS target FROM orders""",
+    "export_release": """
+        SELECT 'run-' || CAST(c_custkey AS STRING) AS run_id, 'SYNTHETIC_NOT_EVIDENCE' AS classification, lpad(CAST(c_custkey AS STRING), 64, 'c') AS canonical_sha256, 'build-' || CAST(c_custkey AS STRING) AS build_id, lpad(CAST(c_custkey AS STRING), 64, 'a') AS artifact_sha256,
+               '2026-01-05T00:00:00Z' AS release_timestamp, 'author ' || CAST(c_nationkey AS STRING) AS sbom_author, 'rel-' || CAST(c_custkey AS STRING) AS release_id, c_mktsegment AS product, '1.0' AS product_version FROM customer""",
+    "release_records": """
+        SELECT CASE WHEN c_custkey % 19 = 0 THEN '-bad' ELSE 'rel-' || CAST(c_custkey AS STRING) END AS release_id, CASE WHEN c_custkey % 11 = 0 THEN 'REAL' ELSE 'SYNTHETIC_NOT_EVIDENCE' END AS classification, CASE WHEN c_custkey % 5 = 0 THEN 'UNKNOWN' ELSE c_name END AS manufacturer, c_mktsegment AS product,
+               '1' AS product_version, 'b' AS build_id, 'arm' AS architecture, 'r1' AS hardware_revision, 'a' AS sbom_author, '1' AS sbom_version, CASE c_custkey % 4 WHEN 0 THEN 'release.json' WHEN 1 THEN '../a.tar' ELSE 'artifact/a.tar' END AS artifact_relative_path,
+               CASE WHEN c_custkey % 7 = 0 THEN repeat('A', 64) ELSE repeat('a', 64) END AS artifact_sha256, '2026-01-05T00:00:00Z' AS release_timestamp, CASE WHEN c_custkey % 3 = 0 THEN '2026-01-06T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END AS evidence_cutoff FROM customer""",
+    "component_hashes": """
+        SELECT 'c' || CAST(p_partkey AS STRING) AS component_id, CASE WHEN p_partkey % 2 = 0 THEN 'observed' ELSE 'supplier' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'SHA-256' WHEN 1 THEN 'MD5' END AS algorithm, CASE p_partkey % 5 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'xyz' ELSE repeat('a', 64) END AS value FROM part""",
+    "attestations": """
+        SELECT CAST(s_suppkey AS STRING) AS doc, '{"_type": "' || CASE WHEN s_suppkey % 7 = 0 THEN 'other' ELSE 'https://in-toto.io/Statement/v1' END || '", "predicateType": "' || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'p' END || '", "subject": [{"name": "n", "digest": {"sha256": "' || CASE WHEN s_suppkey % 3 = 0 THEN 'short' ELSE repeat('a', 64) END || '"}}' ||
+               CASE WHEN s_suppkey % 4 = 0 THEN ', {"name": "m"}' ELSE '' END || '], "predicate": ' || CASE WHEN s_suppkey % 11 = 0 THEN '[]' ELSE '{}' END || '}' AS raw FROM supplier""",
+    "signed": """
+        SELECT 'key' || CAST(c_custkey AS STRING) AS key_id, 'corroborate.signature-receipt/v1' AS schema_version, CASE WHEN c_custkey % 6 = 0 THEN 'keyless' ELSE 'cosign-key-based-offline' END AS scheme, 'n' AS subject_name, repeat('a', 64) AS subject_sha256, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'p' END AS signature_path,
+               CASE WHEN c_custkey % 9 = 0 THEN 'x' ELSE repeat('b', 64) END AS signature_sha256, '2026' AS signed_at_utc, 'cosign' AS tool_name, CASE WHEN c_custkey % 10 <> 0 THEN '3' END AS tool_version, repeat('c', 64) AS tool_sha256 FROM customer""",
+    "commands": """
+        SELECT o_orderkey AS command_id, CASE o_orderkey % 7 WHEN 0 THEN ARR('cosign', 'sign-blob', '--key', 'k', '--tlog-upload=false', '--use-signing-config=false', '--new-bundle-format=false', '--output-signature', 's') WHEN 1 THEN ARR('cosign', 'verify-blob', '--key', 'k', '--signature', 's', '--insecure-ignore-tlog=true')
+               WHEN 2 THEN ARR('cosign', 'sign-blob', '--key', 'k') WHEN 3 THEN ARR('cosign', 'verify-blob', '--signature', 's', '--insecure-ignore-tlog=true') WHEN 4 THEN ARR('cosign', 'verify-blob', '--key', 'k', '--signature', 's', '--insecure-ignore-tlog=true', '--rekor-url=x') WHEN 5 THEN ARR('cosign') ELSE ARR('cosign', 'verify-blob', '--key', 'k', '--signature', 's', '--insecure-ignore-tlog=true', '--tlog-upload') END AS argv FROM orders""",
+    "inventory_parts": "SELECT lpad(CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 30 END AS STRING), 64, 'd') AS cyclonedx_sha256, CASE WHEN p_partkey % 4 <> 0 THEN 'pkg:p' END AS purl, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '1' END AS version FROM part",
+    "handoff_sources": """
+        SELECT 'run-' || CAST(c_custkey AS STRING) AS source_run_id, CASE WHEN c_custkey % 2 = 0 THEN 'CALLER_DECLARED_NOT_INDEPENDENTLY_VERIFIED' ELSE 'VERIFIED_ROOT' END AS source_binding_status, CASE c_custkey % 3 WHEN 0 THEN 'profile-1' WHEN 1 THEN 'odd' END AS source_profile_id,
+               CASE WHEN c_custkey % 5 <> 0 THEN repeat('e', 64) END AS source_root_completion_sha256, lpad(CAST(c_custkey % 40 AS STRING), 64, 'd') AS cyclonedx_sha256, 'http://127.0.0.1:1' AS endpoint FROM customer""",
+    "recorded_arms": "SELECT 'arm-quality' AS arm_id, CAST(7 AS BIGINT) AS results, CAST(3 AS BIGINT) AS valid, CAST(0.5 AS DOUBLE) AS rate UNION ALL SELECT 'arm-gone', CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1.0 AS DOUBLE)",
     "files_expected": "SELECT 'd/' || CAST(o_orderkey AS STRING) AS path, CASE WHEN o_orderkey % 14 = 0 THEN 'UNKNOWN' ELSE 'k' || CAST(o_custkey AS STRING) END AS sha256 FROM orders WHERE o_orderkey % 5 <> 0",
     "files_observed": "SELECT 'd/' || CAST(o_orderkey AS STRING) AS path, 'k' || CAST(CASE WHEN o_orderkey % 9 = 0 THEN o_custkey + 1 ELSE o_custkey END AS STRING) AS sha256 FROM orders WHERE o_orderkey % 6 <> 0",
     "manifest": "SELECT 'r' || CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 30 END AS STRING) AS root_id, 'f/' || CAST(o_orderkey AS STRING) AS path, 'k' || CAST(o_custkey AS STRING) AS sha256, o_orderkey % 1000 AS size, o_orderkey % 4 = 0 AS executable FROM orders",

@@ -33,7 +33,7 @@ UNION ALL SELECT statement_id, 'justification' FROM vex WHERE justification IS N
 UNION ALL SELECT statement_id, 'purls' FROM vex WHERE len(purls) = 0 OR len(list_filter(purls, lambda p: NOT regexp_full_match(p, 'pkg:[A-Za-z0-9.+-]+/.+'))) > 0""")
 _STATEMENT = f"""'{{"detail":' || {_TEXT('detail')} || ',"first_issued_utc":null,"issuer_id":"' || issuer_id || '","justification":' || {_TEXT('justification')} || ',"last_updated_utc":' || {_TEXT('last_updated_utc')} || ',"narrowing_eligible":' || CASE WHEN status = 'not_affected' THEN 'true' ELSE 'false' END
     || ',"product_purls":[' || array_to_string(list_transform(purls, lambda p: '"' || p || '"'), ',') || '],"status":"' || status || '","vex_document_sha256":"' || vex_document_sha256 || '","vex_format":"' || vex_format || '","vulnerability_id":"' || vulnerability_id || '"}}'"""
-_RECEIPTS = lambda t: f"""SELECT 'sbom-workbench.vex-intake-receipt/v1' AS schema_version, min(vex_format) AS vex_format, vex_document_sha256, any_value(signature_sha256) AS signature_sha256, min(issuer_id) AS issuer_id, any_value(binary_sha256) AS binary_sha256,
+_RECEIPTS = lambda t: f"""SELECT 'corroborate.vex-intake-receipt/v1' AS schema_version, min(vex_format) AS vex_format, vex_document_sha256, any_value(signature_sha256) AS signature_sha256, min(issuer_id) AS issuer_id, any_value(binary_sha256) AS binary_sha256,
     sha256('[' || string_agg({_STATEMENT}, ',' ORDER BY vulnerability_id, array_to_string(purls, '|'), position) || ']') AS statements_canonical_sha256, count(*) AS statement_count, count(*) FILTER (status = 'not_affected') AS narrowing_eligible_count
     FROM {t} LEFT JOIN vex_signatures USING (vex_document_sha256) GROUP BY vex_document_sha256"""
 oracle("vex_receipt", "vex vex_signatures", f"SELECT * EXCLUDE (statements_canonical_sha256) FROM ({_RECEIPTS('vex')})")
@@ -49,7 +49,7 @@ oracle("narrow_bound", "hits vex vex_signatures", """SELECT hit_id, narrowed, re
 UNION ALL SELECT hit_id, false, 'VEX_INTAKE_BINDING_FAILED', 0 FROM hits WHERE vex_document_sha256 NOT IN (SELECT vex_document_sha256 FROM vex) OR vex_document_sha256 IN (SELECT vex_document_sha256 FROM broken)""",
     _SAID + ", " + _DECIDED(" AND a.vex_document_sha256 = s.vex_document_sha256").replace("SELECT a.handoff_id,", "SELECT a.vex_document_sha256, a.handoff_id,") + _BINDING.replace("{gone}", "false"))
 oracle("hit_violations", "hits", "SELECT DISTINCT handoff_id, 'purl' AS rule FROM hits WHERE handoff_id LIKE '%3' AND position % 7 = 0 UNION ALL SELECT DISTINCT handoff_id, 'cyclonedx_sha256' FROM hits WHERE NOT regexp_full_match(cyclonedx_sha256, '[0-9a-f]{64}') UNION ALL SELECT handoff_id, 'hits' FROM hits GROUP BY 1 HAVING count(*) > 500")
-_NARROWING_RECEIPT = """SELECT 'sbom-workbench.narrowing-reconcile-receipt/v1' AS schema_version, 'SELF_TEST_NOT_CUSTOMER_EVIDENCE' AS classification, sha256(d.handoff_id || chr(10) || cyclonedx_sha256 || chr(10) || repeat('3', 64) || chr(10) || repeat('4', 64)) AS reconcile_id, 'EUVD_TO_SBOM_NARROWING_ONLY' AS direction,
+_NARROWING_RECEIPT = """SELECT 'corroborate.narrowing-reconcile-receipt/v1' AS schema_version, 'SELF_TEST_NOT_CUSTOMER_EVIDENCE' AS classification, sha256(d.handoff_id || chr(10) || cyclonedx_sha256 || chr(10) || repeat('3', 64) || chr(10) || repeat('4', 64)) AS reconcile_id, 'EUVD_TO_SBOM_NARROWING_ONLY' AS direction,
     'EVIDENCE_ANNOTATION_ONLY_NO_HIT_DELETION' AS fact_write, true AS original_handoff_untouched, d.handoff_id, cyclonedx_sha256, 'BOUND' AS source_binding_status, 'issuer' AS issuer_id, repeat('1', 64) AS vex_document_sha256, repeat('2', 64) AS signature_sha256, repeat('3', 64) AS statements_canonical_sha256,
     5 AS narrowing_eligible_count, 30 AS operator_max_receipt_age_days, repeat('4', 64) AS matcher_hits_sha256, count(*) AS total_hits, count(*) FILTER (narrowed) AS narrowed_count, count(*) FILTER (NOT narrowed) AS not_narrowed_count
     FROM decided d JOIN (SELECT DISTINCT handoff_id, cyclonedx_sha256 FROM hits) USING (handoff_id) GROUP BY d.handoff_id, cyclonedx_sha256"""
@@ -81,17 +81,18 @@ reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT r.a, e.b FROM reach r
 roots AS (SELECT a AS node, min(b) AS cluster FROM reach GROUP BY a),
 own AS (SELECT n.*, cluster FROM nodes n JOIN roots USING (node)),
 grouped AS (SELECT cluster, list_sort(list_distinct(list(nullif(producer, 'UNKNOWN')))) AS ps, list_sort(list_distinct(list(nullif(name, 'UNKNOWN')))) AS ns, list_sort(list_distinct(list(nullif(version, 'UNKNOWN')))) AS vs,
-    list_sort(list_distinct(flatten(list(identifiers)))) AS identifiers, list_sort(list_distinct(flatten(list(hashes)))) AS hashes, list_sort(list_distinct(flatten(list(provenances)))) AS provenances, list_sort(list_distinct(flatten(list(roles)))) AS roles,
+    list_sort(list_distinct(flatten(list(identifiers)))) AS identifiers, list_sort(list_distinct(flatten(list(hashes)))) AS hashes, list_sort(list_distinct(flatten(list(provenances)))) AS provenances, list_sort(list_distinct(flatten(list(roles)))) AS roles, list_sort(list_distinct(flatten(list(supplier_hashes)))) AS supplier_hashes,
     list_sort(list_distinct(list(lane_id))) AS lanes, count(*) AS members, count(DISTINCT lane_id) AS n_lanes,
     string_agg('{"lane_id":"' || lane_id || '","source_component_id":"' || component_id || '"}', ',' ORDER BY lane_id, component_id) AS js, string_agg(lane_id || '/' || component_id, ',' ORDER BY lane_id, component_id) AS listed
     FROM own GROUP BY cluster),
 population AS (SELECT 'population-' || sha256('{"source_components":[' || js || ']}') AS population_id, CASE WHEN len(ps) = 1 THEN ps[1] ELSE 'UNKNOWN' END AS producer, CASE WHEN len(ns) = 1 THEN ns[1] ELSE 'UNKNOWN' END AS name, CASE WHEN len(vs) = 1 THEN vs[1] ELSE 'UNKNOWN' END AS version,
-    identifiers, hashes, provenances, roles, lanes, listed AS members,
-    list_filter([CASE WHEN len(roles) > 1 THEN 'component_role' END, CASE WHEN g.members > n_lanes THEN 'identity' END, CASE WHEN len(ns) > 1 THEN 'name' END, CASE WHEN len(hashes) > 1 THEN 'observed_hash' END, CASE WHEN len(ps) > 1 THEN 'producer' END, CASE WHEN len(vs) > 1 THEN 'version' END], lambda x: x IS NOT NULL) AS conflict_fields,
+    identifiers, hashes, provenances, roles, supplier_hashes, lanes, listed AS members,
+    list_filter([CASE WHEN len(roles) > 1 THEN 'component_role' END, CASE WHEN g.members > n_lanes THEN 'identity' END, CASE WHEN len(ns) > 1 THEN 'name' END, CASE WHEN len(hashes) > 1 THEN 'observed_hash' END, CASE WHEN len(ps) > 1 THEN 'producer' END, CASE WHEN len(list_filter(supplier_hashes, lambda h: h NOT LIKE '%UNKNOWN%')) > 1 THEN 'supplier_hash' END, CASE WHEN len(vs) > 1 THEN 'version' END], lambda x: x IS NOT NULL) AS conflict_fields,
+    list_filter([CASE WHEN list_contains(supplier_hashes, 'UNKNOWN:v') THEN 'supplier_hash_algorithm' END, CASE WHEN list_contains(supplier_hashes, 'SHA-256:UNKNOWN') THEN 'supplier_hash_value' END], lambda x: x IS NOT NULL) AS nonblocking_unknown_fields,
     list_filter([CASE WHEN len(identifiers) = 0 THEN 'identifier' END, CASE WHEN len(ns) <> 1 THEN 'name' END, CASE WHEN len(ps) <> 1 THEN 'producer' END, CASE WHEN len(vs) <> 1 THEN 'version' END], lambda x: x IS NOT NULL) AS critical_unknown_fields
     FROM grouped g)"""
 _J = lambda *cs: ", ".join(f"array_to_string({c}, ',') AS {c}" for c in cs)
-oracle("population", "records", f"SELECT population_id, producer, name, version, members, {_J('identifiers', 'hashes', 'provenances', 'roles', 'lanes', 'conflict_fields', 'critical_unknown_fields')} FROM population", _POPULATION)
+oracle("population", "records", f"SELECT population_id, producer, name, version, members, {_J('identifiers', 'hashes', 'provenances', 'roles', 'supplier_hashes', 'lanes', 'conflict_fields', 'critical_unknown_fields', 'nonblocking_unknown_fields')} FROM population", _POPULATION)
 oracle("export_components", "records", f"""SELECT population_id, name, version, list_min(list_filter(identifiers, lambda i: starts_with(i, 'pkg:'))) AS purl, 'library' AS type, {_J('hashes')} FROM population""", _POPULATION)
 _BEST = _POPULATION + """, scored AS (SELECT c.candidate_id, p.population_id, CASE WHEN len(c.identifiers) > 0 AND len(p.identifiers) > 0 THEN 100 ELSE 10 END + CASE WHEN c.version <> 'UNKNOWN' AND c.version = p.version THEN 5 ELSE 0 END
     + CASE WHEN list_has_any(c.hashes, p.hashes) THEN 1000 ELSE 0 END + CASE WHEN list_has_any(c.provenances, p.provenances) THEN 500 ELSE 0 END + CASE WHEN list_has_any(c.roles, p.roles) THEN 100 ELSE 0 END AS score
@@ -99,11 +100,11 @@ _BEST = _POPULATION + """, scored AS (SELECT c.candidate_id, p.population_id, CA
 best AS (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS n_populations FROM (SELECT *, max(score) OVER (PARTITION BY candidate_id) AS top FROM scored) WHERE score = top)"""
 oracle("best_match", "candidate records", "SELECT candidate_id, population_id, score, n_populations FROM best", _BEST)
 _STATES = _BEST + """, per AS (SELECT population_id, count(*) AS n, max(n_populations) AS ties, min(candidate_id) AS one FROM best GROUP BY 1),
-met AS (SELECT p.*, coalesce(n, 0) AS n, ties, one, c.producer AS c_producer, c.name AS c_name, c.version AS c_version, c.identifiers AS ci, c.hashes AS ch, c.provenances AS cp, c.roles AS cr FROM population p LEFT JOIN per USING (population_id) LEFT JOIN candidate c ON c.candidate_id = one),
+met AS (SELECT p.*, coalesce(n, 0) AS n, ties, one, c.producer AS c_producer, c.name AS c_name, c.version AS c_version, c.identifiers AS ci, c.hashes AS ch, c.provenances AS cp, c.roles AS cr, c.supplier_hashes AS cs, list_filter(p.supplier_hashes, lambda h: h NOT LIKE '%UNKNOWN%') AS ps FROM population p LEFT JOIN per USING (population_id) LEFT JOIN candidate c ON c.candidate_id = one),
 judged AS (SELECT *, list_sort(list_filter([CASE WHEN producer = 'UNKNOWN' OR c_producer = 'UNKNOWN' THEN 'producer' END, CASE WHEN name = 'UNKNOWN' OR c_name = 'UNKNOWN' THEN 'name' END, CASE WHEN version = 'UNKNOWN' OR c_version = 'UNKNOWN' THEN 'version' END,
-    CASE WHEN len(ci) = 0 OR len(identifiers) = 0 THEN 'identifier' END, CASE WHEN len(cr) > 0 AND len(roles) = 0 THEN 'component_role' END, CASE WHEN len(cp) > 0 AND len(provenances) = 0 THEN 'provenance' END, CASE WHEN len(ch) > 0 AND len(hashes) = 0 THEN 'observed_hash' END], lambda x: x IS NOT NULL)) AS unknowns,
+    CASE WHEN len(ci) = 0 OR len(identifiers) = 0 THEN 'identifier' END, CASE WHEN len(cr) > 0 AND len(roles) = 0 THEN 'component_role' END, CASE WHEN len(cp) > 0 AND len(provenances) = 0 THEN 'provenance' END, CASE WHEN len(ch) > 0 AND len(hashes) = 0 THEN 'observed_hash' END, CASE WHEN len(cs) > 0 AND len(ps) = 0 THEN 'supplier_hash' END], lambda x: x IS NOT NULL)) AS unknowns,
     list_sort(list_filter([CASE WHEN producer <> c_producer THEN 'producer' END, CASE WHEN name <> c_name THEN 'name' END, CASE WHEN version <> c_version THEN 'version' END,
-    CASE WHEN NOT list_has_any(ci, identifiers) THEN 'identifier' END, CASE WHEN len(cr) > 0 AND NOT list_has_any(cr, roles) THEN 'component_role' END, CASE WHEN len(cp) > 0 AND NOT list_has_any(cp, provenances) THEN 'provenance' END, CASE WHEN len(ch) > 0 AND NOT list_has_any(ch, hashes) THEN 'observed_hash' END], lambda x: x IS NOT NULL)) AS differs FROM met),
+    CASE WHEN NOT list_has_any(ci, identifiers) THEN 'identifier' END, CASE WHEN len(cr) > 0 AND NOT list_has_any(cr, roles) THEN 'component_role' END, CASE WHEN len(cp) > 0 AND NOT list_has_any(cp, provenances) THEN 'provenance' END, CASE WHEN len(ch) > 0 AND NOT list_has_any(ch, hashes) THEN 'observed_hash' END, CASE WHEN len(cs) > 0 AND NOT list_has_any(cs, ps) THEN 'supplier_hash' END], lambda x: x IS NOT NULL)) AS differs FROM met),
 findings AS (SELECT population_id, CASE WHEN n = 1 AND (len(conflict_fields) > 0 OR ties = 1) THEN one END AS candidate_id,
     CASE WHEN len(conflict_fields) > 0 THEN 'CONFLICT' WHEN n > 1 OR n = 1 AND ties > 1 THEN 'UNKNOWN' WHEN n = 0 AND len(critical_unknown_fields) > 0 THEN 'UNKNOWN' WHEN n = 0 THEN 'MISSING_FROM_SBOM'
         WHEN len(critical_unknown_fields) > 0 OR len(unknowns) > 0 THEN 'UNKNOWN' WHEN len(differs) > 0 THEN 'CONFLICT' ELSE 'MATCHED' END AS status,
@@ -115,6 +116,34 @@ oracle("five_state", "candidate records", "SELECT * FROM findings", _STATES)
 _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in ("MATCHED", "CONFLICT", "MISSING_FROM_SBOM", "NOT_IN_RELEASE", "UNKNOWN"))
 oracle("status_counts", "candidate records", f"SELECT {_COUNTS}, CASE WHEN count(*) FILTER (status <> 'MATCHED') = 0 THEN 'CLOSED' ELSE 'OPEN' END AS state FROM findings", _STATES)
 
+oracle("limitations", "records", "SELECT population_id, array_to_string(nonblocking_unknown_fields, ',') AS fields FROM population WHERE len(nonblocking_unknown_fields) > 0", _POPULATION)
+oracle("supplier_conflict", "records", "SELECT population_id, array_to_string(supplier_hashes, ',') AS supplier_hashes FROM population WHERE list_contains(conflict_fields, 'supplier_hash')", _POPULATION)
+oracle("export_gate", "candidate records", """SELECT coalesce(population_id, candidate_id) AS subject, 'open' AS rule FROM findings WHERE status <> 'MATCHED'
+UNION ALL SELECT population_id, unnest(list_filter([CASE WHEN len(conflict_fields) > 0 THEN 'conflicts' END, CASE WHEN len(critical_unknown_fields) > 0 THEN 'unknowns' END, CASE WHEN len(identifiers) = 0 THEN 'identifier' END, CASE WHEN producer = 'UNKNOWN' THEN 'producer' END, CASE WHEN name = 'UNKNOWN' THEN 'name' END, CASE WHEN version = 'UNKNOWN' THEN 'version' END], lambda x: x IS NOT NULL)) FROM population""", _STATES)
+_LIST = lambda v: f"('[' || CASE WHEN {v} = '' THEN '' ELSE '\"' || replace({v}, ',', '\",\"') || '\"' END || ']')"
+_CLAIM_OF = """'relationship-claim-' || sha256('{"evidence_ids":["' || evidence_id || '"],"lane_id":"' || lane_id || '","relationship":"' || rel || '","source_component_id":"' || src || '","target_component_id":"' || dst || '"}')"""
+_EDGES = f""", member AS (SELECT population_id, unnest(string_split(members, ',')) AS m FROM population),
+edge AS (SELECT e.*, evidence_id, {_CLAIM_OF} AS claim_id, s.population_id AS s, d.population_id AS d FROM lane_edges e JOIN lanes USING (lane_id) LEFT JOIN member s ON s.m = lane_id || '/' || src LEFT JOIN member d ON d.m = lane_id || '/' || dst),
+projected AS (SELECT s, rel, d, string_agg(DISTINCT lane_id, ',' ORDER BY lane_id) AS lanes, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence_ids FROM edge WHERE s IS NOT NULL AND d IS NOT NULL GROUP BY s, rel, d)"""
+oracle("release_relationships", "records lane_edges lanes", f"""SELECT s AS source_population_id, rel AS relationship, d AS target_population_id, lanes, claim_ids, evidence_ids, 'relationship-' || sha256('{{"claim_ids":' || {_LIST('claim_ids')} || ',"discovery_lanes":' || {_LIST('lanes')} || ',"evidence_ids":' || {_LIST('evidence_ids')} || ',"relationship":"' || rel || '","source_population_id":"' || s || '","target_population_id":"' || d || '"}}') AS relationship_id FROM projected""", _POPULATION + _EDGES)
+oracle("unmapped_claims", "records lane_edges lanes", f"SELECT lane_id, src, dst, {_CLAIM_OF} AS claim_id FROM lane_edges JOIN lanes USING (lane_id) WHERE src LIKE '%9' OR dst LIKE '%9' OR (lane_id = 'artifact' AND dst NOT IN (SELECT component_id FROM records))")
+_ALL = _EDGES + f""", with_evidence AS (SELECT f.*, coalesce((SELECT string_agg(evidence_id, ',' ORDER BY evidence_id) FROM lanes WHERE list_contains(p.lanes, lane_id)), '') AS evidence_ids FROM findings f LEFT JOIN population p USING (population_id)),
+component AS (SELECT 'COMPONENT' AS finding_type, population_id, candidate_id, CAST(NULL AS VARCHAR) AS source_population_id, CAST(NULL AS VARCHAR) AS relationship, CAST(NULL AS VARCHAR) AS target_population_id, CAST(NULL AS VARCHAR) AS source_candidate_id, CAST(NULL AS VARCHAR) AS target_candidate_id, status, details, '' AS claim_ids, evidence_ids,
+    'finding-' || sha256('{{"candidate_id":' || {_TEXT('candidate_id')} || ',"details":' || {_LIST('details')} || ',"evidence_ids":' || {_LIST('evidence_ids')} || ',"finding_type":"COMPONENT","population_id":' || {_TEXT('population_id')} || ',"status":"' || status || '"}}') AS finding_id FROM with_evidence),
+ends AS (SELECT s, d, string_agg(DISTINCT rel, ',' ORDER BY rel) AS kinds, count(DISTINCT rel) AS n, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence_ids FROM edge WHERE s IS NOT NULL AND d IS NOT NULL GROUP BY s, d),
+torn AS (SELECT s, d, CASE WHEN kinds LIKE '%UNKNOWN%' THEN 'UNKNOWN' ELSE 'CONFLICT' END AS status, CASE WHEN kinds LIKE '%UNKNOWN%' THEN 'relationship' ELSE kinds END AS details, claim_ids, evidence_ids FROM ends WHERE n > 1 OR kinds = 'UNKNOWN'),
+mapping AS (SELECT candidate_id, max_by(population_id, finding_id) AS p FROM component WHERE candidate_id IS NOT NULL AND population_id IS NOT NULL GROUP BY 1),
+asked AS (SELECT e.*, a.p AS s, b.p AS d FROM candidate_edges e LEFT JOIN mapping a ON a.candidate_id = src LEFT JOIN mapping b ON b.candidate_id = dst),
+met_edges AS (SELECT coalesce(f.s, m.s) AS s, coalesce(f.rel, m.rel) AS rel, coalesce(f.d, m.d) AS d, coalesce(claim_ids, '') AS claim_ids, coalesce(evidence_ids, '') AS evidence_ids, CASE WHEN m.s IS NULL THEN 'MISSING_FROM_SBOM' WHEN f.s IS NULL THEN 'NOT_IN_RELEASE' ELSE 'MATCHED' END AS status,
+    CASE WHEN m.s IS NULL THEN 'candidate_relationship_missing' WHEN f.s IS NULL THEN 'candidate_relationship_not_supported_by_discovery' ELSE '' END AS details FROM projected f FULL JOIN (SELECT DISTINCT s, rel, d FROM asked WHERE s IS NOT NULL AND d IS NOT NULL) m ON f.s = m.s AND f.rel = m.rel AND f.d = m.d),
+all_findings AS (SELECT * FROM component
+UNION ALL SELECT 'RELATIONSHIP', NULL, NULL, s, NULL, d, NULL, NULL, status, details, claim_ids, evidence_ids, 'finding-' || sha256('{{"claim_ids":' || {_LIST('claim_ids')} || ',"details":' || {_LIST('details')} || ',"evidence_ids":' || {_LIST('evidence_ids')} || ',"finding_type":"RELATIONSHIP","source_population_id":"' || s || '","status":"' || status || '","target_population_id":"' || d || '"}}') FROM torn
+UNION ALL SELECT 'CANDIDATE_RELATIONSHIP', NULL, NULL, s, rel, d, NULL, NULL, status, details, claim_ids, evidence_ids, 'finding-' || sha256('{{"claim_ids":' || {_LIST('claim_ids')} || ',"details":' || {_LIST('details')} || ',"evidence_ids":' || {_LIST('evidence_ids')} || ',"finding_type":"CANDIDATE_RELATIONSHIP","relationship":"' || rel || '","source_population_id":"' || s || '","status":"' || status || '","target_population_id":"' || d || '"}}') FROM met_edges
+UNION ALL SELECT 'CANDIDATE_RELATIONSHIP', NULL, NULL, NULL, rel, NULL, src, dst, 'UNKNOWN', 'candidate_relationship_endpoint_not_reconciled', '', '', 'finding-' || sha256('{{"claim_ids":[],"details":["candidate_relationship_endpoint_not_reconciled"],"evidence_ids":[],"finding_type":"CANDIDATE_RELATIONSHIP","relationship":"' || rel || '","source_candidate_id":"' || src || '","status":"UNKNOWN","target_candidate_id":"' || dst || '"}}') FROM asked WHERE s IS NULL OR d IS NULL)"""
+oracle("release_analysis", "candidate records lane_edges candidate_edges lanes", """SELECT * FROM all_findings UNION ALL SELECT 'DECLARED_STATUS_MISMATCH', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'CONFLICT', 'declared=SYNTHETIC_RECONCILED,computed=SYNTHETIC_RECONCILIATION_OPEN', '', '',
+'finding-' || sha256('{"claim_ids":[],"details":["declared=SYNTHETIC_RECONCILED","computed=SYNTHETIC_RECONCILIATION_OPEN"],"evidence_ids":[],"finding_type":"DECLARED_STATUS_MISMATCH","status":"CONFLICT"}')""", _STATES + _ALL)
+oracle("release_counts", "candidate records lane_edges candidate_edges lanes", f"SELECT {_COUNTS}, (SELECT string_agg(DISTINCT status, ',' ORDER BY status) FROM all_findings WHERE status <> 'MATCHED') AS blocking_statuses, 'OPEN' AS state FROM all_findings", _STATES + _ALL)
+
 oracle("relationship_conflicts", "rel_claims", """SELECT src, dst, CASE WHEN bool_or(rel = 'UNKNOWN') THEN 'UNKNOWN' ELSE 'CONFLICT' END AS status, CASE WHEN bool_or(rel = 'UNKNOWN') THEN 'relationship' ELSE string_agg(DISTINCT rel, ',' ORDER BY rel) END AS details
 FROM rel_claims GROUP BY src, dst HAVING bool_or(rel = 'UNKNOWN') OR count(DISTINCT rel) > 1""")
 oracle("relationship_projection", "rel_claims", "SELECT src, rel, dst, string_agg(DISTINCT lane_id, ',' ORDER BY lane_id) AS lanes, count(*) AS n_claims FROM rel_claims GROUP BY ALL")
@@ -181,7 +210,7 @@ oracle("spdx_lines", "rel_claims", f"""SELECT DISTINCT '{{"from":"' || {_SPDX('s
 oracle("export_dependency_errors", "rel_claims", """SELECT DISTINCT src AS ref, 'row without component' AS problem FROM rel_claims WHERE src LIKE '%4' UNION ALL SELECT DISTINCT src, 'component without row' FROM rel_claims WHERE src LIKE '%5'
 UNION ALL SELECT DISTINCT dst, 'unknown target' FROM rel_claims WHERE src NOT LIKE '%5' AND rel IN ('DEPENDS_ON', 'DYNAMICALLY_LINKS') AND dst NOT IN (SELECT src FROM rel_claims WHERE src NOT LIKE '%4')""")
 
-oracle("candidate_identifiers", "typed", "SELECT candidate_id, CASE WHEN purl = 'UNKNOWN' THEN urn ELSE purl || ',' || urn END AS identifiers, role AS roles, CASE WHEN provenance LIKE 'source:_%' THEN provenance ELSE '' END AS provenances, coalesce(algorithm || ':' || digest, '') AS hashes FROM typed")
+oracle("candidate_identifiers", "typed", "SELECT candidate_id, CASE WHEN purl = 'UNKNOWN' THEN urn ELSE purl || ',' || urn END AS identifiers, role AS roles, CASE WHEN provenance LIKE 'source:_%' THEN provenance ELSE '' END AS provenances, coalesce(algorithm || ':' || digest, '') AS hashes, coalesce(algorithm || ':' || purl, '') AS supplier_hashes FROM typed")
 oracle("comparison_keys", "named", """SELECT id, coalesce(CASE WHEN starts_with(ref, 'pkg:') THEN 'purl:' || regexp_replace(split_part(split_part(ref, '#', 1), '?', 1), '@[^@/]*$', '') END,
 CASE WHEN starts_with(cpe, 'cpe:2.3:') AND len(string_split(cpe, ':')) = 13 THEN 'cpe:' || array_to_string(list_concat(list_slice(string_split(cpe, ':'), 1, 5), ['*'], list_slice(string_split(cpe, ':'), 7, 13)), ':') END) AS logical_key FROM named""")
 oracle("timestamp_violations", "releases", "SELECT release_id, CASE WHEN release_id % 7 < 2 THEN 'format' ELSE 'order' END AS rule FROM releases WHERE release_id % 7 < 2 OR release_id % 5 = 0")
@@ -198,7 +227,69 @@ oracle("namespace_rules", "profiles", "SELECT unnest(['profile_id', 'profile_kin
 _UUID = lambda d: f"substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-5' || substr({d}, 14, 3) || '-' || substr('89ab', CAST('0x' || substr({d}, 17, 1) AS INT) % 4 + 1, 1) || substr({d}, 18, 3) || '-' || substr({d}, 21, 12)"
 _NAMESPACE = r"'\x6B\xA7\xB8\x11\x9D\xAD\x11\xD1\x80\xB4\x00\xC0\x4F\xD4\x30\xC8'::BLOB"
 oracle("uuid_names", "named", f"SELECT id, {_UUID('d')} AS uuid FROM (SELECT id, sha1({_NAMESPACE} || encode(ref)) AS d FROM named)")
-oracle("cyclonedx_lines", "records", f"""SELECT population_id, '{{"bom-ref":"urn:uuid:' || {_UUID('d')} || '","hashes":[' || array_to_string(list_transform(hashes, lambda h: '{{"alg":"' || split_part(h, ':', 1) || '","content":"' || split_part(h, ':', 2) || '"}}'), ',') || '],"name":"' || name
-|| CASE WHEN len(identifiers) = 0 THEN '' ELSE '","purl":"' || list_min(list_filter(identifiers, lambda i: starts_with(i, 'pkg:'))) END || '","type":"library","version":"' || version || '"}}' AS line FROM (SELECT *, sha1({_NAMESPACE} || encode('run-1:' || population_id)) AS d FROM population)""", _POPULATION)
+_PROPERTY = lambda name, values: f"""list_transform({values}, lambda v: '{{"name":"corroborate:{name}","value":"' || v || '"}}')"""
+_SUPPLIED = "list_filter(supplier_hashes, lambda h: h NOT LIKE '%:UNKNOWN')"
+_PURL_OF = "list_min(list_filter(identifiers, lambda i: starts_with(i, 'pkg:')))"
+_HEX = lambda key, before, after: f"""CASE WHEN len(hashes) = 0 THEN '' ELSE {key} || array_to_string(list_transform(list_sort(list_transform(hashes, lambda h: sha256(h))), lambda h: '{before}' || h || '{after}'), ',') || ']' END"""
+oracle("cyclonedx_lines", "records", f"""SELECT population_id, '{{"bom-ref":"urn:uuid:' || {_UUID('d')} || '"' || {_HEX("',\"hashes\":['", '{"alg":"SHA-256","content":"', '"}')} || ',"name":"' || name || '","properties":[' ||
+array_to_string(list_concat({_PROPERTY('identifier', 'identifiers')}, {_PROPERTY('component-role', 'roles')}, {_PROPERTY('discovery-lane', 'lanes')}, {_PROPERTY('supplier-declared-hash', _SUPPLIED)}), ',') || '],"publisher":"' || producer || '"'
+|| CASE WHEN len(identifiers) = 0 THEN '' ELSE ',"purl":"' || {_PURL_OF} || '"' END || ',"type":"library","version":"' || version || '"}}' AS line FROM (SELECT *, sha1({_NAMESPACE} || encode('run-1:' || population_id)) AS d FROM population)""", _POPULATION)
+_FRAGMENT = lambda v: f"substr(trim(regexp_replace({v}, '[^A-Za-z0-9._~-]+', '-', 'g'), '-'), 1, 48) || '-' || substr(sha256({v}), 1, 16)"
+_ID = lambda run, kind, v: f"'https://example.invalid/corroborate/' || {_FRAGMENT(run)} || '/{kind}/' || {_FRAGMENT(v)}"
+oracle("spdx_packages", "records", f"""SELECT population_id, '{{"comment":"classification=SYNTHETIC_NOT_EVIDENCE; evidence_ids=","creationInfo":"_:creation-' || substr(sha256('run-1'), 1, 20) || '","externalIdentifier":[' || array_to_string(list_concat(
+list_transform(identifiers, lambda i: '{{"externalIdentifierType":"packageUrl","identifier":"' || i || '","type":"ExternalIdentifier"}}'), list_transform({_SUPPLIED}, lambda h: '{{"externalIdentifierType":"other","identifier":"supplier-declared-hash:' || h || '","type":"ExternalIdentifier"}}')), ',')
+|| '],"name":"' || name || '"' || CASE WHEN len(identifiers) = 0 THEN '' ELSE ',"software_packageUrl":"' || {_PURL_OF} || '"' END || ',"software_packageVersion":"' || version || '","software_primaryPurpose":"library","spdxId":"' || {_ID("'run-1'", 'package', 'population_id')}
+|| '","suppliedBy":"' || {_ID("'run-1'", 'organization', 'producer')} || '","type":"software_Package"' || {_HEX("',\"verifiedUsing\":['", '{"algorithm":"sha256","hashValue":"', '","type":"Hash"}')} || '}}' AS line FROM population""", _POPULATION)
+_REF = lambda c: f"(SELECT 'urn:uuid:' || {_UUID('d')} FROM (SELECT sha1({_NAMESPACE} || encode('run-1:' || {c})) AS d))"
+oracle("cyclonedx_properties", "rel_claims", f"""SELECT '{{"name":"corroborate:relationship","value":"urn:uuid:' || {_UUID('s')} || '|' || rel || '|urn:uuid:' || {_UUID('d')} || '"}}' AS line FROM (SELECT DISTINCT rel, sha1({_NAMESPACE} || encode('run-1:' || src)) AS s, sha1({_NAMESPACE} || encode('run-1:' || dst)) AS d FROM rel_claims)""")
+_P = lambda n, v: f"""'{{"name":"corroborate:{n}","value":"' || {v} || '"}}'"""
+oracle("export_heads", "export_release", f"""SELECT run_id, '{{"$schema":"https://cyclonedx.org/schema/bom-1.7.schema.json","bomFormat":"CycloneDX","metadata":{{"authors":[{{"name":"' || sbom_author || '"}}],"properties":[' || concat_ws(',', {_P('classification', 'classification')}, {_P('run-id', 'run_id')}, {_P('canonical-sha256', 'canonical_sha256')},
+{_P('build-id', 'build_id')}, {_P('release-artifact-sha256', 'artifact_sha256')}, {_P('technical-state', "'SYNTHETIC_RECONCILIATION_CLOSED'")}) || '],"timestamp":"' || release_timestamp || '"}},"serialNumber":"urn:uuid:' || {_UUID('d')} || '","specVersion":"1.7","version":1}}' AS line FROM (SELECT *, sha1({_NAMESPACE} || encode(run_id)) AS d FROM export_release)
+UNION ALL SELECT run_id, '{{"@id":"' || c || '","created":"' || release_timestamp || '","createdBy":["' || {_ID('run_id', 'organization', 'sbom_author')} || '"],"createdUsing":["' || {_ID('run_id', 'tool', "'corroborate'")} || '"],"specVersion":"3.0.1","type":"CreationInfo"}}' FROM created
+UNION ALL SELECT run_id, '{{"creationInfo":"' || c || '","name":"corroborate","spdxId":"' || {_ID('run_id', 'tool', "'corroborate'")} || '","type":"Tool"}}' FROM created
+UNION ALL SELECT run_id, '{{"comment":"corroborate:binding={{\\"build_id\\":\\"' || build_id || '\\",\\"canonical_sha256\\":\\"' || canonical_sha256 || '\\",\\"classification\\":\\"' || classification || '\\",\\"release_artifact_sha256\\":\\"' || artifact_sha256 || '\\",\\"run_id\\":\\"' || run_id || '\\"}}","creationInfo":"' || c || '","name":"' || product || ' 1.0 SPDX document","profileConformance":["core","software"],"rootElement":["'
+|| {_ID('run_id', 'sbom', 'release_id')} || '"],"spdxId":"' || {_ID('run_id', 'document', 'release_id')} || '","type":"SpdxDocument"}}' FROM created""".replace("\\\\", "\\"), ", created AS (SELECT *, '_:creation-' || substr(sha256(run_id), 1, 20) AS c FROM export_release)")
+oracle("export_binding", "export_release", "SELECT run_id, 'build_id' AS field FROM export_release WHERE run_id LIKE '%7' UNION ALL SELECT run_id, 'artifact_sha256' FROM export_release WHERE run_id LIKE '%3' UNION ALL SELECT run_id, unnest(['classification', 'run_id', 'canonical_sha256', 'build_id', 'artifact_sha256']) FROM export_release WHERE run_id LIKE '%9'")
+oracle("run_dashboard", "candidate records", "SELECT 'run-1' AS run_id, 'component' AS kind, population_id AS subject, producer || ' ' || name || ' ' || version AS status, '' AS details FROM population UNION ALL SELECT 'run-1', 'finding', coalesce(population_id, candidate_id), status, details FROM findings WHERE status <> 'MATCHED'", _STATES)
+_OBSERVED = """, torn_keys AS (SELECT logical_key FROM observations WHERE logical_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT version) > 1 AND count(DISTINCT profile_kind) > 1),
+known AS (SELECT logical_key, list(version) FILTER (version IS NOT NULL) AS vs FROM observations WHERE profile_kind <> 'PORTABLE_RUNTIME' AND logical_key IS NOT NULL GROUP BY 1 HAVING count(version) > 0),
+stale_rows AS (SELECT o.* FROM observations o JOIN known USING (logical_key) WHERE profile_kind = 'PORTABLE_RUNTIME' AND version IS NOT NULL AND NOT list_contains(vs, version)),
+rested AS (SELECT 'VERSION_CONFLICT' AS code, o.* FROM observations o WHERE logical_key IN (SELECT logical_key FROM torn_keys) UNION ALL SELECT 'STALE_PORTABLE_RUNTIME', * FROM stale_rows
+    UNION ALL SELECT 'STALE_PORTABLE_RUNTIME', o.* FROM observations o WHERE profile_kind <> 'PORTABLE_RUNTIME' AND logical_key IN (SELECT logical_key FROM stale_rows)),
+worded AS (SELECT *, CASE code WHEN 'VERSION_CONFLICT' THEN 'version strings differ across isolated evidence profiles; no version ordering is inferred' ELSE 'portable runtime version differs from source/OCI observations; stale is a review label, not semantic version ordering' END AS explanation FROM rested)"""
+oracle("profile_evidence", "observations", "SELECT code, logical_key, profile_kind, bom_ref, version FROM rested", _OBSERVED)
+oracle("profile_findings", "observations", f"""SELECT code, logical_key, 'OPEN' AS state, explanation, 'selftest-finding-' || sha256('{{"code":"' || code || '","evidence":[' || string_agg('{{"bom_ref":"' || bom_ref || '","cpe":' || {_TEXT('cpe')} || ',"hashes":[' || CASE WHEN len(hashes) = 0 THEN '' ELSE '"' || hashes[1] || '"' END || '],"logical_key":"' || logical_key || '","name":"' || name
+|| '","observation_run_id":"' || run_id || '","profile_id":"' || profile_id || '","profile_kind":"' || profile_kind || '","purl":' || {_TEXT('purl')} || ',"version":' || {_TEXT('version')} || '}}', ',' ORDER BY profile_kind, profile_id, bom_ref) || '],"explanation":"' || explanation || '","logical_key":"' || logical_key || '","state":"OPEN"}}') AS finding_id FROM worded GROUP BY code, logical_key, explanation""", _OBSERVED)
+oracle("unidentified_list", "observations", "SELECT profile_id, profile_kind, bom_ref, name, version, count(*) OVER (PARTITION BY profile_id) AS count FROM observations WHERE logical_key IS NULL")
+oracle("observation_rules", "observations", "SELECT 'profile_kind' AS rule, 'OCI_ARCHIVE' AS subject")
+_V = lambda view, key, rules: f"SELECT {key}, unnest(list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{rule}' END" for rule, when in rules.items()) + f"], lambda x: x IS NOT NULL)) AS rule FROM {view}"
+oracle("release_rules", "release_records", _V("release_records", "release_id", {"release_id": "release_id = '-bad'", "classification": "classification = 'REAL'", "manufacturer": "manufacturer = 'UNKNOWN'", "artifact_relative_path": "artifact_relative_path <> 'artifact/a.tar'", "artifact_sha256": "artifact_sha256 LIKE 'A%'", "times": "evidence_cutoff > release_timestamp"}))
+oracle("hash_rules", "component_hashes", _V("component_hashes", "component_id", {"hash": "algorithm = 'MD5' OR value = 'xyz' OR (kind = 'observed' AND (algorithm IS NULL OR value = 'UNKNOWN'))"}))
+oracle("release_hashes", "release_records", """SELECT release_id, 'analysis-run-' || sha256('{' || concat_ws(',', '"architecture":"' || architecture || '"', '"artifact_relative_path":"' || artifact_relative_path || '"', '"artifact_sha256":"' || artifact_sha256 || '"', '"build_id":"' || build_id || '"', '"classification":"' || classification || '"', '"hardware_revision":"' || hardware_revision || '"',
+'"manufacturer":"' || manufacturer || '"', '"product":"' || product || '"', '"product_version":"' || product_version || '"', '"release_id":"' || release_id || '"', '"sbom_version":"' || sbom_version || '"') || '}') AS sha256 FROM release_records""")
+oracle("profile_cards", "observations", f"""SELECT finding_id AS conflict_id, 'claim-' || sha256('{{"bom_ref":"' || bom_ref || '","finding_id":"' || finding_id || '","profile_id":"' || profile_id || '","version":"' || version || '"}}') AS claim_id, version AS value, run_id AS evidence_id FROM rested JOIN (SELECT code, logical_key, finding_id FROM named_findings) USING (code, logical_key) WHERE version IS NOT NULL""",
+    _OBSERVED + ", named_findings AS (" + ORACLES["profile_findings"][ORACLES["profile_findings"].rindex("SELECT code, logical_key, 'OPEN'"):] + ")")
+oracle("card_set_hash", "card_claims", f"""SELECT CAST(conflict_id % 7 AS VARCHAR) AS card_set_id, sha256('[' || string_agg('{{"claims":[' || claims || '],"conflict_id":' || conflict_id || '}}', ',' ORDER BY conflict_id) || ']') AS sha256 FROM (
+SELECT conflict_id, string_agg('{{"claim_id":"' || claim_id || '","evidence_refs":["' || evidence_id || '"],"value":"' || value || '"}}', ',' ORDER BY claim_id) AS claims FROM {_FIRST} WHERE place <= 64 GROUP BY 1) GROUP BY 1""")
+oracle("attestation_rules", "attestations", _V("(SELECT *, CAST(doc AS INT) AS k FROM attestations)", "doc", {"type": "k % 7 = 0", "predicateType": "k % 5 = 0", "subject": "k % 4 = 0", "digest": "k % 3 = 0", "predicate": "k % 11 = 0"}))
+oracle("signature_rules", "signed", _V("signed", "key_id", {"scheme": "scheme = 'keyless'", "signature_path": "signature_path = ''", "signature_sha256": "signature_sha256 = 'x'", "tool_version": "tool_version IS NULL"}))
+oracle("offline_rules", "commands", _V("commands", "command_id", {"verb": "command_id % 7 = 5", "key": "command_id % 7 IN (3, 5)", "sign": "command_id % 7 IN (2, 5)", "verify": "command_id % 7 = 5", "online": "command_id % 7 IN (4, 6)"}))
+oracle("handoffs", "inventory_parts handoff_sources", f"""SELECT 'euvd-' || sha256('{{"cyclonedx_sha256":"' || s.cyclonedx_sha256 || '","direction":"SBOM_TO_EUVD_ONLY","endpoint":"' || endpoint || '","source_binding_status":"' || source_binding_status || '","source_profile_id":' || {_TEXT('source_profile_id')} || ',"source_root_completion_sha256":' || {_TEXT('source_root_completion_sha256')} || ',"source_run_id":"' || source_run_id || '"}}') AS handoff_id,
+'SELF_TEST_NOT_CUSTOMER_EVIDENCE' AS classification, 'SBOM_TO_EUVD_ONLY' AS direction, source_run_id, source_binding_status, s.cyclonedx_sha256, count(p.cyclonedx_sha256) AS component_record_count, count(purl) AS with_purl, count(nullif(version, '')) AS with_version FROM handoff_sources s LEFT JOIN inventory_parts p USING (cyclonedx_sha256) GROUP BY ALL""")
+oracle("handoff_rules", "handoff_sources", _V("handoff_sources", "source_run_id", {"declared": "source_binding_status LIKE 'CALLER%' AND (source_root_completion_sha256 IS NOT NULL OR source_profile_id IS NOT NULL)", "verified": "source_binding_status = 'VERIFIED_ROOT' AND (source_root_completion_sha256 IS NULL OR coalesce(source_profile_id, 'odd') <> 'profile-1')"}))
+oracle("arm_differences", "arm_results recorded_arms", "SELECT 'arm-quality' AS arm_id, unnest(['results', 'valid', 'rate']) AS field UNION ALL SELECT 'arm-gone', unnest(['results', 'valid', 'rate']) UNION ALL SELECT 'arm-any', unnest(['results', 'valid', 'rate'])")
+oracle("package_diff", "packages_a packages_b", """SELECT coalesce(a.k, b.k) AS logical_key, coalesce(b.name, a.name) AS name, CASE WHEN a.k IS NULL THEN 'ADDED' WHEN b.k IS NULL THEN 'REMOVED' WHEN a.version <> b.version THEN 'UPDATED' ELSE 'UNCHANGED' END AS change, a.version AS from_version, b.version AS to_version
+FROM (SELECT *, architecture || ':' || name AS k FROM packages_a) a FULL JOIN (SELECT *, architecture || ':' || name AS k FROM packages_b) b ON a.k = b.k""")
+oracle("rootfs_totals", "rootfs", """SELECT archive, count(*) AS entry_count, count(*) FILTER (kind = 'file') AS regular_file_count, count(*) FILTER (kind = 'symlink') AS symlink_count, CAST(coalesce(sum(size) FILTER (kind = 'file'), 0) AS BIGINT) AS expanded_regular_bytes,
+sha256('[' || coalesce(string_agg('{"path":"' || path || '","sha256":"' || sha256 || '","size":' || size || '}', ',' ORDER BY path) FILTER (kind = 'file'), '') || ']') AS regular_exact_set_sha256,
+sha256('[' || coalesce(string_agg('{"path":"' || path || '","target":"' || target || '"}', ',' ORDER BY path) FILTER (kind = 'symlink'), '') || ']') AS symlink_exact_set_sha256 FROM rootfs GROUP BY archive""")
+oracle("image_analysis", "installed described files_expected files_observed", """SELECT 'COMPONENT' AS finding_type, i.name AS subject, CASE count(d.name) WHEN 0 THEN 'MISSING_FROM_SBOM' WHEN 1 THEN 'MATCHED' ELSE 'UNKNOWN' END AS status, CASE count(d.name) WHEN 0 THEN 'description' WHEN 1 THEN '' ELSE 'ambiguous_description' END AS details FROM installed i LEFT JOIN described d USING (name) GROUP BY i.name
+UNION ALL SELECT 'COMPONENT', name, 'NOT_IN_RELEASE', 'manifest' FROM described WHERE name NOT IN (SELECT name FROM installed)
+UNION ALL SELECT 'FILE', path, CASE WHEN e.sha256 IS NULL THEN 'MISSING_FROM_SBOM' WHEN o.sha256 IS NULL THEN 'NOT_IN_RELEASE' WHEN e.sha256 = 'UNKNOWN' THEN 'UNKNOWN' WHEN e.sha256 <> o.sha256 THEN 'CONFLICT' ELSE 'MATCHED' END,
+CASE WHEN e.sha256 IS NULL OR o.sha256 IS NULL THEN 'path' WHEN e.sha256 = 'UNKNOWN' THEN 'build_metadata_sha256' WHEN e.sha256 <> o.sha256 THEN 'sha256' ELSE '' END FROM files_expected e FULL JOIN files_observed o USING (path)""")
+oracle("nested_components", "nested", """SELECT CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END AS doc, r[1] AS ref, r[2] AS parent, CAST(r[3] AS INT) AS depth, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS "group", r[4] AS name, r[5] AS version, r[6] AS purl, r[7] AS cpe, r[8] AS hashes FROM (SELECT p_partkey, unnest([
+['r' || p_partkey, NULL, '0', p_name, CAST(p_size AS VARCHAR), 'pkg:generic/p' || p_partkey || '@1', NULL, 'SHA-256:h' || p_partkey], ['s' || p_partkey, NULL, '0', 'last', NULL, NULL, NULL, NULL], ['k' || p_partkey, 'r' || p_partkey, '1', 'kid', NULL, NULL, 'cpe:2.3:a', NULL], ['d' || p_partkey, 'k' || p_partkey, '2', 'deep', NULL, NULL, NULL, NULL]]) AS r FROM part)""")
+oracle("projection_rules", "nested", """SELECT CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END AS doc, unnest(['r' || p_partkey, 's' || p_partkey, 'k' || p_partkey, 'd' || p_partkey]) AS ref, 'type' AS rule FROM part
+UNION ALL SELECT CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END, 'k' || p_partkey, 'cpe' FROM part WHERE false""")
 oracle("decision_set_hash", "hits vex", """SELECT handoff_id, sha256('[' || string_agg('{"narrowed_by_trusted_vex":' || CASE WHEN narrowed THEN 'true' ELSE 'false' END || ',"original_hit_preserved":true,"original_status":"' || original_status || '","product_purl":"' || purl || '","rejection_reason":' || coalesce('"' || reason || '"', 'null')
 || ',"vex_pointers":' || vex_pointers || ',"vulnerability_id":"' || vulnerability_id || '"}', ',' ORDER BY position) || ']') AS sha256 FROM decided GROUP BY handoff_id""", _NARROW)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import binding, cluster, evidence, export, gaps, nested, reconcile, registry, relations, rules, vex
+from corroborate.operators import binding, cluster, evidence, export, gaps, nested, profiles, receipts, reconcile, registry, relations, release, rules, vex
 from corroborate.plans.carriers import spark_view
 from corroborate.sources import image
 
@@ -149,7 +149,7 @@ def pair_matches(records):
 
 @query
 def population(records):
-    return joined(cluster.population(records).withColumn("members", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["lane_id"], s["component_id"])), ",")).drop("sources"), "identifiers", "hashes", "provenances", "roles", "lanes", "conflict_fields", "critical_unknown_fields")
+    return joined(cluster.population(records).withColumn("members", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["lane_id"], s["component_id"])), ",")).drop("sources"), "identifiers", "hashes", "provenances", "roles", "supplier_hashes", "lanes", "conflict_fields", "critical_unknown_fields", "nonblocking_unknown_fields")
 
 
 @query
@@ -174,6 +174,52 @@ def export_components(records):
     return rows.select("population_id", "name", "version", primary.alias("purl"), fx.component_type(F.col("roles")).alias("type"), F.array_join("hashes", ",").alias("hashes"))
 
 
+_LISTS = ("details", "claim_ids", "evidence_ids")
+
+
+def _analysed(records, candidate, lane_edges, candidate_edges, lanes, declared="SYNTHETIC_RECONCILED"):
+    population = cluster.population(records)
+    own = population.select(F.explode("sources").alias("s")).select("s.lane_id", F.col("s.component_id").alias("dst"))
+    return release.analyse(population, candidate, lane_edges.join(own, ["lane_id", "dst"], "left_semi"), candidate_edges, lanes, declared)
+
+
+@query
+def release_analysis(records, candidate, lane_edges, candidate_edges, lanes):
+    return joined(_analysed(records, candidate, lane_edges, candidate_edges, lanes), *_LISTS)
+
+
+@query
+def release_counts(records, candidate, lane_edges, candidate_edges, lanes):
+    return joined(release.counts(_analysed(records, candidate, lane_edges, candidate_edges, lanes, "SYNTHETIC_RECONCILIATION_OPEN")), "blocking_statuses")
+
+
+@query
+def release_relationships(records, lane_edges, lanes):
+    return joined(release.relationship_projection(release.relationship_claims(lane_edges, lanes), cluster.population(records)), "lanes", "claim_ids", "evidence_ids")
+
+
+@query
+def unmapped_claims(records, lane_edges, lanes):
+    return release.unmapped_claims(release.relationship_claims(lane_edges, lanes), cluster.population(records.filter("component_id not like '%9'")))
+
+
+@query
+def limitations(records):
+    return joined(binding.limitations(cluster.population(records)), "fields")
+
+
+@query
+def supplier_conflict(records):
+    rows = cluster.population(records).filter(F.array_contains("conflict_fields", "supplier_hash"))
+    return joined(rows.select("population_id", "supplier_hashes"), "supplier_hashes")
+
+
+@query
+def export_gate(records, candidate):
+    population = cluster.population(records)
+    return release.gate_violations(population, reconcile.five_states(candidate, population).select(F.coalesce("population_id", "candidate_id").alias("finding_id"), "status"))
+
+
 @query
 def relationship_conflicts(rel_claims):
     return joined(relations.relationship_conflicts(rel_claims), "details")
@@ -393,9 +439,145 @@ def run_record(candidate, records):
     return export.run_record(reconcile.five_states(candidate, cluster.population(records)), valid=False)
 
 
+def _hashed(records):
+    """A population whose hashes are hex of their algorithm's length."""
+    return cluster.population(records).withColumn("hashes", F.transform("hashes", lambda h: F.concat(F.lit("sha256:"), F.sha2(h, 256))))
+
+
 @query
 def cyclonedx_lines(records):
-    return export.cyclonedx_components(cluster.population(records), "run-1")
+    return export.cyclonedx_components(_hashed(records), "run-1")
+
+
+@query
+def spdx_packages(records):
+    return export.spdx_packages(_hashed(records), "run-1")
+
+
+@query
+def cyclonedx_properties(rel_claims):
+    return export.cyclonedx_properties(rel_claims.select("src", "rel", "dst").distinct(), "run-1")
+
+
+@query
+def export_heads(export_release):
+    return export.cyclonedx_head(export_release).union(export.spdx_head(export_release))
+
+
+@query
+def export_binding(export_release):
+    was = export_release.withColumn("build_id", F.when(F.col("run_id").endswith("7"), F.lit("other")).otherwise(F.col("build_id")))
+    now = export_release.withColumn("artifact_sha256", F.when(F.col("run_id").endswith("3"), F.lit("b" * 64)).otherwise(F.col("artifact_sha256"))).filter("run_id not like '%9'")
+    return export.pair_violations(export.cyclonedx_head(was), export.spdx_head(now), export_release)
+
+
+@query
+def run_dashboard(records, candidate):
+    population = cluster.population(records)
+    findings = reconcile.five_states(candidate, population).withColumn("finding_id", F.coalesce("population_id", "candidate_id"))
+    return export.dashboard("run-1", population, findings)
+
+
+@query
+def profile_findings(observations):
+    return profiles.findings(profiles.evidence(observations))
+
+
+@query
+def profile_evidence(observations):
+    return profiles.evidence(observations).select("code", "logical_key", "profile_kind", "bom_ref", "version")
+
+
+@query
+def unidentified_list(observations):
+    return profiles.unidentified(observations)
+
+
+@query
+def observation_rules(observations):
+    return profiles.observation_violations(observations.withColumn("profile_kind", F.when(F.col("profile_id") == "p-run", "OCI_ARCHIVE").otherwise(F.col("profile_kind"))))
+
+
+@query
+def release_rules(release_records):
+    return receipts.release_violations(release_records)
+
+
+@query
+def hash_rules(component_hashes):
+    return receipts.hash_violations(component_hashes)
+
+
+@query
+def release_hashes(release_records):
+    return receipts.object_hash(release_records, "release_id", ["release_timestamp", "evidence_cutoff", "sbom_author"], "analysis-run")
+
+
+@query
+def profile_cards(observations):
+    rested = profiles.evidence(observations)
+    return receipts.profile_cards(profiles.findings(rested), rested)
+
+
+@query
+def card_set_hash(card_claims):
+    cards = evidence.conflict_cards(card_claims).select((F.col("conflict_id") % 7).cast("string").alias("card_set_id"), "conflict_id", "claims")
+    return receipts.card_set_hash(cards)
+
+
+@query
+def attestation_rules(attestations):
+    return receipts.attestation_violations(attestations)
+
+
+@query
+def signature_rules(signed):
+    return receipts.signature_violations(signed)
+
+
+@query
+def offline_rules(commands):
+    return receipts.offline_violations(commands)
+
+
+@query
+def handoffs(inventory_parts, handoff_sources):
+    return receipts.handoffs(inventory_parts, handoff_sources)
+
+
+@query
+def handoff_rules(handoff_sources):
+    return receipts.handoff_violations(handoff_sources, ("profile-1",))
+
+
+@query
+def arm_differences(arm_results, recorded_arms):
+    return receipts.arm_differences(arm_results, recorded_arms)
+
+
+@query
+def package_diff(packages_a, packages_b):
+    return image.package_diff(packages_a, packages_b)
+
+
+@query
+def rootfs_totals(rootfs):
+    return image.rootfs_totals(rootfs)
+
+
+@query
+def image_analysis(installed, described, files_expected, files_observed):
+    return image.analysis(installed, described, files_expected, files_observed)
+
+
+@query
+def nested_components(nested):
+    return joined(_nested.components(nested), "hashes")
+
+
+@query
+def projection_rules(nested):
+    return _nested.projection_violations(nested)
 
 
 @query
@@ -412,9 +594,9 @@ def export_dependency_errors(rel_claims):
 @query
 def candidate_identifiers(typed):
     none = F.lit(None).cast("string")
-    listed = [("PURL", "purl", none), ("SYNTHETIC_URN", "urn", none), ("COMPONENT_ROLE", "role", none), ("PROVENANCE", "provenance", none), ("OBSERVED_HASH", "digest", F.col("algorithm"))]
+    listed = [("PURL", "purl", none), ("SYNTHETIC_URN", "urn", none), ("COMPONENT_ROLE", "role", none), ("PROVENANCE", "provenance", none), ("OBSERVED_HASH", "digest", F.col("algorithm")), ("SUPPLIER_HASH", "purl", F.col("algorithm"))]
     rows = typed.select("candidate_id", F.array(*(F.struct(F.lit(t).alias("type"), F.col(c).alias("value"), a.alias("algorithm")) for t, c, a in listed)).alias("typed"))
-    return joined(binding.split_identifiers(rows), "identifiers", "roles", "provenances", "hashes")
+    return joined(binding.split_identifiers(rows), "identifiers", "roles", "provenances", "hashes", "supplier_hashes")
 
 
 @query

@@ -28,7 +28,7 @@ def lane_records(documents: DataFrame) -> DataFrame:
     root = data.select(
         "lane_id", F.lit("ROOT").alias("component_id"), known(F.col("subject.producer")).alias("producer"), known(F.col("subject.name")).alias("name"), known(F.col("subject.version")).alias("version"),
         _concrete_list(F.col("subject.identifiers")).alias("identifiers"), F.array(F.concat(F.lit("SHA-256:"), "artifact.sha256")).alias("hashes"),
-        F.array().cast("array<string>").alias("provenances"), _concrete_list(F.array("subject.role")).alias("roles"),
+        F.array().cast("array<string>").alias("provenances"), _concrete_list(F.array("subject.role")).alias("roles"), F.array().cast("array<string>").alias("supplier_hashes"),
     )
     c = data.select("lane_id", F.explode("components").alias("c"))
     rows = c.select(
@@ -37,6 +37,7 @@ def lane_records(documents: DataFrame) -> DataFrame:
         F.array_compact(F.array(F.when(F.nullif(F.col("c.observed_hash.algorithm"), F.lit(UNKNOWN)).isNotNull() & F.nullif(F.col("c.observed_hash.value"), F.lit(UNKNOWN)).isNotNull(), F.concat_ws(":", "c.observed_hash.algorithm", "c.observed_hash.value")))).alias("hashes"),
         F.array_compact(F.array(F.when(F.nullif(F.col("c.provenance.kind"), F.lit(UNKNOWN)).isNotNull() & F.nullif(F.col("c.provenance.locator"), F.lit(UNKNOWN)).isNotNull(), F.concat_ws(":", "c.provenance.kind", "c.provenance.locator")))).alias("provenances"),
         _concrete_list(F.array("c.component_role")).alias("roles"),
+        F.array_compact(F.array(F.when(F.col("c.supplier_hash").isNotNull(), F.concat_ws(":", known(F.col("c.supplier_hash.algorithm")), known(F.col("c.supplier_hash.value")))))).alias("supplier_hashes"),
     )
     return root.unionByName(rows)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.functions.text import UNKNOWN
+from corroborate.functions.text import UNKNOWN, canonical_json
+from corroborate.operators.hashing import list_sha256
+from corroborate.operators.relations import file_states, package_states
 
 _ELEMENT = """type string, spdxId string, name string, software_primaryPurpose string, software_packageVersion string, software_packageUrl string, suppliedBy string, scope string,
     externalIdentifier array<struct<identifier: string>>, verifiedUsing array<struct<algorithm: string, hashValue: string>>, `from` string, relationshipType string, to array<string>"""
@@ -49,3 +51,37 @@ def runtime_dependencies(found: DataFrame) -> DataFrame:
     own = packages(found).select("source_id")
     edges = _edges(found, ("dependsOn",)).filter("scope is null or scope = 'runtime'").select("src", "dst").distinct()
     return edges.join(own.withColumnRenamed("source_id", "src"), "src", "left_semi").join(own.withColumnRenamed("source_id", "dst"), "dst", "left_semi")
+
+
+def package_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(logical_key, name, change, from_version, to_version) of packages (architecture, name, version) by architecture:name, unchanged ones too; a repeated key is an error."""
+
+    def keyed(packages: DataFrame, version: str) -> DataFrame:
+        rows = packages.groupBy(F.concat_ws(":", "architecture", "name").alias("logical_key")).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias(f"{version}_name"), F.min("version").alias(version))
+        once = F.when(F.col("n") == 1, F.col("logical_key")).otherwise(F.raise_error(F.concat(F.lit("repeated package "), "logical_key")))
+        return rows.select(once.alias("logical_key"), f"{version}_name", version)
+
+    both = keyed(before, "from_version").join(keyed(after, "to_version"), "logical_key", "full")
+    change = F.when(F.col("from_version_name").isNull(), "ADDED").when(F.col("to_version_name").isNull(), "REMOVED").when(F.col("from_version") != F.col("to_version"), "UPDATED").otherwise("UNCHANGED")
+    return both.select("logical_key", F.coalesce("to_version_name", "from_version_name").alias("name"), change.alias("change"), "from_version", "to_version")
+
+
+def rootfs_totals(members: DataFrame) -> DataFrame:
+    """(archive, entry_count, regular_file_count, symlink_count, expanded_regular_bytes, regular_exact_set_sha256, symlink_exact_set_sha256) of archives (as files.tar_members)."""
+    is_file, is_link = F.col("kind") == "file", F.col("kind") == "symlink"
+    totals = members.groupBy("archive").agg(
+        F.count(F.lit(1)).alias("entry_count"), F.count_if(is_file).alias("regular_file_count"), F.count_if(is_link).alias("symlink_count"), F.coalesce(F.sum(F.when(is_file, F.col("size"))), F.lit(0)).alias("expanded_regular_bytes")
+    )
+    regular = list_sha256(members.filter(is_file), "archive", canonical_json("path", "sha256", "size"), ["path"]).withColumnRenamed("sha256", "regular_exact_set_sha256")
+    links = list_sha256(members.filter(is_link), "archive", canonical_json("path", "target"), ["path"]).withColumnRenamed("sha256", "symlink_exact_set_sha256")
+    both = totals.join(regular, "archive", "left").join(links, "archive", "left")
+    none = F.sha2(F.lit("[]"), 256)
+    return both.withColumns({c: F.coalesce(c, none) for c in ("regular_exact_set_sha256", "symlink_exact_set_sha256")})
+
+
+def analysis(installed: DataFrame, described: DataFrame, expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """(finding_type, subject, status, details): packages of the manifest against descriptions, and files of the metadata against the image."""
+    packages = package_states(installed, described)
+    why = F.when(F.col("status") == "MISSING_FROM_SBOM", "description").when(F.col("status") == "UNKNOWN", "ambiguous_description").when(F.col("status") == "NOT_IN_RELEASE", "manifest").otherwise("")
+    files = file_states(expected, observed)
+    return packages.select(F.lit("COMPONENT").alias("finding_type"), F.col("name").alias("subject"), "status", why.alias("details")).union(files.select(F.lit("FILE"), "path", "status", "details"))

@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``; where that is unset, under the warehouse."""
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    A local session without the setting takes a folder under its warehouse; on a cluster, where
+    that might be a folder of one machine, the setting must be there.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()

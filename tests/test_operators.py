@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import binding, cluster, components, evidence, export, gaps, nested, reconcile, registry, relations, rules, vex
-from corroborate.sources import documents, files
+from corroborate.operators import binding, cluster, components, evidence, export, gaps, nested, profiles, reconcile, registry, relations, release, rules, vex
+from corroborate.sources import documents, files, image
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
 
@@ -315,7 +315,8 @@ def test_export_lines(spark):
     ids = [r.population_id for r in population.collect()]
     assert set(rows) == {"urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "run-1:" + i)) for i in ids}
     app = next(r for r in rows.values() if r["name"] == "app")
-    assert app["purl"] == "pkg:generic/app@1" and app["hashes"] == [{"alg": "SHA-256", "content": "a"}] and app["type"] == "library"
+    assert app["purl"] == "pkg:generic/app@1" and app["type"] == "library" and "hashes" not in app  # a is no SHA-256
+    assert {"name": "corroborate:identifier", "value": "pkg:generic/app@1"} in app["properties"]
     edges = spark.createDataFrame([(ids[0], "DEPENDS_ON", ids[1]), (ids[0], "CONTAINS", ids[2])], "src string, rel string, dst string")
     lines = {r.ref: json.loads(r.line) for r in export.cyclonedx_dependencies(population, edges, "run-1").collect()}
     assert len(lines) == len(ids) and len(lines[ids[0]]["dependsOn"]) == 1 and lines[ids[1]]["dependsOn"] == []
@@ -380,3 +381,135 @@ def test_source_registry_mutations(spark):
     for r in registry.source_violations(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect():
         got.setdefault(r.dataset_id, set()).add(r.rule)
     assert got == {f"d{n}": rules for n, (_, rules) in enumerate(BROKEN) if rules}
+
+
+# A release whole
+
+TWO_LANES = [
+    ("build", "b1", "acme", "prod", "1", ["pkg:generic/prod@1"], ["SHA-256:a"], [], ["ROOT_PRODUCT"]), ("artifact", "a1", "acme", "prod", "1", ["pkg:generic/prod@1"], ["SHA-256:a"], [], ["ROOT_PRODUCT"]),
+    ("build", "b2", "acme", "lib", "2", ["pkg:generic/lib@2"], [], [], ["LIBRARY"]), ("artifact", "a2", "acme", "lib", "2", ["pkg:generic/lib@2"], [], [], ["LIBRARY"]),
+]
+
+
+def release_parts(spark, *more):
+    candidates = [("c1", "acme", "prod", "1", ["pkg:generic/prod@1"], [], [], []), ("c2", "acme", "lib", "2", ["pkg:generic/lib@2"], [], [], [])]
+    schema = "candidate_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
+    edges = spark.createDataFrame([("build", "b1", "DEPENDS_ON", "b2"), ("artifact", "a1", "DEPENDS_ON", "a2"), *more], "lane_id string, src string, rel string, dst string")
+    declared = spark.createDataFrame([("c1", "DEPENDS_ON", "c2")], "src string, rel string, dst string")
+    lanes = spark.createDataFrame([("build", "e1"), ("artifact", "e2")], "lane_id string, evidence_id string")
+    return cluster.population(records(spark, *TWO_LANES)), spark.createDataFrame(candidates, schema), edges, declared, lanes
+
+
+def test_release_closes_when_all_agree(spark):
+    parts = release_parts(spark)
+    found = release.analyse(*parts, "SYNTHETIC_RECONCILED")
+    rows = found.collect()
+    assert {r.status for r in rows} == {"MATCHED"} and len(rows) == 3 and release.counts(found).first().state == "CLOSED"
+    edge = next(r for r in rows if r.finding_type == "CANDIDATE_RELATIONSHIP")
+    assert edge.evidence_ids == ["e1", "e2"] and len(edge.claim_ids) == 2
+    body = {k: edge[k] for k in ("claim_ids", "details", "evidence_ids", "finding_type", "relationship", "source_population_id", "status", "target_population_id")}
+    assert edge.finding_id == "finding-" + hashlib.sha256(json.dumps(body, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+    assert release.gate_violations(parts[0], found).isEmpty()
+
+
+def test_release_opens_on_one_disagreement(spark):
+    parts = release_parts(spark, ("build", "b1", "CONTAINS", "b2"))
+    found = release.analyse(*parts, "SYNTHETIC_RECONCILED").collect()
+    got = {(r.finding_type, r.status) for r in found}
+    assert got == {("COMPONENT", "MATCHED"), ("RELATIONSHIP", "CONFLICT"), ("CANDIDATE_RELATIONSHIP", "MATCHED"), ("CANDIDATE_RELATIONSHIP", "MISSING_FROM_SBOM"), ("DECLARED_STATUS_MISMATCH", "CONFLICT")}
+    assert next(r for r in found if r.finding_type == "DECLARED_STATUS_MISMATCH").details == ["declared=SYNTHETIC_RECONCILED", "computed=SYNTHETIC_RECONCILIATION_OPEN"]
+    with pytest.raises(ValueError, match="declared status"):
+        release.analyse(*parts, "FINE")
+    lost = release.unmapped_claims(release.relationship_claims(parts[2].union(spark.createDataFrame([("build", "b1", "CONTAINS", "b9")], parts[2].schema)), parts[4]), parts[0])
+    assert [r.dst for r in lost.collect()] == ["b9"]
+
+
+def test_supplier_hashes(spark):
+    rows = records(spark, *TWO_LANES[2:]).withColumn("supplier_hashes", F.when(F.col("lane_id") == "build", F.array(F.lit("SHA-256:x"), F.lit("UNKNOWN:y"))).otherwise(F.array(F.lit("SHA-256:UNKNOWN"))))
+    one = cluster.population(rows).first()
+    assert one.conflict_fields == [] and one.nonblocking_unknown_fields == ["supplier_hash_algorithm", "supplier_hash_value"]
+    torn = cluster.population(rows.withColumn("supplier_hashes", F.array(F.concat(F.lit("SHA-256:"), "lane_id")))).first()
+    assert torn.conflict_fields == ["supplier_hash"]
+    candidate = release_parts(spark)[1].filter("candidate_id = 'c2'")
+    state = lambda h: reconcile.five_states(candidate.withColumn("supplier_hashes", F.array(F.lit(h))), cluster.population(rows)).first()
+    assert state("SHA-256:x").status == "MATCHED" and state("SHA-256:z").details == ["supplier_hash"] and state("SHA-256:UNKNOWN").status == "MATCHED"
+
+
+def test_run_package_is_closed_or_not_written(spark, tmp_path):
+    line = spark.createDataFrame([("x",)], "value string")
+    none, some = spark.createDataFrame([], "subject string, rule string"), spark.createDataFrame([("f", "open")], "subject string, rule string")
+    parts, path = {n: line for n in export.CLOSED_PARTS}, str(tmp_path / "run")
+    with pytest.raises(ValueError, match="rules broken"):
+        export.write_run_package(spark, path, parts, some)
+    with pytest.raises(ValueError, match="parts"):
+        export.write_run_package(spark, path, {"run": line}, none)
+    sealed = export.write_run_package(spark, path, parts, none)
+    assert export.run_package_violations(spark, path, sealed) == [] and export.run_package_violations(spark, path, "0" * 64) == ["trusted"]
+    line.union(line).write.mode("overwrite").text(f"{path}/spdx")
+    assert export.run_package_violations(spark, path, sealed) == ["part spdx"]
+    export.write_run_package(spark, str(tmp_path / "open"), {n: line for n in export.OPEN_PARTS}, None)
+
+
+def test_run_registry(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    run = lambda i: spark.createDataFrame([(i, "SYNTHETIC", "p", hashlib.sha256(b"board").hexdigest())], "run_id string, classification string, package string, dashboard_sha256 string")
+    export.register_run(spark, path, run("r1"))
+    export.register_run(spark, path, run("r2"))
+    with pytest.raises(ValueError, match="registered"):
+        export.register_run(spark, path, run("r1"))
+    assert export.registered_run(spark, path, "r2", b"board").first().run_id == "r2"
+    with pytest.raises(Exception, match="is not registered"):
+        export.registered_run(spark, path, "r2", b"other").collect()
+
+
+def test_export_pair_binds_one_release(spark):
+    row = ("run-1", "SYNTHETIC_NOT_EVIDENCE", "c" * 64, "b1", "a" * 64, "2026-01-05T00:00:00Z", "author", "rel-1", "prod", "1")
+    names = "run_id classification canonical_sha256 build_id artifact_sha256 release_timestamp sbom_author release_id product product_version".split()
+    one = spark.createDataFrame([row], ", ".join(f"{n} string" for n in names))
+    heads = export.cyclonedx_head(one), export.spdx_head(one)
+    assert json.loads(heads[0].first().line)["metadata"]["properties"][1] == {"name": "corroborate:run-id", "value": "run-1"}
+    assert export.pair_violations(*heads, one).isEmpty()
+    assert [r.field for r in export.pair_violations(*heads, one.withColumn("build_id", F.lit("b2"))).collect()] == ["build_id"]
+
+
+def test_profiles_compared(spark):
+    """The case of three profiles: one key, versions 2.31.0, 2.31.0 and 2.28.0."""
+    schema = "profile_id string, profile_kind string, run_id string, bom_ref string, name string, version string, purl string, cpe string, logical_key string, hashes array<string>"
+    rows = [(f"p{n}", kind, f"run{n}", f"r{n}", "lib", v, None, None, "purl:pkg:generic/lib", []) for n, (kind, v) in enumerate((("SOURCE_DIRECTORY", "2.31.0"), ("OCI_ARCHIVE", "2.31.0"), ("PORTABLE_RUNTIME", "2.28.0")))]
+    rows += [("p0", "SOURCE_DIRECTORY", "run0", "u", "odd", None, None, None, None, [])]
+    observations = spark.createDataFrame(rows, schema)
+    rested = profiles.evidence(observations)
+    assert sorted(r.code for r in profiles.findings(rested).collect()) == ["STALE_PORTABLE_RUNTIME", "VERSION_CONFLICT"] and rested.count() == 6
+    assert [(r.bom_ref, r["count"]) for r in profiles.unidentified(observations).collect()] == [("u", 1)]
+    assert profiles.observation_violations(observations).isEmpty()
+
+
+def test_packages_of_two_images(spark):
+    schema = "architecture string, name string, version string"
+    before = spark.createDataFrame([("cortexa57", "demo", "1.0-r0"), ("all", "same", "1")], schema)
+    after = spark.createDataFrame([("cortexa57", "demo", "2.0-r0"), ("all", "same", "1"), ("all", "new", "1")], schema)
+    assert {(r.logical_key, r.change) for r in image.package_diff(before, after).collect()} == {("cortexa57:demo", "UPDATED"), ("all:same", "UNCHANGED"), ("all:new", "ADDED")}
+    with pytest.raises(Exception, match="repeated package"):
+        image.package_diff(before.union(before), after).collect()
+
+
+def test_services_and_tools(spark):
+    docs = [{"services": [{"bom-ref": "s", "name": "api"}], "metadata": {"tools": {"components": [{"name": "scan", "version": "1"}]}}}, {"metadata": {"tools": [{"vendor": "v", "name": "old"}]}}]
+    found = nested.services_and_tools(spark.createDataFrame([(str(n), json.dumps(d)) for n, d in enumerate(docs)], "doc string, raw string"))
+    assert {(r.doc, r.kind, r.vendor, r.name) for r in found.collect()} == {("0", "service", None, "api"), ("0", "tool", None, "scan"), ("1", "tool", "v", "old")}
+
+
+def test_class_links_connect_what_pairs_connect(spark):
+    """Random records of three lanes: the components of the classes' links are those of all pairs."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for n in range(120):
+        some = lambda kind, k, most: sorted({f"{kind}{rng.randrange(k)}" for _ in range(rng.randrange(most))})
+        rows.append((f"lane{n % 3}", f"c{n}", rng.choice(["x", "UNKNOWN"]), rng.choice(["n1", "n2"]), "1", some("pkg:p", 6, 3), some("SHA-256:h", 4, 2), some("source:s", 3, 2), []))
+    table = records(spark, *rows)
+    pairs = cluster.pair_matches(table)
+    joined = lambda a, b: F.concat_ws("\x1f", a, b)
+    want = components.components(pairs.select(joined("lane_l", "id_l").alias("a"), joined("lane_r", "id_r").alias("b")))
+    got = components.components(cluster.links(table))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
