@@ -32,6 +32,8 @@ Word = tuple[tuple[int, ...], str]
 WIDE, END, GONE = 1 << 20, (1 << 20) - 1, -1
 #: Words whose ids a worker remembers (some 250 bytes each); beyond it only those met lately stay.
 WORDS_KEPT = 150_000
+#: Bytes of text that are indexed at once (some 90 bytes of index each).
+SLICE = 1_000_000
 #: Longer runs (no space for thousands of characters) are encoded but not remembered.
 LONGEST_KEPT = 256
 
@@ -184,7 +186,7 @@ def _encoded(docs: DataFrame, vocabulary: str, columns: dict[str, str], of) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             texts = batch.column(1).to_pylist()
             rows = [of(bpe, text, words) for text, words in zip(texts, bpe.encode_all(texts), strict=True)]
             made = [pa.array(c, pa.list_(pa.int32()) if columns[n] == "array<int>" else None) for n, c in zip(names, zip(*rows, strict=True), strict=True)] if rows else [pa.array([], pa.null())] * len(names)
