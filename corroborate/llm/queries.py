@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corroborate.llm import bpe, chunks, cuckoo, ppm, secrets, sharding, simhash, suffixes, templates, toxicity
+from corroborate.llm import bpe, chunks, crosstok, cuckoo, ppm, secrets, sharding, simhash, suffixes, templates, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_sharding": sharding.op9,
     "op10_suffixes": suffixes.op10,
+    "op11_crosstok": crosstok.op11,
 }
 
 ORACLES = {
