@@ -9,8 +9,12 @@ B, which ids of side A it was linked with, in which document, how often. Posting
 shuffled by their B id and sorted; the corpus-wide counts of that id's pairs come first in
 the stream, so their maximum is known when its postings pass, and neither is held as a
 whole. What postings add to their documents is summed in dense slots of a block, handed on
-packed, and added up by block. Ids with many postings are dealt over several tasks; their
-counts (as many as side A has ids, at most) are sent to each of these.
+packed, and added up by block.
+
+B ids are dealt to a fixed number of buckets, and a bucket's postings to as many groups of
+blocks as its size asks for, so a hot id is read by many tasks; a bucket's counts (bounded
+by the vocabularies) are sent to each of its groups. A document is in one group of each
+bucket, so it gets as many sums as there are buckets, however large the corpus is.
 
 Both tokenizers are cut where neither can join: before spaces. What was found for a run of
 spaces and the characters up to the next space is remembered, so most text is looked up.
@@ -36,8 +40,8 @@ from corroborate.llm.common import body, checkpointed, shuffle_parts, slices, ta
 BLOCK_BYTES, SEGMENT, DOCS = 4_000_000, 1_000_000, 4096
 #: Units that a worker remembers, their characters, and the longest that stays beyond a block.
 UNITS_KEPT, CHARS_KEPT, LONGEST_KEPT = 250_000, 16_000_000, 64
-#: Postings of one B id that one task gets; beyond it the id is dealt over more.
-SHARE = 500_000
+#: Buckets of B ids; postings that a group of blocks has of a bucket.
+BUCKETS, SHARE = 16, 2_000_000
 #: Blocks whose sums a task holds, and pairs.
 BLOCKS_HELD, PAIRS_HELD = 256, 1_000_000
 #: A pair is b * WIDE + a; a posting is pair * WIDE + the document's place.
@@ -344,7 +348,7 @@ def _unpack(batch: pa.RecordBatch, name: str, kind: str, start: int = 0, end: in
 
 
 def pair_counts(postings: DataFrame) -> DataFrame:
-    """(b, a, n, postings): how many links of the corpus hold each pair of ids, and in how many postings it is."""
+    """(b, a, n): how many links of the corpus hold each pair of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -352,16 +356,16 @@ def pair_counts(postings: DataFrame) -> DataFrame:
 
         def summed() -> np.ndarray:
             if not held:
-                return np.zeros((0, 3), dtype=np.int64)
+                return np.zeros((0, 2), dtype=np.int64)
             rows = np.concatenate(held)
             rows = rows[np.argsort(rows[:, 0])]
             first = np.flatnonzero(np.diff(rows[:, 0], prepend=-1))
-            return np.column_stack([rows[first, 0], np.add.reduceat(rows[:, 1:], first, axis=0)]) if len(first) else rows
+            return np.column_stack([rows[first, 0], np.add.reduceat(rows[:, 1], first)]) if len(first) else rows
 
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(rows), 50_000):
                 part = rows[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0] // WIDE, pa.int32()), pa.array(part[:, 0] % WIDE, pa.int32()), pa.array(part[:, 1]), pa.array(part[:, 2])], names=["b", "a", "n", "postings"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0] // WIDE, pa.int32()), pa.array(part[:, 0] % WIDE, pa.int32()), pa.array(part[:, 1])], names=["b", "a", "n"])
 
         for batch in batches:
             ids = _unpack(batch, "a_ids", "<u2").astype(np.int64)
@@ -370,7 +374,7 @@ def pair_counts(postings: DataFrame) -> DataFrame:
             lengths = np.diff(np.frombuffer(batch.column("a_ids").buffers()[1], dtype="<i4")[batch.column("a_ids").offset :][: batch.num_rows + 1]) // 2
             codes = np.repeat(batch.column("b").to_numpy().astype(np.int64), lengths) * WIDE + ids
             first = np.flatnonzero(np.diff(codes, prepend=-1))
-            held.append(np.column_stack([codes[first], np.add.reduceat(_unpack(batch, "times", "u1").astype(np.int64), first), np.diff(np.append(first, len(codes)))]))
+            held.append(np.column_stack([codes[first], np.add.reduceat(_unpack(batch, "times", "u1").astype(np.int64), first)]))
             size += len(first)
             if size > 3 * PAIRS_HELD:
                 held = [summed()]
@@ -380,21 +384,23 @@ def pair_counts(postings: DataFrame) -> DataFrame:
                     held, size = [], 0
         yield from out(summed())
 
-    found = postings.select("b", "a_ids", "times").mapInArrow(run, "b int, a int, n long, postings long")
-    return found.groupBy("b", "a").agg(F.sum("n").alias("n"), F.sum("postings").alias("postings"))
+    found = postings.select("b", "a_ids", "times").mapInArrow(run, "b int, a int, n long")
+    return found.groupBy("b", "a").agg(F.sum("n").alias("n"))
 
 
 def contributions(postings: DataFrame, share: int = SHARE) -> DataFrame:
     """(block, place, n_best, count_sum): of each document that has links, those whose pair is the most frequent of its B id, and the sum of their pairs' counts."""
     spark = postings.sparkSession
-    totals = pair_counts(postings).groupBy("b").agg(F.collect_list(F.struct("a", "n")).alias("pairs"), F.sum("postings").alias("postings"))
-    totals = checkpointed(totals.select("b", F.col("pairs.a").alias("a"), F.col("pairs.n").alias("n"), F.ceil(F.col("postings") / share).cast("int").alias("tasks")))
-    # A row for each id of side B.
-    dealt = F.broadcast(totals.select("b", "tasks"))
+    bucket = F.pmod(F.hash("b"), F.lit(BUCKETS))
+    sizes = postings.groupBy(bucket.alias("bucket"), "block").agg(F.sum(F.length("times")).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
+    groups = {r["bucket"]: max(-(-r["n"] // share), -(-3 * r["blocks"] // (2 * BLOCKS_HELD))) for r in sizes.collect()}  # a row for each bucket
+    dealt = F.element_at(F.array(*(F.lit(groups.get(k, 1)) for k in range(BUCKETS))), bucket + 1)
     none = F.lit(None).cast("binary")
-    counts = totals.select("b", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(-1).cast("long").alias("block"), "a", "n", none.alias("a_ids"), none.alias("places"), none.alias("times"))
-    posted = postings.join(dealt, "b").select("b", F.pmod(F.hash("block"), F.col("tasks")).alias("task"), "block", F.lit(None).cast("array<int>").alias("a"), F.lit(None).cast("array<bigint>").alias("n"), "a_ids", "places", "times")
-    stream = counts.unionByName(posted).repartition(shuffle_parts(spark), "b", "task").sortWithinPartitions("b", "task", "block")
+    totals = pair_counts(postings).groupBy("b").agg(F.collect_list(F.struct("a", "n")).alias("pairs"))
+    counts = totals.select(bucket.alias("bucket"), F.explode(F.sequence(F.lit(0), dealt - 1)).alias("part"), "b", F.lit(-1).cast("long").alias("block"), F.col("pairs.a").alias("a"), F.col("pairs.n").alias("n"), none.alias("a_ids"), none.alias("places"), none.alias("times"))
+    posted = postings.select(bucket.alias("bucket"), F.pmod(F.xxhash64("block"), dealt).cast("int").alias("part"), "b", "block", F.lit(None).cast("array<int>").alias("a"), F.lit(None).cast("array<bigint>").alias("n"), "a_ids", "places", "times")
+    parts = max(BUCKETS, 2 * sum(groups.values()))
+    stream = counts.unionByName(posted).repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part", "b", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, top = np.zeros(WIDE, dtype=np.int64), 0
