@@ -40,8 +40,8 @@ def sorted_sha256(lines: DataFrame, order: list[str]) -> DataFrame:
 
 def list_sha256(rows: DataFrame, key: str, line: Column, order: list[str], before: Column | None = None, after: Column | None = None) -> DataFrame:
     """(key, sha256): hash of the JSON list of each document's lines, in ``order``, between ``before`` and ``after``."""
-    kept = rows.select(F.col(key).alias("key"), line.alias("line"), (F.lit("[") if before is None else before).alias("before"), (F.lit("]") if after is None else after).alias("after"), *order)
-    return sorted_sha256(kept, order).select(F.col("key").alias(key), F.col("h").alias("sha256"))
+    kept = rows.select(F.col(key).cast("string").alias("key"), line.alias("line"), (F.lit("[") if before is None else before).alias("before"), (F.lit("]") if after is None else after).alias("after"), *order)
+    return sorted_sha256(kept, order).select(F.col("key").cast(rows.schema[key].dataType).alias(key), F.col("h").alias("sha256"))
 
 
 def tree_sha256(rows: DataFrame, key: str, line: Column, digits: int = 3) -> DataFrame:

@@ -192,6 +192,20 @@ VIEWS = {
                CASE c_custkey % 3 WHEN 0 THEN 'NOT_APPROVED' WHEN 1 THEN 'certified' ELSE 'open' END AS status, CASE c_custkey % 4 WHEN 0 THEN 'CAB_APPROVED' WHEN 1 THEN 'NO_PRODUCT_CONFORMITY_STATUS' END AS product_conformity_status,
                CASE WHEN c_custkey % 7 = 0 THEN 'manufacturer' END AS manufacturer_role, 'CERTIFIED' AS note
         FROM customer""",
+    "img_part": "SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 20 END AS image FROM part",
+    "img_images": """
+        SELECT image, 'profile-' || CAST(image AS STRING) AS profile_id, repeat('f', 64) AS profile_sha256, 'image' || CAST(image AS STRING) AS image_name, 'release-6' AS upstream_release, 'build-' || CAST(image AS STRING) AS build_id, 'arm' AS architecture,
+               '2026-01-05T00:00:00Z' AS release_timestamp, 'builder' AS reference_builder, CASE WHEN image % 2 = 0 THEN 'lane-b' ELSE 'lane-z' END AS build_lane, 'lane-m' AS artifact_lane FROM (SELECT DISTINCT image FROM img_part)""",
+    "img_inputs": "SELECT image, role, 'in/' || role AS relative_path, lpad(CAST(image AS STRING), 64, 'e') AS sha256, 'https://example.org/' || role AS url, image * 10 + 5 AS size, 'application/json' AS media_type FROM ("
+        + " UNION ALL ".join(f"SELECT image, '{role}' AS role FROM img_images" for role in ("rootfs_archive", "build_spdx", "image_manifest", "qemuboot", "testdata")) + ")",
+    "img_manifest": "SELECT image, 'n' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_partkey % 4 = 0 THEN 'all' ELSE 'arm' END AS architecture, CAST(p_size AS STRING) AS version FROM img_part WHERE p_partkey % 5 <> 0",
+    "img_native": """
+        SELECT image, 's' || CAST(p_partkey AS STRING) AS source_id, 'n' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_partkey % 6 = 0 THEN 'UNKNOWN' WHEN p_partkey % 4 = 0 THEN 'other' ELSE CAST(p_size AS STRING) END AS version, CASE WHEN p_partkey % 8 = 0 THEN 'UNKNOWN' ELSE p_brand END AS producer,
+               CASE WHEN p_partkey % 9 = 0 THEN ARR('UNKNOWN') ELSE ARR('cpe:p' || CAST(p_partkey AS STRING), 'pkg:generic/p' || CAST(p_partkey AS STRING)) END AS identifiers FROM img_part WHERE p_partkey % 7 <> 0
+        UNION ALL SELECT image, 't' || CAST(p_partkey AS STRING), 'n' || CAST(p_partkey AS STRING), 'second', 'UNKNOWN', ARR('UNKNOWN') FROM img_part WHERE p_partkey % 18 = 1""",
+    "img_expected": "SELECT image, 'usr/f' || CAST(p_partkey AS STRING) AS path, CASE WHEN p_partkey % 8 = 0 THEN 'UNKNOWN' ELSE 'h' || CAST(p_partkey AS STRING) END AS sha256, CASE WHEN p_partkey % 3 = 1 THEN NONE ELSE ARR('s' || CAST(p_partkey - p_partkey % 60 AS STRING), 's' || CAST(p_partkey AS STRING)) END AS owners FROM img_part WHERE p_partkey % 5 <> 3",
+    "img_observed": "SELECT image, 'usr/f' || CAST(p_partkey AS STRING) AS path, CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE 'h' || CAST(p_partkey AS STRING) END AS sha256 FROM img_part WHERE p_partkey % 6 <> 0",
+    "img_depends": "SELECT image, 's' || CAST(p_partkey AS STRING) AS src, 's' || CAST(p_partkey + 60 AS STRING) AS dst FROM img_part",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

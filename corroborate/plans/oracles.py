@@ -293,3 +293,97 @@ oracle("projection_rules", "nested", """SELECT CASE WHEN p_partkey % 3 = 0 THEN
 UNION ALL SELECT CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END, 'k' || p_partkey, 'cpe' FROM part WHERE false""")
 oracle("decision_set_hash", "hits vex", """SELECT handoff_id, sha256('[' || string_agg('{"narrowed_by_trusted_vex":' || CASE WHEN narrowed THEN 'true' ELSE 'false' END || ',"original_hit_preserved":true,"original_status":"' || original_status || '","product_purl":"' || purl || '","rejection_reason":' || coalesce('"' || reason || '"', 'null')
 || ',"vex_pointers":' || vex_pointers || ',"vulnerability_id":"' || vulnerability_id || '"}', ',' ORDER BY position) || ']') AS sha256 FROM decided GROUP BY handoff_id""", _NARROW)
+
+_J = lambda l: f"""'[' || array_to_string(list_transform({l}, lambda x: '"' || x || '"'), ',') || ']'"""
+_IMG = "img_images img_inputs img_manifest img_native img_expected img_observed img_depends"
+_EVIDENCE = """, img_ev AS (SELECT i.*, CASE WHEN role = 'rootfs_archive' THEN artifact_lane ELSE build_lane END AS lane_id, CASE WHEN role = 'rootfs_archive' THEN 'rootfs-tar-artifact-observation' ELSE 'yocto-spdx-3.0.1-build-metadata' END AS adapter_id,
+    CASE WHEN role = 'rootfs_archive' THEN 'ARTIFACT_OBSERVATION' ELSE 'BUILD_METADATA' END AS independence_domain, CASE WHEN role = 'rootfs_archive' THEN 'RELEASE_ARTIFACT_HASH' ELSE 'BUILD_OBSERVED_HASH' END AS hash_kind FROM img_inputs i JOIN img_images USING (image)),
+img_evidence AS (SELECT *, 'yocto-evidence-' || sha256('{"adapter_id":"' || adapter_id || '","adapter_version":"1.0.0","independence_domain":"' || independence_domain || '","lane_id":"' || lane_id || '","relative_path":"' || relative_path || '","role":"' || role || '","sha256":"' || sha256 || '"}') AS evidence_id FROM img_ev)"""
+oracle("image_evidence", _IMG, "SELECT * FROM img_evidence", _EVIDENCE)
+_LANE = lambda lane, ids, adapter, domain: f"""'{{"adapter_id":"{adapter}","adapter_version":"1.0.0","evidence_ids":' || {_J(ids)} || ',"independence_domain":"{domain}","lane_id":"' || {lane} || '"}}'"""
+_LANES = [_LANE("build_lane", "build_ids", "yocto-spdx-3.0.1-build-metadata", "BUILD_METADATA"), _LANE("artifact_lane", "[artifact_evidence]", "rootfs-tar-artifact-observation", "ARTIFACT_OBSERVATION")]
+_HEADS = _EVIDENCE + f""", img_ids AS (SELECT image, max(evidence_id) FILTER (role = 'build_spdx') AS build_evidence, max(evidence_id) FILTER (role = 'image_manifest') AS manifest_evidence, max(evidence_id) FILTER (role = 'rootfs_archive') AS artifact_evidence, max(sha256) FILTER (role = 'rootfs_archive') AS artifact_sha256,
+    list_sort(list(evidence_id) FILTER (role <> 'rootfs_archive')) AS build_ids, string_agg('{{"media_type":"' || media_type || '","relative_path":"' || relative_path || '","role":"' || role || '","sha256":"' || sha256 || '","size":' || size || ',"url":"' || url || '"}}', ',' ORDER BY role) AS said FROM img_evidence GROUP BY image),
+img_heads AS (SELECT i.*, build_evidence, manifest_evidence, artifact_evidence, artifact_sha256, 'yocto-reference-run-' || sha256('{{"inputs":[' || said || '],"lanes":[' || CASE WHEN build_lane < artifact_lane THEN {_LANES[0]} || ',' || {_LANES[1]} ELSE {_LANES[1]} || ',' || {_LANES[0]} END
+    || '],"profile_id":"' || profile_id || '","profile_sha256":"' || profile_sha256 || '"}}') AS run_id FROM img_images i JOIN img_ids USING (image))"""
+oracle("image_heads", _IMG, "SELECT * FROM img_heads", _HEADS)
+_PAIR = lambda a, b: f"list_sort([{a}, {b}])"
+_BODY = lambda **fields: "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in sorted(fields.items())) + " || '}'"
+_Q = lambda v: f"coalesce('\"' || {v} || '\"', 'null')"
+_NAMED = lambda prefix, **fields: f"'{prefix}-' || sha256({_BODY(**fields)})"
+_POP = {"kind": _Q("kind"), "producer": _Q("producer"), "name": _Q("name"), "version": _Q("version"), "architecture": _Q("architecture"), "identifiers": _J("identifiers"), "roles": _J("[kind]"), "discovery_lanes": _J("discovery_lanes"), "evidence_ids": _J("evidence_ids"),
+        "producer_evidence_ids": _J("producer_evidence_ids"), "file_paths": _J("file_paths"), "critical_unknown_fields": _J("critical")}
+_REL = {"source_population_id": _Q("src"), "relationship": _Q("rel"), "target_population_id": _Q("dst"), "evidence_ids": _J("evidence_ids")}
+_SAID = {"details": _J("details"), "evidence_ids": _J("evidence_ids"), "status": _Q("status"), "finding_type": _Q("finding_type")}
+_FIND = {"component": _SAID | {"population_id": _Q("population_id"), "candidate_source_id": _Q("source_id")}, "field": _SAID | {"population_id": _Q("population_id"), "field": "'\"producer\"'"}, "file": _SAID | {"path": _Q("path"), "expected_sha256": _Q("e"), "observed_sha256": _Q("o")}}
+_NONE = "CAST([] AS VARCHAR[])"
+_ROWS = _HEADS + f""", img_by AS (SELECT image, name, count(*) AS n, min(source_id) AS source_id, min(version) AS v, min(producer) AS producer, min(identifiers) AS identifiers FROM img_native GROUP BY ALL),
+img_met AS (SELECT m.image, m.name, m.version, m.architecture, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN source_id END AS source_id, CASE WHEN n = 1 THEN v END AS v, CASE WHEN n = 1 THEN producer ELSE 'UNKNOWN' END AS producer, CASE WHEN n = 1 THEN list_filter(identifiers, lambda i: i <> 'UNKNOWN') ELSE {_NONE} END AS said FROM img_manifest m LEFT JOIN img_by USING (image, name)),
+img_owned AS (SELECT image, owner AS source_id, list_sort(list(DISTINCT path)) AS file_paths FROM (SELECT image, path, unnest(owners) AS owner FROM img_expected) GROUP BY ALL),
+img_packages AS (SELECT m.*, 'RUNTIME_PACKAGE' AS kind, {_NAMED('population', architecture=_Q('architecture'), kind="'\"RUNTIME_PACKAGE\"'", name=_Q('name'))} AS population_id, list_sort(list_distinct(list_concat(['urn:yocto-manifest:' || architecture || ':' || name || ':' || version], said))) AS identifiers, [build_lane] AS discovery_lanes,
+    {_PAIR('build_evidence', 'manifest_evidence')} AS evidence_ids, CASE WHEN producer = 'UNKNOWN' THEN {_NONE} ELSE [build_evidence] END AS producer_evidence_ids, coalesce(file_paths, {_NONE}) AS file_paths, CASE WHEN producer = 'UNKNOWN' THEN ['producer'] ELSE {_NONE} END AS critical, build_evidence, artifact_evidence
+    FROM img_met m LEFT JOIN img_owned USING (image, source_id) JOIN (SELECT image, build_lane, build_evidence, manifest_evidence, artifact_evidence FROM img_heads) USING (image)),
+img_root AS (SELECT image, {_NAMED('population', build_id=_Q('build_id'), kind="'\"REFERENCE_IMAGE_ROOT\"'")} AS population_id, 'REFERENCE_IMAGE_ROOT' AS kind, 'UNKNOWN' AS producer, image_name AS name, upstream_release AS version, architecture, ['urn:yocto-reference:' || build_id] AS identifiers, {_PAIR('build_lane', 'artifact_lane')} AS discovery_lanes,
+    {_PAIR('build_evidence', 'artifact_evidence')} AS evidence_ids, {_NONE} AS producer_evidence_ids, {_NONE} AS file_paths, {_NONE} AS critical FROM img_heads),
+img_population AS (SELECT image, population_id, kind, producer, name, version, architecture, identifiers, discovery_lanes, evidence_ids, producer_evidence_ids, file_paths, critical FROM img_packages UNION ALL SELECT * FROM img_root),
+img_edges AS (SELECT p.image, r.population_id AS src, 'CONTAINS' AS rel, p.population_id AS dst, p.evidence_ids FROM img_packages p JOIN img_root r USING (image)
+    UNION ALL SELECT DISTINCT d.image, a.population_id, 'DEPENDS_ON', b.population_id, [a.build_evidence] FROM img_depends d JOIN img_packages a ON a.image = d.image AND a.source_id = d.src JOIN img_packages b ON b.image = d.image AND b.source_id = d.dst),
+img_components AS (SELECT image, population_id, source_id, 'COMPONENT_IDENTITY' AS finding_type, CASE n WHEN 0 THEN 'MISSING_FROM_SBOM' WHEN 1 THEN 'MATCHED' ELSE 'UNKNOWN' END AS status, CASE WHEN n = 0 THEN ['installed_package'] WHEN n > 1 THEN ['ambiguous_native_spdx_identity'] WHEN v NOT IN ('UNKNOWN', version) THEN ['MANIFEST_PKGV_AND_NATIVE_SPDX_PV_HAVE_DIFFERENT_VERSION_SEMANTICS'] ELSE {_NONE} END AS details, evidence_ids FROM img_packages
+    UNION ALL SELECT n.image, NULL, n.source_id, 'COMPONENT_IDENTITY', 'NOT_IN_RELEASE', [n.name], [build_evidence] FROM img_native n JOIN img_heads USING (image) WHERE NOT EXISTS (SELECT 1 FROM img_manifest m WHERE m.image = n.image AND m.name = n.name)),
+img_fields AS (SELECT image, population_id, 'COMPONENT_FIELD' AS finding_type, 'UNKNOWN' AS status, ['NO_PER_COMPONENT_PRODUCER_EVIDENCE'] AS details, evidence_ids FROM img_packages WHERE producer = 'UNKNOWN'),
+img_files AS (SELECT image, path, e, o, 'ROOTFS_FILE' AS finding_type, CASE WHEN e IS NULL THEN 'MISSING_FROM_SBOM' WHEN o IS NULL THEN 'NOT_IN_RELEASE' WHEN e = 'UNKNOWN' THEN 'UNKNOWN' WHEN e <> o THEN 'CONFLICT' ELSE 'MATCHED' END AS status,
+    CASE WHEN e IS NULL OR o IS NULL THEN ['path'] WHEN e = 'UNKNOWN' THEN ['build_metadata_sha256'] WHEN e <> o THEN ['sha256'] ELSE {_NONE} END AS details, CASE WHEN e IS NULL THEN [artifact_evidence] WHEN o IS NULL THEN [build_evidence] ELSE {_PAIR('build_evidence', 'artifact_evidence')} END AS evidence_ids
+    FROM (SELECT coalesce(x.image, y.image) AS image, coalesce(x.path, y.path) AS path, x.sha256 AS e, y.sha256 AS o FROM img_expected x FULL JOIN img_observed y ON x.image = y.image AND x.path = y.path) JOIN img_heads USING (image)),
+img_lines AS (SELECT image, 'population' AS kind, population_id AS id, {_BODY(**_POP, population_id=_Q('population_id'))} AS line FROM img_population
+    UNION ALL SELECT image, 'relationship', id, {_BODY(**_REL, relationship_id=_Q('id'))} FROM (SELECT *, {_NAMED('relationship', **_REL)} AS id FROM img_edges)
+    UNION ALL SELECT image, 'component', id, {_BODY(**_FIND['component'], finding_id=_Q('id'))} FROM (SELECT *, {_NAMED('yocto-finding', **_FIND['component'])} AS id FROM img_components)
+    UNION ALL SELECT image, 'field', id, {_BODY(**_FIND['field'], finding_id=_Q('id'))} FROM (SELECT *, {_NAMED('yocto-finding', **_FIND['field'])} AS id FROM img_fields)
+    UNION ALL SELECT image, 'file', id, {_BODY(**_FIND['file'], finding_id=_Q('id'))} FROM (SELECT *, {_NAMED('yocto-finding', **_FIND['file'])} AS id FROM img_files))"""
+oracle("image_graph_lines", _IMG, "SELECT * FROM img_lines", _ROWS)
+_STATUS_NAMES = ("MATCHED", "CONFLICT", "MISSING_FROM_SBOM", "NOT_IN_RELEASE", "UNKNOWN")
+_SUMMARY = _ROWS + f""", img_said AS (SELECT image, status, false AS e, false AS o FROM img_components UNION ALL SELECT image, status, false, false FROM img_fields UNION ALL SELECT image, status, e IS NOT NULL, o IS NOT NULL FROM img_files),
+img_counts AS (SELECT image, {', '.join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in _STATUS_NAMES)}, count(*) FILTER (e) AS expected_file_count, count(*) FILTER (o) AS observed_file_count FROM img_said GROUP BY image),
+img_summary AS (SELECT h.image, run_id, {', '.join(s.lower() for s in _STATUS_NAMES)}, expected_file_count, observed_file_count, coalesce(x.h, sha256('[]')) AS expected_exact_set_sha256, coalesce(y.h, sha256('[]')) AS observed_exact_set_sha256,
+    concat_ws(',', {', '.join(f"CASE WHEN {s.lower()} > 0 THEN '{s}' END" for s in _STATUS_NAMES[1:])}) AS blocking_statuses, CASE WHEN {' + '.join(s.lower() for s in _STATUS_NAMES[1:])} > 0 THEN 'OPEN' ELSE 'CLOSED' END AS state,
+    CASE WHEN {' + '.join(s.lower() for s in _STATUS_NAMES[1:])} > 0 THEN 'REFERENCE_RECONCILIATION_OPEN' ELSE 'REFERENCE_RECONCILIATION_CLOSED_NOT_GROUND_TRUTH' END AS technical_status FROM img_heads h JOIN img_counts USING (image)
+    LEFT JOIN (SELECT image, sha256('[' || string_agg('{{"owner_source_ids":' || {_J('owners')} || ',"path":"' || path || '","sha256":"' || sha256 || '"}}', ',' ORDER BY path) || ']') AS h FROM img_expected GROUP BY image) x USING (image)
+    LEFT JOIN (SELECT image, sha256('[' || string_agg('{{"path":"' || path || '","sha256":"' || sha256 || '"}}', ',' ORDER BY path) || ']') AS h FROM img_observed GROUP BY image) y USING (image))"""
+oracle("image_summary", _IMG, "SELECT * FROM img_summary", _SUMMARY)
+oracle("image_projections", _IMG, """SELECT h.image, 'release' AS kind, profile_id AS subject, concat_ws(' ', image_name, upstream_release, build_id, artifact_sha256, technical_status) AS said FROM img_heads h JOIN img_summary USING (image)
+UNION ALL SELECT image, 'component', population_id, name || ' ' || CASE WHEN len(critical) > 0 THEN 'UNKNOWN' ELSE 'MATCHED' END FROM img_population""", _SUMMARY)
+oracle("image_graph_differences", _IMG, """SELECT image, kind, id, CASE kind WHEN 'relationship' THEN 'missing' WHEN 'field' THEN 'repeated' ELSE 'changed' END AS problem FROM img_lines
+WHERE (kind = 'relationship' AND id LIKE '%0') OR (kind = 'population' AND id LIKE '%1') OR (kind = 'file' AND id LIKE '%2' AND contains(line, '"status":"CONFLICT"')) OR (kind = 'field' AND id LIKE '%4')
+UNION ALL SELECT image, kind, unnest([id, 'x-' || id]), unnest(['missing', 'extra']) FROM img_lines WHERE kind = 'component' AND id LIKE '%3'""", _ROWS)
+oracle("image_misnamed", _IMG, """SELECT image, kind, CASE kind WHEN 'component' THEN 'x-' || id ELSE id END AS id FROM img_lines WHERE (kind = 'component' AND id LIKE '%3') OR (kind = 'file' AND id LIKE '%2' AND contains(line, '"status":"CONFLICT"'))""", _ROWS)
+oracle("image_canonical", _IMG, """SELECT image, sha256(string_agg(h, ',' ORDER BY b)) AS canonical_sha256 FROM (SELECT image, substr(d, 1, 3) AS b, sha256(string_agg(d, ',' ORDER BY d)) AS h FROM (SELECT image, sha256(line) AS d FROM img_lines) GROUP BY ALL) GROUP BY image""", _ROWS)
+_IMG_UUID = lambda kind, v: f"(SELECT 'urn:uuid:' || {_UUID('d')} FROM (SELECT sha1({_NAMESPACE} || encode(run_id || ':{kind}:' || {v})) AS d))"
+_IMG_EXPORT = _ROWS + f""", img_canon AS (SELECT *, sha256('canonical ' || image) AS canonical_sha256 FROM img_heads), img_refs AS (SELECT p.*, run_id, {_IMG_UUID('component', 'population_id')} AS ref FROM img_population p JOIN img_heads USING (image)),
+img_links AS (SELECT e.image, a.ref AS src, rel, b.ref AS dst FROM (SELECT DISTINCT * FROM img_edges) e JOIN img_refs a ON a.image = e.image AND a.population_id = e.src JOIN img_refs b ON b.image = e.image AND b.population_id = e.dst)"""
+_IMG_COMPONENT = f"""'{{"bom-ref":"' || ref || '","name":"' || name || '","properties":[' || array_to_string(list_concat(['{{"name":"corroborate:component-kind","value":"' || kind || '"}}', '{{"name":"corroborate:producer-evidence-status","value":"' || CASE WHEN producer = 'UNKNOWN' THEN 'UNKNOWN' ELSE 'PER_COMPONENT_EVIDENCED' END || '"}}'],
+{_PROPERTY('identifier', 'list_sort(identifiers)')}, {_PROPERTY('evidence-id', 'evidence_ids')}), ',') || ']' || CASE WHEN producer = 'UNKNOWN' THEN '' ELSE ',"publisher":"' || producer || '"' END || coalesce(',"purl":"' || {_PURL_OF} || '"', '') || ',"type":"' || CASE WHEN kind = 'REFERENCE_IMAGE_ROOT' THEN 'operating-system' ELSE 'library' END || '","version":"' || version || '"}}'"""
+oracle("image_cyclonedx", _IMG, f"""SELECT image, 'head' AS part, '{{"$schema":"https://cyclonedx.org/schema/bom-1.7.schema.json","bomFormat":"CycloneDX","metadata":{{"authors":[{{"name":"corroborate candidate generator"}}],"component":' || {_IMG_COMPONENT} || ',"properties":[' || concat_ws(',', {_P('build-id', 'build_id')}, {_P('canonical-sha256', 'canonical_sha256')},
+{_P('classification', "'PUBLIC_BUILD_REFERENCE_NOT_CUSTOMER_EVIDENCE'")}, {_P('release-artifact-sha256', 'artifact_sha256')}, {_P('run-id', 'run_id')}, {_P('generator-output-status', "'GENERATOR_OUTPUT_CANDIDATE'")}, {_P('product-conformity-status', "'NO_PRODUCT_CONFORMITY_STATUS'")}) || '],"timestamp":"' || release_timestamp || '"}},"serialNumber":"' || {_IMG_UUID('bom', 'profile_id')} || '","specVersion":"1.7","version":1}}' AS line
+FROM img_canon JOIN (SELECT image, ref, name, kind, producer, identifiers, evidence_ids, version FROM img_refs WHERE kind = 'REFERENCE_IMAGE_ROOT') USING (image)
+UNION ALL SELECT image, 'components', {_IMG_COMPONENT} FROM img_refs WHERE kind <> 'REFERENCE_IMAGE_ROOT'
+UNION ALL SELECT r.image, 'dependencies', '{{"dependsOn":' || {_J("coalesce(list_sort(list(DISTINCT dst) FILTER (dst IS NOT NULL)), CAST([] AS VARCHAR[]))")} || ',"ref":"' || ref || '"}}' FROM img_refs r LEFT JOIN img_links ON src = ref GROUP BY r.image, ref
+UNION ALL SELECT image, 'properties', '{{"name":"corroborate:relationship","value":"' || src || '|' || rel || '|' || dst || '"}}' FROM img_links""", _IMG_EXPORT)
+_S = lambda v, n: f"substr(sha256({v}), 1, {n})"
+_OBJECT = lambda **fields: _BODY(**{("@id" if k == "id" else k): (v if v.startswith("'[") or v.startswith("CASE") else _Q(v)) for k, v in fields.items()})
+_BOUND = r"""'corroborate:binding={\"build_id\":\"' || build_id || '\",\"canonical_sha256\":\"' || canonical_sha256 || '\",\"classification\":\"PUBLIC_BUILD_REFERENCE_NOT_CUSTOMER_EVIDENCE\",\"release_artifact_sha256\":\"' || artifact_sha256 || '\",\"run_id\":\"' || run_id || '\"}'"""
+_CORE = "'[\"core\",\"software\"]'"
+_PKG = lambda v: f"base || '/package/' || {_S(v, 32)}"
+_TOP = [
+    _OBJECT(id="c", created="release_timestamp", createdBy="""'["' || base || '/organization/candidate-generator"]'""", createdUsing="""'["' || base || '/tool/corroborate"]'""", specVersion="'3.0.1'", type="'CreationInfo'"),
+    _OBJECT(comment="'GENERATOR_ONLY_NOT_MANUFACTURER'", creationInfo="c", name="'corroborate candidate generator'", spdxId="base || '/organization/candidate-generator'", type="'Organization'"),
+    _OBJECT(creationInfo="c", name="'corroborate'", spdxId="base || '/tool/corroborate'", type="'Tool'"),
+    _OBJECT(comment=_BOUND, creationInfo="c", name="build_id || ' SPDX candidate document'", profileConformance=_CORE, rootElement="""'["' || base || '/sbom/reference"]'""", spdxId="base || '/document/reference'", summary="'GENERATOR_OUTPUT_CANDIDATE; NO_PRODUCT_CONFORMITY_STATUS; public reference is not ground truth.'", type="'SpdxDocument'"),
+    _OBJECT(comment=_BOUND, creationInfo="c", name="build_id || ' generator output candidate'", profileConformance=_CORE, rootElement=f"""'["' || {_PKG('root')} || '"]'""", software_sbomType="'[\"build\"]'", spdxId="base || '/sbom/reference'", type="'software_Sbom'"),
+]
+_IMG_SPDX = _IMG_EXPORT + f""", img_based AS (SELECT h.*, 'https://example.invalid/corroborate/image/' || {_S('run_id', 24)} AS base, '_:creation-' || {_S('run_id', 20)} AS c, r.population_id AS root FROM img_canon h JOIN img_root r USING (image)),
+img_told AS (SELECT p.*, base, c FROM img_population p JOIN (SELECT image, base, c FROM img_based) USING (image))"""
+oracle("image_spdx", _IMG, f"""SELECT image, 'head' AS part, unnest([{', '.join(_TOP)}]) AS line FROM img_based
+UNION ALL SELECT image, 'agents', {_OBJECT(creationInfo='c', name='producer', spdxId="base || '/organization/' || " + _S('producer', 32), type="'Organization'")} FROM (SELECT DISTINCT image, base, c, producer FROM img_told WHERE producer <> 'UNKNOWN')
+UNION ALL SELECT image, 'packages', '{{"comment":"GENERATOR_OUTPUT_CANDIDATE;NO_PRODUCT_CONFORMITY_STATUS;producer=' || producer || ';evidence_ids=' || array_to_string(evidence_ids, ',') || '","creationInfo":"' || c || '","externalIdentifier":[' || array_to_string(list_transform(identifiers, lambda i: '{{"externalIdentifierType":"' || CASE WHEN starts_with(i, 'pkg:') THEN 'packageUrl' ELSE 'other' END || '","identifier":"' || i || '","type":"ExternalIdentifier"}}'), ',')
+|| '],"name":"' || name || '"' || coalesce(',"software_packageUrl":"' || {_PURL_OF} || '"', '') || ',"software_packageVersion":"' || version || '","software_primaryPurpose":"' || CASE WHEN kind = 'REFERENCE_IMAGE_ROOT' THEN 'application' ELSE 'library' END || '","spdxId":"' || {_PKG('population_id')} || '"' || CASE WHEN producer = 'UNKNOWN' THEN '' ELSE ',"suppliedBy":"' || base || '/organization/' || {_S('producer', 32)} || '"' END || ',"type":"software_Package"}}' FROM img_told
+UNION ALL SELECT image, 'relationships', {_OBJECT(comment="'evidence_ids=' || array_to_string(evidence_ids, ',')", creationInfo='c', **{'from': _PKG('src')}, relationshipType="(CASE rel WHEN 'CONTAINS' THEN 'contains' ELSE 'dependsOn' END)", spdxId="base || '/relationship/' || " + _S('id', 32), to=f"""'["' || {_PKG('dst')} || '"]'""", type="'Relationship'")}
+FROM (SELECT e.*, base, c, {_NAMED('relationship', **_REL)} AS id FROM img_edges e JOIN img_based USING (image))""", _IMG_SPDX)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as fx
-from corroborate.operators import binding, cluster, evidence, export, gaps, nested, profiles, receipts, reconcile, registry, relations, release, rules, vex
+from corroborate.operators import binding, cluster, evidence, export, gaps, imagegraph, nested, profiles, receipts, reconcile, registry, relations, release, rules, vex
 from corroborate.plans.carriers import spark_view
 from corroborate.sources import image
 
@@ -646,4 +646,84 @@ def namespace_rules(profiles):
     return binding.namespaces(rows)
 
 
+def _graph(*parts):
+    return imagegraph.derive(*parts)
+
+
+@query
+def image_evidence(img_images, img_inputs):
+    return imagegraph.evidence(img_images, img_inputs)
+
+
+@query
+def image_heads(img_images, img_inputs):
+    return imagegraph.heads(img_images, img_inputs)
+
+
+@query
+def image_graph_lines(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    return imagegraph.lines(_graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends))
+
+
+@query
+def image_summary(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    graph = _graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends)
+    return joined(imagegraph.summary(graph, img_expected, img_observed), "blocking_statuses")
+
+
+@query
+def image_projections(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    graph = _graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends)
+    release_rows = imagegraph.release_projection(graph, imagegraph.summary(graph, img_expected, img_observed))
+    return release_rows.select("image", F.lit("release").alias("kind"), F.col("release_id").alias("subject"), F.concat_ws(" ", "product", "product_version", "build_id", "artifact_sha256", "status").alias("said")).union(
+        imagegraph.component_projection(graph).select("image", F.lit("component"), "population_id", F.concat_ws(" ", "name", "status"))
+    )
+
+
+def _recorded(lines):
+    """What might be recorded of a graph: packages of other versions, relationships that are gone, findings that were renamed with their status, and rows that repeat."""
+    kind, id_ = F.col("kind"), F.col("id")
+    other = F.regexp_replace("line", '"version":"[^"]*"', '"version":"0"')
+    status = F.regexp_replace("line", '"status":"CONFLICT"', '"status":"MATCHED"')
+    rows = lines.filter(~((kind == "relationship") & id_.like("%0")))
+    rows = rows.withColumn("line", F.when((kind == "population") & id_.like("%1"), other).when((kind == "file") & id_.like("%2"), status).otherwise(F.col("line")))
+    renamed = (kind == "component") & id_.like("%3")
+    rows = rows.withColumn("id", F.when(renamed, F.concat(F.lit("x-"), "id")).otherwise(id_))
+    return rows.unionByName(rows.filter((kind == "field") & id_.like("%4")))
+
+
+@query
+def image_graph_differences(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    lines = imagegraph.lines(_graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends))
+    return imagegraph.differences(lines, _recorded(lines))
+
+
+@query
+def image_misnamed(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    lines = imagegraph.lines(_graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends))
+    return imagegraph.misnamed(_recorded(lines))
+
+
+@query
+def image_canonical(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    return imagegraph.canonical_hashes(imagegraph.lines(_graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends)))
+
+
+def _named(heads):
+    """A short stand-in for the hash of each image's lines."""
+    return heads.select("image", F.sha2(F.concat(F.lit("canonical "), F.col("image").cast("string")), 256).alias("canonical_sha256"))
+
+
+@query
+def image_cyclonedx(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    graph = _graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends)
+    return imagegraph.cyclonedx(graph, _named(graph.heads))
+
+
+@query
+def image_spdx(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    graph = _graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends)
+    return imagegraph.spdx(graph, _named(graph.heads)).filter("part <> 'membership'")
+
+
 _vex, _nested = vex, nested
