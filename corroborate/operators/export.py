@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.functions.text import NAMESPACE, UNKNOWN, canonical_json, component_type, fragment, hash_fits, hash_name, uuid5_url
+from corroborate.functions.text import NAMESPACE, UNKNOWN, canonical_json, component_type, fragment, hash_fits, hash_name, stable_id, uuid5_url
 from corroborate.operators.hashing import tree_sha256
 from corroborate.operators.relations import dependency_rows
 from corroborate.operators.rules import assert_none
@@ -59,13 +59,16 @@ def normal_hashes(hashes: str) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def cyclonedx_components(population: DataFrame, run_id: str) -> DataFrame:
-    """(population_id, line): one component object each; fields without a value are left out."""
-    body = F.struct(
+def _component(run_id: str) -> Column:
+    return F.struct(
         bom_ref(run_id, F.col("population_id")).alias("bom-ref"), normal_hashes("hashes").alias("hashes"), F.col("name"), component_properties().alias("properties"), F.col("producer").alias("publisher"),
         primary_purl("identifiers").alias("purl"), component_type(F.col("roles")).alias("type"), F.col("version"),
     )
-    return _known(population).select("population_id", F.to_json(body).alias("line"))
+
+
+def cyclonedx_components(population: DataFrame, run_id: str) -> DataFrame:
+    """(population_id, line): one component object each; fields without a value are left out."""
+    return _known(population).select("population_id", F.to_json(_component(run_id)).alias("line"))
 
 
 def cyclonedx_properties(relationships: DataFrame, run_id: str) -> DataFrame:
@@ -78,14 +81,24 @@ def cyclonedx_properties(relationships: DataFrame, run_id: str) -> DataFrame:
 BINDING = {"classification": "classification", "run-id": "run_id", "canonical-sha256": "canonical_sha256", "build-id": "build_id", "release-artifact-sha256": "artifact_sha256"}
 
 
-def cyclonedx_head(release: DataFrame) -> DataFrame:
+def root_components(population: DataFrame, release: DataFrame) -> DataFrame:
+    """(run_id, population_id) of the one component that each release (run_id, manufacturer, product, product_version) is about; none or several are an error."""
+    bound = release.select("run_id", F.col("manufacturer").alias("producer"), F.col("product").alias("name"), F.col("product_version").alias("version"))
+    tops = population.filter(F.array_contains("roles", "ROOT_PRODUCT")).select("population_id", "producer", "name", "version")
+    found = bound.join(tops, ["producer", "name", "version"], "left").groupBy("run_id").agg(F.count("population_id").alias("n"), F.min("population_id").alias("population_id"))
+    return found.select("run_id", F.when(F.col("n") == 1, F.col("population_id")).otherwise(F.raise_error(F.concat(F.col("n").cast("string"), F.lit(" root components")))).alias("population_id"))
+
+
+def cyclonedx_head(release: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(run_id, line): the document of each release less its components, dependencies and properties, which are lines of their own.
 
     release: run_id, classification, canonical_sha256, build_id, artifact_sha256, release_timestamp, sbom_author.
+    roots: run_id, component (a struct), which the document is about.
     """
+    release = release.withColumn("component", F.lit(None).cast("string")) if roots is None else release.join(roots, "run_id")
     named = [F.struct(F.lit(f"{NAMESPACE}:{n}").alias("name"), F.col(c).alias("value")) for n, c in BINDING.items()]
     named.append(F.struct(F.lit(f"{NAMESPACE}:technical-state").alias("name"), F.lit("SYNTHETIC_RECONCILIATION_CLOSED").alias("value")))
-    metadata = F.struct(F.array(F.struct(F.col("sbom_author").alias("name"))).alias("authors"), F.array(*named).alias("properties"), F.col("release_timestamp").alias("timestamp"))
+    metadata = F.struct(F.array(F.struct(F.col("sbom_author").alias("name"))).alias("authors"), F.col("component"), F.array(*named).alias("properties"), F.col("release_timestamp").alias("timestamp"))
     body = F.struct(
         F.lit("https://cyclonedx.org/schema/bom-1.7.schema.json").alias("$schema"), F.lit("CycloneDX").alias("bomFormat"), metadata.alias("metadata"), F.concat(F.lit("urn:uuid:"), uuid5_url(F.col("run_id"))).alias("serialNumber"),
         F.lit("1.7").alias("specVersion"), F.lit(1).alias("version"),
@@ -130,10 +143,11 @@ def spdx_agents(population: DataFrame, run_id: str, author: str) -> DataFrame:
     return names.select(canonical_json(_creation(run).alias("creationInfo"), F.col("name"), spdx_id(run, "organization", F.col("name")).alias("spdxId"), F.lit("Organization").alias("type")).alias("line"))
 
 
-def spdx_head(release: DataFrame) -> DataFrame:
-    """(run_id, line): creation, tool and document objects of each release; what the document lists are lines of their own.
+def spdx_head(release: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(run_id, line): creation, tool, document and inventory objects of each release; what these list are lines of their own.
 
-    release: as of cyclonedx_head(), with release_id, product, product_version.
+    release: as of cyclonedx_head(), with release_id, product, product_version; roots: run_id, population_id.
+    Without roots there is no inventory, which is about its root.
     """
     run = F.col("run_id")
     created, tool = _creation(run), spdx_id(run, "tool", F.lit(NAMESPACE))
@@ -145,7 +159,16 @@ def spdx_head(release: DataFrame) -> DataFrame:
         F.to_json(F.struct(comment.alias("comment"), created.alias("creationInfo"), F.concat_ws(" ", "product", "product_version", F.lit("SPDX document")).alias("name"), F.array(F.lit("core"), F.lit("software")).alias("profileConformance"),
                            F.array(spdx_id(run, "sbom", F.col("release_id"))).alias("rootElement"), spdx_id(run, "document", F.col("release_id")).alias("spdxId"), F.lit("SpdxDocument").alias("type"))),
     )
-    return release.select("run_id", F.explode(lines).alias("line"))
+    top = release.select("run_id", F.explode(lines).alias("line"))
+    if roots is None:
+        return top
+    inventory = F.to_json(
+        F.struct(
+            comment.alias("comment"), created.alias("creationInfo"), F.concat_ws(" ", "product", "product_version", F.lit("synthetic build SBOM")).alias("name"), F.array(F.lit("core"), F.lit("software")).alias("profileConformance"), F.array(spdx_id(run, "package", F.col("population_id"))).alias("rootElement"),
+            F.array(F.lit("build")).alias("software_sbomType"), spdx_id(run, "sbom", F.col("release_id")).alias("spdxId"), F.lit("software_Sbom").alias("type"),
+        )
+    )
+    return top.unionByName(release.join(roots, "run_id").select("run_id", inventory.alias("line")))
 
 
 def pair_violations(cyclonedx: DataFrame, spdx: DataFrame, release: DataFrame) -> DataFrame:
@@ -161,12 +184,68 @@ def pair_violations(cyclonedx: DataFrame, spdx: DataFrame, release: DataFrame) -
     return both.select("run_id", F.explode(broken).alias("field"))
 
 
-def spdx_relationships(relationships: DataFrame, base: str) -> DataFrame:
-    """(line) of each relationship; a kind without a name in the format is an error."""
+def spdx_relationships(relationships: DataFrame, run_id: str) -> DataFrame:
+    """(line) of each relationship (src, rel, dst: populations; perhaps relationship_id, evidence_ids); a kind without a name in the format is an error."""
+    run, none = F.lit(run_id), F.array().cast("array<string>")
+    if "relationship_id" not in relationships.columns:
+        relationships = relationships.withColumn("relationship_id", stable_id("relationship", F.col("rel").alias("relationship"), F.col("src").alias("source_population_id"), F.col("dst").alias("target_population_id")))
+    if "evidence_ids" not in relationships.columns:
+        relationships = relationships.withColumn("evidence_ids", none)
     names = F.create_map(*(F.lit(x) for pair in SPDX_NAMES.items() for x in pair))
     kind = F.coalesce(names[F.col("rel")], F.raise_error(F.concat(F.lit("no name for "), "rel")))
-    element = lambda c: F.concat(F.lit(f"{base}/component/"), fragment(F.col(c)))
-    return relationships.select(canonical_json(element("src").alias("from"), kind.alias("relationshipType"), F.array(element("dst")).alias("to"), F.lit("Relationship").alias("type")).alias("line"))
+    body = canonical_json(
+        F.concat(F.lit("evidence_ids="), F.array_join("evidence_ids", ",")).alias("comment"), _creation(run).alias("creationInfo"), spdx_id(run, "package", F.col("src")).alias("from"), kind.alias("relationshipType"),
+        spdx_id(run, "relationship", F.col("relationship_id")).alias("spdxId"), F.array(spdx_id(run, "package", F.col("dst"))).alias("to"), F.lit("Relationship").alias("type"),
+    )
+    return relationships.select(body.alias("line"))
+
+
+def _run(release: DataFrame) -> tuple[str, str]:
+    """run_id and author of the one release of an export."""
+    rows = release.select("run_id", "sbom_author").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{len(rows)} releases in one export")
+    return rows[0]["run_id"], rows[0]["sbom_author"]
+
+
+def cyclonedx_document(population: DataFrame, relationships: DataFrame, release: DataFrame) -> DataFrame:
+    """(part, line): the whole CycloneDX document of one release (as of spdx_head(), with manufacturer), whose root component is in its head."""
+    run_id, _ = _run(release)
+    root = root_components(population, release)
+    top = _known(population).join(root, "population_id").select("run_id", _component(run_id).alias("component"))
+    rest = _known(population).join(root, "population_id", "left_anti")
+    parts = {
+        "head": cyclonedx_head(release, top), "components": cyclonedx_components(rest, run_id),
+        "dependencies": cyclonedx_dependencies(population, relationships, run_id), "properties": cyclonedx_properties(relationships, run_id),
+    }
+    return _parts(parts)
+
+
+def spdx_document(population: DataFrame, relationships: DataFrame, release: DataFrame) -> DataFrame:
+    """(part, line): the whole SPDX document of one release. Every element has its id from spdx_id(), so references resolve.
+
+    Elements that the document and its inventory list stand in lines of their own (part ``membership``), one a line.
+    """
+    run_id, author = _run(release)
+    run = F.lit(run_id)
+    packages, edges = spdx_packages(population, run_id), spdx_relationships(relationships, run_id)
+    ids = packages.select(F.get_json_object("line", "$.spdxId").alias("id")).unionByName(edges.select(F.get_json_object("line", "$.spdxId").alias("id")))
+    document, sbom = ((spdx_id(run, kind, F.col("release_id"))) for kind in ("document", "sbom"))
+    owners = release.select(document.alias("document"), sbom.alias("sbom")).first()
+    listed = ids.select("id", F.explode(F.array(F.lit(owners["document"]), F.lit(owners["sbom"]))).alias("owner")).unionByName(release.select(sbom.alias("id"), document.alias("owner")))
+    parts = {
+        "head": spdx_head(release, root_components(population, release)), "agents": spdx_agents(population, run_id, author), "packages": packages, "relationships": edges,
+        "membership": listed.select(canonical_json(F.array("id").alias("element"), F.col("owner").alias("from")).alias("line")),
+    }
+    return _parts(parts)
+
+
+def _parts(parts: dict[str, DataFrame]) -> DataFrame:
+    found = None
+    for name, rows in parts.items():
+        own = rows.select(F.lit(name).alias("part"), "line")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def spdx_reference_errors(elements: DataFrame) -> DataFrame:

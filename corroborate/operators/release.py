@@ -5,11 +5,12 @@ Edges: lane_id, src, rel, dst (component ids of the lane). Lanes: lane_id, evide
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import UNKNOWN, stable_id
 from corroborate.operators.reconcile import STATES, five_states
+from corroborate.operators.rules import assert_none
 from corroborate.storage import checkpointed
 
 #: What a candidate may declare, for a closed and for an open reconciliation.
@@ -43,7 +44,7 @@ def _finding(rows: DataFrame, body: str) -> DataFrame:
 
 def population_evidence(population: DataFrame, lanes: DataFrame) -> DataFrame:
     """(population_id, evidence_ids) of the lanes in which a population was found."""
-    each = population.select("population_id", F.explode("lanes").alias("lane_id")).join(F.broadcast(lanes), "lane_id")  # a lane is one document
+    each = population.select("population_id", F.explode("lanes").alias("lane_id")).join(lanes, "lane_id")
     return each.groupBy("population_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
 
 
@@ -53,8 +54,8 @@ def component_findings(candidates: DataFrame, population: DataFrame, lanes: Data
 
 
 def relationship_claims(edges: DataFrame, lanes: DataFrame) -> DataFrame:
-    """``edges`` with evidence_id and a claim_id that names the claim's content."""
-    rows = edges.join(F.broadcast(lanes), "lane_id")
+    """``edges`` with evidence_id and a claim_id that names the claim's content; evidence_id is null where the lane is not known."""
+    rows = edges.join(lanes, "lane_id", "left")
     claim = stable_id("relationship-claim", F.array("evidence_id").alias("evidence_ids"), F.col("lane_id"), F.col("rel").alias("relationship"), F.col("src").alias("source_component_id"), F.col("dst").alias("target_component_id"))
     return rows.withColumn("claim_id", claim)
 
@@ -72,8 +73,16 @@ def _mapped(claims: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def unmapped_claims(claims: DataFrame, population: DataFrame) -> DataFrame:
-    """(lane_id, src, dst, claim_id) of claims with an end that is in no population: any row stops a run."""
-    return _mapped(claims, population).filter("p_src is null or p_dst is null").select("lane_id", "src", "dst", "claim_id")
+    """(lane_id, src, dst, claim_id) of claims of an unknown lane or with an end that is in no population: any row stops a run."""
+    return _mapped(claims, population).filter("p_src is null or p_dst is null or evidence_id is null").select("lane_id", "src", "dst", "claim_id")
+
+
+def population_errors(population: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(subject, rule): records of lanes that are not known, and records that are in two populations, which no edge could be mapped to."""
+    own = sources(population)
+    strange = own.join(lanes, "lane_id", "left_anti").select(F.concat_ws("/", "lane_id", "component_id").alias("subject"), F.lit("lane").alias("rule"))
+    twice = own.groupBy("lane_id", "component_id").count().filter("count > 1").select(F.concat_ws("/", "lane_id", "component_id").alias("subject"), F.lit("repeated source").alias("rule"))
+    return strange.unionByName(twice)
 
 
 def _gathered(rows: DataFrame, *by: str) -> DataFrame:
@@ -135,15 +144,62 @@ def status_mismatch(findings: DataFrame, declared_status: str) -> DataFrame:
 
 
 def analyse(population: DataFrame, candidates: DataFrame, edges: DataFrame, declared: DataFrame, lanes: DataFrame, declared_status: str) -> DataFrame:
-    """All findings of a release."""
+    """All findings of a release. Records or claims of an unknown lane, and claims whose ends are in no population, stop it."""
     population = checkpointed(population)
-    projection = checkpointed(relationship_projection(relationship_claims(edges, lanes), population))
+    assert_none(population_errors(population, lanes))
+    claims = relationship_claims(edges, lanes)
+    assert_none(unmapped_claims(claims, population))
+    projection = checkpointed(relationship_projection(claims, population))
     components = checkpointed(component_findings(candidates, population, lanes))
     found = components.unionByName(relationship_findings(projection)).unionByName(declared_findings(projection, declared, components))
     found = checkpointed(found)
     return found.unionByName(status_mismatch(found, declared_status))
 
 
+#: Fields that a component may change between releases; an added or removed one is shown with all but the last.
+COMPARED = ("producer", "name", "version", "identifiers", "hashes")
+
+
+def _keyed(population: DataFrame) -> DataFrame:
+    """``population`` with ``key``, the sorted set of its component ids; two populations of one key are an error, as nothing would tell them apart."""
+    key = F.array_sort(F.array_distinct(F.transform("sources", lambda s: s["component_id"])))
+    rows = population.select("population_id", key.alias("key"), *COMPARED)
+    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    return rows.withColumn("n", n).withColumn("key", F.when(F.col("n") == 1, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("repeated key "), F.array_join("key", ","))).cast("array<string>"))).drop("n")
+
+
+def component_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(source_component_ids, change, changed_fields, previous, current) of populations of two releases.
+
+    Both sides meet on the set of component ids, hashed and compared as an array. previous and current are JSON of
+    the changed fields, or of all but the hashes where a component is added or removed.
+    """
+    sides = [side.select("key", F.struct(*COMPARED).alias(name)) for side, name in ((_keyed(before), "b"), (_keyed(after), "a"))]
+    both = sides[0].join(sides[1], "key", "full")
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}")), f) for f in COMPARED)))
+    change = F.when(F.col("b").isNull(), "ADDED").when(F.col("a").isNull(), "REMOVED").when(F.size(changed) > 0, "MODIFIED")
+
+    def shown(side: str) -> Column:
+        kept = lambda f: F.when(F.when(F.col("change") == "MODIFIED", F.array_contains("changed_fields", f)).otherwise(f != COMPARED[-1]), F.col(f"{side}.{f}")).alias(f)
+        return F.when(F.col(side).isNotNull(), F.to_json(F.struct(*map(kept, COMPARED))))
+
+    rows = both.withColumn("change", change).filter("change is not null").withColumn("changed_fields", F.when(F.col("change") == "MODIFIED", changed).otherwise(_none()))
+    return rows.select(F.col("key").alias("source_component_ids"), "change", "changed_fields", shown("b").alias("previous"), shown("a").alias("current"))
+
+
+def relationship_changes(before: DataFrame, after: DataFrame, edges_before: DataFrame, edges_after: DataFrame) -> DataFrame:
+    """(from, relationship, to, change): relationships (as relationship_projection()) that one release alone has, between sets of component ids."""
+
+    def keyed(population: DataFrame, edges: DataFrame) -> DataFrame:
+        keys = _keyed(population)
+        ends = [keys.select(F.col("population_id").alias(f"{end}_population_id"), F.col("key").alias(name)) for end, name in (("source", "from"), ("target", "to"))]
+        return edges.join(ends[0], "source_population_id").join(ends[1], "target_population_id").select("from", "relationship", "to").distinct()
+
+    names = ["from", "relationship", "to"]
+    both = keyed(before, edges_before).withColumn("b", F.lit(True)).join(keyed(after, edges_after).withColumn("a", F.lit(True)), names, "full")
+    return both.filter("a is null or b is null").select(*names, F.when(F.col("b").isNull(), "ADDED").otherwise("REMOVED").alias("change"))
+
+
 def gate_violations(population: DataFrame, findings: DataFrame) -> DataFrame:
     """(subject, rule): what keeps a release from being exported: open findings, and components with conflicts, unknowns or no identifier."""
     blocking = findings.filter(F.col("status") != "MATCHED").select(F.col("finding_id").alias("subject"), F.lit("open").alias("rule"))

@@ -41,8 +41,17 @@ VIEWS = {
         UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 5 = 0 THEN 'UNKNOWN' ELSE 'Nation' END, n_name, '1', ARR('pkg:generic/nation' || CAST(n_nationkey AS STRING)), NONE, NONE, NONE, NONE FROM nation""",
     "lanes": "SELECT 'build' AS lane_id, 'evidence-1' AS evidence_id UNION ALL SELECT 'artifact', 'evidence-2'",
     "lane_edges": """
-        SELECT 'build' AS lane_id, 'b' || CAST(p_partkey AS STRING) AS src, CASE p_partkey % 7 WHEN 0 THEN 'CONTAINS' WHEN 1 THEN 'UNKNOWN' ELSE 'DEPENDS_ON' END AS rel, 'b' || CAST(p_partkey - 1 AS STRING) AS dst FROM part WHERE p_partkey > 0
-        UNION ALL SELECT 'artifact', 'a' || CAST(l_partkey AS STRING), CASE WHEN l_partkey % 5 = 0 THEN 'DYNAMICALLY_LINKS' ELSE 'DEPENDS_ON' END, 'a' || CAST(l_partkey - 1 AS STRING) FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey > 0)""",
+        SELECT 'build' AS lane_id, 'b' || CAST(p_partkey AS STRING) AS src, CASE p_partkey % 7 WHEN 0 THEN 'CONTAINS' WHEN 1 THEN 'UNKNOWN' ELSE 'DEPENDS_ON' END AS rel, 'b' || CAST(p_partkey - 1 AS STRING) AS dst FROM part WHERE p_partkey - 1 IN (SELECT p_partkey FROM part)
+        UNION ALL SELECT 'artifact', 'a' || CAST(l_partkey AS STRING), CASE WHEN l_partkey % 5 = 0 THEN 'DYNAMICALLY_LINKS' ELSE 'DEPENDS_ON' END, 'a' || CAST(l_partkey - 1 AS STRING) FROM (SELECT DISTINCT l_partkey FROM lineitem) WHERE l_partkey - 1 IN (SELECT l_partkey FROM lineitem)""",
+    "records_a": "SELECT * FROM records WHERE CAST(substr(component_id, 2) AS INT) % 25 <> 8",
+    "records_b": """
+        SELECT lane_id, component_id, producer, name, CASE WHEN CAST(substr(component_id, 2) AS INT) % 9 = 0 THEN version || 'x' ELSE version END AS version, identifiers, CASE WHEN CAST(substr(component_id, 2) AS INT) % 15 = 4 THEN NONE ELSE hashes END AS hashes, provenances, roles, supplier_hashes
+        FROM records WHERE CAST(substr(component_id, 2) AS INT) % 14 <> 3""",
+    "lane_edges_a": "SELECT * FROM lane_edges WHERE src IN (SELECT component_id FROM records_a) AND dst IN (SELECT component_id FROM records_a)",
+    "lane_edges_b": "SELECT lane_id, src, CASE WHEN src LIKE '%5' THEN 'GENERATED_FROM' ELSE rel END AS rel, dst FROM lane_edges WHERE src IN (SELECT component_id FROM records_b) AND dst IN (SELECT component_id FROM records_b)",
+    "one_release": """
+        SELECT 'run-1' AS run_id, 'SYNTHETIC_NOT_EVIDENCE' AS classification, repeat('c', 64) AS canonical_sha256, 'build-1' AS build_id, repeat('a', 64) AS artifact_sha256, '2026-01-05T00:00:00Z' AS release_timestamp, 'author' AS sbom_author, 'rel-1' AS release_id,
+               p_brand AS manufacturer, p_name AS product, CAST(p_size AS STRING) AS product_version FROM part WHERE p_partkey = 1""",
     "candidate_edges": """
         SELECT 'c' || CAST(p_partkey AS STRING) AS src, CASE WHEN p_partkey % 11 = 0 THEN 'CONTAINS' ELSE 'DEPENDS_ON' END AS rel, 'c' || CAST(p_partkey - 1 AS STRING) AS dst FROM part WHERE p_partkey > 0 AND p_partkey % 4 <> 0
         UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'DEPENDS_ON', 'c1' FROM nation""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from corroborate.plans.carriers import duckdb_views
 
 ORACLES: dict[str, str] = {}
@@ -205,8 +207,6 @@ UNION ALL SELECT lane_id, component_id, 'identifier', unnest(CASE WHEN len(ident
 oracle("finding_claims", "candidate records", """SELECT DISTINCT f.population_id AS finding_id, 'claim-' || sha256('{"field":"' || field || '","lane_id":"' || c.lane_id || '","source_component_id":"' || c.component_id || '","value":"' || value || '"}') AS claim_id, value
 FROM findings f JOIN population p USING (population_id) JOIN all_claims c ON list_contains(string_split(p.members, ','), c.lane_id || '/' || c.component_id) WHERE f.status = 'CONFLICT' AND (details = '' OR list_contains(string_split(details, ','), field))""", _STATES + _CLAIMS)
 oracle("run_record", "candidate records", "SELECT CASE WHEN count(*) FILTER (status <> 'MATCHED') = 0 THEN 'CLOSED' ELSE 'OPEN' END AS reconciliation_state, CASE WHEN count(*) FILTER (status <> 'MATCHED') = 0 THEN 'INVALID' ELSE 'NOT_RUN_RECONCILIATION_OPEN' END AS serialization_status, false AS engineering_pass, count(*) FILTER (status <> 'MATCHED') AS open_findings FROM findings", _STATES)
-_SPDX = lambda c: f"'https://example.invalid/run-1/component/' || {c} || '-' || substr(sha256({c}), 1, 16)"
-oracle("spdx_lines", "rel_claims", f"""SELECT DISTINCT '{{"from":"' || {_SPDX('src')} || '","relationshipType":"' || CASE rel WHEN 'CONTAINS' THEN 'contains' WHEN 'DEPENDS_ON' THEN 'dependsOn' ELSE 'hasDynamicLink' END || '","to":["' || {_SPDX('dst')} || '"],"type":"Relationship"}}' AS line FROM rel_claims WHERE rel <> 'UNKNOWN'""")
 oracle("export_dependency_errors", "rel_claims", """SELECT DISTINCT src AS ref, 'row without component' AS problem FROM rel_claims WHERE src LIKE '%4' UNION ALL SELECT DISTINCT src, 'component without row' FROM rel_claims WHERE src LIKE '%5'
 UNION ALL SELECT DISTINCT dst, 'unknown target' FROM rel_claims WHERE src NOT LIKE '%5' AND rel IN ('DEPENDS_ON', 'DYNAMICALLY_LINKS') AND dst NOT IN (SELECT src FROM rel_claims WHERE src NOT LIKE '%4')""")
 
@@ -387,3 +387,23 @@ UNION ALL SELECT image, 'packages', '{{"comment":"GENERATOR_OUTPUT_CANDIDATE;NO_
 || '],"name":"' || name || '"' || coalesce(',"software_packageUrl":"' || {_PURL_OF} || '"', '') || ',"software_packageVersion":"' || version || '","software_primaryPurpose":"' || CASE WHEN kind = 'REFERENCE_IMAGE_ROOT' THEN 'application' ELSE 'library' END || '","spdxId":"' || {_PKG('population_id')} || '"' || CASE WHEN producer = 'UNKNOWN' THEN '' ELSE ',"suppliedBy":"' || base || '/organization/' || {_S('producer', 32)} || '"' END || ',"type":"software_Package"}}' FROM img_told
 UNION ALL SELECT image, 'relationships', {_OBJECT(comment="'evidence_ids=' || array_to_string(evidence_ids, ',')", creationInfo='c', **{'from': _PKG('src')}, relationshipType="(CASE rel WHEN 'CONTAINS' THEN 'contains' ELSE 'dependsOn' END)", spdxId="base || '/relationship/' || " + _S('id', 32), to=f"""'["' || {_PKG('dst')} || '"]'""", type="'Relationship'")}
 FROM (SELECT e.*, base, c, {_NAMED('relationship', **_REL)} AS id FROM img_edges e JOIN img_based USING (image))""", _IMG_SPDX)
+
+oracle("spdx_lines", "rel_claims", f"""SELECT '{{"comment":"evidence_ids=","creationInfo":"_:creation-' || substr(sha256('run-1'), 1, 20) || '","from":"' || {_ID("'run-1'", 'package', 'src')} || '","relationshipType":"' || CASE rel WHEN 'CONTAINS' THEN 'contains' WHEN 'DEPENDS_ON' THEN 'dependsOn' ELSE 'hasDynamicLink' END || '","spdxId":"' || {_ID("'run-1'", 'relationship', 'rid')}
+|| '","to":["' || {_ID("'run-1'", 'package', 'dst')} || '"],"type":"Relationship"}}' AS line FROM (SELECT DISTINCT src, rel, dst, 'relationship-' || sha256('{{"relationship":"' || rel || '","source_population_id":"' || src || '","target_population_id":"' || dst || '"}}') AS rid FROM rel_claims WHERE rel <> 'UNKNOWN')""")
+_EXPORTED = _POPULATION + _EDGES + ", kept_edges AS (SELECT s, rel, d FROM projected WHERE rel <> 'UNKNOWN')"
+oracle("export_resolves", "records lane_edges lanes one_release", """SELECT 'head' AS part, 4 AS n UNION ALL SELECT 'agents', count(DISTINCT producer) + 1 FROM population UNION ALL SELECT 'packages', count(*) FROM population UNION ALL SELECT 'relationships', count(*) FROM kept_edges
+UNION ALL SELECT 'membership', 2 * ((SELECT count(*) FROM population) + (SELECT count(*) FROM kept_edges)) + 1 UNION ALL SELECT 'unresolved', 0""", _EXPORTED)
+oracle("cyclonedx_document", "records lane_edges lanes one_release", """SELECT 'head' AS part, 1 AS n, product || ' application' AS root FROM one_release UNION ALL SELECT 'components', count(*) - 1, '' FROM population UNION ALL SELECT 'dependencies', count(*), '' FROM population UNION ALL SELECT 'properties', count(*), '' FROM kept_edges UNION ALL SELECT 'errors', 0, ''""", _EXPORTED)
+_WITH = lambda suffix: re.sub(r"\b(pairs|nodes|near|both_ways|reach|roots|own|grouped|population|records|member|edge|projected|lane_edges)\b(?!-)", rf"\1_{suffix}", _POPULATION + _EDGES)
+_KEYED = lambda suffix: f"keyed_{suffix} AS (SELECT *, list_sort(list_distinct(list_transform(string_split(members, ','), lambda m: split_part(m, '/', 2)))) AS key FROM population_{suffix})"
+_LINKED = lambda suffix: f"linked_{suffix} AS (SELECT DISTINCT array_to_string(a.key, ',') || '|' || rel || '|' || array_to_string(b.key, ',') AS subject FROM projected_{suffix} JOIN keyed_{suffix} a ON a.population_id = s JOIN keyed_{suffix} b ON b.population_id = d)"
+_FIELD_JSON = {"producer": _Q, "name": _Q, "version": _Q, "identifiers": _J, "hashes": _J}
+_SHOWN = lambda side, when: "'{' || concat_ws(',', " + ", ".join(f"""CASE WHEN {when(f)} THEN '"{f}":' || {j(f"{side}.{f}")} END""" for f, j in _FIELD_JSON.items()) + ") || '}'"
+_CHANGED = {f: f"(a.{f} IS DISTINCT FROM b.{f})" for f in _FIELD_JSON}
+_BESIDE = lambda f: "true" if f != "hashes" else "false"
+oracle("release_graph_diff", "records_a records_b lane_edges_a lane_edges_b lanes", f"""SELECT 'component' AS kind, array_to_string(coalesce(a.key, b.key), ',') AS subject, CASE WHEN a.key IS NULL THEN 'ADDED' WHEN b.key IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change,
+CASE WHEN a.key IS NULL OR b.key IS NULL THEN '' ELSE concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{f}' END" for f, c in _CHANGED.items())}) END AS changed_fields,
+CASE WHEN a.key IS NULL THEN NULL WHEN b.key IS NULL THEN {_SHOWN('a', _BESIDE)} ELSE {_SHOWN('a', _CHANGED.get)} END AS previous, CASE WHEN b.key IS NULL THEN NULL WHEN a.key IS NULL THEN {_SHOWN('b', _BESIDE)} ELSE {_SHOWN('b', _CHANGED.get)} END AS current
+FROM keyed_a a FULL JOIN keyed_b b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR {' OR '.join(_CHANGED.values())}
+UNION ALL SELECT 'relationship', coalesce(x.subject, y.subject), CASE WHEN x.subject IS NULL THEN 'ADDED' ELSE 'REMOVED' END, '', NULL, NULL FROM linked_a x FULL JOIN linked_b y ON x.subject = y.subject WHERE x.subject IS NULL OR y.subject IS NULL""",
+    _WITH("a") + _WITH("b") + ", " + ", ".join([_KEYED("a"), _KEYED("b"), _LINKED("a"), _LINKED("b")]))

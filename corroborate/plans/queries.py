@@ -9,6 +9,7 @@ from corroborate.functions import text as fx
 from corroborate.operators import binding, cluster, evidence, export, gaps, imagegraph, nested, profiles, receipts, reconcile, registry, relations, release, rules, vex
 from corroborate.plans.carriers import spark_view
 from corroborate.sources import image
+from corroborate.storage import checkpointed
 
 QUERIES = {}
 
@@ -178,9 +179,7 @@ _LISTS = ("details", "claim_ids", "evidence_ids")
 
 
 def _analysed(records, candidate, lane_edges, candidate_edges, lanes, declared="SYNTHETIC_RECONCILED"):
-    population = cluster.population(records)
-    own = population.select(F.explode("sources").alias("s")).select("s.lane_id", F.col("s.component_id").alias("dst"))
-    return release.analyse(population, candidate, lane_edges.join(own, ["lane_id", "dst"], "left_semi"), candidate_edges, lanes, declared)
+    return release.analyse(cluster.population(records), candidate, lane_edges, candidate_edges, lanes, declared)
 
 
 @query
@@ -582,7 +581,7 @@ def projection_rules(nested):
 
 @query
 def spdx_lines(rel_claims):
-    return export.spdx_relationships(rel_claims.select("src", "rel", "dst").filter("rel <> 'UNKNOWN'").distinct(), "https://example.invalid/run-1")
+    return export.spdx_relationships(rel_claims.select("src", "rel", "dst").filter("rel <> 'UNKNOWN'").distinct(), "run-1")
 
 
 @query
@@ -646,6 +645,42 @@ def namespace_rules(profiles):
     return binding.namespaces(rows)
 
 
+def _exported(records, lane_edges, lanes):
+    """A population of which the record b1 is the root, and its relationships."""
+    population = checkpointed(_hashed(records))
+    top = F.exists("sources", lambda s: s["component_id"] == "b1")
+    population = population.withColumn("roles", F.when(top, F.array(F.lit("ROOT_PRODUCT"))).otherwise(F.col("roles")))
+    found = release.relationship_projection(release.relationship_claims(lane_edges, lanes), population).filter("relationship <> 'UNKNOWN'")
+    return population, found.select(F.col("source_population_id").alias("src"), F.col("relationship").alias("rel"), F.col("target_population_id").alias("dst"), "relationship_id", "evidence_ids")
+
+
+@query
+def export_resolves(records, lane_edges, lanes, one_release):
+    lines = export.spdx_document(*_exported(records, lane_edges, lanes), one_release)
+    errors = export.spdx_reference_errors(lines.select(F.col("line").alias("raw")))
+    return lines.groupBy("part").agg(F.count(F.lit(1)).alias("n")).union(errors.agg(F.lit("unresolved"), F.count(F.lit(1))))
+
+
+@query
+def cyclonedx_document(records, lane_edges, lanes, one_release):
+    lines = checkpointed(export.cyclonedx_document(*_exported(records, lane_edges, lanes), one_release))
+    field = lambda path: F.get_json_object("line", path)
+    refs = lines.filter("part in ('head', 'components')").select(F.coalesce(field("$.metadata.component.bom-ref"), field("$.bom-ref")).alias("ref"))
+    rows = lines.filter("part = 'dependencies'").select(field("$.ref").alias("ref"), F.from_json(field("$.dependsOn"), "array<string>").alias("depends_on"))
+    counted = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max(F.concat_ws(" ", field("$.metadata.component.name"), field("$.metadata.component.type"))).alias("root"))
+    return counted.union(export.dependency_errors(refs, rows).agg(F.lit("errors"), F.count(F.lit(1)), F.lit("")))
+
+
+@query
+def release_graph_diff(records_a, records_b, lane_edges_a, lane_edges_b, lanes):
+    before, after = (checkpointed(cluster.population(r)) for r in (records_a, records_b))
+    edges = [release.relationship_projection(release.relationship_claims(e, lanes), p) for e, p in ((lane_edges_a, before), (lane_edges_b, after))]
+    components = release.component_changes(before, after).select(F.lit("component").alias("kind"), F.array_join("source_component_ids", ",").alias("subject"), "change", F.array_join("changed_fields", ",").alias("changed_fields"), "previous", "current")
+    none = F.lit(None).cast("string")
+    between = release.relationship_changes(before, after, *edges).select(F.lit("relationship"), F.concat_ws("|", F.array_join("from", ","), "relationship", F.array_join("to", ",")), "change", F.lit(""), none, none)
+    return components.union(between)
+
+
 def _graph(*parts):
     return imagegraph.derive(*parts)
 
