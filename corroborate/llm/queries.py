@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corroborate.llm import bpe, chunks, crosstok, cuckoo, ppm, secrets, sharding, simhash, suffixes, templates, toxicity
+from corroborate.llm import bpe, chunks, crosstok, cuckoo, divergence, ppm, quality, secrets, sharding, simhash, suffixes, templates, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,8 +16,11 @@ QUERIES = {
     "op9_sharding": sharding.op9,
     "op10_suffixes": suffixes.op10,
     "op11_crosstok": crosstok.op11,
+    "op12_quality": quality.op12,
+    "op13_divergence": divergence.op13,
 }
 
 ORACLES = {
     "op4_exact_dedup": cuckoo.OP4_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }
