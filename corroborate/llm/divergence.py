@@ -5,8 +5,7 @@ of a term of a language meet, terms of too few documents go, and what is left of
 the vocabulary is packed as a count vector for each group. Groups are dealt to blocks; a
 vector is sent to each pair of blocks that its group is in. A task takes such a tile for some
 slices of the vocabulary, one chunk after the other, and adds to the submatrix of its pairs;
-the submatrices of a tile are added up. Where a language has few groups, and so few tiles,
-its vocabulary is dealt to more tasks. Terms that neither side of a tile has add the same
+the submatrices of a tile are added up. A large vocabulary is dealt to more tasks. Terms that neither side of a tile has add the same
 amount each, so they are counted, not visited.
 
 All sums are of whole numbers. A probability is 1 + floor(10^9 * (count + 2) / (N + 2V)); its
@@ -27,8 +26,8 @@ from corroborate.llm.common import body, checkpointed, hinted, shuffle_parts, sl
 
 #: Documents of a language that must hold a term, ranks of terms that are returned.
 LEAST_DOCS, TOP = 10, 10
-#: Groups of a block, terms of a chunk.
-BLOCK, CHUNK = 64, 4096
+#: Groups of a block, terms of a chunk, and of the part of a vocabulary that a task takes for its tile.
+BLOCK, CHUNK, RANGE = 64, 4096, 32_768
 #: (group, term) counts that a task holds before it hands them on, and rows of a chunk that are packed at once.
 ENTRIES_HELD, ROWS_HELD = 300_000, 500_000
 #: Bytes of a text that are split at once.
@@ -228,8 +227,7 @@ def pair_sums(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value): the divergence of every two sources a < b of a language, summed over its kept terms."""
     spark = vectors.sparkSession
     tasks = shuffle_parts(spark)
-    tiles = (F.col("blocks") * (F.col("blocks") + 1) / 2).cast("long")
-    ranges = F.least(F.lit(4 * tasks), F.ceil(F.lit(2 * tasks) / tiles)).cast("int")
+    ranges = F.least(F.lit(4 * tasks), F.greatest(F.lit(1), F.ceil(F.col("v") / RANGE))).cast("int")
     placed = groups.withColumn("ranges", ranges)
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tile = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
