@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corroborate.llm.common import body, checkpointed, hinted, shuffle_parts, slices, table
@@ -189,22 +189,38 @@ def _longs(column: pa.Array, n: int, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(column[n].as_buffer(), dtype=kind)
 
 
+def _ranges() -> Column:
+    """How many parts a language's vocabulary is dealt to."""
+    return F.greatest(F.lit(1), F.ceil(F.col("v") / RANGE)).cast("int")
+
+
 def top_terms(vectors: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
-    """(lang, source, item, value): of each group and chunk the ``top`` terms that it has beyond its language, and so all that can be among its first."""
-    by_lang = groups.select("lang", "blocks").distinct()
-    own = vectors.filter("source IS NOT NULL").join(hinted(groups), ["lang", "source"]).select("lang", "h", "sub", "block", "source", "numbers", "counts", "words", "n", "v", "lang_n")
+    """(lang, source, item, value): of each group and part of the vocabulary the ``top`` terms that it has beyond its language, and so all that can be among its first."""
+    placed = groups.withColumn("ranges", _ranges())
+    by_lang = placed.select("lang", "blocks", "ranges").distinct()
+    own = vectors.filter("source IS NOT NULL").join(hinted(placed), ["lang", "source"]).select("lang", "block", F.pmod("h", "ranges").alias("part"), "h", "sub", "source", "numbers", "counts", "words", "n", "v", "lang_n")
     none = [F.lit(0).cast("long").alias(c) for c in ("n", "v", "lang_n")]
-    words = vectors.filter("source IS NULL").join(by_lang, "lang").select("lang", "h", "sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "numbers", "counts", "words", *none)
-    stream = words.unionByName(own).repartition(shuffle_parts(vectors.sparkSession), "lang", "h", "sub", "block").sortWithinPartitions("lang", "h", "sub", "block", F.col("source").asc_nulls_first())
+    words = vectors.filter("source IS NULL").join(by_lang, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod("h", "ranges").alias("part"), "h", "sub", "source", "numbers", "counts", "words", *none)
+    stream = words.unionByName(own).repartition(shuffle_parts(vectors.sparkSession), "lang", "block", "part").sortWithinPartitions("lang", "block", "part", "h", "sub", F.col("source").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, all_n = None, [""] * CHUNK, np.zeros(CHUNK, dtype=np.int64)
+        key, chunk, names, all_n = None, None, [""] * CHUNK, np.zeros(CHUNK, dtype=np.int64)
+        best: dict[str, list[tuple[int, bytes, str]]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(key[0], source, name, -f) for source, found in best.items() for f, _, name in sorted(found)[:top]]
+            made = list(zip(*rows, strict=True)) or [[]] * 4
+            best.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in made[:3]), pa.array(made[3], pa.int64())], names=["lang", "source", "item", "value"])
+
         for batch in batches:
-            rows: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("lang", "h", "sub", "block", "source", "words", "n", "v", "lang_n")]
-            for i, (lang, h, sub, block, source, listed, n, v, lang_n) in enumerate(zip(*columns, strict=True)):
-                if (lang, h, sub, block) != key:
-                    key = lang, h, sub, block
+            columns = [batch.column(c).to_pylist() for c in ("lang", "block", "part", "h", "sub", "source", "words", "n", "v", "lang_n")]
+            for i, (lang, block, part, h, sub, source, listed, n, v, lang_n) in enumerate(zip(*columns, strict=True)):
+                if (lang, block, part) != key:
+                    yield out()
+                    key, chunk = (lang, block, part), None
+                if (h, sub) != chunk:
+                    chunk = h, sub
                     all_n[:] = 0
                 numbers, counts = _longs(batch.column("numbers"), i, "<u2"), _longs(batch.column("counts"), i)
                 if source is None:
@@ -215,10 +231,12 @@ def top_terms(vectors: DataFrame, groups: DataFrame, top: int = TOP) -> DataFram
                 p, q = probability(counts, n + 2 * v), probability(all_n[numbers], lang_n + 2 * v)
                 more = np.flatnonzero((p > q) & (counts > 0))
                 value, numbers = divergence(p[more], q[more]), numbers[more].astype(np.int64)
-                best = np.lexsort((numbers, -value))[:top]  # numbers are in the order of terms
-                rows += [(lang, source, names[k], f) for k, f in zip(numbers[best].tolist(), value[best].tolist(), strict=True)]
-            made = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in made[:3]), pa.array(made[3], pa.int64())], names=["lang", "source", "item", "value"])
+                first = np.lexsort((numbers, -value))[:top]  # numbers are in the order of terms
+                held = best.setdefault(source, [])
+                held += [(-f, names[k].encode(), names[k]) for k, f in zip(numbers[first].tolist(), value[first].tolist(), strict=True)]
+                if len(held) > 20 * top:
+                    held[:] = sorted(held)[:top]
+        yield out()
 
     return stream.mapInArrow(run, "lang string, source string, item string, value long")
 
@@ -227,8 +245,7 @@ def pair_sums(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value): the divergence of every two sources a < b of a language, summed over its kept terms."""
     spark = vectors.sparkSession
     tasks = shuffle_parts(spark)
-    ranges = F.least(F.lit(4 * tasks), F.greatest(F.lit(1), F.ceil(F.col("v") / RANGE))).cast("int")
-    placed = groups.withColumn("ranges", ranges)
+    placed = groups.withColumn("ranges", _ranges())
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tile = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     none = F.lit(None).cast("binary")
