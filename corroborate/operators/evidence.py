@@ -108,21 +108,25 @@ def rule_advice(cards: DataFrame) -> DataFrame:
     )
 
 
-def advice_violations(advice: DataFrame, cards: DataFrame) -> DataFrame:
-    """(conflict_id, rule) of advice that cites what its card lacks or the same twice, does what none may, or lacks evidence, explanation or questions.
-
-    advice: conflict_id, authority_boundary, action, claim_refs, evidence_refs, explanation, questions; a null breaks its rule.
-    """
-    rows = advice.join(cards.select("conflict_id", "claim_ids", "evidence"), "conflict_id", "left")
+def advice_rules() -> dict[str, Column]:
+    """What advice beside its card (claim_ids, evidence) must keep to."""
     unique = lambda c: F.size(c) == F.size(F.array_distinct(c))
     plain = lambda c: (c != "") & ~c.rlike(r"[\x00-\x1f]")
-    rules = {
+    return {
         "card": F.col("claim_ids").isNotNull(), "boundary": F.col("authority_boundary").isin(*BOUNDARIES), "action": F.col("action").isin(*ACTIONS),
         "claims": unique("claim_refs") & (F.size(F.array_except("claim_refs", "claim_ids")) == 0), "evidence": unique("evidence_refs") & (F.size(F.array_except("evidence_refs", "evidence")) == 0),
         "cites": (F.col("action") == "abstain") | (F.size("evidence_refs") > 0), "explanation": plain(F.col("explanation")),
         "questions": unique("questions") & (F.size("questions") <= QUESTIONS) & F.forall("questions", lambda q: F.coalesce(plain(q), F.lit(False))),
     }
-    return violations(rows, "conflict_id", rules)
+
+
+def advice_violations(advice: DataFrame, cards: DataFrame) -> DataFrame:
+    """(conflict_id, rule) of advice that cites what its card lacks or the same twice, does what none may, or lacks evidence, explanation or questions.
+
+    advice: conflict_id, authority_boundary, action, claim_refs, evidence_refs, explanation, questions; a null breaks its rule.
+    """
+    rows = advice.join(cards.select("conflict_id", "claim_ids", "evidence"), "conflict_id", "left")
+    return violations(rows, "conflict_id", advice_rules())
 
 
 def arm_metrics(results: DataFrame) -> DataFrame:

@@ -6,13 +6,19 @@ tasks, and a document is its head and its lines.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import NAMESPACE, UNKNOWN, canonical_json, component_type, fragment, hash_fits, hash_name, stable_id, uuid5_url
-from corroborate.operators.hashing import tree_sha256
+from corroborate.operators.hashing import tree_leaves, tree_root
 from corroborate.operators.relations import dependency_rows
 from corroborate.operators.rules import assert_none
+from corroborate.storage import checkpointed
 
 #: Relationship names in the second format.
 SPDX_NAMES = {"CONTAINS": "contains", "DEPENDS_ON": "dependsOn", "DYNAMICALLY_LINKS": "hasDynamicLink", "GENERATED_FROM": "packagedBy"}
@@ -270,35 +276,122 @@ def dependency_errors(components: DataFrame, dependencies: DataFrame) -> DataFra
     return twice.union(strange).union(targets).union(without)
 
 
-def write_package(spark: SparkSession, path: str, parts: dict[str, DataFrame]) -> DataFrame:
-    """Write each part (a DataFrame of one string column) as text below ``path``, which must be new, and its manifest last.
+#: Digits of a line's digest that name its leaf in a package's hash tree.
+LEAF_DIGITS = 3
+
 
-    The manifest has a row per part: rows and a hash over the sorted digests of its lines.
+def write_package(spark: SparkSession, path: str, parts: dict[str, DataFrame], digits: int = 0) -> DataFrame:
+    """Write each part (a DataFrame of one string column) as text below ``path``, which must be new, its leaves, and its manifest last.
+
+    The manifest has a row per part: rows and the root of the hash tree over its lines; LEAVES has the tree's
+    leaves. With ``digits`` a part's lines are dealt to 16^digits folders by their digest, so what is
+    wanted of one leaf is read from one folder.
     """
     for name, lines in parts.items():
-        lines.write.mode("errorifexists").text(f"{path}/{name}")
-    manifest = package_manifest(spark, path, list(parts))
+        rows = lines.select(F.col(lines.columns[0]).alias("value"))
+        if digits:
+            dealt = rows.withColumn("folder", F.concat(F.lit("h"), F.substring(F.sha2("value", 256), 1, digits)))
+            dealt.repartition("folder").write.mode("errorifexists").partitionBy("folder").text(f"{path}/{name}")
+        else:
+            rows.write.mode("errorifexists").text(f"{path}/{name}")
+    names = list(parts)
+    leaves = tree_leaves(_package_lines(spark, path, names), "name", F.col("value"), LEAF_DIGITS)
+    leaves.write.mode("errorifexists").json(f"{path}/LEAVES")
+    manifest = _roots(spark, sealed_leaves(spark, path), names)
     manifest.write.mode("errorifexists").json(f"{path}/MANIFEST")
     return manifest
 
 
-def package_manifest(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """(name, rows, sha256) of a package's parts as they are on disk; the hash is a tree over their lines, so no task holds a part. An empty part has none."""
+def _package_lines(spark: SparkSession, path: str, names: list[str], leaves: DataFrame | None = None) -> DataFrame:
+    """(name, value) of a package's lines as they are on disk; those of some leaves (name, bucket) alone, if they are given."""
     found = spark.createDataFrame([], "name string, value string")
     for name in names:
-        found = found.union(spark.read.text(f"{path}/{name}").select(F.lit(name).alias("name"), "value"))
-    hashed = tree_sha256(found, "name", F.col("value"))
+        rows = spark.read.text(f"{path}/{name}")
+        if leaves is not None:
+            own = leaves.filter(F.col("name") == name).select("bucket")
+            if "folder" in rows.columns:
+                folders = [r.folder for r in own.select(F.concat(F.lit("h"), F.substring("bucket", 1, _folder_digits(rows))).alias("folder")).distinct().collect()]  # folders of a part: a known few
+                rows = rows.filter(F.col("folder").isin(folders))
+            rows = rows.withColumn("bucket", F.substring(F.sha2("value", 256), 1, LEAF_DIGITS)).join(own, "bucket", "left_semi")
+        found = found.union(rows.select(F.lit(name).alias("name"), "value"))
+    return found
+
+
+def _folder_digits(rows: DataFrame) -> int:
+    return len(rows.inputFiles()[0].split("folder=h")[1].split("/")[0])
+
+
+def sealed_leaves(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bucket, rows, sha256) as the package was sealed."""
+    return spark.read.schema("name string, bucket string, rows long, sha256 string").json(f"{path}/LEAVES")
+
+
+def _roots(spark: SparkSession, leaves: DataFrame, names: list[str]) -> DataFrame:
+    hashed = tree_root(leaves, "name")
     return spark.createDataFrame([(n,) for n in names], "name string").join(hashed, "name", "left").select("name", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"))
 
 
+def package_manifest(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(name, rows, sha256) of a package's parts as they are on disk; the hash is a tree over their lines, so no task holds a part. An empty part has none."""
+    return _roots(spark, tree_leaves(_package_lines(spark, path, names), "name", F.col("value"), LEAF_DIGITS), names)
+
+
 def package_differences(spark: SparkSession, path: str) -> DataFrame:
     """(name) of parts that no longer are what the package's manifest says."""
-    said = spark.read.schema("name string, rows long, sha256 string").json(f"{path}/MANIFEST")
-    names = [r.name for r in said.select("name").collect()]  # a package has a handful of parts
-    now = package_manifest(spark, path, names)
+    said = _manifest(spark, path)
+    now = package_manifest(spark, path, _names(said))
     return said.exceptAll(now).select("name")
 
 
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, rows long, sha256 string").json(f"{path}/MANIFEST")
+
+
+def _names(manifest: DataFrame) -> list[str]:
+    return [r.name for r in manifest.select("name").collect()]  # a package has a handful of parts
+
+
+def leaf_differences(spark: SparkSession, path: str, regenerated: dict[str, DataFrame]) -> DataFrame:
+    """(name, bucket, problem): leaves of a package that are not what its own inputs give.
+
+    Three trees meet by leaf: the sealed one, that of the lines on disk, and that of the lines derived again
+    (``regenerated``, parts as of write_package()). ``disk``: lines changed since they were sealed; ``derived``: the
+    sealed leaf is not what is derived; ``manifest`` (no bucket): leaves that the manifest does not stand for;
+    ``part`` (no bucket): parts that the package or the derivation alone has.
+    """
+    said = _manifest(spark, path)
+    names = _names(said)
+    sealed = sealed_leaves(spark, path)
+    derived = spark.createDataFrame([], "name string, value string")
+    for name, lines in regenerated.items():
+        derived = derived.union(lines.select(F.lit(name).alias("name"), F.col(lines.columns[0]).alias("value")))
+    trees = {"disk": _package_lines(spark, path, names), "derived": derived}
+    both = sealed.select("name", "bucket", F.col("sha256").alias("sealed"))
+    for which, lines in trees.items():
+        own = tree_leaves(lines, "name", F.col("value"), LEAF_DIGITS)
+        both = both.join(own.select("name", "bucket", F.col("sha256").alias(which)), ["name", "bucket"], "full")
+    wrong = [F.when(~F.col("sealed").eqNullSafe(F.col(which)), which) for which in trees]
+    leaves = both.select("name", "bucket", F.explode(F.array_compact(F.array(*wrong))).alias("problem"))
+    unsaid = _roots(spark, sealed, names).exceptAll(said).select("name", F.lit(None).cast("string").alias("bucket"), F.lit("manifest").alias("problem"))
+    other = sorted(set(names) ^ set(regenerated))
+    parts = spark.createDataFrame([(n, None, "part") for n in other], "name string, bucket string, problem string")
+    return leaves.unionByName(unsaid).unionByName(parts)
+
+
+def line_differences(spark: SparkSession, path: str, regenerated: dict[str, DataFrame]) -> DataFrame:
+    """(name, bucket, line, on_disk, derived): lines of the leaves that differ, and how often each side has them. Equal leaves are hashed, and not read again."""
+    leaves = checkpointed(leaf_differences(spark, path, regenerated).filter("bucket is not null").select("name", "bucket").distinct())
+    names = [n for n in _names(_manifest(spark, path)) if n in regenerated]
+    bucket = F.substring(F.sha2("value", 256), 1, LEAF_DIGITS).alias("bucket")
+    disk = _package_lines(spark, path, names, leaves).select("name", bucket, F.col("value").alias("line"), F.lit(1).alias("d"), F.lit(0).alias("r"))
+    for name in names:
+        lines = regenerated[name]
+        again = lines.select(F.lit(name).alias("name"), F.col(lines.columns[0]).alias("value")).select("name", bucket, F.col("value").alias("line"), F.lit(0).alias("d"), F.lit(1).alias("r"))
+        disk = disk.unionByName(again.join(leaves.filter(F.col("name") == name).select("bucket"), "bucket", "left_semi"))
+    counted = disk.groupBy("name", "bucket", "line").agg(F.sum("d").alias("on_disk"), F.sum("r").alias("derived"))
+    return counted.filter("on_disk <> derived")
+
+
 #: Parts of a closed run's package, and of an open one's, which holds no export.
 CLOSED_PARTS = ("cyclonedx", "spdx", "findings", "population", "relationships", "inputs", "tools", "validation", "dashboard", "run")
 OPEN_PARTS = ("findings", "population", "relationships", "inputs", "tools", "run")
@@ -321,8 +414,75 @@ def write_run_package(spark: SparkSession, path: str, parts: dict[str, DataFrame
     return sealed
 
 
+#: Parts of an image's package, and of a scan package, whose envelope stands beside them.
+IMAGE_PARTS = ("component-population", "cyclonedx", "dashboard", "evidence-graph", "inputs", "reconciliation", "run", "spdx", "validation")
+SCAN_PARTS = ("dashboard", "inputs", "profile-observations", "raw", "reconciliation", "run", "validation")
+IMAGE_STATUS, SCAN_STATUS = "PUBLIC_BUILD_REFERENCE_PIPELINE_PASS_OPEN_CANDIDATE", "SELF_TEST_PIPELINE_PASS_OPEN_OBSERVATION"
+SCAN_PREDICATE = f"{NAMESPACE}.selftest-pack/v1"
+
+
+def _complete(spark: SparkSession, path: str, fields: dict[str, str]) -> None:
+    """The mark of a whole package, written last."""
+    names = sorted(fields)
+    row = spark.createDataFrame([tuple(fields[n] for n in names)], ", ".join(f"{n} string" for n in names))
+    row.coalesce(1).write.mode("errorifexists").json(f"{path}/COMPLETE")
+
+
+def write_image_package(spark: SparkSession, path: str, parts: dict[str, DataFrame], run_id: str, canonical_sha256: str, derived: dict[str, DataFrame] | None = None, digits: int = 1) -> str:
+    """Seal an image's package; returns the hash that names it.
+
+    ``derived``: the parts as they are derived from the packaged inputs. A package that differs from these in any line is
+    not marked as complete, so it is never taken for one.
+    """
+    if set(parts) != set(IMAGE_PARTS):
+        raise ValueError(f"parts {sorted(parts)} of a package that needs {sorted(IMAGE_PARTS)}")
+    write_package(spark, path, parts, digits)
+    if derived is not None:
+        assert_none(leaf_differences(spark, path, derived))
+    sealed = _sealed(spark, path)
+    _complete(spark, path, {"status": IMAGE_STATUS, "run_id": run_id, "canonical_graph_sha256": canonical_sha256, "manifest_sha256": sealed})
+    return sealed
+
+
+def write_scan_package(spark: SparkSession, path: str, parts: dict[str, DataFrame], run_id: str, canonical_sha256: str, digits: int = 1) -> str:
+    """Seal a scan package with its attestation; returns the hash that names it.
+
+    The attestation's subject is the comparison's canonical hash, its predicate the hashes of what is packed. It stands
+    beside the parts, as the manifest that it names cannot name it; the mark of completeness binds both.
+    """
+    if set(parts) != set(SCAN_PARTS):
+        raise ValueError(f"parts {sorted(parts)} of a package that needs {sorted(SCAN_PARTS)}")
+    manifest = write_package(spark, path, parts, digits)
+    sealed = _sealed(spark, path)
+    board = F.col("sha256").alias("dashboard_sha256")
+    said = F.struct(F.lit("SELF_TEST_NOT_CUSTOMER_EVIDENCE").alias("classification"), board, F.lit(sealed).alias("manifest_sha256"), F.lit(run_id).alias("run_id"))
+    row = manifest.filter("name = 'dashboard'").select(attestation("canonical-reconciliation", F.lit(canonical_sha256), SCAN_PREDICATE, said).alias("value"), "sha256").first()
+    spark.createDataFrame([(row["value"],)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/STATEMENT")
+    _complete(spark, path, {"status": SCAN_STATUS, "run_id": run_id, "canonical_reconciliation_sha256": canonical_sha256, "dashboard_sha256": row["sha256"], "manifest_sha256": sealed, "statement_sha256": hashlib.sha256(row["value"].encode()).hexdigest()})
+    return sealed
+
+
+def sealed_package_violations(spark: SparkSession, path: str, regenerated: dict[str, DataFrame], trusted_sha256: str | None = None) -> DataFrame:
+    """(name, bucket, problem) of an image or scan package against what its inputs give: leaves as of leaf_differences(), and a mark, a statement or an anchor that does not bind it."""
+    if not _exists(spark, f"{path}/COMPLETE"):
+        return spark.createDataFrame([("COMPLETE", None, "missing")], "name string, bucket string, problem string")
+    mark, sealed, wrong = spark.read.json(f"{path}/COMPLETE").first().asDict(), _sealed(spark, path), []
+    if mark["manifest_sha256"] != sealed:
+        wrong.append("COMPLETE")
+    if trusted_sha256 is not None and trusted_sha256 != sealed:
+        wrong.append("anchor")
+    if "statement_sha256" in mark:
+        text = spark.read.text(f"{path}/STATEMENT").first()["value"]
+        about, body = json.loads(text)["subject"][0], json.loads(text)["predicate"]
+        bound = about["digest"]["sha256"] == mark["canonical_reconciliation_sha256"] and all(body[k] == mark[k] for k in ("manifest_sha256", "dashboard_sha256", "run_id"))
+        if hashlib.sha256(text.encode()).hexdigest() != mark["statement_sha256"] or not bound:
+            wrong.append("STATEMENT")
+    marks = spark.createDataFrame([(n, None, "unbound") for n in wrong], "name string, bucket string, problem string")
+    return leaf_differences(spark, path, regenerated).unionByName(marks)
+
+
 def _sealed(spark: SparkSession, path: str) -> str:
-    manifest = spark.read.schema("name string, rows long, sha256 string").json(f"{path}/MANIFEST")
+    manifest = _manifest(spark, path)
     listed = F.array_sort(F.collect_list(F.struct("name", "rows", "sha256")))  # a package has a handful of parts
     return manifest.agg(F.sha2(F.to_json(listed), 256).alias("h")).first()["h"]
 
@@ -335,16 +495,62 @@ def run_package_violations(spark: SparkSession, path: str, trusted_sha256: str)
     return found + (["complete"] if mark != [sealed] else []) + (["trusted"] if sealed != trusted_sha256 else [])
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that must not be there, in one step: of several writers at once one gets True."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.getUri().getScheme() == "file":  # Hadoop looks first and creates then; the operating system does both at once
+        try:
+            os.close(os.open(fs.makeQualified(target).toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            return True
+        except FileExistsError:
+            return False
+    try:
+        fs.create(target, False).close()
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+
+
+def _release_claim(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
+
+
 def register_run(spark: SparkSession, registry: str, run: DataFrame) -> None:
-    """Append ``run`` (run_id, classification, package, dashboard_sha256) to the registry's folder; a run that is there already is an error."""
-    known = spark.read.schema(run.schema).parquet(registry) if _exists(spark, registry) else run.limit(0)
-    assert_none(run.join(known.select("run_id"), "run_id", "left_semi").select("run_id", F.lit("registered").alias("rule")))
-    run.write.mode("append").parquet(registry)
+    """Enter one ``run`` (run_id, classification, package, dashboard_sha256) into the registry's folder.
+
+    The id is claimed first, by a file that only one writer can create, and the entry is published after that in a
+    folder of its own, so writers of different runs do not meet and of two writers of one id the second fails.
+    A writer that cannot publish gives its claim back.
+    """
+    rows = run.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{len(rows)} runs to register")
+    key = hashlib.sha256(rows[0]["run_id"].encode()).hexdigest()[:32]
+    mark = f"{registry}/_claims/{key}"
+    if not claim(spark, mark):
+        raise ValueError(f"run {rows[0]['run_id']} is registered, or being registered")
+    try:
+        spark.createDataFrame(rows, run.schema).coalesce(1).write.mode("errorifexists").parquet(f"{registry}/entry={key}")
+    except Exception:
+        if not _exists(spark, f"{registry}/entry={key}/_SUCCESS"):
+            _release_claim(spark, mark)
+        raise
+
+
+def registered_runs(spark: SparkSession, registry: str) -> DataFrame:
+    """All entries of a registry."""
+    return spark.read.parquet(registry).drop("entry")
 
 
 def registered_run(spark: SparkSession, registry: str, run_id: str, dashboard: bytes) -> DataFrame:
     """The one row of a run in the registry, whose dashboard must have the hash that it was registered with."""
-    rows = spark.read.parquet(registry).filter(F.col("run_id") == run_id)
+    rows = registered_runs(spark, registry).filter(F.col("run_id") == run_id)
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("*")).alias("r"))
     fine = (F.col("n") == 1) & (F.col("r.dashboard_sha256") == F.sha2(F.lit(dashboard), 256))
     return counted.select(F.when(fine, F.col("r")).otherwise(F.raise_error(F.lit(f"run {run_id} is not registered with this dashboard"))).alias("r")).select("r.*")

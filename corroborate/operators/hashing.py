@@ -44,16 +44,25 @@ def list_sha256(rows: DataFrame, key: str, line: Column, order: list[str], befor
     return sorted_sha256(kept, order).select(F.col("key").cast(rows.schema[key].dataType).alias(key), F.col("h").alias("sha256"))
 
 
+def tree_leaves(rows: DataFrame, key: str, line: Column, digits: int = 3) -> DataFrame:
+    """(key, bucket, rows, sha256): the leaves of tree_sha256(), one for each bucket of lines by the first digits of their digest."""
+    dealt = rows.select(F.col(key).alias("k"), F.sha2(line, 256).alias("line"))
+    named = dealt.select(F.concat_ws("\n", "k", F.substring("line", 1, digits)).alias("key"), "line", F.lit("").alias("before"), F.lit("").alias("after"))
+    counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    leaves = counts.join(sorted_sha256(named, []), "key")
+    return leaves.select(F.substring_index("key", "\n", 1).cast(rows.schema[key].dataType).alias(key), F.substring_index("key", "\n", -1).alias("bucket"), "rows", F.col("h").alias("sha256"))
+
+
+def tree_root(leaves: DataFrame, key: str) -> DataFrame:
+    """(key, rows, sha256) of leaves: at most 16^digits of a key."""
+    listed = F.array_sort(F.collect_list(F.struct("bucket", "sha256")))
+    return leaves.groupBy(key).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(listed, lambda x: x["sha256"]), ","), 256).alias("sha256"))
+
+
 def tree_sha256(rows: DataFrame, key: str, line: Column, digits: int = 3) -> DataFrame:
     """(key, rows, sha256) for sets of any size: a hash tree over the lines, whatever their order.
 
     Lines are dealt to 16^``digits`` buckets by their digest; each bucket is hashed sorted, and
     the buckets' hashes once more, so a large set is read by many tasks.
     """
-    dealt = rows.select(F.col(key).alias("k"), line.alias("line"))
-    dealt = dealt.select("k", F.sha2("line", 256).alias("line")).withColumn("b", F.substring("line", 1, digits))
-    named = dealt.select(F.concat_ws("\n", "k", "b").alias("key"), "line", F.lit("").alias("before"), F.lit("").alias("after"))
-    counts = dealt.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
-    leaves = sorted_sha256(named, []).select(F.substring_index("key", "\n", 1).alias("k"), F.struct(F.substring_index("key", "\n", -1).alias("b"), F.col("h").alias("h")).alias("leaf"))
-    roots = leaves.groupBy("k").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("leaf")), lambda x: x["h"]), ","), 256).alias("sha256"))
-    return counts.join(roots, "k").select(F.col("k").alias(key), "rows", "sha256")
+    return tree_root(tree_leaves(rows, key, line, digits), key)

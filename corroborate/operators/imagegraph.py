@@ -17,10 +17,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.functions.text import NAMESPACE, UNKNOWN, canonical_json, stable_id, uuid5_url
+from corroborate.functions.text import NAMESPACE, UNKNOWN, canonical_json, fully, is_https_url, is_relative_path, is_safe_id, is_sha256, is_text, stable_id, uuid5_url
 from corroborate.operators.hashing import list_sha256, tree_sha256
 from corroborate.operators.reconcile import STATES
 from corroborate.operators.relations import dependency_rows
+from corroborate.operators.rules import violations
 from corroborate.storage import checkpointed
 
 # Adapters and domains of the two lanes, roles of inputs, formats of ids and statuses.
@@ -325,3 +326,54 @@ def spdx(graph: Graph, canonical: DataFrame) -> DataFrame:
     listed = ids.select("image", "base", "id", lists).unionByName(named.select("image", "base", sbom.alias("id"), document.alias("owner")))
     membership = listed.select("image", F.lit("membership").alias("part"), canonical_json(F.array("id").alias("element"), F.col("owner").alias("from")).alias("line"))
     return heads_.unionByName(agents).unionByName(packages).unionByName(relationships).unionByName(membership)
+
+
+# An image profile's origin, scope, limits, suffixes of payloads by role.
+ORIGIN = "downloads.yoctoproject.org"
+SCOPE = ("INSTALLED_PACKAGES", "ROOTFS_REGULAR_FILES", "ROOTFS_SYMLINKS")
+LIMITS = {"max_json_bytes": (1024, 512 << 20), "max_rootfs_files": (1, 1_000_000), "max_rootfs_expanded_bytes": (1, 32 << 30), "max_path_bytes": (64, 16_384), "zstd_timeout_seconds": (1, 900)}
+SUFFIXES = {"build_spdx": r"\.spdx\.json", "image_manifest": r"\.manifest", "testdata": r"\.testdata\.json", "qemuboot": r"\.qemuboot\.conf", "rootfs_archive": r"\.tar(\.zst)?"}
+REVISIONS = ("openembedded_core", "bitbake", "meta_yocto")
+
+
+def _listed(name: str) -> Column:
+    return (F.size(name) > 0) & (F.size(name) == F.size(F.array_distinct(name))) & F.forall(name, lambda x: is_text(x))
+
+
+def profile_violations(profiles: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(profile_id, rule) of image profiles, and of their payloads (profile_id, role, url, relative_path, sha256, max_bytes, media_type), that break a rule.
+
+    profiles: profile_id, classification, upstream_release, release_notes_url, the columns of REVISIONS, image_name, machine, architecture,
+    build_timestamp, build_id, reference_builder, release_timestamp, build and artifact (structs lane_id, adapter_id, independence_domain),
+    included, declared_exclusions, blindspots, the columns of LIMITS. Payloads are counted per profile before they meet it.
+    """
+    c = F.col
+    stamp = F.date_format(F.try_to_timestamp("build_timestamp", F.lit("yyyyMMddHHmmss")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    revisions = F.lit(True)
+    for name in REVISIONS:
+        revisions = revisions & fully(c(name), "[0-9a-f]{40}")
+    limits = F.lit(True)
+    for name, (low, high) in LIMITS.items():
+        limits = limits & c(name).between(low, high)
+    lane = lambda name, fixed: is_safe_id(c(f"{name}.lane_id")) & (c(f"{name}.adapter_id") == fixed[0]) & (c(f"{name}.independence_domain") == fixed[1])
+    checks = {
+        "profile_id": is_safe_id(c("profile_id")), "classification": c("classification") == CLASSIFICATION, "upstream_release": is_text(c("upstream_release")), "release_notes_url": is_https_url(c("release_notes_url"), (ORIGIN,)), "revisions": revisions,
+        **{name: is_safe_id(c(name)) for name in ("image_name", "machine", "architecture", "build_id")}, "build_timestamp": fully(c("build_timestamp"), "[0-9]{14}"), "same_build": stamp == c("release_timestamp"), "reference_builder": is_text(c("reference_builder")),
+        "build_lane": lane("build", BUILD), "artifact_lane": lane("artifact", ARTIFACT), "lanes": c("build.lane_id") != c("artifact.lane_id"), "included": F.array_sort("included") == F.array(*map(F.lit, SCOPE)),
+        "declared_exclusions": _listed("declared_exclusions"), "blindspots": _listed("blindspots"), "limits": limits,
+    }
+    own = violations(profiles, "profile_id", {k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
+    base = lambda name: F.substring_index(name, "/", -1)
+    suffix = F.lit(False)
+    for role, pattern in SUFFIXES.items():
+        suffix = suffix | (c("role") == role) & c("relative_path").rlike(pattern + r"\z")
+    each = {
+        "payload_role": c("role").isin(*ROLES), "payload_path": is_relative_path(c("relative_path")), "payload_url": is_https_url(c("url"), (ORIGIN,)), "payload_name": base("url") == base("relative_path"), "payload_suffix": suffix,
+        "payload_sha256": is_sha256(c("sha256")), "payload_bytes": c("max_bytes").between(1, 4 << 30), "payload_media": is_text(c("media_type"), 128),
+    }
+    parts = violations(payloads, "profile_id", {k: F.coalesce(v, F.lit(False)) for k, v in each.items()}).distinct()
+    counted = payloads.groupBy("profile_id").agg(F.array_sort(F.collect_list("role")).alias("roles"), F.countDistinct("relative_path").alias("paths"))
+    both = profiles.select("profile_id").distinct().join(counted, "profile_id", "left")
+    sets = violations(both, "profile_id", {"payload_roles": F.coalesce(c("roles") == F.array(*map(F.lit, ROLES)), F.lit(False)), "payload_paths": F.coalesce(c("paths") == F.size("roles"), F.lit(False))})
+    twice = profiles.groupBy("profile_id").count().filter("count > 1").select("profile_id", F.lit("repeated").alias("rule"))
+    return own.union(parts).union(sets).union(twice)

@@ -201,6 +201,44 @@ VIEWS = {
                CASE c_custkey % 3 WHEN 0 THEN 'NOT_APPROVED' WHEN 1 THEN 'certified' ELSE 'open' END AS status, CASE c_custkey % 4 WHEN 0 THEN 'CAB_APPROVED' WHEN 1 THEN 'NO_PRODUCT_CONFORMITY_STATUS' END AS product_conformity_status,
                CASE WHEN c_custkey % 7 = 0 THEN 'manufacturer' END AS manufacturer_role, 'CERTIFIED' AS note
         FROM customer""",
+    "json_bodies": """
+        SELECT p_partkey AS doc, CASE WHEN p_partkey % 2 = 0 THEN '{"b": [{"y": 1, "x": "' || p_name || '"}, 2.50], "serial_number": "urn:' || CAST(p_partkey AS STRING) || ' \\\\\\"run_id\\\\\\":", "a": {"run_id": "r", "k": null}}'
+               WHEN p_partkey % 7 = 0 THEN '{"a": 1, "a": 2}' ELSE '{"a": {"k": null, "run_id": "q"}, "serial_number": 7, "b": [{"x": "' || p_name || '", "y": 1}, 2.5]}' END AS raw FROM part""",
+    "candidate_lists": """
+        SELECT p_partkey AS doc, CASE WHEN p_partkey % 9 = 8 THEN '{"components": []}' ELSE '[' || CASE WHEN p_partkey % 9 = 6 THEN '{"candidate_id": "c9", "producer": "p", "name": "n", "version": "1", "identifiers": [], "roles": [], "provenances": [], "observed_hashes": [], "supplier_hashes": []}, ' ELSE '' END
+               || '{"version": "' || CAST(p_size AS STRING) || '", "candidate_id": "c1", "producer": "' || p_brand || '", "name": "n", "identifiers": [' || CASE WHEN p_partkey % 9 = 1 THEN '"b", "a"' ELSE '"a", "b"' END || '], "roles": [' || CASE WHEN p_partkey % 9 = 4 THEN '"R", "R"' ELSE '"R"' END || '], ' || CASE WHEN p_partkey % 9 = 2 THEN '"extra": 1, ' ELSE '' END
+               || '"provenances": [{"kind": "k", "locator": "l", "source_available": "' || CASE WHEN p_partkey % 9 = 3 THEN 'YES' ELSE 'UNKNOWN' END || '"}], "observed_hashes": [{"algorithm": "SHA-256", "value": "b"}, {"algorithm": "SHA-256", "value": "' || CASE WHEN p_partkey % 9 = 5 THEN 'a' ELSE 'c' END || '"}], "supplier_hashes": [' || CASE WHEN p_partkey % 9 = 7 THEN '{"algorithm": "MD5"}' ELSE '' END || ']}]' END AS raw FROM part""",
+    "obs_profiles": """
+        SELECT 'prof-' || CAST(c_custkey AS STRING) AS profile_id, CASE c_custkey % 3 WHEN 0 THEN 'SOURCE_DIRECTORY' WHEN 1 THEN 'OCI_ARCHIVE' ELSE 'PORTABLE_RUNTIME' END AS profile_kind, CASE WHEN c_custkey % 11 = 0 THEN 'SPOOFED' WHEN c_custkey % 3 = 0 THEN 'SOURCE_DECLARATION' WHEN c_custkey % 3 = 1 THEN 'BUILT_OCI_ARTIFACT' ELSE 'PORTABLE_RUNTIME_OBSERVATION' END AS independence_domain,
+               'space' AS comparison_namespace, c_name AS product_name, '1.0' AS declared_version, CASE WHEN c_custkey % 13 = 0 THEN 'file' WHEN c_custkey % 3 = 1 THEN 'docker-archive' ELSE 'dir' END AS target_kind, CASE WHEN c_custkey % 19 = 0 THEN '-x' ELSE 'target' END AS target_label,
+               CASE WHEN c_custkey % 17 = 0 THEN ARR('NOT_YOCTO_M3B', 'OTHER') ELSE ARR('OTHER', 'NOT_YOCTO_M3B', 'NO_CUSTOMER_OR_MANUFACTURER_CONTEXT', 'NO_CRA_OR_PRE7_CONFORMITY_CLAIM') END AS blindspots, CASE WHEN c_custkey % 23 = 0 THEN '1.49.0' ELSE '1.50.0' END AS scanner_version, 100000 AS max_components FROM customer""",
+    "obs_heads": """
+        SELECT 'prof-' || CAST(c_custkey AS STRING) AS profile_id, '{"spec": "1.7", "serial_number": "urn:' || CAST(c_custkey AS STRING) || '", "root": {"version": "1.0", "name": "' || c_name || '"}}' AS raw, lpad(CAST(c_custkey AS STRING), 64, 'a') AS source_sha256, c_custkey * 3 AS raw_size, 'root' AS root_id, repeat('b', 64) AS input_sha256, c_custkey % 7 AS file_count, 10 AS total_bytes FROM customer""",
+    "obs_components": """SELECT 'prof-' || CAST(o_custkey AS STRING) AS profile_id, '{"name": "' || o_orderpriority || '", "serial_number": "s' || CAST(o_orderkey AS STRING) || '", "bom_ref": "o' || CAST(o_orderkey AS STRING) || '"}' AS line FROM orders""",
+    "obs_dependencies": """SELECT 'prof-' || CAST(o_custkey AS STRING) AS profile_id, '{"ref": "o' || CAST(o_orderkey AS STRING) || '", "depends_on": []}' AS line FROM orders WHERE o_orderkey % 3 = 0""",
+    "reg_files": """
+        SELECT 'reg/' || CAST(c_custkey AS STRING) || '.json' AS path, CASE c_custkey % 11 WHEN 2 THEN 'odd-registry' WHEN 3 THEN 'vex-issuer-registry' WHEN 9 THEN 'vex-issuer-registry' WHEN 10 THEN 'image-profile-registry' ELSE 'runtime-registry' END AS kind, CASE WHEN c_custkey % 11 = 8 THEN 10 ELSE 100000 END AS max_bytes,
+               CASE c_custkey % 11 WHEN 5 THEN '{"registry_type": ' WHEN 10 THEN '{"schema_version": "1.0", "profiles": [{"profile_id": "p' || CAST(c_custkey AS STRING) || '"}]}'
+               WHEN 9 THEN '{"registry_type": "vex-issuer-registry", "schema_version": "1.0", "updated_at": "2026-01-01", "issuers": [{"issuer_id": "is' || CAST(c_custkey AS STRING) || '", "status": "NOT_ADMITTED", "display_name": "d", "identity_kind": "' || CASE WHEN c_custkey % 2 = 0 THEN 'other' ELSE 'cosign-offline-key' END || '", "public_key_path": null, "public_key_sha256": null, "acquisition_receipt_ref": null, "boundary": "b"}]}'
+               ELSE '{' || CASE WHEN c_custkey % 11 = 4 THEN '"more": 1, ' ELSE '' END || '"schema_version": "' || CASE WHEN c_custkey % 11 = 0 AND c_custkey % 2 = 0 THEN '2.0' ELSE '1.0' END || '", "registry_type": "' || CASE WHEN c_custkey % 11 = 2 THEN 'odd-registry' ELSE 'runtime-registry' END || '", "updated_at": "2026-01-01", "runtimes": [{"runtime_id": "rt1", "category": "' || CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE 'scanner' END
+                 || '", "name": "n", "version": "1", "source_url": "https://x.example.org/r", "resolved_commit": "' || repeat('a', 40) || '", "license_expression": "MIT", "status": "FROZEN", "artifact_sha256": "' || repeat('b', 64) || '", "config_sha256": "' || repeat('c', 64) || '", "dependency_manifest_sha256": ' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"' || repeat('d', 64) || '"' END || ', "notes": "n"}'
+                 || CASE WHEN c_custkey % 7 = 0 THEN ', {"runtime_id": "rt1", "category": "scanner", "name": "n", "version": "1", "source_url": "https://x.example.org/r", "resolved_commit": "' || repeat('a', 40) || '", "license_expression": "MIT", "status": "LOCALLY_OBSERVED", "artifact_sha256": null, "config_sha256": null, "dependency_manifest_sha256": null, "notes": "n"}' ELSE '' END || ']}' END AS raw FROM customer""",
+    "reg_sources": """
+        SELECT 'src/' || CAST(s_suppkey AS STRING) || '.json' AS path, 'source-dataset-registry' AS kind, 100000 AS max_bytes,
+               '{"registry_type": "source-dataset-registry", "schema_version": "1.0", "updated_at": "2026-01-01", "sources": [{"dataset_id": "ds-' || CAST(s_suppkey AS STRING) || '", "root_id": "ds-' || CAST(s_suppkey AS STRING) || '@' || repeat('a', 40) || '", "name": "' || CASE WHEN s_suppkey % 20 = 1 THEN ' ' ELSE 'n' END || '", "notes": "n", "source_type": "' || CASE WHEN s_suppkey % 20 = 2 THEN 'zip' ELSE 'git' END
+               || '", "upstream_url": "https://' || CASE WHEN s_suppkey % 20 = 3 THEN 'example.org' ELSE 'github.com' END || '/a/b", "lineage_group": "g", "pin": {"ref_type": "commit", "ref_name": "' || CASE WHEN s_suppkey % 20 = 4 THEN 'Main' ELSE 'v1' END || '", "resolved_commit": "' || repeat('a', 40) || '", "tag_object": null, "acquisition_artifact_sha256": ' || CASE WHEN s_suppkey % 20 = 5 THEN '"x"' ELSE 'null' END
+               || '}, "license": {"expression": "MIT", "review_status": "r", "evidence_paths": ["LICENSE"' || CASE WHEN s_suppkey % 20 = 6 THEN ', "../x"' ELSE '' END || '], "evidence_hashes": {"LICENSE": null' || CASE WHEN s_suppkey % 20 = 6 THEN ', "../x": null' WHEN s_suppkey % 20 = 7 THEN ', "other": null' ELSE '' END || '}, "content_scopes": [{"scope": "all", "expression": "MIT", "training_allowed": false, "raw_redistribution_allowed": false}' || CASE WHEN s_suppkey % 20 = 8 THEN ', {"scope": "all", "expression": "MIT", "training_allowed": true, "raw_redistribution_allowed": false}' ELSE '' END
+               || ']}, "governance": {"admission_status": "' || CASE WHEN s_suppkey % 20 = 9 THEN 'QUARANTINE_ACQUIRED' ELSE 'REGISTERED_PENDING_REVIEW' END || '", "purposes": ["p"' || CASE WHEN s_suppkey % 20 = 10 THEN ', "p"' ELSE '' END || '], "split": "' || CASE WHEN s_suppkey % 20 = 11 THEN 'ODD' ELSE 'DEV' END || '", "acquisition_allowed": true, "internal_development_allowed": false, "evaluation_allowed": ' || CASE WHEN s_suppkey % 20 = 12 THEN 'true' ELSE 'false' END
+               || ', "training_allowed": false, "fixture_distribution_allowed": false, "raw_redistribution_allowed": false, "adapter_distribution_allowed": false, "weight_distribution_allowed": false, "shipping_examples_allowed": false, "redistribution_status": "s", "access_terms_status": "s", "tdm_reservation_status": "s", "submodules_status": "s", "lfs_status": "s", "generated_content_status": "s", "binary_content_status": "s", "attribution_status": "s", "acquisition_status": "REGISTERED_PENDING_ACQUISITION", "rights_status": "'
+               || CASE WHEN s_suppkey % 20 = 13 THEN 'RIGHTS_REVIEWED' ELSE 'AWAITING_NAMED_REVIEW' END || '", "usage_status": "NOT_ADMITTED", "format_validation_status": "NOT_ASSESSED", "release_status": "' || CASE WHEN s_suppkey % 20 = 14 THEN 'APPROVED_FOR_SCOPED_USE' ELSE 'NOT_APPROVED' END || '", "rights_decision_ref": ' || CASE WHEN s_suppkey % 20 = 13 THEN '"r/d"' WHEN s_suppkey % 20 = 15 THEN '"/abs"' ELSE 'null' END
+               || ', "rights_decision_sha256": ' || CASE WHEN s_suppkey % 20 IN (13, 15) THEN '"' || repeat('e', 64) || '"' ELSE 'null' END || ', "revalidation_triggers": [' || CASE WHEN s_suppkey % 20 = 16 THEN '' ELSE '"t"' END || ']}, "acquisition": {"allow_submodules": ' || CASE WHEN s_suppkey % 20 = 17 THEN 'true' ELSE 'false' END || ', "execute_code": ' || CASE WHEN s_suppkey % 20 = 18 THEN 'true' ELSE 'false' END || ', "max_files": ' || CASE WHEN s_suppkey % 20 = 19 THEN '0' ELSE '10' END || ', "max_total_bytes": 1000}}]}' AS raw FROM supplier""",
+    "image_profiles": """
+        SELECT 'ip-' || CAST(c_custkey AS STRING) AS profile_id, CASE WHEN c_custkey % 16 = 1 THEN 'REAL' ELSE 'PUBLIC_BUILD_REFERENCE_NOT_CUSTOMER_EVIDENCE' END AS classification, 'yocto-6' AS upstream_release, CASE WHEN c_custkey % 16 = 2 THEN 'https://example.org/n' ELSE 'https://downloads.yoctoproject.org/notes' END AS release_notes_url,
+               repeat('a', 40) AS openembedded_core, CASE WHEN c_custkey % 16 = 3 THEN repeat('A', 40) ELSE repeat('b', 40) END AS bitbake, repeat('c', 40) AS meta_yocto, CASE WHEN c_custkey % 16 = 4 THEN 'a b' ELSE 'image' END AS image_name, 'qemu' AS machine, 'arm' AS architecture, CASE WHEN c_custkey % 16 = 5 THEN '20260105' ELSE '20260105010203' END AS build_timestamp, 'b1' AS build_id, 'builder' AS reference_builder,
+               CASE WHEN c_custkey % 16 = 6 THEN '2026-01-05T01:02:04Z' ELSE '2026-01-05T01:02:03Z' END AS release_timestamp, CASE WHEN c_custkey % 16 = 7 THEN 'm' ELSE 'l' END AS build_lane, 'm' AS artifact_lane, CASE WHEN c_custkey % 16 = 8 THEN 'ODD' ELSE 'BUILD_METADATA' END AS build_domain,
+               CASE WHEN c_custkey % 16 = 9 THEN ARR('INSTALLED_PACKAGES') ELSE ARR('ROOTFS_SYMLINKS', 'INSTALLED_PACKAGES', 'ROOTFS_REGULAR_FILES') END AS included, CASE WHEN c_custkey % 16 = 10 THEN ARR('x', 'x') ELSE ARR('x') END AS declared_exclusions, ARR('b') AS blindspots, 1024 AS max_json_bytes, CASE WHEN c_custkey % 16 = 11 THEN 0 ELSE 5 END AS max_rootfs_files, 7 AS max_rootfs_expanded_bytes, 64 AS max_path_bytes, 900 AS zstd_timeout_seconds FROM customer""",
+    "image_payloads": "SELECT 'ip-' || CAST(c_custkey AS STRING) AS profile_id, CASE WHEN c_custkey % 16 = 12 AND role = 'testdata' THEN 'qemuboot' ELSE role END AS role, 'https://downloads.yoctoproject.org/d/' || CASE WHEN c_custkey % 16 = 13 AND role = 'testdata' THEN 'y' ELSE 'x' END || suffix AS url, 'in/x' || suffix AS relative_path, CASE WHEN c_custkey % 16 = 14 THEN 'short' ELSE repeat('f', 64) END AS sha256, CASE WHEN c_custkey % 16 = 15 THEN 0 ELSE 10 END AS max_bytes, 'application/json' AS media_type FROM ("
+        + " UNION ALL ".join(f"SELECT c_custkey, '{role}' AS role, '{suffix}' AS suffix FROM customer" for role, suffix in (("rootfs_archive", ".tar.zst"), ("build_spdx", ".spdx.json"), ("image_manifest", ".manifest"), ("qemuboot", ".qemuboot.conf"), ("testdata", ".testdata.json"))) + ")",
     "img_part": "SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 20 END AS image FROM part",
     "img_images": """
         SELECT image, 'profile-' || CAST(image AS STRING) AS profile_id, repeat('f', 64) AS profile_sha256, 'image' || CAST(image AS STRING) AS image_name, 'release-6' AS upstream_release, 'build-' || CAST(image AS STRING) AS build_id, 'arm' AS architecture,

@@ -407,3 +407,55 @@ CASE WHEN a.key IS NULL THEN NULL WHEN b.key IS NULL THEN {_SHOWN('a', _BESIDE)}
 FROM keyed_a a FULL JOIN keyed_b b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR {' OR '.join(_CHANGED.values())}
 UNION ALL SELECT 'relationship', coalesce(x.subject, y.subject), CASE WHEN x.subject IS NULL THEN 'ADDED' ELSE 'REMOVED' END, '', NULL, NULL FROM linked_a x FULL JOIN linked_b y ON x.subject = y.subject WHERE x.subject IS NULL OR y.subject IS NULL""",
     _WITH("a") + _WITH("b") + ", " + ", ".join([_KEYED("a"), _KEYED("b"), _LINKED("a"), _LINKED("b")]))
+
+_BODY_OF = lambda serial, run: f"""'{{"a":{{"k":null' || {run} || '}},"b":[{{"x":"' || p_name || '","y":1}},2.5]' || {serial} || '}}'"""
+_RUN = """',"run_id":"' || CASE WHEN p_partkey % 2 = 0 THEN 'r' ELSE 'q' END || '"'"""
+_SERIAL = r"""',"serial_number":' || CASE WHEN p_partkey % 2 = 0 THEN '"urn:' || p_partkey || ' \"run_id\":"' ELSE '7' END"""
+_IF_WHOLE = lambda v: f"CASE WHEN p_partkey % 2 = 1 AND p_partkey % 7 = 0 THEN NULL ELSE sha256({v}) END"
+oracle("semantic_hash", "json_bodies", f"""SELECT p_partkey AS doc, {_IF_WHOLE(_BODY_OF(_SERIAL, _RUN))} AS canonical, {_IF_WHOLE(_BODY_OF("',\"serial_number\":null'", _RUN))} AS semantic, {_IF_WHOLE(_BODY_OF("''", "''"))} AS stable, {_IF_WHOLE(_BODY_OF("''", _RUN))} AS body FROM part""")
+oracle("candidate_round_trip", "candidate_lists", "SELECT p_partkey AS doc, ['', '0:identifiers', '0:keys', '0:source_available', '0:roles', '0:observed_hashes', 'order', '0:keys', 'list'][CAST(p_partkey % 9 AS INT) + 1] AS errors FROM part")
+_TREE = lambda name, view, line: f"""{name} AS (SELECT profile_id, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY b)) AS root FROM (SELECT profile_id, substr(d, 1, 3) AS b, count(*) AS n, sha256(string_agg(d, ',' ORDER BY d)) AS h FROM (SELECT profile_id, sha256({line}) AS d FROM {view}) GROUP BY ALL) GROUP BY profile_id)"""
+_CO = lambda serial: f"""'{{"bom_ref":"o' || o_orderkey || '","name":"' || o_orderpriority || '","serial_number":' || {serial} || '}}'"""
+_OBS_LINES = "(SELECT *, 'prof-' || o_custkey AS profile_id FROM orders)"
+_DEP = """'{"depends_on":[],"ref":"o' || o_orderkey || '"}'"""
+_OBS = ", " + ", ".join([
+    _TREE("co_whole", _OBS_LINES, _CO("'\"s' || o_orderkey || '\"'")), _TREE("co_stable", _OBS_LINES, _CO("'null'")), _TREE("de_whole", _OBS_LINES + " WHERE o_orderkey % 3 = 0", _DEP),
+    """obs_rows AS (SELECT p.*, h.source_sha256, h.raw_size, h.file_count, coalesce(a.n, 0) AS components, coalesce(a.root, sha256('')) AS co, coalesce(b.root, sha256('')) AS co_s, coalesce(d.n, 0) AS dependencies, coalesce(d.root, sha256('')) AS de,
+    '{"root":{"name":"' || product_name || '","version":"1.0"},"serial_number":"urn:' || substr(profile_id, 6) || '","spec":"1.7"}' AS head, '{"root":{"name":"' || product_name || '","version":"1.0"},"serial_number":null,"spec":"1.7"}' AS head_s
+    FROM obs_profiles p JOIN obs_heads h USING (profile_id) LEFT JOIN co_whole a USING (profile_id) LEFT JOIN co_stable b USING (profile_id) LEFT JOIN de_whole d USING (profile_id))""",
+    """obs_semantic AS (SELECT *, sha256('{"components":"' || co_s || '","dependencies":"' || de || '","head":"' || replace(head_s, '"', '\\"') || '"}') AS semantic_sha256 FROM obs_rows)""".replace("\\\\", "\\"),
+])
+_ENVELOPE = lambda evidence: f"""'{{"blindspots":' || {_J('list_sort(blindspots)')} || ',"classification":"SELF_TEST_NOT_CUSTOMER_EVIDENCE","cyclonedx_evidence":' || {evidence} || ',"generator_output_status":"GENERATOR_OUTPUT_CANDIDATE","independence_domain":"' || independence_domain || '","input_identity":{{"file_count":' || file_count || ',"root_id":"root","sha256":"' || repeat('b', 64) || '","total_bytes":10}},"manufacturer_approval_status":"NOT_PROVIDED","milestone_scope":"M3A_NOT_YOCTO_M3B","product_conformity_status":"NO_PRODUCT_CONFORMITY_STATUS",'
+|| '"profile_id":"' || profile_id || '","profile_kind":"' || profile_kind || '","release_status":"NOT_RELEASED","scan_contract":{{"target_kind":"' || target_kind || '","target_label":"' || target_label || '"}},"scanner_identity":{{"binary_sha256":"' || repeat('c', 64) || '","config_sha256":"' || repeat('d', 64) || '","name":"syft","version":"' || scanner_version || '"}},"schema_version":"1.0","subject":{{"comparison_namespace":"space","declared_version":"1.0","product_name":"' || product_name || '"}}}}'"""
+_EVIDENCE_ALL = r"""'{"component_count":' || components || ',"components_sha256":"' || co || '","dependencies_sha256":"' || de || '","dependency_rows":' || dependencies || ',"head":"' || replace(head, '"', '\"') || '","semantic_sha256":"' || semantic_sha256 || '","source_sha256":"' || source_sha256 || '"}'"""
+_EVIDENCE_RUN = """'{"component_count":' || components || ',"dependency_rows":' || dependencies || ',"semantic_sha256":"' || semantic_sha256 || '"}'"""
+oracle("observations_sealed", "obs_profiles obs_heads", f"SELECT profile_id, sha256({_ENVELOPE(_EVIDENCE_ALL)}) AS canonical_sha256, 'selftest-run-' || sha256({_ENVELOPE(_EVIDENCE_RUN)}) AS run_id, semantic_sha256 FROM obs_semantic", _OBS)
+_KEY = "CAST(substr(profile_id, 6) AS INT)"
+_PROFILE_RULES = {"independence_domain": f"{_KEY} % 11 = 0", "target_kind": f"{_KEY} % 13 = 0", "blindspots": f"{_KEY} % 17 = 0", "target_label": f"{_KEY} % 19 = 0", "scanner": f"{_KEY} % 23 = 0"}
+oracle("scan_profile_rules", "obs_profiles", _V("obs_profiles", "profile_id", _PROFILE_RULES))
+oracle("observation_envelope_rules", "obs_profiles obs_heads", _V("obs_profiles", "profile_id", _PROFILE_RULES | {"input_identity": f"{_KEY} % 7 = 0", "release_status": f"{_KEY} % 10 = 5", "canonical_sha256": f"{_KEY} % 10 = 5", "run_id": f"{_KEY} % 10 = 5"}))
+oracle("scan_validation", "obs_profiles obs_heads", "SELECT profile_id, profile_kind, source_sha256 AS raw_sha256, raw_size, components + 1 AS component_count, dependencies AS dependency_row_count, 'MECHANICALLY_VALID' AS status FROM obs_semantic", _OBS)
+
+_FILE = "CAST(regexp_extract(path, '([0-9]+)', 1) AS INT)"
+oracle("registry_load", "reg_files", f"""SELECT path, kind, problem, problem IS NULL AS admitted FROM (SELECT path, CASE WHEN {_FILE} % 11 = 6 THEN NULL ELSE kind END AS kind, CASE {_FILE} % 11 WHEN 1 THEN 'sha256' WHEN 2 THEN 'kind' WHEN 3 THEN 'kind' WHEN 4 THEN 'keys' WHEN 5 THEN 'json' WHEN 6 THEN 'unpinned' WHEN 7 THEN 'missing' WHEN 8 THEN 'size'
+WHEN 0 THEN CASE WHEN {_FILE} % 2 = 0 THEN 'schema_version' END END AS problem FROM reg_files)""")
+_SOURCE_RULES = {1: ["texts"], 2: ["source_type"], 3: ["upstream_url"], 4: ["floating"], 5: ["archive_sha256"], 6: ["evidence_paths"], 7: ["evidence_cover"], 8: ["scopes"], 9: ["quarantine"], 10: ["purposes"], 11: ["split"], 12: ["use_needs_rights", "use_needs_admission", "phase_one"],
+                 13: ["phase_one"], 14: ["release"], 15: ["rights_decision_ref"], 16: ["triggers"], 17: ["submodules"], 18: ["execute_code"], 19: ["limits"]}
+oracle("registry_entries", "reg_files reg_sources", f"""SELECT path || '#rt1' AS subject, unnest(list_filter([CASE WHEN k % 4 = 0 THEN 'category' END, CASE WHEN k % 3 = 0 THEN 'frozen' END, CASE WHEN k % 7 = 0 THEN 'repeated' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT path, {_FILE} AS k FROM reg_files) WHERE k % 11 IN (1, 6, 7) OR (k % 11 = 0 AND k % 2 = 1)
+UNION ALL SELECT path || '#is' || k, 'identity_kind' FROM (SELECT path, {_FILE} AS k FROM reg_files) WHERE k % 11 = 9 AND k % 2 = 0
+UNION ALL SELECT path || '#ds-' || k, unnest(CASE k % 20 {' '.join(f"WHEN {n} THEN {rules!r}" for n, rules in _SOURCE_RULES.items())} ELSE CAST([] AS VARCHAR[]) END) FROM (SELECT path, {_FILE} AS k FROM reg_sources)""")
+oracle("registry_entry_hashes", "reg_files", f"""SELECT path, 0 AS position, sha256('{{"profile_id":"p' || {_FILE} || '"}}') AS entry_sha256 FROM reg_files WHERE {_FILE} % 11 = 10""")
+_IP = "CAST(substr(profile_id, 4) AS INT) % 16"
+oracle("image_profile_rules", "image_profiles", _V("image_profiles", "profile_id", {"classification": f"{_IP} = 1", "release_notes_url": f"{_IP} = 2", "revisions": f"{_IP} = 3", "image_name": f"{_IP} = 4", "build_timestamp": f"{_IP} = 5", "same_build": f"{_IP} IN (5, 6)", "lanes": f"{_IP} = 7", "build_lane": f"{_IP} = 8", "included": f"{_IP} = 9",
+    "declared_exclusions": f"{_IP} = 10", "limits": f"{_IP} = 11", "payload_suffix": f"{_IP} = 12", "payload_roles": f"{_IP} = 12", "payload_name": f"{_IP} = 13", "payload_sha256": f"{_IP} = 14", "payload_bytes": f"{_IP} = 15"}))
+oracle("issuer_lookups", "vex_signatures issuers", """SELECT vex_document_sha256, issuer_id, CASE WHEN n IS NULL THEN 'unknown' WHEN issuer_id LIKE '%3' THEN 'repeated' WHEN s <> 'ADMITTED_FOR_VEX_INTAKE' THEN 'not admitted' END AS problem
+FROM (SELECT vex_document_sha256, 'is' || regexp_extract(vex_document_sha256, '^0*([0-9]+)$', 1) AS issuer_id FROM vex_signatures) LEFT JOIN (SELECT issuer_id, count(*) AS n, min(status) AS s FROM issuers GROUP BY 1) USING (issuer_id)""")
+oracle("conflict_lookups", "arm_cards card_claims", """SELECT arm_id, conflict_id, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'repeated' END AS problem FROM arm_cards LEFT JOIN (SELECT conflict_id, count(*) AS n FROM card_claims WHERE claim_id = 'cl100' OR conflict_id % 5 = 0 GROUP BY 1) USING (conflict_id)""")
+oracle("profile_lookups", "handoff_sources obs_profiles", """SELECT source_run_id, profile_id, CASE WHEN k % 11 = 0 THEN 'unknown' WHEN k % 10 = 7 THEN 'repeated' END AS problem FROM (SELECT source_run_id, replace(source_run_id, 'run-', 'prof-') AS profile_id, CAST(substr(source_run_id, 5) AS INT) AS k FROM handoff_sources)""")
+
+oracle("finding_provenance", _IMG, """SELECT image, role, relative_path, sha256, size, count(*) AS findings FROM (SELECT image, unnest(evidence_ids) AS evidence_id FROM (SELECT image, evidence_ids FROM img_components UNION ALL SELECT image, evidence_ids FROM img_fields UNION ALL SELECT image, evidence_ids FROM img_files)) JOIN img_evidence USING (image, evidence_id) GROUP BY ALL""", _ROWS)
+_RELEASE = ", ".join(f"""'"{c}":"' || {c} || '"'""" for c in sorted("run_id classification canonical_sha256 build_id artifact_sha256 release_timestamp sbom_author release_id product product_version".split()))
+oracle("input_records", "export_release", f"""SELECT release_id, '{{"build_id":"' || build_id || '","classification":"' || classification || '","release_artifact_sha256":"' || artifact_sha256 || '","release_id":"' || release_id || '","release_record":{{' || concat_ws(',', {_RELEASE}) || '}},"schema_version":"1.0"}}' AS line FROM export_release""")
+oracle("tool_records", "lane_edges", """SELECT run_id, '{"classification":"c","config":null,"lane_identities":[' || string_agg('{"adapter_id":"adapter-' || lane_id || '","adapter_version":"1.0","independence_domain":"' || upper(lane_id) || '","lane_id":"' || lane_id || '"}', ',' ORDER BY lane_id) || '],"model_card":null,"schema_version":"1.0"}' AS line FROM (SELECT DISTINCT lane_id, 'run-' || substr(src, 2, 2) AS run_id FROM lane_edges) GROUP BY run_id""")
+oracle("evaluation_differences", "card_claims", """SELECT 'model:m' AS arm_id, conflict_id, unnest(CASE conflict_id % 8 WHEN 1 THEN ['response_sha256', 'rederived'] WHEN 2 THEN ['advice_sha256', 'rederived'] WHEN 3 THEN ['rederived'] WHEN 4 THEN ['validates'] WHEN 5 THEN ['base64', 'rederived'] WHEN 6 THEN CASE WHEN conflict_id % 16 = 6 THEN CAST([] AS VARCHAR[]) ELSE ['transport'] END ELSE CAST([] AS VARCHAR[]) END) AS rule
+FROM (SELECT DISTINCT conflict_id FROM card_claims) WHERE conflict_id % 40 <> 32 UNION ALL SELECT DISTINCT 'model:m', conflict_id, 'omitted' FROM card_claims WHERE conflict_id % 40 = 32 UNION ALL SELECT 'model:m', NULL, unnest(['results', 'valid', 'rate']) UNION ALL SELECT NULL, NULL, 'safety_gate'""")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corroborate.functions import document
 from corroborate.functions import text as fx
-from corroborate.operators import binding, cluster, evidence, export, gaps, imagegraph, nested, profiles, receipts, reconcile, registry, relations, release, rules, vex
+from corroborate.operators import binding, cluster, evaluation, evidence, export, gaps, imagegraph, nested, observation, pinned, profiles, provenance, receipts, reconcile, registry, relations, release, rules, vex
 from corroborate.plans.carriers import spark_view
 from corroborate.sources import image
 from corroborate.storage import checkpointed
@@ -761,4 +762,141 @@ def image_spdx(img_images, img_inputs, img_manifest, img_native, img_expected, i
     return imagegraph.spdx(graph, _named(graph.heads)).filter("part <> 'membership'")
 
 
+@query
+def semantic_hash(json_bodies):
+    raw = F.col("raw")
+    return json_bodies.select("doc", document.canonical_sha256(raw).alias("canonical"), document.semantic_sha256(raw).alias("semantic"), document.semantic_sha256(raw, [], ["serial_number", "run_id"]).alias("stable"), F.sha2(document.without_top(document.canonical_text(raw), ["serial_number", "run_id"]), 256).alias("body"))
+
+
+@query
+def candidate_round_trip(candidate_lists):
+    return candidate_lists.select("doc", F.array_join(document.candidate_errors(F.col("raw")), ",").alias("errors"))
+
+
+def _scanner(version):
+    return F.struct(F.lit("syft").alias("name"), version.alias("version"), F.lit("c" * 64).alias("binary_sha256"), F.lit("d" * 64).alias("config_sha256")).alias("scanner")
+
+
+def _observed(obs_profiles, obs_heads, obs_components, obs_dependencies):
+    own = obs_profiles.select("*", _scanner(F.col("scanner_version"))).drop("scanner_version")
+    return observation.sealed(own, obs_heads.join(own.select("profile_id", "scanner"), "profile_id"), obs_components, obs_dependencies)
+
+
+@query
+def observations_sealed(obs_profiles, obs_heads, obs_components, obs_dependencies):
+    rows = _observed(obs_profiles, obs_heads, obs_components, obs_dependencies)
+    return rows.select("profile_id", "canonical_sha256", "run_id", F.col("cyclonedx_evidence.semantic_sha256").alias("semantic_sha256"))
+
+
+@query
+def observation_envelope_rules(obs_profiles, obs_heads, obs_components, obs_dependencies):
+    rows = checkpointed(_observed(obs_profiles, obs_heads, obs_components, obs_dependencies))
+    changed = rows.withColumn("release_status", F.when(F.col("profile_id").endswith("5"), "RELEASED").otherwise(F.col("release_status")))
+    return observation.observation_violations(changed)
+
+
+@query
+def scan_profile_rules(obs_profiles):
+    return observation.profile_violations(obs_profiles.select("*", _scanner(F.col("scanner_version"))))
+
+
+@query
+def scan_validation(obs_profiles, obs_heads, obs_components, obs_dependencies):
+    return observation.validation_rows(_observed(obs_profiles, obs_heads, obs_components, obs_dependencies)).drop("semantic_sha256")
+
+
+def _pins(files):
+    return files.select("path", F.sha2("raw", 256).alias("sha256"), "max_bytes", "kind")
+
+
+def _bytes(files):
+    return files.select("path", F.octet_length("raw").alias("size"), F.encode("raw", "UTF-8").alias("content"))
+
+
+@query
+def registry_load(reg_files):
+    case = F.pmod(F.regexp_extract("path", "([0-9]+)", 1).cast("int"), F.lit(11))
+    seen = reg_files.withColumn("raw", F.when(case == 1, F.concat("raw", F.lit(" "))).otherwise(F.col("raw"))).filter(case != 7)
+    pins = _pins(reg_files).withColumn("kind", F.when(case == 3, "vex-issuer-registry").otherwise(F.col("kind"))).filter(case != 6)
+    return pinned.load(_bytes(seen), pins).select("path", "kind", "problem", F.col("body").isNotNull().alias("admitted"))
+
+
+@query
+def registry_entries(reg_files, reg_sources):
+    files = reg_files.unionByName(reg_sources)
+    loaded = checkpointed(pinned.load(_bytes(files), _pins(files)))
+    return pinned.entry_violations(loaded)
+
+
+@query
+def registry_entry_hashes(reg_files):
+    loaded = pinned.load(_bytes(reg_files), _pins(reg_files))
+    return pinned.entries(loaded, "image-profile-registry").select("path", "position", "entry_sha256")
+
+
+@query
+def image_profile_rules(image_profiles, image_payloads):
+    lane = lambda name, domain, fixed: F.struct(F.col(name).alias("lane_id"), F.lit(fixed[0]).alias("adapter_id"), domain.alias("independence_domain"))
+    rows = image_profiles.withColumns({"build": lane("build_lane", F.col("build_domain"), imagegraph.BUILD), "artifact": lane("artifact_lane", F.lit("ARTIFACT_OBSERVATION"), imagegraph.ARTIFACT)})
+    return imagegraph.profile_violations(rows, image_payloads)
+
+
+@query
+def issuer_lookups(vex_signatures, issuers):
+    asked = vex_signatures.select("vex_document_sha256", F.concat(F.lit("is"), F.regexp_extract("vex_document_sha256", "^0*([0-9]+)$", 1)).alias("issuer_id"))
+    return registry.lookups(asked, issuers.union(issuers.filter("issuer_id like '%3'")), "issuer_id", F.col("status") == "ADMITTED_FOR_VEX_INTAKE")
+
+
+@query
+def conflict_lookups(arm_cards, card_claims):
+    return registry.lookups(arm_cards, card_claims.select("conflict_id", "claim_id").filter("claim_id = 'cl100' or conflict_id % 5 = 0"), "conflict_id")
+
+
+@query
+def profile_lookups(handoff_sources, obs_profiles):
+    asked = handoff_sources.select("source_run_id", F.regexp_replace("source_run_id", "run-", "prof-").alias("profile_id"))
+    trusted = obs_profiles.filter("independence_domain <> 'SPOOFED'")
+    return registry.lookups(asked, trusted.union(trusted.filter("profile_id like '%7'")), "profile_id")
+
+
+@query
+def finding_provenance(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends):
+    graph = _graph(img_images, img_inputs, img_manifest, img_native, img_expected, img_observed, img_depends)
+    return provenance.finding_files(graph.findings, imagegraph.evidence(img_images, img_inputs)).drop("finding_id", "lane_id").groupBy("image", "role", "relative_path", "sha256", "size").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query
+def input_records(export_release):
+    return provenance.input_records(export_release)
+
+
+@query
+def tool_records(lane_edges, lanes):
+    kinds = lane_edges.select("lane_id", F.concat(F.lit("run-"), F.substring("src", 2, 2)).alias("run_id")).distinct()
+    return provenance.tool_records(kinds.select("run_id", F.lit("c").alias("classification"), "lane_id", F.concat(F.lit("adapter-"), "lane_id").alias("adapter_id"), F.lit("1.0").alias("adapter_version"), F.upper("lane_id").alias("independence_domain")))
+
+
+@query
+def evaluation_differences(card_claims):
+    cards = checkpointed(evidence.conflict_cards(card_claims))
+    case = F.pmod("conflict_id", F.lit(8))
+    none = F.lit(None).cast("string")
+    advice = evidence.rule_advice(cards).withColumn("action", F.when(case.isin(3, 7), "delete_all").otherwise(F.col("action")))
+    text = F.to_json(F.struct("action", "authority_boundary", "claim_refs", "evidence_refs", "explanation", "questions"))
+    rows = advice.select("conflict_id", text.alias("advice"))
+    response = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(F.struct(F.col("advice").alias("content")).alias("message"))).alias("choices")))
+    changed = F.when(case == 1, F.regexp_replace("response", "claims differ", "claims diffeR")).otherwise(F.col("response"))
+    failed = case.isin(4, 6, 7)
+    rows = rows.withColumn("response", response).select(
+        F.lit("model:m").alias("arm_id"), F.lit("m").alias("model_id"), "conflict_id", F.when(failed, evaluation.FAILED).otherwise(evaluation.VALID).alias("status"), F.lit(5).alias("elapsed_ms"),
+        F.when(case == 2, F.regexp_replace("advice", "claims differ", "claims agree")).when(~failed, F.col("advice")).alias("advice"), F.when(~failed, F.sha2("advice", 256)).alias("advice_sha256"),
+        F.when(case == 5, "***").when(case != 6, F.base64(F.encode(changed, "UTF-8"))).alias("payload"), F.octet_length("response").alias("byte_count"), F.sha2("response", 256).alias("response_sha256"), F.when(case == 6, F.when(F.col("conflict_id") % 16 == 6, "ModelDisabledError").otherwise("Odd")).otherwise(none).alias("error_type"),
+    )
+    rows = rows.withColumn("payload", F.regexp_replace("payload", "[\r\n]", "")).filter(F.pmod("conflict_id", F.lit(40)) != 32)
+    spark = cards.sparkSession
+    recorded = spark.createDataFrame([("model:m", -1, -1, 1.0)], "arm_id string, results long, valid long, rate double")
+    gates = spark.createDataFrame([*evaluation.GATES.items(), ("safety_gate", "PASS")], "gate string, value string")
+    return evaluation.evaluation_differences(rows, cards, recorded, gates)
+
+
 _vex, _nested = vex, nested
