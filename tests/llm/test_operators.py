@@ -281,6 +281,20 @@ def test_templates_both_joins_agree(spark, monkeypatch):
     assert contaminated(spark, texts) == small == {(0, 1), (1, 2)}
 
 
+@pytest.mark.parametrize("plan, broadcast", [(0, 1), (0, 10**6), (10**6, 1)])
+def test_templates_find_repeated_rows_by_any_join(spark, monkeypatch, plan, broadcast):
+    """Fully repeated rows, and items that repeat an id, are found whichever way words and windows are joined."""
+    rows = [(1, LONG), (1, LONG), (1, "another text of the same id"), (2, LONG), (3, "nothing of the kind"), (None, LONG), (None, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, LONG), (7, LONG), (7, ITEMS[1][1]), (8, LONG), (9, None)], "item_id long, text string")
+    want = {(1, 7), (1, 8), (2, 7), (2, 8), (None, 7), (None, 8)}
+    monkeypatch.setattr(templates, "PLAN_WORDS", plan)
+    monkeypatch.setattr(templates, "BROADCAST_WINDOWS", broadcast)
+    assert {(r.doc_id, r.item_id) for r in templates.leaks(docs, benchmark).collect()} == want
+    kept = sorted((r.doc_id, r.text) for r in templates.clean(docs, benchmark).collect())
+    assert kept == [(1, "another text of the same id"), (3, "nothing of the kind")]
+
+
 def test_templates_of_long_rows(spark):
     long = "1,2.5," * 30_000 + ITEMS[1][1] + " word" * 20_000 + " " + "9" * 50_000 + " " + "A b, " * 20_000
     assert contaminated(spark, [long]) == {(0, 2)}
