@@ -21,19 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(own).distinct()
 
 
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """Nodes that keep ``edges`` (a > b) from being stars: those that point to two, or point and are pointed to."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out > 0 and into > 0)")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b; a <> b); the root is the least node of its component.
 
     Each round runs as joins and groupings and is checkpointed in the shared folder; only
-    a count and a checksum reach the driver. The number of rounds grows as the logarithm
-    of the longest chain.
+    whether all are stars reaches the driver. The number of rounds grows as the logarithm
+    of the longest chain; pairs and stars need one.
     """
     edges = checkpointed(edges.filter("a <> b").distinct())
-    state = None
     while True:
-        found = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if found == state or not found[0]:
-            break
-        state = found
         edges = checkpointed(_small_star(_large_star(edges)))
+        if _unfinished(edges).isEmpty():
+            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

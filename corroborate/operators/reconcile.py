@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions.text import UNKNOWN, concrete
 from corroborate.operators.cluster import concrete_hashes
+from corroborate.storage import checkpointed
 
 STATES = ("MATCHED", "CONFLICT", "MISSING_FROM_SBOM", "NOT_IN_RELEASE", "UNKNOWN")
 _FIELDS = ("producer", "name", "version", "identifiers", "hashes", "provenances", "roles", "supplier_hashes")
@@ -34,9 +35,11 @@ def scored_pairs(candidates: DataFrame, population: DataFrame) -> DataFrame:
     """
     left, right = _sides(candidates, population)
     by_id = left.withColumn("i", F.explode("c_identifiers")).join(right.withColumn("i", F.explode("p_identifiers")), "i").drop("i").dropDuplicates(["candidate_id", "population_id"])
-    bare = (F.size("c_identifiers") == 0) | (F.size("p_identifiers") == 0)
     same = [concrete(F.col(f"c_{c}")) == concrete(F.col(f"p_{c}")) for c in ("producer", "name")]
-    pairs = by_id.withColumn("score", F.lit(100)).unionByName(left.join(right, [*same, bare]).withColumn("score", F.lit(10)))
+    # Where both sides have identifiers, names do not count: such rows never meet, however many a producer has.
+    bare_left, bare_right = F.size("c_identifiers") == 0, F.size("p_identifiers") == 0
+    by_name = left.filter(bare_left).join(right, same).unionByName(left.filter(~bare_left).join(right.filter(bare_right), same))
+    pairs = by_id.withColumn("score", F.lit(100)).unionByName(by_name.withColumn("score", F.lit(10)))
     more = F.when(concrete(F.col("c_version")) == F.col("p_version"), 5).otherwise(0)
     for kind, points in (("hashes", 1000), ("provenances", 500), ("roles", 100)):
         more = more + F.when(_overlap(kind), points).otherwise(0)
@@ -70,9 +73,10 @@ def five_states(candidates: DataFrame, population: DataFrame) -> DataFrame:
     In order: a conflict inside the population; an ambiguous match; no match (UNKNOWN where a
     critical field is); the comparison of the one match, where UNKNOWN beats CONFLICT.
     """
-    best = best_matches(candidates, population)
+    population = checkpointed(population)  # read by two joins and once more below
     unknown, differ = _compared()
-    per = best.withColumn("unknown", unknown).withColumn("differ", differ).groupBy("population_id").agg(
+    best = checkpointed(best_matches(candidates, population).select("candidate_id", "population_id", "n_populations", unknown.alias("unknown"), differ.alias("differ")))
+    per = best.groupBy("population_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("n_populations").alias("ties"), F.min("candidate_id").alias("one"), F.first("unknown").alias("unknown"), F.first("differ").alias("differ")
     )
     rows = population.select("population_id", "conflict_fields", "critical_unknown_fields").join(per, "population_id", "left")
