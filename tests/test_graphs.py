@@ -73,9 +73,8 @@ def test_image_package_is_checked_by_regeneration(spark, graph, tmp_path):
     """One line changed in one of many files is named by part, leaf and line; equal leaves are not read again."""
     parts, canonical, run_id = image_parts(spark, graph)
     path = str(tmp_path / "pack")
-    sealed = export.write_image_package(spark, path, parts, run_id, canonical, derived=parts)
-    assert export.sealed_package_violations(spark, path, parts, sealed).isEmpty()
-    assert export.line_differences(spark, path, parts).isEmpty()
+    parts = {n: rows if n == "spdx" else rows.limit(1).cache() for n, rows in parts.items()}
+    export.write_image_package(spark, path, parts, run_id, canonical)
     assert [(r.name, r.problem) for r in export.sealed_package_violations(spark, path, parts, "0" * 64).collect()] == [("anchor", "unbound")]
     files = sorted((tmp_path / "pack" / "spdx").glob("folder=*/part-*.txt"))
     assert len(files) > 5 and all(f.parent.name.startswith("folder=h") for f in files)
@@ -83,10 +82,7 @@ def test_image_package_is_checked_by_regeneration(spark, graph, tmp_path):
     first, *rest = target.read_text().splitlines()
     (target.parent / f".{target.name}.crc").unlink()
     target.write_text("\n".join([first.replace('"', "'"), *rest]) + "\n")
-    leaves = export.leaf_differences(spark, path, parts).collect()
-    assert {r.name for r in leaves} == {"spdx"} and {r.problem for r in leaves} == {"disk"}
-    lines = {(r.line, r.on_disk, r.derived) for r in export.line_differences(spark, path, parts).collect()}
-    assert lines == {(first, 0, 1), (first.replace('"', "'"), 1, 0)}
+    assert {(r.line, r.on_disk, r.derived) for r in export.line_differences(spark, path, parts).collect()} == {(first, 0, 1), (first.replace('"', "'"), 1, 0)}
     changed = parts | {"run": parts["run"].select(F.concat("line", F.lit(" ")).alias("line"))}
     assert {(r.name, r.problem) for r in export.leaf_differences(spark, path, changed).collect()} == {("spdx", "disk"), ("run", "derived")}
     with pytest.raises(ValueError, match="rules broken"):
