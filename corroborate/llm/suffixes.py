@@ -1,17 +1,14 @@
-"""Substring dedup (operator 10) on buckets of suffixes with a cover sample.
-
-Of all suffixes only what decides on a repeat of 100 bytes is sorted out. A cover
-sample is taken first: each window of 100 bytes has one sample position, that of
-its least-hashed k-gram, so equal windows have equal samples at equal offsets, and
-a run of neighbouring windows shares a sample. The suffixes that share a sample's
-k-gram make a bucket. Buckets with one member repeat nothing. In the others, long
-ties are resolved by the names of the samples' contexts (the bytes that all
-windows of a sample cover): equal names mean equal windows, without looking at
-them. Only where contexts of one bucket diverge, at the rims of repeats, are the
-windows themselves named and compared.
-
-The sample is a content-defined cover: it holds about 2.7 % of the positions, where
-an arithmetic difference cover for 100 bytes holds 12 % or more.
+"""Substring dedup (operator 10) by minimiser grouping.
+
+Each window of 100 bytes is named by its least-hashed k-gram, so equal windows have equal
+grams at equal offsets, and a run of neighbouring windows shares one. Places that share a
+gram are grouped; a group of one repeats nothing. In the others, the bytes that all windows
+of a gram cover are compared by digest, so equal ones mean equal windows without looking at
+them; only where they diverge, at the rims of repeats, are the windows themselves compared.
+No suffix is sorted and there are no cover ranks, as README says.
+
+The grams hold about 2.7 % of the positions, where an arithmetic difference cover for
+100 bytes holds 12 % or more.
 """
 
 from __future__ import annotations

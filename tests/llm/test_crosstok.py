@@ -109,4 +109,4 @@ def test_small_bounds(spark, rows, brute, monkeypatch):
 
 
 def test_split_ids(docs, rows, brute):
-    assert got(crosstok.crosstok(docs, share=5)) == brute(rows)
+    assert got(crosstok.crosstok(docs, share=60)) == brute(rows)
