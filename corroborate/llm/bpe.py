@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from corroborate.llm.common import body, slices, table
 
-#: A word's ids, and the same joined by commas.
-Word = tuple[tuple[int, ...], str]
+#: A word's ids, as four bytes each: small to remember, and joined at no cost.
+Word = bytes
+IDS = np.dtype("<i4")
 #: Beyond every id: a pair is left * WIDE + right. END follows each word and is in no rule; GONE marks what a merge took.
 WIDE, END, GONE = 1 << 20, (1 << 20) - 1, -1
-#: Words whose ids a worker remembers (some 250 bytes each); beyond it only those met lately stay.
+#: Words whose ids a worker remembers (some 200 bytes each); beyond it only those met lately stay.
 WORDS_KEPT = 100_000
 #: Bytes of text that are indexed at once (some 90 bytes of index each).
 SLICE = 500_000
@@ -75,7 +76,7 @@ class ByteBpe:
         self.known: dict[str, Word] = {}
         self.older: dict[str, Word] = {}
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[Word]:
         """Ids of each word, by one pass over a pair occurrence index of all of them."""
         if not words:
             return []
@@ -119,13 +120,11 @@ class ByteBpe:
                     else:
                         places[made] = [left]
                         push(active, made)
-        out, n = [], 0
-        flat = [x for x in symbols if x != GONE]
-        for _ in words:
-            end = flat.index(END, n)
-            out.append(flat[n:end])
-            n = end + 1
-        return out
+        flat = np.array(symbols, dtype=IDS)
+        flat = flat[flat != GONE]
+        ends = (np.flatnonzero(flat == END) * IDS.itemsize).tolist()
+        joined = flat.tobytes()
+        return [joined[start:end] for start, end in zip([0, *(e + IDS.itemsize for e in ends)], ends, strict=False)]
 
     def pieces(self, text: str) -> list[str | int]:
         """Words of the text, and the ids of special tokens that stand in it."""
@@ -136,10 +135,6 @@ class ByteBpe:
             out += [self.special[part]] if part in self.special else self.words.findall(part)
         return out
 
-    @staticmethod
-    def _word(ids: list[int]) -> Word:
-        return tuple(ids), ",".join(map(str, ids))
-
     def encode_all(self, texts: list[str], kept: int = WORDS_KEPT) -> Iterator[list[Word]]:
         """The encoded words of each text."""
         pieces = [self.pieces(t) for t in texts]
@@ -149,12 +144,12 @@ class ByteBpe:
         new = []
         for p in set().union(*pieces).difference(known):
             if isinstance(p, int):
-                known[p] = self._word([p])
+                known[p] = np.array([p], dtype=IDS).tobytes()
             elif p in older:
                 known[p] = older[p]
             else:
                 new.append(p)
-        known.update(zip(new, map(self._word, self.encode_words(new)), strict=True))
+        known.update(zip(new, self.encode_words(new), strict=True))
         for ps in pieces:
             yield [known[p] for p in ps]
         for p in new:
@@ -162,10 +157,14 @@ class ByteBpe:
                 del known[p]
 
     @staticmethod
-    def ids(words: list[Word]) -> list[int]:
-        return [i for word in words for i in word[0]]
+    def packed(words: list[Word]) -> np.ndarray:
+        return np.frombuffer(b"".join(words), dtype=IDS)
+
+    @classmethod
+    def ids(cls, words: list[Word]) -> list[int]:
+        return cls.packed(words).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of some ids, special tokens as they are written; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -180,6 +179,13 @@ def tokenizer(name: str) -> ByteBpe:
     return _LOADED[name]
 
 
+def _column(values: tuple, kind: str) -> pa.Array:
+    if kind != "array<int>":
+        return pa.array(values)
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+
+
 def _encoded(docs: DataFrame, vocabulary: str, columns: dict[str, str], of) -> DataFrame:
     """doc_id and ``columns`` (name: type) of every row; ``of`` makes a column's values from (bpe, texts, words of each)."""
     names = list(columns)
@@ -189,7 +195,7 @@ def _encoded(docs: DataFrame, vocabulary: str, columns: dict[str, str], of) -> D
         for batch in slices(batches, 1, SLICE):
             texts = batch.column(1).to_pylist()
             rows = [of(bpe, text, words) for text, words in zip(texts, bpe.encode_all(texts), strict=True)]
-            made = [pa.array(c, pa.list_(pa.int32()) if columns[n] == "array<int>" else None) for n, c in zip(names, zip(*rows, strict=True), strict=True)] if rows else [pa.array([], pa.null())] * len(names)
+            made = [_column(c, columns[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)] if rows else [pa.array([], pa.null())] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
@@ -203,7 +209,7 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     empty and gives no ids; rows may repeat, null ids stay null; other columns are not
     read. Any other text decodes to itself.
     """
-    return _encoded(docs, vocabulary, {"ids": "array<int>", "decoded": "string"}, lambda bpe, _, words: ((ids := bpe.ids(words)), bpe.decode(ids)))
+    return _encoded(docs, vocabulary, {"ids": "array<int>", "decoded": "string"}, lambda bpe, _, words: ((ids := bpe.packed(words)), bpe.decode(ids.tolist())))
 
 
 def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -221,9 +227,9 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
 def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the ids decode to the text) of every row; rules as in encode()."""
 
-    def of(bpe: ByteBpe, text: str, words: list[Word]) -> tuple[int, list[int], bool]:
-        ids = bpe.ids(words)
-        return len(ids), ids, bpe.decode(ids) == text
+    def of(bpe: ByteBpe, text: str, words: list[Word]) -> tuple[int, np.ndarray, bool]:
+        ids = bpe.packed(words)
+        return len(ids), ids, bpe.decode(ids.tolist()) == text
 
     return _encoded(docs, vocabulary, {"n_tokens": "long", "ids": "array<int>", "round_trip": "boolean"}, of)
 
@@ -233,7 +239,7 @@ def encode_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Da
 
     def of(bpe: ByteBpe, _: str, words: list[Word]) -> tuple[int, str, str]:
         ids = bpe.ids(words)
-        listed = ",".join([word[1] for word in words])
+        listed = ",".join(map(str, ids))
         return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest()
 
     return _encoded(docs, vocabulary, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, of)
