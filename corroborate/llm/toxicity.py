@@ -283,7 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     The label model sees all of them. Lexicons and the classifier are fitted on at most ``rows``
     of those that ``labels`` (doc_id, toxic 0/1) names, with the least hash of doc_id; the
     classifier on the model's posteriors. Without labelled rows, or with one class alone, only
-    the fixed lexicon decides. Rows may repeat; other columns are not read.
+    the fixed lexicon decides. Rows may repeat: a text counts once for its doc_id, and at most
+    ``rows`` texts in all, those with the least hash of both; other columns are not read.
     """
     # Workers import this module, too, and need nothing of this.
     from pyspark.ml.classification import LogisticRegression
@@ -294,7 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # A few hundred kilobytes: ``rows`` bounds it.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).filter(~held_out(F.col("doc_id")))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").persist()
+    # A doc_id may have many rows: equal ones count once, and ``rows`` bounds the others, too.
+    keyed = texts.withColumn("th", F.xxhash64("text"))
+    told = keyed.join(F.broadcast(chosen), "doc_id").select("doc_id", "th", "toxic").distinct().orderBy(F.xxhash64("doc_id", "th"), "doc_id", "th").limit(rows)
+    sample = keyed.join(F.broadcast(told), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("toxic", "text").persist()
     try:
         n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         if not 0 < toxic < n:

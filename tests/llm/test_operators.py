@@ -646,6 +646,19 @@ def test_toxicity_without_labels(talk, none):
     assert toxicity.toxicity(none, labels).isEmpty()
 
 
+def test_toxicity_sample_is_bounded_by_texts(spark, talk, monkeypatch):
+    docs, labels = talk
+    hot = next(r for r in range(1, 100) if zlib.crc32(str(r).encode()) % 5 and r % 5)
+    many = spark.range(3000).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("row "), F.col("id") % 1000).alias("text"), F.lit("x").alias("toxic"))
+    seen, observed = [], toxicity._observed
+    monkeypatch.setattr(toxicity, "_observed", lambda sample, *rest: seen.append(sample.count()) or observed(sample, *rest))
+    alone = labels.filter(F.col("doc_id").isin(hot, *(r for r in range(0, 300, 5))))
+    for rows in (100, 5000):
+        toxicity.fit(docs.unionByName(many), alone, rows=rows)
+    own = sum(zlib.crc32(str(r).encode()) % 5 != 0 for r in range(0, 300, 5))
+    assert seen == [100, 1000 + 1 + own]  # 3000 rows hold 1000 texts; the document has one of its own
+
+
 def test_label_model_finds_accuracies_and_correlations():
     """Planted rates of firing and within-class correlations come back within 0.05, from agreements alone."""
     rng = np.random.default_rng(6)
