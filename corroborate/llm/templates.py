@@ -28,7 +28,7 @@ LEAST_FIXED = 6
 LITERAL_BELOW, WHOLE_BELOW = 4, 4
 #: Words by which a passage may shift inside an item (inserted and dropped words) and still count as one.
 DRIFT = 8
-#: Windows that stand in items more often than this do not find an item that has others.
+#: Windows that stand in items more often than this are joined last where they cannot find an item alone; no result depends on it.
 COMMON = 256
 #: Items' windows are broadcast, and their words written into the plan, up to these numbers (about 25 MB and 1 MB); beyond, both are joined by shuffles.
 BROADCAST_WINDOWS, PLAN_WORDS = 100_000, 50_000
@@ -156,10 +156,11 @@ def _items(benchmark: DataFrame, known: DataFrame, in_plan: list[str] | None) ->
 
 
 def _asked_windows(items: DataFrame, kind: int, lengths: list[int]) -> DataFrame:
-    """(class, window, item_at, length, asked, whole, whole_fixed) of the classes of ``kind``.
+    """(class, window, item_at, length, asked, whole, whole_fixed, late) of the classes of ``kind``.
 
-    Windows that stand in more than COMMON places count only where a class has no rarer ones;
-    whole and whole_fixed are the words, and fixed ones, that the windows cover.
+    whole and whole_fixed are the words, and fixed ones, of the class. late marks windows that
+    stand in more than COMMON places, of a class whose windows of that sort cover too few words
+    to find it: they count only where a document holds a rarer window of the class.
     """
     classes = items.filter(F.col("kind") == kind).dropDuplicates(["class"]).select("class", F.col("words").alias("marked"))
     rows = _hashed(classes, ["class"], kind)
@@ -168,13 +169,13 @@ def _asked_windows(items: DataFrame, kind: int, lengths: list[int]) -> DataFrame
     for n in lengths:
         window = F.when(length == n, _window(n)).otherwise(window)
     each = rows.select("class", "words", length.alias("length"), window.alias("windows")).select("class", "words", "length", F.posexplode("windows").alias("item_at", "window"))
-    each = each.withColumn("spread", F.count(F.lit(1)).over(Window.partitionBy("window")))
-    own = Window.partitionBy("class")
-    each = each.withColumn("least", F.min("spread").over(own)).filter((F.col("spread") <= COMMON) | (F.col("spread") == F.col("least")))
-    each = each.withColumn("places", F.collect_set("item_at").over(own))
-    covered = F.filter("words", lambda w, i: F.exists("places", lambda at: (at <= i) & (i < at + F.col("length"))))
-    each = each.select("class", "window", "item_at", "length", F.slice("words", F.col("item_at") + 1, F.col("length")).alias("asked"), covered.alias("covered"))
-    return each.select("class", "window", "item_at", "length", "asked", F.size("covered").alias("whole"), F.size(F.filter("covered", _is_fixed)).alias("whole_fixed"))
+    spread = each.groupBy("window").agg(F.count(F.lit(1)).alias("spread"))
+    each = each.join(spread, "window")
+    each = each.withColumn("common", F.collect_set(F.when(F.col("spread") > COMMON, F.col("item_at"))).over(Window.partitionBy("class")))
+    covered = F.filter("words", lambda w, i: F.exists("common", lambda at: (at <= i) & (i < at + F.col("length"))))
+    late = (F.col("spread") > COMMON) & (F.size(covered) < F.least(F.lit(LEAST_WORDS), F.size("words")))
+    asked = F.slice("words", F.col("item_at") + 1, F.col("length"))
+    return each.select("class", "window", "item_at", "length", asked.alias("asked"), F.size("words").alias("whole"), F.size(F.filter("words", _is_fixed)).alias("whole_fixed"), late.alias("late"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -184,8 +185,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item if windows of one passage (words may be inserted or dropped) cover LEAST_WORDS words
     of its template or the whole of a shorter one. Items of fewer than WINDOW words are
     searched for by their own length, those with hardly a fixed word as plain words, and those
-    of fewer than WHOLE_BELOW words only as whole documents. Windows that stand in items more
-    than COMMON times find none that has others, and do not count as asked. Null texts are empty and hold
+    of fewer than WHOLE_BELOW words only as whole documents. All windows count, however many
+    items share them. Null texts are empty and hold
     nothing, and an empty benchmark finds nothing. Rows may repeat; other columns are not read.
     """
     known = vocabulary(benchmark)
@@ -212,15 +213,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _found(marked: DataFrame, items: DataFrame, kind: int, lengths: list[int]) -> DataFrame:
     """(doc_id, th, class, n_words, n_fixed, consistent) of the classes of one kind that documents hold."""
     asked = checkpointed(_asked_windows(items, kind, lengths))
-    small = asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
     keys = ["doc_id", "th"]
     texts = _windows(marked, keys, kind, lengths)
-    said = F.slice("words", F.col("at") + 1, F.col("length")).alias("said")
-    if small:
-        met = texts.join(F.broadcast(asked), "window").select(*keys, "class", "whole", "whole_fixed", "item_at", "at", "asked", said)
-    else:
-        met = texts.select(*keys, "window", "at", F.slice("words", F.col("at") + 1, WINDOW).alias("said")).join(asked, "window").withColumn("said", F.slice("said", F.lit(1), F.col("length")))
+    said = lambda length: F.slice("words", F.col("at") + 1, length)
+    met_columns = [*keys, "class", "whole", "whole_fixed", "item_at", "at", "asked", "said"]
+
+    def joined(asked: DataFrame) -> DataFrame:
+        if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+            return texts.join(F.broadcast(asked), "window").withColumn("said", said(F.col("length"))).select(met_columns)
+        met = texts.select(*keys, "window", "at", said(WINDOW).alias("said")).join(asked, "window")
+        return met.withColumn("said", F.slice("said", F.lit(1), F.col("length"))).select(met_columns)
+
+    met = joined(asked.filter(~F.col("late")))
+    late = asked.filter("late")
+    if not late.isEmpty():
+        # A class that is found holds a word that no late window covers, so a window that is not late.
+        met = checkpointed(met)
+        where = met.select(*keys, "class").distinct().join(late, "class").withColumnsRenamed({"doc_id": "id", "th": "hash", "window": "wanted"})
+        own = texts.select(*keys, "window", "at", said(WINDOW).alias("said")).join(late.select("window").distinct(), "window", "left_semi")
+        same = (F.col("window") == F.col("wanted")) & (F.col("th") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
+        met = met.unionByName(own.join(where, same).withColumn("said", F.slice("said", F.lit(1), F.col("length"))).select(met_columns))
     # A passage's windows have neighbouring shifts: each is counted in two bands of shifts, one of which holds it whole.
     shift = F.col("at") - F.col("item_at")
     bands = F.array(*(F.floor((shift + o * DRIFT) / (2 * DRIFT)) * 2 + o for o in (0, 1)))

@@ -281,6 +281,21 @@ def test_templates_both_joins_agree(spark, monkeypatch):
     assert contaminated(spark, texts) == small == {(0, 1), (1, 2)}
 
 
+@pytest.mark.parametrize("common, broadcast", [(256, 10**6), (256, 1), (1, 10**6), (10**6, 10**6)])
+def test_windows_of_many_items_count(spark, monkeypatch, common, broadcast):
+    """What 300 items share finds each of them where it is enough, and counts beside an item's own words where it is not."""
+    monkeypatch.setattr(templates, "COMMON", common)
+    monkeypatch.setattr(templates, "BROADCAST_WINDOWS", broadcast)
+    words = lambda name, n: [name + "abcdefghijklmnopqrstuvwxyz"[i] for i in range(n)]
+    own = lambda n: words("own" + "".join("abcdefghij"[int(d)] for d in str(n)), 12)
+    long, short = words("long", 20), words("short", 10)
+    items = [(n, " ".join(long + own(n))) for n in range(300)] + [(n, " ".join(short + own(n))) for n in range(300, 600)]
+    texts = [" ".join(long[2:18]), " ".join(short + own(400)[:3]), " ".join(short), " ".join(own(401)), None]
+    docs = spark.createDataFrame([(n if n != 1 else None, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.n_words for r in templates.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(0, n): 16 for n in range(300)} | {(None, 400): 13}
+
+
 @pytest.mark.parametrize("plan, broadcast", [(0, 1), (0, 10**6), (10**6, 1)])
 def test_templates_find_repeated_rows_by_any_join(spark, monkeypatch, plan, broadcast):
     """Fully repeated rows, and items that repeat an id, are found whichever way words and windows are joined."""
