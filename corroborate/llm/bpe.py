@@ -32,7 +32,7 @@ IDS = np.dtype("<i4")
 #: Beyond every id: a pair is left * WIDE + right. END follows each word and is in no rule; GONE marks what a merge took.
 WIDE, END, GONE = 1 << 20, (1 << 20) - 1, -1
 #: Words whose ids a worker remembers (some 200 bytes each); beyond it only those met lately stay.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 400_000
 #: Bytes of text that are indexed at once (some 90 bytes of index each).
 SLICE = 500_000
 #: Longer runs (no space for thousands of characters) are encoded but not remembered.

@@ -54,6 +54,17 @@ def test_bpe_on_random_text():
     assert [own.ids(w) for w in own.encode_all(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_indexes_words_once(monkeypatch):
+    """A vocabulary of 150,000 words that comes again is remembered, not indexed again."""
+    made, met = bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), []
+    index = made.encode_words
+    monkeypatch.setattr(made, "encode_words", lambda words: met.append(len(words)) or index(words))
+    texts = [" ".join(f"w{n}" for n in range(at, at + 50_000)) for at in range(0, 150_000, 50_000)]
+    first = [made.ids(w) for t in texts for w in made.encode_all([t])]
+    again = [made.ids(w) for t in texts for w in made.encode_all([t])]
+    assert first == again and sum(met) <= 150_003
+
+
 def test_bpe_decodes_ids_alone(spark, docs, rows):
     ids = bpe.encode(docs).select("doc_id", "ids")
     assert Counter(r.text for r in bpe.decode(ids).collect()) == Counter(t or "" for _, t in rows)
