@@ -551,6 +551,23 @@ def test_near_dedup_finds_every_pair_of_large_groups(spark):
     assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == want
 
 
+def test_near_dedup_by_fingerprints_and_without_a_square_of_pairs(spark, monkeypatch):
+    """Multi-index hashing finds copies with one word changed; a group of 600 just below 0.8 leaves few of its 179,700 pairs to look up."""
+    rng, met = np.random.default_rng(3), []
+    long, base = [f"l{n}" for n in range(2000)], [f"b{n}" for n in range(200)]
+    texts = [" ".join([*long[:n], "edited", *long[n + 1 :]]) for n in range(1, 4)]
+    for _ in range(600):
+        words = list(base)
+        for at in rng.integers(0, 200, 4):
+            words[at] = f"v{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *more: met.append(pairs.count()) or verified(pairs, *more))
+    kept = sorted(r.doc_id for r in similar.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert kept == [n for n, r in enumerate(jaccard_groups(texts)) if n == r]
+    assert met[0] >= 2 and sum(met) < 60_000
+
+
 def test_near_dedup_keeps_what_is_not_similar(spark):
     words = [f"w{n}" for n in range(104)]
     texts = [" ".join(words), " ".join([*words[:92], *(f"x{n}" for n in range(12))])]  # 88 of 112 shingles: 0.786
