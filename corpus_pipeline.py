@@ -17,6 +17,14 @@ def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+def _files_end(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of each action of the session when it ends, not when the driver happens to collect its garbage.
+
+    Steps rest on checkpoints, so no later one reads them.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 # Rules for nulls, empty and long texts, repeated rows, empty tables and further columns are those of the
 # operators that the stages call; each stage says what becomes of them.
 
@@ -36,6 +44,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of 0.8 or more on five-word shingles; texts without words all stay, fully repeated rows stay together."""
     _small_batches(spark)
+    _files_end(spark)
     return similar.keep_one(docs, words=5, similarity=0.8)
 
 

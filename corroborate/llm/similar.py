@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -127,6 +127,13 @@ def _buckets(met: DataFrame, *more: Column) -> DataFrame:
     return checkpointed(sizes.filter("low < high").drop("low", "high"))
 
 
+def _meeting(met: DataFrame) -> DataFrame:
+    """The rows of ``met`` (token, node, k, root) in buckets in which different roots meet, with n, the bucket's rows; ``met`` is shuffled once."""
+    bucket = Window.partitionBy("token")
+    sized = met.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
+    return checkpointed(sized.filter("low < high").drop("low", "high"))
+
+
 def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
     """Columns of a batch, and the bitmaps if it has them."""
     bits = [batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)] if "bits" in batch.schema.names else []
@@ -327,7 +334,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     roots = components(found)
     side = rows.select("node", "bits").dropDuplicates(["node"])
     met = _named(rows.select("node", "k", "prefix"), roots).select("node", "k", "root", F.explode("prefix").alias("token"))
-    met = checkpointed(met.join(hinted(_buckets(met)), "token"))
+    met = _meeting(met)
     more = _verified(_first_met(met, side, similarity), texts, words, similarity)
     if not more.isEmpty():
         found = checkpointed(found.union(more))

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -825,3 +827,39 @@ def test_near_dedup_recall_of_pairs_and_groups(spark):
     want = [n for n, r in enumerate(jaccard_groups(texts)) if n == r]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == want
+
+
+def test_near_dedup_rows_meet_in_one_shuffle(spark):
+    """Rows of buckets in which different roots meet, with the bucket's size, after one shuffle and without a join."""
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(t), int(n), int(n) << 32, int(n) // 3) for t, n in zip(rng.integers(0, 400, 900), rng.integers(0, 60, 900), strict=True)})
+    met = spark.createDataFrame(rows, "token long, node long, k long, root long")
+    plans, checkpoint = [], similar.checkpointed
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(similar, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or checkpoint(df))
+        got = sorted(tuple(r) for r in similar._meeting(met).collect())
+    buckets = defaultdict(list)
+    for r in rows:
+        buckets[r[0]].append(r)
+    assert got == sorted((*r, len(b)) for b in buckets.values() if len({x[3] for x in b}) > 1 for r in b)
+    assert len(plans) == 1 and plans[0].count("Exchange ") == 1 and "Join" not in plans[0]
+
+
+def test_near_dedup_stage_deletes_shuffle_files(spark, docs):
+    """Of the shuffles that the stage makes, few have files when it has ended (a task of a step that was cut short may write one later)."""
+    import corpus_pipeline
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    number = spark.sparkContext._jsc.sc().newShuffleId
+    first = number()
+    corpus_pipeline.near_dedup(spark, docs, "")
+    made = number() - first - 1
+
+    def left():
+        found = (re.match(r"shuffle_(\d+)_.*data$", name) for top in folders for _, _, names in os.walk(top) for name in names)
+        return {int(m[1]) for m in found if m and int(m[1]) > first}
+
+    ends = time.time() + 10  # files go a moment later
+    while len(left()) > made // 10 and time.time() < ends:
+        time.sleep(0.1)
+    assert made >= 20 and len(left()) <= made // 10, sorted(left())
