@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -36,6 +37,8 @@ SYMBOLS = 255
 CHUNK_BYTES, BLOCK_BYTES = 16_000_000, 2_000_000
 #: Words a task holds before it hands on their counts.
 WORDS_HELD = 300_000
+#: Entries of a table that several levels of the trie share.
+SMALL_TABLE = 1_000_000
 #: Entries of a table from gram codes to gram numbers; beyond it codes are sorted.
 TABLE = 16_000_000
 #: Keys: grams are below 2^56, words have bit 62, the end of texts is a word of its own.
@@ -56,10 +59,15 @@ def grams(symbols: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarr
     dense[present] = np.arange(len(present))
     last, width = dense[symbols], len(present)
     ids, keys = last, present.astype(np.int64)
-    for level in range(1, order + 1):
-        size = len(keys) * width
+    level = 0
+    while level < order:
+        steps, size = 1, len(keys) * width
+        while level + steps < order and size * width <= SMALL_TABLE:
+            steps, size = steps + 1, size * width
         if size <= TABLE:
-            code = ids[:-1] * np.int32(width) + last[level:]
+            code = ids[: len(ids) - steps]
+            for n in range(1, steps + 1):
+                code = code * np.int32(width) + last[level + n : len(last) - steps + n]
             seen = np.zeros(size, dtype=bool)
             seen[code] = True
             distinct = np.flatnonzero(seen)
@@ -67,9 +75,12 @@ def grams(symbols: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarr
             number[distinct] = np.arange(len(distinct), dtype=np.int32)
             ids = number[code]
         else:
-            distinct, ids = np.unique(ids[:-1].astype(np.int64) * width + last[level:], return_inverse=True)
+            distinct, ids = np.unique(ids[:-1].astype(np.int64) * width + last[level + 1 :], return_inverse=True)
             ids = ids.astype(np.int32)
-        keys = keys[distinct // width] << 8 | present[distinct % width]
+        keys = keys[distinct // width**steps]
+        for n in reversed(range(steps)):
+            keys = keys << 8 | present[distinct // width**n % width]
+        level += steps
     return keys, ids
 
 
@@ -94,8 +105,22 @@ def coded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return keys, ids, np.cumsum(sizes) - sizes
 
 
-def _lowered(column: pa.Array) -> list[bytes]:
-    return [t.encode("utf-8").lower() for t in column.to_pylist()]
+def _lowered(column: pa.Array) -> pa.Array:
+    """Texts with A-Z lowered."""
+    return pc.ascii_lower(column)
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the number of the one at each place, and where each text's words begin and the last ones end."""
+    split = pc.ascii_split_whitespace(texts)
+    found, ends = split.flatten(), np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()])
+    real = pc.not_equal(found, "").to_numpy(zero_copy_only=False)  # white space at a text's rim leaves empty ones
+    coded = (found if real.all() else found.filter(pa.array(real))).dictionary_encode()
+    return _bytes(coded.dictionary), coded.indices.to_numpy(), np.r_[0, np.cumsum(real)][ends]
 
 
 def _counts(order: int):
@@ -111,16 +136,17 @@ def _counts(order: int):
             yield out([word_key(w) for w in words], list(words.values()))
             words.clear()
 
-        for batch in slices(batches, 1):
-            training, texts = batch.column(0).to_pylist(), _lowered(batch.column(1))
-            for start, end in blocks(texts):
-                keys, ids, begin = coded(texts[start:end], order)
-                weight = np.zeros(len(ids), dtype=bool)
-                for at, trains, text in zip(begin.tolist(), training[start:end], texts[start:end], strict=True):
-                    weight[at : at + len(text) + 1] = trains
-                n = np.bincount(ids[weight], minlength=len(keys))
-                ours = keys & 0xFF != PAD
-                yield out(keys[ours], n[ours])
+        for batch in slices(batches, 1):  # of 4 MB: larger blocks hand on fewer counts
+            if not batch.num_rows:
+                continue
+            training, texts = batch.column(0).to_pylist(), _bytes(_lowered(batch.column(1)))
+            keys, ids, begin = coded(texts, order)
+            weight = np.zeros(len(ids), dtype=bool)
+            for at, trains, text in zip(begin.tolist(), training, texts, strict=True):
+                weight[at : at + len(text) + 1] = trains
+            n = np.bincount(ids[weight], minlength=len(keys))
+            ours = keys & 0xFF != PAD
+            yield out(keys[ours], n[ours])
             for trains, text in zip(training, texts, strict=True):
                 if trains:
                     words.update(text.split())
@@ -139,10 +165,11 @@ def _asked(order: int):
     """The distinct keys of one chunk of (chunk, doc_id, held_out, text)."""
 
     def run(chunk: tuple, texts: pa.Table) -> pa.Table:
-        data = _lowered(texts["text"])
+        lowered = _lowered(texts["text"].combine_chunks())
+        data = _bytes(lowered)
         found = [keys[keys & 0xFF != PAD] for keys, _, _ in (coded(data[start:end], order) for start, end in blocks(data))]
-        words = {END_WORD, *map(word_key, set().union(*(t.split() for t in data)))}
-        keys = np.concatenate([np.unique(np.concatenate(found)), np.fromiter(words, dtype=np.int64, count=len(words))])
+        words = [END_WORD, *map(word_key, words_of(lowered)[0])]
+        keys = np.concatenate([np.unique(np.concatenate(found)), np.unique(np.array(words, dtype=np.int64))])
         return pa.table({"chunk": pa.array(np.full(len(keys), chunk[0].as_py()), pa.int32()), "key": pa.array(keys)})
 
     return run
@@ -152,7 +179,8 @@ def _scored(order: int, total: int, distinct: int):
     """Scores of one chunk's texts, with the chunk's part of the model (key, value: log10 of a gram's probability, or a word's count)."""
 
     def run(chunk: tuple, texts: pa.Table, model: pa.Table) -> pa.Table:
-        data, n_texts = _lowered(texts["text"]), texts.num_rows
+        lowered, n_texts = _lowered(texts["text"].combine_chunks()), texts.num_rows
+        data = _bytes(lowered)
         keys, values = model["key"].to_numpy(), model["value"].to_numpy()
         by_key = np.argsort(keys)
         keys, values = keys[by_key], values[by_key]
@@ -161,16 +189,13 @@ def _scored(order: int, total: int, distinct: int):
             own, ids, begin = coded(data[start:end], order)
             value = np.where(own & 0xFF == PAD, 0.0, values[np.minimum(np.searchsorted(keys, own), len(keys) - 1)])
             scores[start:end] = np.add.reduceat(value[ids], begin)
-        words = list(set().union(*(t.split() for t in data)))
+        words, at, begin = words_of(lowered)
         counts = values[np.searchsorted(keys, np.array([*map(word_key, words), END_WORD], dtype=np.int64))]
         logs = np.log10((counts + 1) / (total + distinct + 1))
-        log = dict(zip(words, logs[:-1].tolist(), strict=True))
-        never, end = float(np.log10(1 / (total + distinct + 1))), float(logs[-1])
-        rows = []
-        for text in data:
-            own = [*map(log.__getitem__, text.split()), end]
-            rows.append((len(own), len(own) - own.count(never), math.fsum(own)))
-        n_tokens, n_known, base = zip(*rows, strict=True)
+        known, each = np.r_[0, np.cumsum(counts[:-1][at] > 0)], logs[:-1][at]
+        bounds, end = begin.tolist(), float(logs[-1])
+        n_tokens, n_known = np.diff(begin) + 1, np.diff(known[begin]) + int(counts[-1] > 0)
+        base = [math.fsum([*each[a:b].tolist(), end]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table(
             {
                 "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),

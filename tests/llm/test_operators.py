@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -250,6 +251,14 @@ def test_ppm_without_training(docs, none):
     assert ppm.score_texts(none, F.lit(False)).isEmpty()
 
 
+def test_ppm_words_are_those_of_split(rows):
+    """Words of a block of texts, numbered at once, against bytes.split() of each text."""
+    texts = [lowered(t or "") for _, t in rows] + ["", " ", "\x0b\x0c a\r\n\tb  a ", "a\x85b\x1cc\xa0d a\u2003e\x00 f", "\x1f", "É é"]
+    for some in (texts, ["", " \t"], []):
+        words, at, begin = ppm.words_of(pa.array(some, pa.string()))
+        assert len(set(words)) == len(words) and [[words[n] for n in at[a:b]] for a, b in zip(begin[:-1], begin[1:], strict=True)] == [t.encode().split() for t in some]
+
+
 def test_ppm_scores_with_five_bytes(docs):
     some, every = docs.filter("doc_id < 12"), F.lit(True)
     assert pairs(ppm.score_texts(some, every), "doc_id", "score") == pairs(ppm.score_texts(some, every, 5), "doc_id", "score")
