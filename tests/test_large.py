@@ -1,7 +1,11 @@
 """What only larger tables showed: merged components, names that many components have, rules of many documents."""
 
+import random
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from corroborate.operators import reconcile
 from corroborate.plans import queries
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
@@ -18,3 +22,50 @@ def test_a_root_whose_evidence_differs_is_named_by_its_release(spark):
     found = {r.part: (r.n, r.root) for r in queries.cyclonedx_document(records, edges, lanes, release).collect()}
     assert found == {"head": (1, "n application"), "components": (1, ""), "dependencies": (2, ""), "properties": (1, ""), "errors": (0, "")}
     assert {r.part: r.n for r in queries.export_resolves(records, edges, lanes, release).collect()} == {"head": 4, "agents": 2, "packages": 2, "relationships": 1, "membership": 7, "unresolved": 0}
+
+
+SIDE = "producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
+
+
+def sides(spark, candidates, population):
+    none = F.array().cast("array<string>")
+    rows = spark.createDataFrame(population, "population_id string, " + SIDE).withColumns({"supplier_hashes": none, "conflict_fields": none, "critical_unknown_fields": none})
+    return spark.createDataFrame(candidates, "candidate_id string, " + SIDE), rows
+
+
+def test_names_of_many_components_make_no_pairs(spark):
+    row = lambda i: (f"x{i:04}", "P", "n", str(i), [], [], ["source:s"], ["LIBRARY"])
+    candidates, population = sides(spark, [row(i) for i in range(700)], [row(i + 10_000) for i in range(700)])
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    found = reconcile.five_states(candidates, population)
+    assert {(r.status, *r.details): r.n for r in found.groupBy("status", "details").agg(F.count("*").alias("n")).collect()} == {("UNKNOWN", "ambiguous_identity"): 700}
+    assert size() - before < 5_000_000  # 490,000 pairs tie
+
+
+def test_best_matches_are_those_of_all_pairs(spark):
+    rng = random.Random(7)
+    some = lambda values, most: rng.sample(values, rng.randint(0, most))
+
+    def row(name):
+        return (name, rng.choice(["P", "Q", "UNKNOWN"]), rng.choice(["n", "m", "UNKNOWN"]), rng.choice(["1", "2", "UNKNOWN"]), some(["i1", "i2", "i3", "i4"], 2), some(["h1", "h2", "h3"], 2) if rng.random() < 0.3 else [], some(["s1", "s2"], 2), some(["r1", "r2"], 2))
+
+    left, right = [row(f"c{i}") for i in range(60)], [row(f"p{i}") for i in range(60)]
+    want = set()
+    for c in left:
+        scores = {}
+        for p in right:
+            shared = [bool(set(c[k]) & set(p[k])) for k in (4, 5, 6, 7)]
+            if shared[0] or (not c[4] or not p[4]) and c[1] == p[1] != "UNKNOWN" and c[2] == p[2] != "UNKNOWN":
+                scores[p[0]] = (100 if shared[0] else 10) + 5 * (c[3] == p[3] != "UNKNOWN") + 1000 * shared[1] + 500 * shared[2] + 100 * shared[3]
+        best = [p for p, score in scores.items() if score == max(scores.values())]
+        want |= {(c[0], p, scores[p], len(best)) for p in best}
+    found = [tuple(r) for r in reconcile.best_matches(*sides(spark, left, right)).select("candidate_id", "population_id", "score", "n_populations").collect()]
+    assert sorted(found) == sorted(want) and len({r[3] for r in want}) > 5
+    # The five states come to the same counts as these pairs.
+    candidates, population = sides(spark, left, right)
+    ambiguous = {p for _, p, _, ties in want if ties > 1} | {p for p in (r[1] for r in want) if sum(r[1] == p for r in want) > 1}
+    states = reconcile.five_states(candidates, population).collect()
+    assert {r.population_id for r in states if r.details == ["ambiguous_identity"]} == ambiguous
+    assert {r.candidate_id for r in states if r.population_id is None} == {c[0] for c in left} - {r[0] for r in want}
