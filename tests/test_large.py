@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from corroborate.operators import reconcile
+from corroborate.operators import reconcile, vex
 from corroborate.plans import queries
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
@@ -69,3 +69,46 @@ def test_best_matches_are_those_of_all_pairs(spark):
     states = reconcile.five_states(candidates, population).collect()
     assert {r.population_id for r in states if r.details == ["ambiguous_identity"]} == ambiguous
     assert {r.candidate_id for r in states if r.population_id is None} == {c[0] for c in left} - {r[0] for r in want}
+
+
+STATEMENT = "vex_document_sha256 string, position long, statement_id string, vex_format string, issuer_id string, vulnerability_id string, status string, justification string, detail string, first_issued_utc string, last_updated_utc string, purls array<string>"
+
+
+def statements(spark):
+    said = lambda doc, i, status: (doc * 64, i, f"s{doc}{i}", "openvex", "who", f"V-{i % 3}", status, None, None, None, None, [f"pkg:generic/p{i}?arch=a"])
+    return spark.createDataFrame([said(doc, i, "not_affected" if i % 4 else "affected") for doc in "ab" for i in range(9)], STATEMENT)
+
+
+def asked(spark):
+    rows = [("h1", "c" * 64, i, f"hit{i}", f"V-{i % 3}", f"pkg:generic/p{i}?arch=a&x=1", "affected", "abe"[i % 3] * 64) for i in range(12)]
+    return spark.createDataFrame(rows, "handoff_id string, cyclonedx_sha256 string, position long, hit_id string, vulnerability_id string, purl string, original_status string, vex_document_sha256 string")
+
+
+def test_statements_are_not_shuffled_for_two_receipts_at_once(spark):
+    rows = statements(spark)
+    receipts = vex.intake_receipts(rows, spark.createDataFrame([(d * 64, "5" * 64, "6" * 64) for d in "ab"], "vex_document_sha256 string, signature_sha256 string, binary_sha256 string"))
+    changed = rows.withColumn("issuer_id", F.when(F.col("vex_document_sha256").startswith("b"), "else").otherwise(F.col("issuer_id")))
+    broken = vex.binding_violations(receipts, changed)
+    assert sorted((r[0][0], r.rule) for r in broken.collect()) == [("b", "issuer_id"), ("b", "statements_canonical_sha256")]
+    assert "MapInArrow" not in broken._jdf.queryExecution().toString()  # both hashes are made before they are compared
+    found = vex.narrow_bound(asked(spark), changed, receipts)
+    # Every third hit names document a, the others b, which is changed, or e, which is not there.
+    want = lambda i: (False, vex.BINDING_FAILED, 0) if i % 3 else (False, vex.NO_MATCH, 0) if i >= 9 else (True, None, 1) if i % 4 else (False, vex.CONTRADICTORY, 1)
+    assert {r.hit_id: (r.narrowed, r.reason, r.n_statements) for r in found.collect()} == {f"hit{i}": want(i) for i in range(12)}
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_decisions_are_read_once_for_a_receipt(spark):
+    hits = asked(spark).withColumn("cyclonedx_sha256", F.when(F.col("position") < 4, "d" * 64).otherwise("c" * 64))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    decisions = vex.narrow(hits, statements(spark)).mapInArrow(counted, vex.narrow(hits, statements(spark)).schema)
+    bound = queries._bindings(hits)
+    found = {(r.handoff_id, r.cyclonedx_sha256[0], r.total_hits, r.narrowed_count, r.not_narrowed_count) for r in vex.narrowing_receipts(decisions, bound).collect()}
+    assert found == {("h1", "d", 4, 3, 1), ("h1", "c", 8, 3, 5)}
+    assert read.value == 12
