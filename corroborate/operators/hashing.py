@@ -3,45 +3,70 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What list_sha256() counts of each document beside its hash: rows by a value, and those of them with a flag.
+TALLY = "array<struct<value: string, rows: long, flagged: long>>"
+
+
 def sorted_sha256(lines: DataFrame, order: list[str]) -> DataFrame:
-    """(key, h): hash of ``before``, the lines joined by commas, and ``after``, of each key.
+    """(key, h, tally): hash of ``before``, the lines joined by commas, and ``after``, of each key.
 
-    ``lines``: key (string), line, before and after (the same in all rows of a key), and the
-    columns of ``order``. A key's lines are sorted by Spark, which spills, and hashed as they
-    come, so no row holds them all. SHA-256 is a chain, so one task reads a key: a key is a
+    ``lines``: key (string), line, before and after (the same in all rows of a key), the
+    columns of ``order``, and perhaps value and flag, which are counted in tally. A key's lines are sorted by Spark,
+    which spills, and hashed as they come, so no row holds them all. SHA-256 is a chain, so one task reads a key: a key is a
     document of bounded size, or a bucket of tree_sha256().
     """
+    counted = ["value", "flag"] if "value" in lines.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = lambda k, h, end: pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(h.update(end.encode()), h.hexdigest())[1]])], names=["key", "h"])
-        key, state, end = None, None, ""
+        schema = pa.schema([("key", pa.string()), ("h", pa.string()), ("tally", pa.list_(pa.struct([("value", pa.string()), ("rows", pa.int64()), ("flagged", pa.int64())])))])
+
+        def done() -> pa.RecordBatch:
+            state.update(end.encode())
+            totals = [{"value": v, "rows": sum(n for (w, _), n in tally.items() if w == v), "flagged": tally[v, True]} for v in dict.fromkeys(v for v, _ in tally)]
+            return pa.RecordBatch.from_pylist([{"key": key, "h": state.hexdigest(), "tally": totals}], schema=schema)
+
+        key, state, end, tally = None, None, "", Counter()
         for batch in batches:
-            for k, line, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not batch.num_rows:
+                continue
+            keys, (texts, *more) = batch.column(0), (c.to_pylist() for c in (batch.column(i) for i in (1, *range(4, batch.num_columns))))
+            starts = [0, *(np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            for i, j in pairwise(starts):
+                k = keys[i].as_py()
                 if state is not None and k == key:
                     state.update(b",")
                 else:
                     if state is not None:
-                        yield done(key, state, end)
-                    key, state, end = k, hashlib.sha256(before.encode()), after
-                state.update(line.encode())
+                        yield done()
+                    key, state, end, tally = k, hashlib.sha256(batch.column(2)[i].as_py().encode()), batch.column(3)[i].as_py(), Counter()
+                state.update(",".join(texts[i:j]).encode())
+                tally.update(zip(*(c[i:j] for c in more)))
         if state is not None:
-            yield done(key, state, end)
+            yield done()
 
     dealt = lines.repartition("key").sortWithinPartitions("key", *order, "line")
-    return dealt.select("key", "line", "before", "after").mapInArrow(run, "key string, h string")
+    return dealt.select("key", "line", "before", "after", *counted).mapInArrow(run, f"key string, h string, tally {TALLY}")
+
 
+def list_sha256(rows: DataFrame, key: str, line: Column, order: list[str], before: Column | None = None, after: Column | None = None, tally: tuple[str, str] | None = None) -> DataFrame:
+    """(key, sha256): hash of the JSON list of each document's lines, in ``order``, between ``before`` and ``after``.
 
-def list_sha256(rows: DataFrame, key: str, line: Column, order: list[str], before: Column | None = None, after: Column | None = None) -> DataFrame:
-    """(key, sha256): hash of the JSON list of each document's lines, in ``order``, between ``before`` and ``after``."""
-    kept = rows.select(F.col(key).cast("string").alias("key"), line.alias("line"), (F.lit("[") if before is None else before).alias("before"), (F.lit("]") if after is None else after).alias("after"), *order)
-    return sorted_sha256(kept, order).select(F.col("key").cast(rows.schema[key].dataType).alias(key), F.col("h").alias("sha256"))
+    With ``tally``, names of a text and a boolean column, there is a column tally of their counts, from the same reading.
+    """
+    named = [] if tally is None else [F.col(tally[0]).alias("value"), F.col(tally[1]).alias("flag")]
+    kept = rows.select(F.col(key).cast("string").alias("key"), line.alias("line"), (F.lit("[") if before is None else before).alias("before"), (F.lit("]") if after is None else after).alias("after"), *order, *named)
+    return sorted_sha256(kept, order).select(F.col("key").cast(rows.schema[key].dataType).alias(key), F.col("h").alias("sha256"), *([] if tally is None else ["tally"]))
 
 
 def tree_leaves(rows: DataFrame, key: str, line: Column, digits: int = 3) -> DataFrame:

@@ -187,8 +187,10 @@ def narrowing_receipts(decisions: DataFrame, bindings: DataFrame) -> DataFrame:
     bindings: handoff_id, source_binding_status, vex_document_sha256, signature_sha256, issuer_id,
     statements_canonical_sha256, narrowing_eligible_count, matcher_hits_sha256, operator_max_receipt_age_days.
     """
-    counts = decisions.groupBy("handoff_id", "cyclonedx_sha256").agg(F.count(F.lit(1)).alias("total_hits"), F.count_if("narrowed").alias("narrowed_count"), F.count_if(~F.col("narrowed")).alias("not_narrowed_count"))
-    rows = counts.join(decision_hashes(decisions).withColumnRenamed("sha256", "decisions_canonical_sha256"), "handoff_id").join(bindings, "handoff_id")
+    # Hash and counts come from one reading of the decisions.
+    read = list_sha256(decisions, "handoff_id", decision_json(), ["position"], tally=("cyclonedx_sha256", "narrowed")).select("handoff_id", F.col("sha256").alias("decisions_canonical_sha256"), F.explode("tally").alias("t"))
+    counts = read.select("handoff_id", F.col("t.value").alias("cyclonedx_sha256"), F.col("t.rows").alias("total_hits"), F.col("t.flagged").alias("narrowed_count"), (F.col("t.rows") - F.col("t.flagged")).alias("not_narrowed_count"), "decisions_canonical_sha256")
+    rows = counts.join(bindings, "handoff_id")
     own = reconcile_id(F.col("handoff_id"), F.col("cyclonedx_sha256"), F.col("statements_canonical_sha256"), F.col("matcher_hits_sha256"))
     return rows.select(
         F.lit(NARROWING_SCHEMA).alias("schema_version"), F.lit(CLASSIFICATION).alias("classification"), own.alias("reconcile_id"), F.lit(DIRECTION).alias("direction"), F.lit(FACT_WRITE).alias("fact_write"),
