@@ -3,9 +3,10 @@
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from corroborate.operators import reconcile, vex
+from corroborate.operators import reconcile, rules, vex
 from corroborate.plans import queries
 
 RECORD = "lane_id string, component_id string, producer string, name string, version string, identifiers array<string>, hashes array<string>, provenances array<string>, roles array<string>"
@@ -112,3 +113,19 @@ def test_decisions_are_read_once_for_a_receipt(spark):
     found = {(r.handoff_id, r.cyclonedx_sha256[0], r.total_hits, r.narrowed_count, r.not_narrowed_count) for r in vex.narrowing_receipts(decisions, bound).collect()}
     assert found == {("h1", "d", 4, 3, 1), ("h1", "c", 8, 3, 5)}
     assert read.value == 12
+
+
+def test_rules_that_hold_leave_no_shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    written = lambda: sum(f.getName().startswith("shuffle_") for f in _files(env))
+    before = written()
+    rules.assert_none(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count().filter("count > 10"))
+    assert written() <= before
+    with pytest.raises(ValueError, match="rules broken"):
+        rules.assert_none(spark.range(10).groupBy("id").count())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _files(env):
+    found = env.blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
